@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, quality
+from . import bpe, langid, mixing, quality, secrets
 from .common import table
 
 RANKS, VOCABULARY, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
@@ -41,11 +41,96 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.learn_order(docs)).drop("rejected_by")
 
 
+def domain_of(source: str = "source"):
+    """The tables name no domain; the sources are dealt to four by their number."""
+    return F.concat(F.lit("d"), F.coalesce(F.expr(f"try_cast(regexp_extract({source}, '[0-9]+', 0) as int)") % 4, F.lit(0)).cast("string"))
+
+
+#: Production parameters of op2: 60 % of all tokens, up to four epochs, the first domain wanted more than it supplies.
+MIX = mixing.Plan(
+    weights={"domain": {"d0": 1, "d1": 8, "d2": 2, "d3": 1}, "lang": {"en": 3, "de": 2, "fr": 2, "es": 4}, "source": {"src0": 1}},
+    default=2, share=(3, 5), epochs=4, seed=17,
+)
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), MIX, domain_of())
+    return mixed.select("doc_id", F.col("mix_domain").alias("domain"), "lang", "source", F.col("mix_tokens").alias("n_tokens"), F.col("mix_copies").alias("copies"), F.col("mix_part").alias("part_tokens"))
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["rank"] < len(secrets.BASE))
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(r.kind) for r in secrets.BASE]
+    return found.select("doc_id", *counts, F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_mixing": op2_mixing,
     "op3_bpe_round_trip": op3_bpe_round_trip,
     "op4_token_counts": op4_token_counts,
+    "op9_secret_scan": op9_secret_scan,
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+def _secret_sql() -> str:
+    """A regex splits a text into gaps; running sums of gap and match lengths place the matches."""
+
+    def pattern(r):
+        return "'" + r.regex.replace("'", "''") + "'"
+
+    kinds = " UNION ALL ".join(
+        f"""SELECT doc_id, '{r.kind}' AS kind, {k} AS rank, {r.least} AS least, regexp_extract_all(t, {pattern(r)}) AS m,
+        regexp_extract_all(t, {pattern(r)}, {r.group}) AS p, string_split_regex(t, {pattern(r)}) AS g FROM d"""
+        for k, r in enumerate(secrets.RULES)
+    )
+    counts = ", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in secrets.BASE)
+    base = f"rank < {len(secrets.BASE)}"
+    return f"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), k AS ({kinds}),
+    e AS (SELECT doc_id, kind, rank, least, unnest(m) AS m, unnest(p) AS p, unnest(g[1:len(m)]) AS g, generate_subscripts(m, 1) AS i FROM k WHERE len(m) > 0),
+    s AS (SELECT *, sum(length(g) + length(m)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS fin FROM e),
+    f AS (SELECT doc_id, kind, rank, fin - length(m) AS start, fin, kind || ':' || CAST(fin - length(m) AS BIGINT) || ':' || CAST(fin AS BIGINT) AS label FROM s WHERE length(p) >= least),
+    a AS (SELECT doc_id, {counts}, string_agg(label, ',' ORDER BY start, rank) AS spans, string_agg(label, ',' ORDER BY start, rank) FILTER ({base}) AS base FROM f GROUP BY doc_id)
+    SELECT d.doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in secrets.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+    FROM d LEFT JOIN a USING (doc_id)"""
+
+
+def _share_sql(source: str, parents: str, name: str) -> str:
+    """Siblings' budgets, in the order of cap / weight."""
+    line = f"PARTITION BY {parents} ORDER BY cap / weight, {name}"
+    return f"""SELECT *, CASE WHEN filled THEN cap ELSE greatest(pb - coalesce(sum(cap) FILTER (filled) OVER (PARTITION BY {parents}), 0), 0) * weight
+        // sum(weight) FILTER (NOT filled) OVER (PARTITION BY {parents}) END AS budget FROM (SELECT *, cap * sum(weight) OVER ({line} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+        <= (pb - coalesce(sum(cap) OVER ({line} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) * weight AS filled FROM ({source}))"""
+
+
+def mix_sql(documents: str, plan: mixing.Plan) -> str:
+    """CTEs that end in `mixed`: doc_id, domain, lang, source, n_tokens, copies, part_tokens of `documents` rows."""
+
+    def weight(level: str) -> str:
+        given = "".join(f" WHEN '{k}' THEN {v}" for k, v in plan.weights.get(level.split(".")[-1], {}).items())
+        return f"CASE {level}{given} ELSE {plan.default} END" if given else str(plan.default)
+
+    return f"""
+    m AS (SELECT doc_id, 'd' || coalesce(TRY_CAST(regexp_extract(source, '[0-9]+') AS INT) % 4, 0) AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n_tokens FROM {documents}),
+    leaves AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS supply FROM m GROUP BY ALL),
+    b1 AS ({_share_sql(f"SELECT 0 AS root, domain, CAST(sum(supply) * {plan.epochs} AS BIGINT) AS cap, {weight('domain')} AS weight, (SELECT CAST(sum(supply) AS BIGINT) FROM leaves) * {plan.share[0]} // {plan.share[1]} AS pb FROM leaves GROUP BY domain", "root", "domain")}),
+    b2 AS ({_share_sql(f"SELECT l.domain, l.lang, l.cap, {weight('l.lang')} AS weight, CAST(b1.budget AS BIGINT) AS pb FROM (SELECT domain, lang, CAST(sum(supply) * {plan.epochs} AS BIGINT) AS cap FROM leaves GROUP BY ALL) l JOIN b1 USING (domain)", "domain", "lang")}),
+    b3 AS ({_share_sql(f"SELECT l.domain, l.lang, l.source, supply, supply * {plan.epochs} AS cap, {weight('l.source')} AS weight, CAST(b2.budget AS BIGINT) AS pb FROM leaves l JOIN b2 USING (domain, lang)", "domain, lang", "source")}),
+    p AS (SELECT domain, lang, source, CAST(CASE WHEN supply > 0 THEN budget // supply ELSE 0 END AS BIGINT) AS passes, CAST(CASE WHEN supply > 0 THEN budget % supply ELSE 0 END AS BIGINT) AS rest FROM b3),
+    k AS (SELECT m.*, passes, rest, md5('{plan.seed}:' || passes || ':' || doc_id) || ':' || doc_id AS key FROM m JOIN p USING (domain, lang, source)),
+    r AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY key) AS fin FROM k),
+    mixed AS (SELECT doc_id, domain, lang, source, n_tokens, passes + CASE WHEN fin <= rest THEN 1 ELSE 0 END AS copies,
+        CAST(CASE WHEN fin > rest AND fin - n_tokens < rest THEN rest - (fin - n_tokens) ELSE 0 END AS BIGINT) AS part_tokens FROM r)"""
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_mixing": f"WITH {mix_sql('documents', MIX)} SELECT * FROM mixed WHERE copies > 0 OR part_tokens > 0",
+    "op9_secret_scan": _secret_sql(),
+}
