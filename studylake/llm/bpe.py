@@ -11,6 +11,7 @@ import functools
 import heapq
 import json
 import re
+import sys
 from array import array
 from collections.abc import Iterable, Iterator
 
@@ -22,8 +23,8 @@ from pyspark.sql import types as T
 
 from .common import rows_of, to_batches
 
-#: Entries that a worker keeps before it starts its tables anew (a chunk or piece takes about 150 bytes).
-CACHE_ENTRIES = 800_000
+#: Entries (about 200 bytes each) in a generation of a worker's tables; two generations are held at most.
+CACHE_ENTRIES = 120_000
 
 #: Strings up to this length are merged directly; they are the leaves of the tree.
 LEAF_BYTES = 5
@@ -91,6 +92,26 @@ def heap_merge(symbols: list, rank_of) -> list:
     return [s for s in symbols if s is not None]
 
 
+class Recent(dict):
+    """A table of results that holds what was used lately: when it is full it becomes the old generation, from which
+    entries that are used again come back. Frequent words stay, words seen once go, memory is bounded."""
+
+    def __init__(self, make):
+        self.make, self.old = make, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+            if len(key) > 64:
+                return value
+        if len(self) >= CACHE_ENTRIES:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class TreeEncoder:
     """BPE as a tree reduction: the tokens of a string are the join of the tokens of its halves.
 
@@ -107,24 +128,15 @@ class TreeEncoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.split = ranks, regex.compile(pattern).findall
         self.bytes_of = {rank: token for token, rank in ranks.items()}
-        self.parts: dict[bytes, tuple] = {}
-        self.windows: dict[bytes, tuple] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.parts, self.windows, self.chunks = Recent(self._part), Recent(self._window), Recent(self._chunk)
 
-    def merged(self, text: bytes) -> tuple:
+    def _window(self, text: bytes) -> tuple:
         """The encoding of a window, by merging alone."""
-        found = self.windows.get(text)
-        if found is None:
-            get = self.ranks.get
-            found = tuple(self.ranks[s] for s in heap_merge([text[i : i + 1] for i in range(len(text))], lambda a, b: get(a + b)))
-            if len(text) <= 64:
-                if len(self.windows) >= CACHE_ENTRIES:
-                    self.windows.clear()
-                self.windows[text] = found
-        return found
+        get = self.ranks.get
+        return tuple(map(self.ranks.__getitem__, heap_merge([text[i : i + 1] for i in range(len(text))], lambda a, b: get(a + b))))
 
     def compatible(self, a: int, b: int) -> bool:
-        return self.merged(self.bytes_of[a] + self.bytes_of[b]) == (a, b)
+        return self.windows[self.bytes_of[a] + self.bytes_of[b]] == (a, b)
 
     def join(self, left: tuple, right: tuple) -> tuple:
         if not left or not right:
@@ -134,38 +146,25 @@ class TreeEncoder:
         width = 1
         while True:
             lo, hi = max(0, len(left) - width), min(width, len(right))
-            window = self.merged(b"".join(map(self.bytes_of.__getitem__, left[lo:] + right[:hi])))
+            window = self.windows[b"".join(map(self.bytes_of.__getitem__, left[lo:] + right[:hi]))]
             if (lo == 0 or self.compatible(left[lo - 1], window[0])) and (hi == len(right) or self.compatible(window[-1], right[hi])):
                 return left[:lo] + window + right[hi:]
             width *= 2
 
+    def _part(self, text: bytes) -> tuple:
+        half = len(text) // 2
+        return self.join(self.encode_piece(text[:half]), self.encode_piece(text[half:]))
+
     def encode_piece(self, text: bytes) -> tuple:
         """Tokens of one match of the split pattern: encode both halves, join."""
-        if len(text) <= LEAF_BYTES:
-            return self.merged(text)
-        found = self.parts.get(text)
-        if found is None:
-            half = len(text) // 2
-            found = self.join(self.encode_piece(text[:half]), self.encode_piece(text[half:]))
-            if len(text) <= 64:
-                if len(self.parts) >= CACHE_ENTRIES:
-                    self.parts.clear()
-                self.parts[text] = found
-        return found
-
-    def encode(self, text: str) -> bytes:
-        """Ids of a text as little-endian unsigned 32-bit integers. Matches of the pattern join by plain concatenation."""
-        out, get = [], self.chunks.get
-        for chunk in _CHUNK.findall(text):
-            ids = get(chunk)
-            if ids is None:
-                ids = b"".join(b"".join(i.to_bytes(4, "little") for i in self.encode_piece(piece.encode("utf-8"))) for piece in self.split(chunk))
-                if len(chunk) <= 64:
-                    if len(self.chunks) >= CACHE_ENTRIES:
-                        self.chunks.clear()
-                    self.chunks[chunk] = ids
-            out.append(ids)
-        return b"".join(out)
+        return self.windows[text] if len(text) <= LEAF_BYTES else self.parts[text]
+
+    def _chunk(self, chunk: str) -> bytes:
+        return array("I", [i for piece in self.split(chunk) for i in self.encode_piece(piece.encode("utf-8"))]).tobytes()
+
+    def encode(self, text: str) -> array:
+        """Ids of a text. Matches of the pattern join by plain concatenation."""
+        return array("I", b"".join(map(self.chunks.__getitem__, _CHUNK.findall(text))))
 
     def decode(self, ids: array) -> bytes:
         """Bytes of ids, concatenated up the tree of halves; below 4,096 ids in one step."""
@@ -181,24 +180,25 @@ def _encoder(path: str, pattern: str) -> TreeEncoder:
     return TreeEncoder(load_ranks(path), pattern)
 
 
-def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode whole texts. Returns `id_col`, n_tokens, ids (binary: little-endian unsigned 32-bit integers).
+def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: Iterable[str] = ()) -> DataFrame:
+    """Encode whole texts. Returns `id_col`, the columns in `keep`, n_tokens, ids (binary: little-endian unsigned 32-bit integers).
 
     A null text counts as empty: no tokens. Rows are kept one to one, repeated rows and null ids included; other
-    columns are left out.
+    columns are left out. Columns in `keep` that have the names of results are refused.
     """
-    id_type = df.schema[id_col].dataType
+    keep = [c for c in keep if c != id_col]
+    if {"n_tokens", "ids"} & {id_col, *keep}:
+        raise ValueError("n_tokens and ids are results and can't be kept")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = _encoder(ranks_path, pattern)
-        schema = None
         for batch in batches:
-            schema = pa.schema([("id", batch.schema.field(0).type), ("n_tokens", pa.int64()), ("ids", pa.binary())])
-            encoded = ((i, tree.encode(text or "")) for i, text in rows_of([batch]))
-            yield from to_batches(((i, len(ids) // 4, ids) for i, ids in encoded), schema, weigh=2)
+            schema = pa.schema([*(batch.schema.field(k) for k in range(len(keep) + 1)), ("n_tokens", pa.int64()), ("ids", pa.binary())])
+            encoded = ((row, tree.encode(text or "")) for *row, text in rows_of([batch]))
+            yield from to_batches(((*row, len(ids), _packed(ids)) for row, ids in encoded), schema, weigh=len(keep) + 2)
 
-    out = T.StructType([T.StructField("id", id_type), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, out).withColumnRenamed("id", id_col)
+    out = T.StructType([*(df.schema[c] for c in (id_col, *keep)), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
+    return df.select(id_col, *keep, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, out)
 
 
 def decode(df: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids") -> DataFrame:
@@ -212,18 +212,22 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids") -
         tree = _encoder(ranks_path, pattern)
         for batch in batches:
             schema = pa.schema([*(batch.schema.field(k) for k in range(len(kept))), ("decoded", pa.binary())])
-            decoded = ((*row[:-1], None if row[-1] is None else tree.decode(_little(row[-1]))) for row in rows_of([batch]))
+            decoded = ((*row[:-1], None if row[-1] is None else tree.decode(_unpacked(row[-1]))) for row in rows_of([batch]))
             yield from to_batches(decoded, schema, weigh=len(kept))
 
     out = T.StructType([*(df.schema[c] for c in kept), T.StructField("decoded", T.BinaryType())])
     return df.select(*kept, ids_col).mapInArrow(run, out)
 
 
-def _little(packed: bytes) -> array:
-    import sys
+def _packed(ids: array) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    if sys.byteorder == "big":
+        ids.byteswap()
+    return ids.tobytes()
+
 
-    ids = array("I")
-    ids.frombytes(packed)
+def _unpacked(packed: bytes) -> array:
+    ids = array("I", packed)
     if sys.byteorder == "big":
         ids.byteswap()
     return ids
@@ -248,22 +252,17 @@ class HeapCounter:
         self.ranks = {(m[0], m[1]) if isinstance(m, list) else tuple(m.split(" ")): rank for rank, m in enumerate(spec["model"]["merges"])}
         added = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
-        self.chunks: dict[str, int] = {}
-        self.pieces: dict[str, int] = {}
+        self.pieces, self.chunks = Recent(self._piece), Recent(self._chunk)
 
-    def tokens(self, piece: str) -> int:
+    def _piece(self, piece: str) -> int:
         """Tokens of one match of the split pattern: its bytes less the merges they take."""
-        found = self.pieces.get(piece)
-        if found is None:
-            symbols = [self.letter[b] for b in piece.encode("utf-8")]
-            get = self.ranks.get
-            merges = len(symbols) - len(heap_merge(symbols, lambda a, b: get((a, b))))
-            found = len(symbols) - merges
-            if len(piece) <= 64:
-                if len(self.pieces) >= CACHE_ENTRIES:
-                    self.pieces.clear()
-                self.pieces[piece] = found
-        return found
+        symbols = [self.letter[b] for b in piece.encode("utf-8")]
+        get = self.ranks.get
+        merges = len(symbols) - len(heap_merge(symbols, lambda a, b: get((a, b))))
+        return len(symbols) - merges
+
+    def _chunk(self, chunk: str) -> int:
+        return sum(map(self.pieces.__getitem__, self.split(chunk)))
 
     def count(self, text: str) -> int:
         total = 0
@@ -272,18 +271,7 @@ class HeapCounter:
             total += len(parts) - 1
         else:
             parts = [text]
-        get = self.chunks.get
-        for part in parts:
-            for chunk in _CHUNK.findall(part):
-                n = get(chunk)
-                if n is None:
-                    n = sum(map(self.tokens, self.split(chunk)))
-                    if len(chunk) <= 64:
-                        if len(self.chunks) >= CACHE_ENTRIES:
-                            self.chunks.clear()
-                        self.chunks[chunk] = n
-                total += n
-        return total
+        return total + sum(sum(map(self.chunks.__getitem__, _CHUNK.findall(part))) for part in parts)
 
 
 def _byte_letters() -> list[str]:
