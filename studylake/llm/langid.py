@@ -114,22 +114,23 @@ def identify(
         raise ValueError(f"columns {sorted(made & set(keep))} clash with results")
     languages = tuple(sorted(dictionaries.items()))
     digest = hashlib.sha256(repr(languages).encode()).hexdigest()
-    columns = [id_col, *(c for c in keep if c != id_col), text_col]
+    kept = list(dict.fromkeys([id_col, *keep]))
+    # a text that is kept is sent to the workers once
+    sent = [*kept, *([] if text_col in kept else [text_col])]
+    place = sent.index(text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressors = _compressors(digest, languages)
         for batch in batches:
-            fields = [batch.schema.field(k) for k in range(len(columns) - 1)]
+            fields = [batch.schema.field(k) for k in range(len(kept))]
             schema = pa.schema([*fields, ("lang_pred", pa.string()), ("score", pa.float64()), ("margin", pa.float64()), ("accepted", pa.bool_())])
 
             def judged():
-                for *row, text in rows_of([batch]):
-                    lang, margin = judge(text, compressors)
-                    yield (*row, lang, min(1.0, margin / sure_margin), margin, lang != UNKNOWN and margin >= min_margin)
+                for row in rows_of([batch]):
+                    lang, margin = judge(row[place], compressors)
+                    yield (*row[: len(kept)], lang, min(1.0, margin / sure_margin), margin, lang != UNKNOWN and margin >= min_margin)
 
-            yield from to_batches(judged(), schema, weigh=columns.index("text") if "text" in keep else None)
+            yield from to_batches(judged(), schema, weigh=place if place < len(kept) else None)
 
-    chosen = [df.schema[c] for c in columns[:-1]]
-    out = T.StructType([*chosen, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("margin", T.DoubleType()), T.StructField("accepted", T.BooleanType())])
-    source = df.select(*columns[:-1], F.col(text_col).cast("string").alias("__langid_text"))
-    return source.mapInArrow(run, out)
+    out = T.StructType([*(df.schema[c] for c in kept), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("margin", T.DoubleType()), T.StructField("accepted", T.BooleanType())])
+    return df.select(*sent).mapInArrow(run, out)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dartminhash, langid, mixing, nndescent, quality, secrets, suffixes
+from . import bpe, dartminhash, langid, licenses, mixing, nndescent, quality, secrets, suffixes
 from .common import table
 
 RANKS, VOCABULARY, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
@@ -68,6 +68,13 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    spans = F.array_join(F.transform("found", lambda x: F.concat_ws(":", x["license"], x["start"], x["end"], x["changes"])), ",")
+    names = F.array_join(F.array_sort(F.array_distinct(F.transform("found", lambda x: x["license"]))), ",")
+    return found.select("doc_id", F.size("found").cast("long").alias("n_found"), names.alias("licenses"), spans.alias("spans"))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = dartminhash.near_duplicates(table(spark, sf_dir, "documents"))
     return classes.withColumn("kept", F.col("doc_id") == F.col("class_id"))
@@ -91,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_license_scan": op7_license_scan,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_secret_scan": op9_secret_scan,
     "op10_quality_rules": op10_quality_rules,

@@ -202,10 +202,10 @@ def listed(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "[secret]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "[secret]", rules: tuple[Rule, ...] = RULES, length_col: str | None = None) -> DataFrame:
     """`df` with each maximal run of secret characters in `text_col` replaced by `mask`; texts without secrets stay as they are.
 
-    All columns stay, null texts too. Rows that repeat an id and a text change alike.
+    All columns stay, null texts too. `length_col`, if given, gets the new length of a text that changes. Rows that repeat an id and a text change alike.
     """
     found = spans(df, id_col, text_col, rules)
     before = Window.partitionBy("id", "hash").orderBy("start", "rank", "end").rowsBetween(Window.unboundedPreceding, -1)
@@ -226,4 +226,5 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask:
         return F.substring(text, (start + 1).cast("int"), (end - start).cast("int"))
 
     masked = F.array_join(F.transform(F.sequence(F.lit(0), count), gap), mask)
-    return joined.select(*(F.when(F.col("__runs").isNull(), F.col(c)).otherwise(masked).alias(c) if c == text_col else F.col(c) for c in df.columns))
+    new = {text_col: masked} | ({length_col: F.length(masked).cast(df.schema[length_col].dataType)} if length_col else {})
+    return joined.select(*(F.when(F.col("__runs").isNull(), F.col(c)).otherwise(new[c]).alias(c) if c in new else F.col(c) for c in df.columns))
