@@ -225,6 +225,7 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask:
         end = F.when(k == count, F.length(text)).otherwise(F.get("__runs", k)["start"])
         return F.substring(text, (start + 1).cast("int"), (end - start).cast("int"))
 
-    masked = F.array_join(F.transform(F.sequence(F.lit(0), count), gap), mask)
-    new = {text_col: masked} | ({length_col: F.length(masked).cast(df.schema[length_col].dataType)} if length_col else {})
-    return joined.select(*(F.when(F.col("__runs").isNull(), F.col(c)).otherwise(new[c]).alias(c) if c in new else F.col(c) for c in df.columns))
+    # a step of its own: beside a result named like the text, the text's name would mean that result
+    masked = joined.withColumn("__masked", F.array_join(F.transform(F.sequence(F.lit(0), count), gap), mask))
+    new = {text_col: F.col("__masked")} | ({length_col: F.length("__masked").cast(df.schema[length_col].dataType)} if length_col else {})
+    return masked.select(*(F.when(F.col("__runs").isNull(), F.col(c)).otherwise(new[c]).alias(c) if c in new else F.col(c) for c in df.columns))

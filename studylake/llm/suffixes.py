@@ -266,21 +266,22 @@ def _group_strings(contexts: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        schema = pa.schema([("id", pa.int64()), ("at", pa.int64()), ("back", pa.int64()), ("digest", pa.binary())])
+        schema = pa.schema([("id", pa.int64()), ("at", pa.int64()), ("start", pa.int64()), ("digest", pa.binary())])
 
         def strings():
             for h, i, at, left, right in rows_of(batches):
                 whole, n = left[::-1] + right, len(left)
                 salt = h.to_bytes(8, "little", signed=True)
                 for back in range(max(0, LENGTH - len(right)), n + 1):
-                    yield i, at, back, xxhash.xxh3_128_digest(salt + whole[n - back : n - back + LENGTH])
+                    yield i, at, at - back, xxhash.xxh3_128_digest(salt + whole[n - back : n - back + LENGTH])
 
         yield from to_batches(strings(), schema)
 
-    strings = contexts.select("hash", "id", "at", "left", "right").mapInArrow(run, "id long, at long, back long, digest binary")
-    first = strings.groupBy("digest").agg(F.min(F.struct("id", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
-    again = strings.join(first, "digest").where((F.col("id") != F.col("first.id")) | (F.col("at") != F.col("first.at")))
-    return again.groupBy("id", "at").agg(F.max("back").alias("most"), F.min("back").alias("least")).select("id", F.expr("at - most").alias("start"), F.expr(f"at - least + {LENGTH}").alias("end"))
+    # several anchors of one hash may stand in the same string, so strings are told apart by where they start
+    strings = contexts.select("hash", "id", "at", "left", "right").mapInArrow(run, "id long, at long, start long, digest binary")
+    first = strings.groupBy("digest").agg(F.min(F.struct("id", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
+    again = strings.join(first, "digest").where((F.col("id") != F.col("first.id")) | (F.col("start") != F.col("first.start")))
+    return again.groupBy("id", "at").agg(F.min("start").alias("start"), F.max("start").alias("last")).select("id", "start", (F.col("last") + LENGTH).alias("end"))
 
 
 def _contexts(df: DataFrame, places: DataFrame, id_col: str, text_col: str) -> DataFrame:
