@@ -12,6 +12,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # What tells logistics and outlines from study content.
 ADMINISTRATION = (
@@ -63,7 +64,7 @@ CLAIM_ALIASES = {
 PRIVATE_USE = "[-]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
@@ -252,7 +253,7 @@ def unparsed_slides(text: Column) -> Column:
 def distinct_strings(values: Column) -> Column:
     """Trimmed strings, distinct in any case, in order."""
     empty = F.array().cast("array<string>")
-    kept = F.filter(F.transform(values, F.trim), lambda v: v.isNotNull() & (v != ""))
+    kept = F.filter(F.transform(values, lambda v: F.trim(v)), lambda v: v.isNotNull() & (v != ""))
     return F.aggregate(kept, empty, lambda seen, v: F.when(F.exists(seen, lambda x: casefold(x) == casefold(v)), seen).otherwise(F.array_append(seen, v)))
 
 
@@ -281,7 +282,7 @@ def reported_quality(reliability: Column, provenance: Column) -> Column:
 def draft_points(answer: Column) -> Column:
     """Up to four sentences of an answer as rubric points: what follows a list of sources and all citations go."""
     body = F.regexp_replace(F.regexp_replace(answer, r"(?is)\n\s*(?:sources|citations)\s*:.*$", ""), r"\s*\[E\d+\]", "")
-    sentences = F.filter(F.transform(F.split(body, r"(?<=[.!?])\s+|\n+"), F.trim), lambda s: F.length(s) >= 25)
+    sentences = F.filter(F.transform(F.split(body, r"(?<=[.!?])\s+|\n+"), lambda s: F.trim(s)), lambda s: F.length(s) >= 25)
     whole = F.array(F.substring(F.trim(body), 1, 360))
     return F.when(F.size(sentences) > 0, F.slice(F.transform(sentences, lambda s: F.substring(s, 1, 360)), 1, 4)).when(F.trim(body) != "", whole).otherwise(F.array().cast("array<string>"))
 
