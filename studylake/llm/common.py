@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -57,12 +58,16 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
+def written(df: DataFrame, what: str, tidy: bool = False) -> DataFrame:
     """Cut the lineage of `df`: it is written as Parquet below the shared folder and read again.
 
-    The copy survives the loss of any executor, and it keeps column statistics and pruning for what reads it.
+    The copy survives the loss of any executor, and it keeps column statistics and pruning for what reads it. With
+    `tidy` the driver collects its garbage, so that Spark drops the shuffle files of the steps behind the copy.
     """
     spark = df.sparkSession
     path = os.path.join(shared_folder(spark), f"{what}-{uuid.uuid4().hex}")
     df.write.parquet(path)
+    if tidy:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)

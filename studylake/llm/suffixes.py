@@ -26,9 +26,7 @@ WINDOWS = LENGTH - ANCHOR + 1
 #: Texts are hashed in stretches of at most so many bytes.
 STRETCH = 1 << 17
 #: Groups with more kinds of surroundings than this are not sorted in one task: their strings are grouped by hash instead.
-SORTED_GROUP = 4000
-#: Place lists up to this size are joined to the texts by broadcast, larger ones by shuffle.
-BROADCAST_BYTES = 32 << 20
+SORTED_GROUP = 100_000
 
 _U = np.uint64
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)  # odd, so that they can be divided by modulo 2^64
@@ -286,8 +284,7 @@ def _group_strings(contexts: DataFrame) -> DataFrame:
 
 def _contexts(df: DataFrame, places: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The bytes to the left (reversed) and right of anchors (hash, kinds, id, at)."""
-    per_text = places.groupBy("id").agg(F.collect_list(F.struct("hash", "kinds", "at")).alias("places"))
-    side = per_text if places.count() * 32 > BROADCAST_BYTES else F.broadcast(per_text)
+    side = places.groupBy("id").agg(F.collect_list(F.struct("hash", "kinds", "at")).alias("places"))
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(side, "id")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,9 +305,10 @@ def _contexts(df: DataFrame, places: DataFrame, id_col: str, text_col: str) -> D
 def repeated_stretches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, start, end: bytes covered by strings of LENGTH bytes that also start earlier (smaller id, or same id and
     earlier start). Stretches may overlap; together they hold just those bytes."""
-    counts = anchors(df, id_col, text_col, False).groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
-    met = written(anchors(df, id_col, text_col, True).join(counts, "hash"), "suffix-anchors")
-    kinds = written(met.groupBy("hash", "context").agg(F.min(F.struct("id", "at")).alias("first"), F.count(F.lit(1)).alias("n")), "suffix-kinds")
+    # written first, so that the join below has plain exchanges on both sides and Spark can split a frequent hash
+    counts = written(anchors(df, id_col, text_col, False).groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"), "suffix-hashes", tidy=True)
+    met = written(anchors(df, id_col, text_col, True).join(counts, "hash"), "suffix-anchors", tidy=True)
+    kinds = written(met.groupBy("hash", "context").agg(F.min(F.struct("id", "at")).alias("first"), F.count(F.lit(1)).alias("n")), "suffix-kinds", tidy=True)
     many = kinds.groupBy("hash").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
 
     # same surroundings as an earlier anchor: every string that holds the anchor repeats
@@ -318,8 +316,8 @@ def repeated_stretches(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     copies = met.join(shared, ["hash", "context"]).where((F.col("id") != F.col("first.id")) | (F.col("at") != F.col("first.at")))
     whole = copies.select("id", F.greatest(F.col("at") - (WINDOWS - 1), F.lit(0)).alias("start"), (F.col("at") + LENGTH).alias("end"))
 
-    places = written(kinds.join(many, "hash").select("hash", "kinds", F.col("first.id").alias("id"), F.col("first.at").alias("at")), "suffix-places")
-    contexts = written(_contexts(df, places, id_col, text_col), "suffix-contexts")
+    places = written(kinds.join(many, "hash").select("hash", "kinds", F.col("first.id").alias("id"), F.col("first.at").alias("at")), "suffix-places", tidy=True)
+    contexts = written(_contexts(df, places, id_col, text_col), "suffix-contexts", tidy=True)
     parts = _sort_groups(contexts.where(F.col("kinds") <= SORTED_GROUP))
     large = contexts.where(F.col("kinds") > SORTED_GROUP)
     if not large.isEmpty():
@@ -335,7 +333,7 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     whole numbers; they give the order. A null text counts as empty; a text with a null id has no place in the order and
     stays whole; rows that repeat an id and a text are one document, of which each row shows the result.
     """
-    stretches = written(repeated_stretches(df, id_col, text_col), "suffix-stretches")
+    stretches = written(repeated_stretches(df, id_col, text_col), "suffix-stretches", tidy=True)
     per_text = stretches.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("s")).select("id", F.transform("s", lambda x: x["start"]).alias("starts"), F.transform("s", lambda x: x["end"]).alias("ends"))
     texts = df.select(F.col(id_col).alias("given"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     joined = texts.join(per_text, "id", "left").select("given", "text", "starts", "ends")
