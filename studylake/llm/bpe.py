@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from .common import rows_of, to_batches
 
 #: Entries (about 200 bytes each) in a generation of a worker's tables; two generations are held at most.
-CACHE_ENTRIES = 120_000
+CACHE_ENTRIES = 60_000
 
 #: Strings up to this length are merged directly; they are the leaves of the tree.
 LEAF_BYTES = 5
