@@ -10,6 +10,7 @@ coordinates, whatever the size of the set, so that a long text costs one hash an
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 from collections.abc import Iterable, Iterator
 
@@ -26,9 +27,11 @@ from .components import components
 #: Words of a shingle, least similarity of a link, bands and coordinates of a band: a pair at 0.8 shares one of 25 bands
 #: of 5 with a probability of 0.99995.
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 25, 5
-#: Each member of a bucket is compared with this many hubs of the bucket (members with the most candidates overall);
-#: buckets of up to SMALL members are compared whole, which is a bounded number of pairs.
+#: Each member of a bucket is compared with this many hubs of the bucket (members with the most candidates overall) in
+#: each round; buckets of up to SMALL members are compared whole, which is a bounded number of pairs.
 HUBS, SMALL, ROUNDS = 4, 8, 3
+#: What the hubs leave open is compared block by block: members and bytes of hashes of a block, columns of a comparison.
+BLOCK, BLOCK_BYTES, COLUMNS = 256, 8 << 20, 4096
 #: Tables of document ids up to this size are joined by broadcast, larger ones by shuffle.
 BROADCAST_BYTES = 16 << 20
 
@@ -235,14 +238,124 @@ def _sets_of(df: DataFrame, ids: DataFrame, id_col: str, text_col: str, weighted
     return texts.mapInArrow(run, out).dropDuplicates(["id"])
 
 
+def _in_components(members: DataFrame, components_of: DataFrame | None) -> DataFrame:
+    """The rows with the component of their `rep`; one that has no link is a component of its own."""
+    if components_of is None:
+        return members.withColumn("component", F.col("rep"))
+    return members.join(components_of, members["rep"] == components_of["node"], "left").select(*members.columns, F.coalesce("component", "rep").alias("component"))
+
+
+def _cells(hashes: bytes, times: bytes | None) -> np.ndarray:
+    """A set's elements; one that weighs n is n of them, so that the least weights are the elements in common."""
+    found = np.frombuffer(hashes, _U)
+    if times is None:
+        return found
+    n = np.frombuffer(times, np.int64)
+    at = np.repeat(np.arange(len(found)), n)
+    cell = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+    return np.where(cell == 0, found[at], _mix(found[at] + cell.astype(_U) * _STEP))
+
+
+def _in_common(cells: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many elements each set of `a` has in common with each of `b`, exactly."""
+    where = np.repeat(np.arange(len(cells)), [len(c) for c in cells])
+    _, kind, times = np.unique(np.concatenate(cells), return_inverse=True, return_counts=True)
+    often = times > 1
+    met = often[kind]
+    column, where = (np.cumsum(often) - 1)[kind[met]], where[met]
+    order = np.argsort(column)
+    column, where = column[order], where[order]
+    total = np.zeros((len(a), len(b)))
+    for first in range(0, int(often.sum()), COLUMNS):
+        i, j = np.searchsorted(column, [first, first + COLUMNS])
+        held = np.zeros((len(cells), COLUMNS), np.float32)
+        held[where[i:j], column[i:j] - first] = 1
+        total += held[a] @ held[b].T
+    return total
+
+
+def _open_links(members: DataFrame, df: DataFrame, id_col: str, text_col: str, similarity: float, weighted: bool) -> DataFrame:
+    """Links (a, b) that join the components which meet in a bucket, of members (band, hash, rep, size, component).
+
+    All pairs of a bucket but those of one component are compared. Its largest component and its other members are cut
+    into blocks; each pair of blocks but those of the largest component is one comparison of bounded size, and leaves
+    the links that join components, not all of them. Buckets of the same members are compared once.
+    """
+    mark = [F.xxhash64(F.lit(k), F.col("rep").cast("string")).cast("decimal(38,0)") for k in range(2)]
+    parts = members.groupBy("band", "hash", "component").agg(F.count(F.lit(1)).alias("c"), F.sum("size").alias("s"), F.sum(mark[0]).alias("m0"), F.sum(mark[1]).alias("m1"))
+    open_buckets = (
+        parts.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("kinds"), F.max(F.struct("c", "component", "s")).alias("head"), F.sum("c").alias("c"), F.sum("s").alias("s"), F.sum("m0").alias("m0"), F.sum("m1").alias("m1"))
+        .where("kinds > 1").groupBy("c", "m0", "m1").agg(F.min(F.struct("band", "hash", "head", "s")).alias("b")).select("b.band", "b.hash", "b.head", "c", "b.s")
+    )
+
+    def blocks(c: Column, s: Column) -> Column:
+        return F.ceil(F.greatest(c / BLOCK, s * 8 / BLOCK_BYTES)).cast("int")
+
+    first, others = blocks(F.col("head.c"), F.col("head.s")), blocks(F.col("c") - F.col("head.c"), F.col("s") - F.col("head.s"))
+    open_buckets = open_buckets.select("band", "hash", F.col("head.component").alias("head"), first.alias("first"), others.alias("others"))
+    rows = written(members.select("band", "hash", "rep", "component").join(open_buckets, ["band", "hash"]), "dart-open")
+    sets = _sets_of(df, written(rows.select(F.col("rep").alias("id")).distinct(), "dart-ids"), id_col, text_col, weighted)
+    place, in_head, last = F.xxhash64(F.col("rep").cast("string")), F.col("component") == F.col("head"), F.col("first") + F.col("others") - 1
+    own = rows.withColumn("block", F.when(in_head, F.pmod(place, F.col("first"))).otherwise(F.col("first") + F.pmod(place, F.col("others"))).cast("int"))
+    own = own.withColumn("other", F.explode(F.when(in_head, F.sequence(F.col("first"), last)).otherwise(F.sequence(F.lit(0), last))))
+    sent = own.select("band", "hash", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep", "component")
+    sent = sent.join(sets.withColumnRenamed("id", "rep"), "rep").repartition("band", "hash", "low", "high").sortWithinPartitions("band", "hash", "low", "high")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def joining(rows):
+            number: dict = {}
+            of = np.array([number.setdefault(r[6], len(number)) for r in rows])
+            side = np.array([r[4] for r in rows])
+            a, b = np.flatnonzero(side == rows[0][2]), np.flatnonzero(side == rows[0][3])
+            if not len(a) or not len(b) or len(number) < 2:
+                return
+            cells = [_cells(r[7], r[8]) for r in rows]
+            size = np.array([len(c) for c in cells])
+            shared = _in_common(cells, a, b)
+            i, j = np.nonzero((shared >= similarity * (size[a][:, None] + size[b][None, :] - shared)) & (of[a][:, None] != of[b][None, :]))
+            root = list(range(len(number)))
+
+            def find(x):
+                while root[x] != x:
+                    root[x] = x = root[root[x]]
+                return x
+
+            for i, j in zip(a[i].tolist(), b[j].tolist()):
+                x, y = find(of[i]), find(of[j])
+                if x != y:
+                    root[x] = y
+                    yield rows[i][5], rows[j][5]
+
+        def found(batches):
+            held: list[tuple] = []
+            for row in rows_of(batches):
+                if held and held[-1][:4] != row[:4]:
+                    yield from joining(held)
+                    held = []
+                held.append(row)
+            if held:
+                yield from joining(held)
+
+        batches = iter(batches)
+        first = next(batches, None)
+        if first is not None:
+            kind = first.schema.field("rep").type
+            yield from to_batches(found(itertools.chain([first], batches)), pa.schema([("a", kind), ("b", kind)]))
+
+    kind = members.schema["rep"].dataType
+    links = sent.select("band", "hash", "low", "high", "block", "rep", "component", "hashes", "times").mapInArrow(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
+    return written(links.distinct(), "dart-links")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, weighted: bool = False) -> DataFrame:
     """Classes of near-duplicates. Returns one row for each row: `id_col`, rep_id (the least id with the same shingle
     set), class_id (the least id in the component of links at `similarity` or more; the document itself if alone).
 
     Documents with equal shingle sets fall together first, so that copies never meet in a bucket. Members of a bucket
-    are compared with its hubs, not with each other: the member that appears in the most and fullest buckets is the one
-    that others were copied from. Members that no link joins to those hubs choose new hubs among themselves, for
-    ROUNDS rounds. A link is an exact comparison of shingle sets. Texts that are null or have no words are alone.
+    are compared with its hubs first: the member that appears in the most and fullest buckets is the one that others
+    were copied from. Members that no link joins to those hubs choose new hubs among themselves, for ROUNDS rounds.
+    Buckets that then hold more than one component are compared whole, block by block, but for pairs of one component.
+    A link is an exact comparison of shingle sets. Texts that are null or have no words are alone.
     Rows with a null id are returned alone with null ids; rows that repeat an id count as one document.
     """
     found = written(sketches(df, id_col, text_col, weighted), "dart-sketches")
@@ -253,16 +366,17 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     members = rows.join(buckets, ["band", "hash"])
     score = members.groupBy("rep").agg(F.sum("n").alias("score"))
     members = written(members.join(score, "rep"), "dart-members")
-    links = components_of = tried = None
+    links = components_of = tried = used = None
     for turn in range(ROUNDS):
         if turn == 0:
             open_members = members
         else:
-            # a bucket is open while it holds members of more than one component; its hubs come from those not yet linked to the first
-            joined = members.join(components_of, members["rep"] == components_of["node"], "left").select(*members.columns, F.coalesce("component", "rep").alias("component"))
-            heads = joined.groupBy("band", "hash").agg(F.max(F.struct("score", "component")).alias("head"))
-            open_members = joined.join(heads, ["band", "hash"]).where(F.col("component") != F.col("head.component")).select(*members.columns)
-        hubs = open_members.groupBy("band", "hash").agg(_top(F.col("score"), F.col("rep"), HUBS).alias("hubs"))
+            # new hubs come from members that are linked to none of the bucket's earlier hubs
+            settled = _in_components(used, components_of).select("band", "hash", "component").distinct()
+            open_members = _in_components(members.where(F.col("n") > SMALL), components_of).join(settled, ["band", "hash", "component"], "left_anti").select(*members.columns)
+        hubs = written(open_members.groupBy("band", "hash").agg(_top(F.col("score"), F.col("rep"), HUBS).alias("hubs")), "dart-hubs")
+        chosen = hubs.select("band", "hash", F.explode("hubs.rep").alias("rep"))
+        used = chosen if used is None else used.unionByName(chosen)
         pairs = members.join(hubs, ["band", "hash"]).select(F.col("rep").alias("x"), F.col("size").alias("size_x"), F.explode("hubs").alias("hub"))
         small = members.where(F.col("n") <= SMALL)
         whole = small.groupBy("band", "hash").agg(F.collect_list(F.struct(F.col("rep").alias("rep"), F.col("size").alias("size"))).alias("hubs"))
@@ -284,6 +398,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             break
         links = new if links is None else links.unionByName(new)
         components_of = written(components(links), "dart-components")
+    rest = _open_links(_in_components(members.where(F.col("n") > SMALL), components_of), df, id_col, text_col, similarity, weighted)
+    if not rest.isEmpty():
+        links = rest if links is None else links.unionByName(rest)
+        components_of = written(components(links), "dart-components")
     placed = known.select("id", "set").join(reps.select("set", "rep"), "set").select("id", "rep")
     if components_of is None:
         placed = placed.withColumn("class", F.col("rep"))

@@ -398,6 +398,31 @@ def test_near_duplicates_equal_brute_force(spark):
     assert got == brute_classes(rows)
 
 
+@pytest.mark.parametrize("weighted", [False, True])
+def test_near_duplicates_of_many_families_on_one_boilerplate(spark, monkeypatch, weighted):
+    # 50 pairs at 0.82; all others are 0.78 alike by what comes before and after, where most of their bands meet
+    before, after, rows = [f"w{k}" for k in range(134)], [f"w{k}" for k in range(134, 268)], []
+    for pair in range(50):
+        for copy in range(2):
+            own = [f"p{pair}x{k}" for k in range(7)] + [f"c{pair}x{copy}x{k}" for k in range(25)]
+            rows.append((len(rows), " ".join(before + own + after)))
+    monkeypatch.setattr(dartminhash, "BLOCK", 16)
+    monkeypatch.setattr(dartminhash, "COLUMNS", 64)
+    # no shingle comes twice in a text, so that both similarities are one
+    table = docs(spark, [(i, t, "en") for i, t in rows])
+    got = {r["doc_id"]: r["class_id"] for r in dartminhash.near_duplicates(table, weighted=weighted).collect()}
+    want = brute_classes(rows)
+    assert len(set(want.values())) == 50 and got == want
+
+
+def test_elements_in_common_count_weights():
+    rng = np.random.default_rng(3)
+    sets = [{int(x): int(rng.integers(1, 5)) for x in rng.choice(300, 40, replace=False)} for _ in range(12)]
+    cells = [dartminhash._cells(np.array(sorted(s), np.uint64).tobytes(), np.array([s[x] for x in sorted(s)], np.int64).tobytes()) for s in sets]
+    got = dartminhash._in_common(cells, np.arange(5), np.arange(5, 12))
+    assert got.tolist() == [[sum(min(s[x], t.get(x, 0)) for x in s) for t in sets[5:]] for s in sets[:5]]
+
+
 def test_near_duplicates_query(spark, small):
     want = brute_classes([tuple(r) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()])
     assert {r["doc_id"]: r["class_id"] for r in queries.op8_minhash_near_dedup(spark, small).collect()} == want
