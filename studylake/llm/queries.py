@@ -28,7 +28,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe.encode(table(spark, sf_dir, "documents"), RANKS, PATTERN)
     hashed = encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), "ids")
-    return bpe.decode(hashed, RANKS, PATTERN).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe.decode(hashed, RANKS).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
