@@ -163,30 +163,40 @@ class _Side:
         return np.where(self.group[a] != self.group[b], self.group[a] < self.group[b], inner)
 
     def sorted(self) -> tuple[np.ndarray, np.ndarray]:
-        """Mergesort, all pairs of runs of a level at once; common prefix of each string with the one before it."""
+        """Mergesort, all pairs of runs of a level at once; common prefix of each string with the one before it.
+
+        The strings come in the order of their groups, so that two runs only mix where a group lies across their seam:
+        the strings of this group are searched for in its part of the other run, all others stay where they are.
+        """
         n = len(self.size)
         order = np.arange(n)
+        begins = np.searchsorted(self.group, self.group, side="left")
+        ends = np.searchsorted(self.group, self.group, side="right")
         width = 1
         while width < n:
-            run = np.arange(n) // width
-            other = run ^ 1  # the run to merge with
-            low = np.minimum(other * width, n)
-            high = np.minimum(low + width, n)
-            first, limit = low.copy(), high
-            left = run % 2 == 0
-            # how many of the other run come before each string; equal strings keep the left run first by their place
-            while True:
-                todo = np.flatnonzero(low < high)
-                if not len(todo):
-                    break
-                mid = (low[todo] + high[todo]) // 2
-                earlier = self.before(order[mid], order[todo])
-                low[todo] = np.where(earlier, mid + 1, low[todo])
-                high[todo] = np.where(earlier, high[todo], mid)
-            place = np.arange(n) - run * width + np.where(left, run, other) * width + (low - first)
-            merged = np.empty(n, np.int64)
-            merged[place] = order
-            order = merged
+            seams = np.arange(width, n, 2 * width)
+            seams = seams[self.group[seams - 1] == self.group[seams]]
+            if len(seams):
+                low, high = np.maximum(seams - width, begins[seams]), np.minimum(seams + width, ends[seams])
+                sizes = high - low
+                at = np.repeat(low - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+                seam, first, last = (np.repeat(x, sizes) for x in (seams, low, high))
+                left = at < seam
+                # how many of the other run's part come before each string; equal strings keep the left run first by their place
+                begin = np.where(left, seam, first)
+                low, high = begin.copy(), np.where(left, last, seam)
+                while True:
+                    todo = np.flatnonzero(low < high)
+                    if not len(todo):
+                        break
+                    mid = (low[todo] + high[todo]) // 2
+                    earlier = self.before(order[mid], order[at[todo]])
+                    low[todo] = np.where(earlier, mid + 1, low[todo])
+                    high[todo] = np.where(earlier, high[todo], mid)
+                place = np.where(left, at, at - seam + first) + (low - begin)
+                merged = order.copy()
+                merged[place] = order[at]
+                order = merged
             width *= 2
         shared = np.zeros(n, np.int64)
         a, b = order[:-1], order[1:]
@@ -201,6 +211,12 @@ class _Side:
             shared[0] = -1
         return order, shared
 
+    def reach(self, order: np.ndarray, shared: np.ndarray) -> np.ndarray:
+        """The longest common prefix that each string has with another of its group: with one of its neighbours in the order."""
+        out = np.full(len(order), -1)
+        out[order] = np.maximum(shared, np.append(shared[1:], -1))
+        return out
+
     def classes(self, order: np.ndarray, shared: np.ndarray, length: int) -> np.ndarray:
         """A number for each string, equal for those of a group whose first `length` bytes are equal; -1 for shorter strings."""
         out = np.empty(len(order), np.int64)
@@ -220,15 +236,19 @@ def repeats(group: np.ndarray, left: list[bytes], right: list[bytes]) -> tuple[n
     l, r = _Side(left, group, WINDOWS - 1), _Side(right, group, LENGTH)
     l_order, l_shared = l.sorted()
     r_order, r_shared = r.sorted()
+    # the longest that any other of its group has in common with a string, on each side: no repeat reaches further
+    back, on = l.reach(l_order, l_shared), r.reach(r_order, r_shared)
     least, most = np.full(n, LENGTH), np.full(n, -1)
     for offset in range(WINDOWS):
+        if not ((back >= offset) & (on >= LENGTH - offset)).any():
+            continue
         a, b = l.classes(l_order, l_shared, offset), r.classes(r_order, r_shared, LENGTH - offset)
-        some = np.flatnonzero((a >= 0) & (b >= 0))
+        some = np.flatnonzero((a >= 0) & (b >= 0) & (back >= offset) & (on >= LENGTH - offset))
         if len(some) < 2:
             continue
         key = a[some] * (n + 1) + b[some]
-        _, first, back = np.unique(key, return_index=True, return_inverse=True)
-        again = some[first[back] < np.arange(len(some))]
+        _, first, which = np.unique(key, return_index=True, return_inverse=True)
+        again = some[first[which] < np.arange(len(some))]
         least[again] = np.minimum(least[again], offset)
         most[again] = np.maximum(most[again], offset)
     found = np.flatnonzero(most >= 0)
