@@ -160,7 +160,19 @@ def test_tree_encoder_equals_library(library):
     for text in some_texts(3000):
         ids = tree.encode(text)
         assert ids.tolist() == library.encode_ordinary(text), repr(text)
-        assert tree.decode(ids) == text.encode()
+        assert bpe.decode_ids(ids, tree.bytes_of) == text.encode()
+
+
+def test_seams_follow_the_encoding(library):
+    """What the walk along a seam says of two neighbours is what encoding their bytes says."""
+    _, ranks = library
+    tree = bpe.TreeEncoder(ranks, queries.PATTERN)
+    rng = random.Random(5)
+    short = [t for t in ranks if len(t) < 12]
+    for _ in range(20_000):
+        a, b = rng.choice(short), rng.choice(short)
+        pair = ranks[a], ranks[b]
+        assert tree.fits[pair[0] << tree.shift | pair[1]] == (tree.windows[a + b] == pair), (a, b)
 
 
 def test_heap_counts_equal_library():
@@ -189,13 +201,15 @@ def test_bpe_queries(spark, small, library):
 def test_bpe_odd_rows(odd, empty):
     args = (queries.RANKS, queries.PATTERN)
     encoded = bpe.encode(odd, *args)
-    rows = bpe.decode(encoded, *args).collect()
+    rows = bpe.decode(encoded, queries.RANKS).collect()
     assert sorted((r["doc_id"] or 0, bytes(r["decoded"])) for r in rows) == sorted((i or 0, (t or "").encode()) for i, t, _ in ODD)
-    assert bpe.decode(bpe.encode(empty, *args), *args).count() == 0
+    assert bpe.decode(bpe.encode(empty, *args), queries.RANKS).count() == 0
     counts = bpe.count_tokens(odd, queries.VOCABULARY, queries.PATTERN).collect()
     assert [r["n_tokens"] for r in counts if r["doc_id"] in (1, 2)] == [0, 0] and len(counts) == len(ODD)
     with pytest.raises(ValueError):
         bpe.encode(odd, *args, keep=["ids"])
+    with pytest.raises(ValueError):
+        bpe.decode(encoded.withColumn("decoded", F.lit(1)), queries.RANKS)
 
 
 # ---- 5
