@@ -21,11 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import rows_of, to_batches
+from .common import in_batches, release, rows_of, to_batches
 
 #: Entries (about 200 bytes each) in a generation of a worker's tables, of chunks and of shorter strings; two generations
 #: are held at most, and none once a task has ended.
-CHUNKS, PARTS = 120_000, 60_000
+CHUNKS, PARTS = 90_000, 60_000
 
 #: Strings up to this length are merged directly; they are the leaves of the tree.
 LEAF_BYTES = 5
@@ -252,6 +252,7 @@ class TreeEncoder:
         """Empty the tables, so that a worker that waits for its next task holds the vocabulary alone."""
         for held in (self.windows, self.chunks, self.fits):
             held.forget()
+        release()
 
 
 def decode_ids(ids: array, bytes_of: dict[int, bytes]) -> bytes:
@@ -293,7 +294,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
         tree.forget()
 
     out = T.StructType([*(df.schema[c] for c in (id_col, *keep)), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
-    return df.select(id_col, *keep, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, out)
+    return df.select(id_col, *keep, F.col(text_col).cast("string").alias("__text")).transform(in_batches, run, out)
 
 
 def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
@@ -314,7 +315,7 @@ def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
             yield from to_batches(decoded, schema, weigh=len(kept))
 
     out = T.StructType([*(df.schema[c] for c in kept), T.StructField("decoded", T.BinaryType())])
-    return df.select(*kept, ids_col).mapInArrow(run, out)
+    return df.select(*kept, ids_col).transform(in_batches, run, out)
 
 
 def _packed(ids: array) -> bytes:
@@ -377,6 +378,7 @@ class HeapCounter:
     def forget(self) -> None:
         self.pieces.forget()
         self.chunks.forget()
+        release()
 
 
 def _byte_letters() -> list[str]:
@@ -409,4 +411,4 @@ def count_tokens(df: DataFrame, tokenizer_path: str, pattern: str, id_col: str =
         counter.forget()
 
     out = T.StructType([T.StructField("id", df.schema[id_col].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, out).withColumnRenamed("id", id_col)
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).transform(in_batches, run, out).withColumnRenamed("id", id_col)

@@ -14,6 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 #: A mapped Arrow batch is cut once its variable-length results hold so many bytes, so that very long documents
 #: never pile up in one Python worker.
 OUT_BATCH_BYTES = 8 << 20
+#: Rows of a batch that goes to a Python worker.
+BATCH_ROWS = 1024
+
+
+def release() -> None:
+    """Give memory that a task is done with back to the system, as its worker may wait for long."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +51,15 @@ def to_batches(rows: Iterable[tuple], schema: pa.Schema, weigh: int | None = Non
         yield _batch(held, schema)
 
 
+def in_batches(df: DataFrame, run, schema) -> DataFrame:
+    """`df.mapInArrow`, fed with batches of at most BATCH_ROWS rows, so that texts don't pile up on both sides of the
+    pipe: it lowers the session's limit where that is higher."""
+    limit = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(limit)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(limit, BATCH_ROWS)
+    return df.mapInArrow(run, schema)
+
+
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 

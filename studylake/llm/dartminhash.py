@@ -21,15 +21,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import rows_of, to_batches, written
+from .common import in_batches, rows_of, to_batches, written
 from .components import components
 
 #: Words of a shingle, least similarity of a link, bands and coordinates of a band: a pair at 0.8 shares one of 25 bands
 #: of 5 with a probability of 0.99995.
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 25, 5
-#: Each member of a bucket is compared with this many hubs of the bucket (members with the most candidates overall) in
-#: each round; buckets of up to SMALL members are compared whole, which is a bounded number of pairs.
-HUBS, SMALL, ROUNDS = 4, 8, 3
+#: Each member of a bucket is first compared with this many hubs of the bucket (members with the most candidates
+#: overall); buckets of up to SMALL members are compared whole, which is a bounded number of pairs. Neither limits what
+#: is found: what the hubs leave open is compared after that.
+HUBS, SMALL = 4, 8
 #: What the hubs leave open is compared block by block: members and bytes of hashes of a block, columns of a comparison.
 BLOCK, BLOCK_BYTES, COLUMNS = 256, 8 << 20, 4096
 #: Tables of document ids up to this size are joined by broadcast, larger ones by shuffle.
@@ -176,7 +177,7 @@ def sketches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", weig
                     if not len(found):
                         yield i, None, 0, []
                         continue
-                    digest = xxhash.xxh3_128_digest(found.tobytes() + (times.tobytes() if weighted else b""))
+                    digest = _digest(found, times, weighted)
                     values = signature(found, times.astype(np.float64) if weighted else None)
                     bands = [_band(values[b * ROWS : (b + 1) * ROWS], b) for b in range(BANDS)]
                     yield i, digest, int(times.sum() if weighted else len(found)), bands
@@ -184,7 +185,11 @@ def sketches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", weig
             yield from to_batches(made(), schema)
 
     out = T.StructType([T.StructField("id", df.schema[id_col].dataType), T.StructField("set", T.BinaryType()), T.StructField("size", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, out)
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).transform(in_batches, run, out)
+
+
+def _digest(found: np.ndarray, times: np.ndarray, weighted: bool) -> bytes:
+    return xxhash.xxh3_128_digest(found.tobytes() + (times.astype(np.int64).tobytes() if weighted else b""))
 
 
 def _band(values: np.ndarray, b: int) -> int:
@@ -215,33 +220,32 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 
             yield from to_batches(near(), schema)
 
-    return both.mapInArrow(run, T.StructType([pairs.schema["a"], pairs.schema["b"]]))
+    return both.transform(in_batches, run, T.StructType([pairs.schema["a"], pairs.schema["b"]]))
 
 
 def _sets_of(df: DataFrame, ids: DataFrame, id_col: str, text_col: str, weighted: bool) -> DataFrame:
-    """id, hashes, times of the documents in `ids`."""
+    """id, hashes, times of the documents in `ids`; an id with several texts has a row for each of their sets."""
     chosen = F.broadcast(ids) if ids.count() * 24 <= BROADCAST_BYTES else ids
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(chosen, "id", "left_semi")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            schema = pa.schema([batch.schema.field(0), ("hashes", pa.binary()), ("times", pa.binary())])
+            schema = pa.schema([batch.schema.field(0), ("set", pa.binary()), ("hashes", pa.binary()), ("times", pa.binary())])
 
             def made():
                 for i, text in rows_of([batch]):
                     found, times = shingles(text, counted=True)
-                    yield i, found.tobytes(), times.astype(np.int64).tobytes() if weighted else None
+                    if len(found):
+                        yield i, _digest(found, times, weighted), found.tobytes(), times.astype(np.int64).tobytes() if weighted else None
 
-            yield from to_batches(made(), schema, weigh=1)
+            yield from to_batches(made(), schema, weigh=2)
 
-    out = T.StructType([texts.schema["id"], T.StructField("hashes", T.BinaryType()), T.StructField("times", T.BinaryType())])
-    return texts.mapInArrow(run, out).dropDuplicates(["id"])
+    out = T.StructType([texts.schema["id"], *(T.StructField(c, T.BinaryType()) for c in ("set", "hashes", "times"))])
+    return texts.transform(in_batches, run, out).dropDuplicates(["id", "set"]).drop("set")
 
 
-def _in_components(members: DataFrame, components_of: DataFrame | None) -> DataFrame:
+def _in_components(members: DataFrame, components_of: DataFrame) -> DataFrame:
     """The rows with the component of their `rep`; one that has no link is a component of its own."""
-    if components_of is None:
-        return members.withColumn("component", F.col("rep"))
     return members.join(components_of, members["rep"] == components_of["node"], "left").select(*members.columns, F.coalesce("component", "rep").alias("component"))
 
 
@@ -343,7 +347,7 @@ def _open_links(members: DataFrame, df: DataFrame, id_col: str, text_col: str, s
             yield from to_batches(found(itertools.chain([first], batches)), pa.schema([("a", kind), ("b", kind)]))
 
     kind = members.schema["rep"].dataType
-    links = sent.select("band", "hash", "low", "high", "block", "rep", "component", "hashes", "times").mapInArrow(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
+    links = sent.select("band", "hash", "low", "high", "block", "rep", "component", "hashes", "times").transform(in_batches, run, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
     return written(links.distinct(), "dart-links")
 
 
@@ -353,10 +357,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Documents with equal shingle sets fall together first, so that copies never meet in a bucket. Members of a bucket
     are compared with its hubs first: the member that appears in the most and fullest buckets is the one that others
-    were copied from. Members that no link joins to those hubs choose new hubs among themselves, for ROUNDS rounds.
-    Buckets that then hold more than one component are compared whole, block by block, but for pairs of one component.
-    A link is an exact comparison of shingle sets. Texts that are null or have no words are alone.
-    Rows with a null id are returned alone with null ids; rows that repeat an id count as one document.
+    were copied from. Buckets that then hold more than one component are compared whole, block by block, but for pairs
+    of one component. So every pair that shares a band is compared or already in one class. A link is an exact
+    comparison of shingle sets. Texts that are null or have no words are alone, as are rows with a null id (their
+    results are null). Rows that repeat an id are one document, which is near to whatever any of its texts is near to.
+    Very long texts cost time and memory in proportion to their words; further columns do no harm.
     """
     found = written(sketches(df, id_col, text_col, weighted), "dart-sketches")
     known = found.where("id is not null and set is not null")
@@ -366,47 +371,25 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     members = rows.join(buckets, ["band", "hash"])
     score = members.groupBy("rep").agg(F.sum("n").alias("score"))
     members = written(members.join(score, "rep"), "dart-members")
-    links = components_of = tried = used = None
-    for turn in range(ROUNDS):
-        if turn == 0:
-            open_members = members
-        else:
-            # new hubs come from members that are linked to none of the bucket's earlier hubs
-            settled = _in_components(used, components_of).select("band", "hash", "component").distinct()
-            open_members = _in_components(members.where(F.col("n") > SMALL), components_of).join(settled, ["band", "hash", "component"], "left_anti").select(*members.columns)
-        hubs = written(open_members.groupBy("band", "hash").agg(_top(F.col("score"), F.col("rep"), HUBS).alias("hubs")), "dart-hubs")
-        chosen = hubs.select("band", "hash", F.explode("hubs.rep").alias("rep"))
-        used = chosen if used is None else used.unionByName(chosen)
-        pairs = members.join(hubs, ["band", "hash"]).select(F.col("rep").alias("x"), F.col("size").alias("size_x"), F.explode("hubs").alias("hub"))
-        small = members.where(F.col("n") <= SMALL)
-        whole = small.groupBy("band", "hash").agg(F.collect_list(F.struct(F.col("rep").alias("rep"), F.col("size").alias("size"))).alias("hubs"))
-        if turn == 0:
-            more = small.join(whole, ["band", "hash"]).select(F.col("rep").alias("x"), F.col("size").alias("size_x"), F.explode("hubs").alias("hub"))
-            pairs = pairs.unionByName(more)
-        pairs = (
-            pairs.where((F.col("x") != F.col("hub.rep")) & (F.least("size_x", "hub.size") >= similarity * F.greatest("size_x", "hub.size")))
-            .select(F.least("x", "hub.rep").alias("a"), F.greatest("x", "hub.rep").alias("b")).distinct()
-        )
-        pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "dart-pairs")
-        if pairs.isEmpty():
-            break
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "dart-ids")
-        sets = written(_sets_of(df, ids, id_col, text_col, weighted), "dart-sets")
-        new = written(_verified(pairs, sets, similarity), "dart-links")
-        if turn and new.isEmpty():
-            break
-        links = new if links is None else links.unionByName(new)
-        components_of = written(components(links), "dart-components")
-    rest = _open_links(_in_components(members.where(F.col("n") > SMALL), components_of), df, id_col, text_col, similarity, weighted)
+
+    hubs = members.where(F.col("n") > SMALL).groupBy("band", "hash").agg(_top(F.col("score"), F.col("rep"), HUBS).alias("others"))
+    whole = members.where(F.col("n") <= SMALL).groupBy("band", "hash").agg(F.collect_list(F.struct("rep", "size")).alias("others"))
+    pairs = members.join(hubs.unionByName(whole), ["band", "hash"]).select(F.col("rep").alias("x"), F.col("size").alias("size_x"), F.explode("others").alias("other"))
+    pairs = pairs.where((F.col("x") != F.col("other.rep")) & (F.least("size_x", "other.size") >= similarity * F.greatest("size_x", "other.size")))
+    pairs = written(pairs.select(F.least("x", "other.rep").alias("a"), F.greatest("x", "other.rep").alias("b")).distinct(), "dart-pairs")
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "dart-ids")
+    sets = written(_sets_of(df, ids, id_col, text_col, weighted), "dart-sets")
+    links = _verified(pairs, sets, similarity).distinct()
+    # a document with several texts ties their sets together
+    own = written(known.select("id", "set").join(reps.select("set", "rep"), "set").select("id", "rep"), "dart-own")
+    several = own.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("id", "a")
+    ties = own.join(several, "id").where("a != rep").select("a", F.col("rep").alias("b"))
+    links = written(links.unionByName(ties).distinct(), "dart-links")
+    classes = written(components(links), "dart-components")
+    rest = _open_links(_in_components(members.where(F.col("n") > SMALL), classes), df, id_col, text_col, similarity, weighted)
     if not rest.isEmpty():
-        links = rest if links is None else links.unionByName(rest)
-        components_of = written(components(links), "dart-components")
-    placed = known.select("id", "set").join(reps.select("set", "rep"), "set").select("id", "rep")
-    if components_of is None:
-        placed = placed.withColumn("class", F.col("rep"))
-    else:
-        placed = placed.join(components_of.withColumnRenamed("node", "rep"), "rep", "left").select("id", "rep", F.coalesce("component", "rep").alias("class"))
+        classes = written(components(links.unionByName(rest)), "dart-components")
+    placed = own.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("id", "rep", F.coalesce("component", "rep").alias("class"))
     alone = found.where("id is null or set is null").select("id", F.col("id").alias("rep"), F.col("id").alias("class"))
     return placed.unionByName(alone).select(F.col("id").alias(id_col), F.col("rep").alias("rep_id"), F.col("class").alias("class_id"))
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import rows_of, to_batches
+from .common import in_batches, rows_of, to_batches
 
 #: The learned sample: about so many texts of each language, chosen by the hash of their ids, so many characters of
 #: each, and so many bytes of dictionary. With at most MAX_LANGUAGES languages this bounds what the driver collects
@@ -133,4 +133,4 @@ def identify(
             yield from to_batches(judged(), schema, weigh=place if place < len(kept) else None)
 
     out = T.StructType([*(df.schema[c] for c in kept), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("margin", T.DoubleType()), T.StructField("accepted", T.BooleanType())])
-    return df.select(*sent).mapInArrow(run, out)
+    return df.select(*sent).transform(in_batches, run, out)

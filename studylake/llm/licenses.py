@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import rows_of, to_batches
+from .common import in_batches, rows_of, to_batches
 
 # Words that make a stretch a candidate, in lower case.
 TRIGGERS = ("licens", "licenc", "copyright", "permission", "redistribut", "warrant", "public domain", "spdx")
@@ -151,4 +151,4 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", template
             yield from to_batches(((i, [dict(zip((n for n, _, _ in fields), hit)) for hit in find(text, templates)]) for i, text in rows_of([batch])), schema)
 
     out = T.StructType([df.schema[id_col], T.StructField("found", T.ArrayType(T.StructType([T.StructField(n, t) for n, _, t in fields])))])
-    return df.select(id_col, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, out)
+    return df.select(id_col, F.col(text_col).cast("string").alias("__text")).transform(in_batches, run, out)

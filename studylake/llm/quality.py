@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import rows_of, to_batches
+from .common import in_batches, rows_of, to_batches
 
 #: Bound of the sample that the order is learned from: texts, and characters of each.
 SAMPLE_TEXTS, SAMPLE_CHARS = 400, 20_000
@@ -151,4 +151,4 @@ def score(
         *(T.StructField(c, T.LongType()) for c in counts),
         T.StructField("base_failed", T.BooleanType()), T.StructField("kept", T.BooleanType()), T.StructField("rejected_by", T.StringType()),
     ])
-    return df.select(id_col, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, out)
+    return df.select(id_col, F.col(text_col).cast("string").alias("__text")).transform(in_batches, run, out)

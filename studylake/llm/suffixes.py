@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import rows_of, to_batches, written
+from .common import in_batches, rows_of, to_batches, written
 
 #: Length of the strings that must not repeat, and of the anchors; a string holds WINDOWS anchors.
 LENGTH, ANCHOR = 100, 32
@@ -129,7 +129,7 @@ def anchors(df: DataFrame, id_col: str, text_col: str, with_context: bool) -> Da
                     names=["hash", "context", "id", "at"],
                 )
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "hash long, context long, id long, at long" if with_context else "hash long")
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).transform(in_batches, run, "hash long, context long, id long, at long" if with_context else "hash long")
 
 
 class _Side:
@@ -275,7 +275,7 @@ def _sort_groups(contexts: DataFrame) -> DataFrame:
             yield flush(rows)
 
     ordered = contexts.select("hash", "id", "at", "left", "right").repartition("hash").sortWithinPartitions("hash", "id", "at")
-    return ordered.mapInArrow(run, "id long, start long, end long")
+    return ordered.transform(in_batches, run, "id long, start long, end long")
 
 
 def _group_strings(contexts: DataFrame) -> DataFrame:
@@ -296,7 +296,7 @@ def _group_strings(contexts: DataFrame) -> DataFrame:
         yield from to_batches(strings(), schema)
 
     # several anchors of one hash may stand in the same string, so strings are told apart by where they start
-    strings = contexts.select("hash", "id", "at", "left", "right").mapInArrow(run, "id long, at long, start long, digest binary")
+    strings = contexts.select("hash", "id", "at", "left", "right").transform(in_batches, run, "id long, at long, start long, digest binary")
     first = strings.groupBy("digest").agg(F.min(F.struct("id", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
     again = strings.join(first, "digest").where((F.col("id") != F.col("first.id")) | (F.col("start") != F.col("first.start")))
     return again.groupBy("id", "at").agg(F.min("start").alias("start"), F.max("start").alias("last")).select("id", "start", (F.col("last") + LENGTH).alias("end"))
@@ -319,7 +319,7 @@ def _contexts(df: DataFrame, places: DataFrame, id_col: str, text_col: str) -> D
 
         yield from to_batches(cut(), schema)
 
-    return texts.mapInArrow(run, "hash long, kinds long, id long, at long, left binary, right binary").dropDuplicates(["hash", "id", "at"])
+    return texts.transform(in_batches, run, "hash long, kinds long, id long, at long, left binary, right binary").dropDuplicates(["hash", "id", "at"])
 
 
 def repeated_stretches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -382,4 +382,4 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         T.StructField("given", df.schema[id_col].dataType), T.StructField("n_bytes", T.LongType()),
         T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("kept", T.BinaryType()),
     ])
-    return joined.mapInArrow(run, out).withColumnRenamed("given", id_col)
+    return joined.transform(in_batches, run, out).withColumnRenamed("given", id_col)
