@@ -280,32 +280,48 @@ def reported_quality(reliability: Column, provenance: Column) -> Column:
 
 
 def draft_points(answer: Column) -> Column:
-    """Up to four sentences of an answer as rubric points: what follows a list of sources and all citations go."""
-    body = F.regexp_replace(F.regexp_replace(answer, r"(?is)\n\s*(?:sources|citations)\s*:.*$", ""), r"\s*\[E\d+\]", "")
-    sentences = F.filter(F.transform(F.split(body, r"(?<=[.!?])\s+|\n+"), lambda s: F.trim(s)), lambda s: F.length(s) >= 25)
-    whole = F.array(F.substring(F.trim(body), 1, 360))
-    return F.when(F.size(sentences) > 0, F.slice(F.transform(sentences, lambda s: F.substring(s, 1, 360)), 1, 4)).when(F.trim(body) != "", whole).otherwise(F.array().cast("array<string>"))
+    """Up to four sentences of an answer as rubric points, without its list of sources and its citations of evidence
+    and questions; the whole, if no sentence is long enough. Long points end in an ellipsis."""
+    body = F.regexp_replace(F.regexp_replace(answer, r"(?is)\n\s*(?:citations?|sources?|evidence)\s*:.*$", ""), r"\[(?:E|Q)\d+\]", "")
 
+    def flat(s: Column) -> Column:
+        return F.regexp_replace(s, r"\s+", " ")
 
-def cited_ids(text: Column) -> Column:
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"\[E(\d+)\]"), F.lit(1)), lambda x: x.try_cast("bigint")))
+    def cut(s: Column) -> Column:
+        return F.when(F.length(s) <= 360, s).otherwise(F.concat(F.rtrim(F.substring(s, 1, 357)), F.lit("…")))
+
+    sentences = F.transform(F.split(body, r"(?<=[.!?])\s+|\n+"), lambda s: F.btrim(flat(s), F.lit(" -•\t")))
+    long = F.filter(sentences, lambda s: F.length(s) >= 25)
+    whole = F.btrim(flat(body))
+    points = F.when(F.size(long) > 0, F.slice(F.transform(long, cut), 1, 4)).when(whole != "", F.array(cut(whole)))
+    return F.coalesce(points, F.array().cast("array<string>"))
+
+
+#: A citation of evidence or of a note on a page.
+CITATION = r"\[([EN]\d+(?:_\d+)?)\]"
+
+
+def cited(text: Column) -> Column:
+    """What a text cites: E<unit> and N<document>_<page>, once each."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(CITATION), F.lit(1)))
 
 
 def citations_valid(text: Column, allowed: Column) -> Column:
-    """At least one citation, and none that is not allowed."""
-    return (F.size(cited_ids(text)) > 0) & (F.size(F.array_except(cited_ids(text), allowed)) == 0)
+    """At least one citation, and none that is not in `allowed` (names like E5 or N3_2)."""
+    return (F.size(cited(text)) > 0) & (F.size(F.array_except(cited(text), allowed)) == 0)
 
 
 def repair_citations(text: Column, allowed: Column) -> Column:
-    """Unknown citations go; if none is left the first three allowed ones are added.
+    """Citations that are not allowed go; if none is left the first three allowed ones follow on a line of their own.
 
     The text is cut at its citations; each comes back if it is allowed.
     """
-    gaps, ids = F.split(text, r"\s*\[E\d+\]", -1), F.regexp_extract_all(text, F.lit(r"(\s*)\[E(\d+)\]"), F.lit(2))
-    marks = F.transform(ids, lambda x: F.when(F.array_contains(allowed, x.try_cast("bigint")), F.concat(F.lit(" [E"), x, F.lit("]"))).otherwise(""))
-    kept = F.trim(F.array_join(F.zip_with(gaps, marks, lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), ""))
-    more = F.array_join(F.transform(F.slice(allowed, 1, 3), lambda x: F.concat(F.lit("[E"), x.cast("string"), F.lit("]"))), " ")
-    return F.when(F.exists(marks, lambda m: m != "") | (F.size(allowed) == 0), kept).otherwise(F.concat_ws(" ", kept, more))
+    gaps, names = F.split(text, CITATION, -1), F.regexp_extract_all(text, F.lit(CITATION), F.lit(1))
+    marks = F.transform(names, lambda x: F.when(F.array_contains(allowed, x), F.concat(F.lit("["), x, F.lit("]"))).otherwise(""))
+    joined = F.array_join(F.zip_with(gaps, marks, lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")
+    kept = F.regexp_replace(joined, r"^\s+|\s+$", "")
+    more = F.array_join(F.transform(F.slice(allowed, 1, 3), lambda x: F.concat(F.lit("["), x, F.lit("]"))), " ")
+    return F.when((kept == "") | F.exists(marks, lambda m: m != ""), kept).otherwise(F.concat(kept, F.lit("\n\nEvidence: "), more))
 
 
 def lenient_json(text: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..shared import checkpointed
 
 # Allowed values and defaults of questions, ranks of types, tags that are too general for project evidence.
 DIFFICULTIES, PRIORITIES = ("easy", "medium", "hard"), ("A", "B", "C")
@@ -64,21 +65,32 @@ def concept_key(q: DataFrame) -> Column:
 
 def preview(new: DataFrame, stored: DataFrame) -> DataFrame:
     """G1: rows of a file (subject_id, line, external_id, question) with why they are rejected: an id or else a text that is
-    stored, or that an earlier accepted row has.
+    stored, or that an earlier accepted row has. A rejected row marks neither its id nor its text as seen.
 
-    Whether a row counts as earlier hangs on its own verdict; rows that fall by a stored id or by the file's first row
-    with their id are out of the comparison of texts.
+    Decided in rounds: a row that comes first with its id and its text among those still open is accepted, and open rows
+    that share either with it are rejected. A round settles at least the first open row of every knot of shared ids and texts.
     """
     key = X.question_key(F.col("question"))
     ids = stored.where("external_id IS NOT NULL").select("subject_id", "external_id").distinct().withColumn("stored_id", F.lit(True))
     texts = stored.select("subject_id", X.question_key(F.col("question_text")).alias("key")).distinct().withColumn("stored_text", F.lit(True))
     rows = new.withColumn("key", key).join(ids, ["subject_id", "external_id"], "left").join(texts, ["subject_id", "key"], "left")
-    again = F.row_number().over(Window.partitionBy("subject_id", "external_id").orderBy("line")) > 1
-    by_id = F.col("external_id").isNotNull() & (F.coalesce("stored_id", F.lit(False)) | again)
-    rows = rows.withColumn("by_id", by_id)
-    repeated = F.row_number().over(Window.partitionBy("subject_id", "key", "by_id").orderBy("line")) > 1
-    by_text = ~F.col("by_id") & (F.coalesce("stored_text", F.lit(False)) | repeated)
-    reason = F.when(F.col("by_id"), "duplicate external ID").when(by_text, "duplicate question text")
+    rows = checkpointed(rows.withColumn("stored_id", F.coalesce("stored_id", F.lit(False))).withColumn("stored_text", F.coalesce("stored_text", F.lit(False))))
+    left = rows.where("NOT stored_id AND NOT stored_text").select("subject_id", "line", "external_id", "key")
+    accepted = left.limit(0)
+    while not left.isEmpty():
+        of_text = F.min("line").over(Window.partitionBy("subject_id", "key"))
+        of_id = F.when(F.col("external_id").isNotNull(), F.min("line").over(Window.partitionBy("subject_id", "external_id")))
+        marked = left.withColumn("first", (F.col("line") == of_text) & (F.col("line") == F.coalesce(of_id, F.col("line"))))
+        chosen = checkpointed(marked.where("first").drop("first"))
+        accepted = accepted.unionByName(chosen)
+        rest = left.join(chosen.select("subject_id", "key"), ["subject_id", "key"], "left_anti")
+        left = checkpointed(rest.join(chosen.select("subject_id", "external_id"), ["subject_id", "external_id"], "left_anti"))
+    seen_ids = accepted.where("external_id IS NOT NULL").select("subject_id", "external_id", F.col("line").alias("id_line"))
+    seen_texts = accepted.select("subject_id", "key", F.col("line").alias("text_line"))
+    rows = rows.join(seen_ids, ["subject_id", "external_id"], "left").join(seen_texts, ["subject_id", "key"], "left")
+    by_id = F.col("stored_id") | F.coalesce(F.col("id_line") < F.col("line"), F.lit(False))
+    by_text = F.col("stored_text") | F.coalesce(F.col("text_line") < F.col("line"), F.lit(False))
+    reason = F.when(by_id, "duplicate external ID").when(by_text, "duplicate question text")
     return rows.select("subject_id", "line", "external_id", "question", reason.alias("reason"))
 
 

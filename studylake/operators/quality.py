@@ -12,7 +12,15 @@ from ..functions import text as X
 # Thresholds of the gate, what quarantines a unit, and what bars it from acceptance in a batch.
 QUARANTINE_BELOW, ACCEPT_FROM, BATCH_ACCEPT_FROM = 0.45, 0.9, 0.90
 QUARANTINE = ("meaningless_fragment", "corrupted_table", "broken_formula", "navigation_boilerplate", "course_administration", "outline_without_explanation")
-NOT_IN_BATCH = (*QUARANTINE, "no_academic_information")
+# Problems that a proposal does not lift, and those that ask for a review of each unit.
+HARD = ("meaningless_fragment", "broken_formula", "corrupted_table", "possible_diagram_or_broken_reading_order", "heading_without_explanation", "low_information_fragment")
+NOT_IN_BATCH = (
+    "meaningless_fragment", "corrupted_table", "broken_formula", "source_traceability_failure",
+    "possible_diagram_or_broken_reading_order", "heading_without_explanation", "low_information_fragment",
+)
+FURNITURE, SUPERSEDED = "repeated_header_or_footer", "superseded_extraction"
+# Warnings on a document's coverage by the problem that gives rise to them.
+WARNINGS = {"original_visual_inspection_required": "visual_fragment", "broken_tables_present": "corrupted_table", "broken_formulas_present": "broken_formula"}
 
 
 def gate(units: DataFrame, repeated: DataFrame, unicode: Callable[[Column], Column] = X.nfkc) -> DataFrame:
@@ -71,15 +79,37 @@ def gate(units: DataFrame, repeated: DataFrame, unicode: Callable[[Column], Colu
     )
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """`df` behind an Arrow pass that Spark pushes no filter through: a filter on the gate's columns would have the gate's
+    expressions spelled out in it, each many times. Only for few, narrow columns."""
+    return df.mapInArrow(lambda batches: batches, df.schema)
+
+
+def current(units: DataFrame) -> DataFrame:
+    """Units that no later extraction has superseded; all where there are no problems to tell."""
+    if "problems" not in units.columns:
+        return units
+    return settled(units).where(~F.array_contains(F.coalesce("problems", F.array().cast("array<string>")), SUPERSEDED))
+
+
 def merge_proposals(units: DataFrame, proposals: DataFrame) -> DataFrame:
-    """Proposed cleanups (doc_id, source_start, content, status, problems) over the gate's rows: provenance stays,
-    rejected furniture stays out, hard problems keep the gate's status, problems add up."""
+    """Proposed cleanups (doc_id, source_start, content, status, problems) over the gate's rows.
+
+    A proposal takes the place of content, status and problems. Units with removed page furniture or a hard problem keep
+    content and status, and the proposal's problems are added to the furniture or to all the unit's own. Provenance stays.
+    """
     p = proposals.select("doc_id", "source_start", F.col("content").alias("p_content"), F.col("status").alias("p_status"), F.col("problems").alias("p_problems"))
-    fixed = (F.col("status") == "rejected") | F.arrays_overlap("problems", F.array(*map(F.lit, QUARANTINE)))
+    furniture = F.array_contains("problems", FURNITURE)
+    hard = F.arrays_overlap("problems", F.array(*map(F.lit, HARD)))
     use = F.col("p_status").isNotNull()
+    free = use & ~furniture & ~hard
+    problems = (
+        F.when(~use, F.col("problems")).when(hard, F.array_sort(F.array_union("problems", "p_problems")))
+        .when(furniture, F.array_sort(F.array_union("p_problems", F.array(F.lit(FURNITURE))))).otherwise(F.col("p_problems"))
+    )
     return units.join(p, ["doc_id", "source_start"], "left").select(
-        "doc_id", "source_start", "source_end", F.when(use & (F.col("status") != "rejected") & (F.trim("p_content") != ""), F.col("p_content")).otherwise(F.col("content")).alias("content"),
-        F.when(use & ~fixed, F.col("p_status")).otherwise(F.col("status")).alias("status"), F.when(use, F.array_sort(F.array_union("problems", "p_problems"))).otherwise(F.col("problems")).alias("problems"), "source_hash",
+        "doc_id", "source_start", "source_end", F.when(free, F.col("p_content")).otherwise(F.col("content")).alias("content"),
+        F.when(free, F.col("p_status")).otherwise(F.col("status")).alias("status"), problems.alias("problems"), "source_hash",
     )
 
 
@@ -109,10 +139,11 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], version: str) -> Dat
 
 
 def document_rollup(units: DataFrame) -> DataFrame:
-    """Units of each document by status; accepted if any is and none waits, in training if any is accepted."""
-    counts = units.groupBy("document_id").agg(*(F.count_if(F.col("review_status") == s).alias(s) for s in ("accepted", "needs_review", "quarantined", "rejected")))
-    pending = F.col("needs_review") + F.col("quarantined")
-    return counts.withColumn("quality", F.when((F.col("accepted") > 0) & (pending == 0), "accepted").when(F.col("accepted") > 0, "needs_review").otherwise("quarantined")).withColumn("training", F.col("accepted") > 0)
+    """Current units of each document by status; accepted if any is and none needs review, else to review; in
+    training if any is accepted."""
+    counts = current(units).groupBy("document_id").agg(*(F.count_if(F.col("review_status") == s).alias(s) for s in ("accepted", "needs_review", "quarantined", "rejected")))
+    done = (F.col("accepted") > 0) & (F.col("needs_review") == 0)
+    return counts.withColumn("quality", F.when(done, "accepted").otherwise("needs_review")).withColumn("training", F.col("accepted") > 0)
 
 
 def document_list(units: DataFrame, questions: DataFrame) -> DataFrame:
@@ -127,40 +158,51 @@ def document_list(units: DataFrame, questions: DataFrame) -> DataFrame:
 
 
 def quality_report(gated: DataFrame) -> DataFrame:
-    """C14: status and issue counts of each document in long form, with its share of accepted units."""
-    # dealt by document first: what is counted is then a plain column, and the gate runs once for each unit
-    rows = gated.select("doc_id", "status", "problems").repartition("doc_id")
+    """C14: status and issue counts of the current units of each document in long form."""
+    rows = current(gated.select("doc_id", "status", "problems"))
     names = F.concat(F.array(F.concat(F.lit("status:"), "status")), F.transform("problems", lambda p: F.concat(F.lit("issue:"), p)))
     each = rows.select("doc_id", F.explode(names).alias("name"))
     return each.groupBy("doc_id", F.split_part("name", F.lit(":"), F.lit(1)).alias("what"), F.split_part("name", F.lit(":"), F.lit(2)).alias("name")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def coverage_warnings(gated: DataFrame) -> DataFrame:
-    """C14: what is thin about a document."""
-    rows = gated.groupBy("doc_id").agg(F.count(F.lit(1)).alias("units"), F.count_if(F.col("status") == "accepted").alias("accepted"), F.count_if(F.col("status") == "quarantined").alias("quarantined"), F.count_if(F.col("status") == "needs_review").alias("review"))
-    warnings = F.array_compact(F.array(
-        F.when(F.col("accepted") == 0, "no_accepted_units"), F.when(F.col("quarantined") * 2 > F.col("units"), "mostly_quarantined"),
-        F.when(F.col("review") > F.col("accepted"), "more_review_than_accepted"), F.when(F.col("units") < 3, "few_units"),
-    ))
-    return rows.select("doc_id", F.array_join(warnings, ",").alias("warnings"))
+def unit_detail(gated: DataFrame) -> DataFrame:
+    """C14: the current units behind a document's report, with their place, status, confidence and problems."""
+    return current(gated.select("doc_id", "source_start", "source_end", "status", "confidence", "problems"))
 
 
-def review_queue(units: DataFrame, document: int | None = None, topic: int | None = None, most_confidence: float | None = None, status: str | None = None) -> DataFrame:
-    """Units to review by the filters given, the least confident first."""
-    rows = units.where(F.col("review_status") != "accepted")
+def coverage_warnings(gated: DataFrame) -> DataFrame:
+    """C14: what is missing or broken in the current units of a document."""
+    issues = [F.count_if(F.array_contains("problems", problem)).alias(warning) for warning, problem in WARNINGS.items()]
+    rows = current(gated.select("doc_id", "status", "problems")).groupBy("doc_id").agg(F.count_if(F.col("status") == "accepted").alias("accepted"), *issues)
+    warnings = [F.when(F.col("accepted") == 0, "no_accepted_evidence"), *(F.when(F.col(w) > 0, w) for w in WARNINGS)]
+    return rows.select("doc_id", F.array_join(F.array_compact(F.array(*warnings)), ",").alias("warnings"))
+
+
+def review_queue(
+    units: DataFrame, document: int | None = None, topic: int | None = None, most_confidence: float | None = None,
+    status: str | None = None, issue: str | None = None, suspicious_only: bool = False,
+) -> DataFrame:
+    """Current units by the filters given, the least confident first: units of any status unless only suspicious
+    ones are asked for; `issue` is a part of a problem's name."""
+    rows = current(units)
+    if suspicious_only:
+        rows = rows.where(F.col("review_status") != "accepted")
     for column, value in (("document_id", document), ("topic_id", topic), ("review_status", status)):
         if value is not None:
             rows = rows.where(F.col(column) == value)
     if most_confidence is not None:
         rows = rows.where(F.col("confidence") <= most_confidence)
-    return rows.orderBy("confidence", "id")
+    if issue:
+        rows = rows.where(F.exists("problems", lambda p: F.contains(p, F.lit(issue))))
+    return rows.orderBy("confidence", "document_id", "source_start")
 
 
 def batch_acceptance(gated: DataFrame) -> DataFrame:
-    """C17: whether units may be accepted together, and why not."""
+    """C17: whether current units that wait may be accepted together, and why not."""
     barred = F.array_intersect("problems", F.array(*map(F.lit, NOT_IN_BATCH)))
     reason = F.when(F.col("confidence") < BATCH_ACCEPT_FROM, "low_confidence").when(F.size(barred) > 0, F.concat(F.lit("problem:"), F.array_min(barred)))
-    return gated.select("doc_id", "source_start", reason.isNull().alias("accepted"), reason.alias("reason"))
+    rows = current(gated.select("doc_id", "source_start", "status", "confidence", "problems"))
+    return rows.where("status <> 'accepted'").select("doc_id", "source_start", reason.isNull().alias("accepted"), reason.alias("reason"))
 
 
 def fold_reviews(units: DataFrame, events: DataFrame) -> DataFrame:

@@ -16,8 +16,9 @@ SEMANTIC, LEXICAL, KEEP_FROM = 0.82, 0.18, 0.28
 RESCUE_BASE, RESCUE_SLOPE, RESCUE_OVERLAP = 0.35, 0.35, 2
 RELEVANT_FROM, EVIDENCE_LIMIT = 0.12, 5
 NOTE_LIMIT, NOTE_TOP, NOTE_CHARS = 200, 5, 2000
-#: Queries are compared in blocks of so many; a block's matrix is what a task holds.
-QUERY_BLOCK = 512
+# Words that a rescue does not go by, and those that no note is found by.
+RESCUE_STOP = ("what", "which", "where", "when", "why", "how", "are", "and", "the", "they", "give", "example", "explain")
+NOTE_STOP = ("the", "and", "what", "how", "does", "die", "der", "das", "und", "wie", "was")
 
 
 def corpus(units: DataFrame) -> DataFrame:
@@ -90,10 +91,24 @@ def hybrid(candidates: DataFrame, shared: DataFrame, queries: DataFrame, units:
     return signed.withColumn("k", F.row_number().over(place)).where("k = 1").select("query_id", "unit_id", "semantic", "score")
 
 
-def rescue(shared: DataFrame, kept: DataFrame, queries: DataFrame) -> DataFrame:
-    """E5: units that are no candidates but share two terms and more; they are not told apart by content."""
-    size = queries.select("query_id", F.greatest(F.lit(1), F.size(X.long_tokens(F.col("text")))).alias("terms"))
-    rows = shared.where(F.col("shared") >= RESCUE_OVERLAP).join(kept.select("query_id", "unit_id"), ["query_id", "unit_id"], "left_anti").join(size, "query_id")
+def meaningful(text: Column) -> Column:
+    """The tokens of a query that a rescue goes by."""
+    return F.array_except(X.long_tokens(text), F.array(*map(F.lit, RESCUE_STOP)))
+
+
+def rescue(queries: DataFrame, units: DataFrame, kept: DataFrame) -> DataFrame:
+    """E5: units that are no candidates but share two meaningful tokens with the query, or one that both write in capitals.
+
+    The lexical score is the share of the query's meaningful tokens. Rescued units are not told apart by content.
+    """
+    capitals = F.upper("token")
+    q = queries.select("query_id", "subject_id", "text", F.explode(meaningful(F.col("text"))).alias("token"))
+    q = q.select("query_id", "subject_id", "token", F.contains("text", capitals).alias("capital_q"))
+    u = units.select(F.col("id").alias("unit_id"), "subject_id", "content", F.explode(X.long_tokens(F.col("content"))).alias("token"))
+    u = u.select("unit_id", "subject_id", "token", F.contains("content", capitals).alias("capital_u"))
+    shared = q.join(u, ["subject_id", "token"]).groupBy("query_id", "unit_id").agg(F.count(F.lit(1)).alias("shared"), F.bool_or(F.col("capital_q") & F.col("capital_u")).alias("acronym"))
+    size = queries.select("query_id", F.greatest(F.lit(1), F.size(meaningful(F.col("text")))).alias("terms"))
+    rows = shared.where((F.col("shared") >= RESCUE_OVERLAP) | F.col("acronym")).join(kept.select("query_id", "unit_id"), ["query_id", "unit_id"], "left_anti").join(size, "query_id")
     score = F.greatest(F.lit(KEEP_FROM), RESCUE_BASE + RESCUE_SLOPE * F.col("shared") / F.col("terms"))
     return rows.select("query_id", "unit_id", F.lit(None).cast("double").alias("semantic"), score.alias("score"))
 
@@ -117,16 +132,22 @@ def still_active(hits: DataFrame, indexed: DataFrame, units: DataFrame) -> DataF
     return hits.join(then, "unit_id").join(now, ["unit_id", "hash"], "left_semi").drop("hash")
 
 
+def note_terms(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{3,}"), F.lit(0)))
+
+
 def notes(queries: DataFrame, personal: DataFrame) -> DataFrame:
-    """Up to five of the latest notes of a subject (note_id, subject_id, document_id, page, content) that share a term."""
-    latest = Window.partitionBy("subject_id").orderBy(F.desc("note_id"))
-    recent = personal.where(F.trim("content") != "").withColumn("k", F.row_number().over(latest)).where(F.col("k") <= NOTE_LIMIT)
-    q = queries.select("query_id", "subject_id", F.explode(F.array_except(X.long_tokens(F.col("text")), F.array(*map(F.lit, X.STOP_WORDS)))).alias("token"))
-    n = recent.select("note_id", "subject_id", F.explode(X.long_tokens(F.col("content"))).alias("token"))
-    shared = q.join(n, ["subject_id", "token"]).groupBy("query_id", "note_id").agg(F.count(F.lit(1)).alias("shared"))
-    place = Window.partitionBy("query_id").orderBy(F.desc("shared"), "note_id")
-    top = shared.withColumn("place", F.row_number().over(place)).where(F.col("place") <= NOTE_TOP)
-    return top.join(recent.select("note_id", F.concat(F.lit("N"), F.col("document_id").cast("string"), F.lit("_"), F.col("page").cast("string")).alias("source"), F.substring("content", 1, NOTE_CHARS).alias("content")), "note_id")
+    """Up to five of the last updated notes of a subject (note_id, subject_id, document_id, page, content, updated_at)
+    that share a term with the query, those with the most terms first, then the latest."""
+    latest = Window.partitionBy("subject_id").orderBy(F.desc("updated_at"), F.desc("note_id"))
+    recent = personal.where(F.trim("content") != "").withColumn("age", F.row_number().over(latest)).where(F.col("age") <= NOTE_LIMIT)
+    q = queries.select("query_id", "subject_id", F.explode(F.array_except(note_terms(F.col("text")), F.array(*map(F.lit, NOTE_STOP)))).alias("token"))
+    n = recent.select("note_id", "age", "subject_id", F.explode(note_terms(F.col("content"))).alias("token"))
+    shared = q.join(n, ["subject_id", "token"]).groupBy("query_id", "note_id", "age").agg(F.count(F.lit(1)).alias("shared"))
+    place = Window.partitionBy("query_id").orderBy(F.desc("shared"), "age")
+    top = shared.withColumn("place", F.row_number().over(place)).where(F.col("place") <= NOTE_TOP).drop("age")
+    source = F.concat(F.lit("N"), F.col("document_id").cast("string"), F.lit("_"), F.col("page").cast("string"))
+    return top.join(recent.select("note_id", source.alias("source"), F.substring("content", 1, NOTE_CHARS).alias("content")), "note_id")
 
 
 def query_texts(turns: DataFrame) -> DataFrame:

@@ -96,10 +96,11 @@ def section_titles(lines: DataFrame) -> DataFrame:
 
 
 def extraction_summary(lines: DataFrame) -> DataFrame:
-    """Pages, empty pages and state of each document."""
+    """How many pages of each document were processed, which are empty, and whether any text came out."""
     pages = lines.groupBy("doc_id", "page_number").agg(F.count_if(F.trim("line") != "").alias("n"))
-    state = F.when(F.col("empty_pages") == F.col("pages"), "empty").when(F.col("empty_pages") > 0, "partial").otherwise("complete")
-    return pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pages"), F.count_if(F.col("n") == 0).alias("empty_pages")).withColumn("state", state)
+    empty = F.array_sort(F.collect_list(F.when(F.col("n") == 0, F.col("page_number"))))
+    rows = pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pages"), empty.alias("empty_pages"))
+    return rows.withColumn("state", F.when(F.size("empty_pages") == F.col("pages"), "no_extractable_text").otherwise("text_extracted"))
 
 
 def work_batches(units: DataFrame, paged: Column) -> DataFrame:

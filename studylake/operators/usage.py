@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as X
+
 
 def _first(df: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
     return df.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("place") <= n)
@@ -68,17 +70,23 @@ def history(requests: DataFrame, cards: DataFrame, cited: DataFrame, text: str)
 
 
 def review_cards(requests: DataFrame, active_units: DataFrame, existing: DataFrame) -> DataFrame:
-    """M8: a review card for each request with a non-empty answer that has none, or whose card still needs review.
+    """M8: a review card for each request of the type `ask` with a non-empty question that has none, or whose card still
+    needs review.
 
-    Evidence is what the answer cites and is accepted in the subject; quality 0.7 with evidence, 0.25 without.
+    Evidence is what the answer cites and is accepted in the subject; quality 0.7 with evidence, 0.25 without. With
+    evidence the answer's sentences are drafted as rubric.
     """
     settled = existing.where("status <> 'needs_review'").select(F.col("request_id").alias("id"))
-    fresh = requests.where(F.length(F.trim("output_text")) > 0).join(settled, "id", "left_anti")
+    fresh = requests.where((F.col("request_type") == "ask") & (F.length(F.trim("input_text")) > 0)).join(settled, "id", "left_anti")
     cites = fresh.select("id", "subject_id", F.explode(F.array_distinct(F.regexp_extract_all("output_text", F.lit(r"\[E(\d+)\]"), F.lit(1)))).alias("c")).select("id", "subject_id", F.col("c").cast("bigint").alias("unit_id"))
     known = cites.join(active_units.select(F.col("id").alias("unit_id"), "subject_id"), ["unit_id", "subject_id"])
     evidence = known.groupBy("id").agg(F.array_sort(F.collect_set("unit_id")).alias("evidence_ids"))
     cards = fresh.join(evidence, "id", "left").withColumn("evidence_ids", F.coalesce("evidence_ids", F.array().cast("array<bigint>")))
-    return cards.select(F.col("id").alias("request_id"), "subject_id", "evidence_ids", F.when(F.size("evidence_ids") > 0, 0.7).otherwise(0.25).alias("quality_score"), F.lit("needs_review").alias("status"))
+    grounded = F.size("evidence_ids") > 0
+    return cards.select(
+        F.col("id").alias("request_id"), "subject_id", "evidence_ids", F.when(grounded, X.draft_points(F.col("output_text"))).otherwise(F.array().cast("array<string>")).alias("rubric"),
+        F.when(grounded, 0.7).otherwise(0.25).alias("quality_score"), F.lit("needs_review").alias("status"),
+    )
 
 
 def citation_links(markers: DataFrame, units: DataFrame) -> DataFrame:
@@ -89,12 +97,17 @@ def citation_links(markers: DataFrame, units: DataFrame) -> DataFrame:
 
 
 def inference_metrics(metrics: DataFrame, n: int = 500) -> DataFrame:
-    """Means over the last n calls that were not cached, and the share of cached ones in percent."""
+    """Means over those of the last n calls that were not cached, the share of cached ones in percent, and the model
+    of the last call. What a call does not tell counts as zero."""
     last = metrics.orderBy(F.desc("created_at"), F.desc("id")).limit(n)
-    own = ~F.col("cached")
+
+    def mean(name: str) -> Column:
+        return F.coalesce(F.avg(F.when(~F.col("cached"), F.coalesce(F.col(name), F.lit(0)))), F.lit(0.0))
+
     return last.agg(
-        F.count(F.lit(1)).alias("calls"), F.avg(F.when(own, F.col("latency_ms"))).alias("mean_latency_ms"), F.avg(F.when(own, F.col("prompt_tokens"))).alias("mean_prompt_tokens"),
-        F.sum(F.when(own, F.col("tokens"))).alias("tokens"), (F.count_if("cached") * 100 / F.count(F.lit(1))).alias("cache_hit_percent"),
+        F.count(F.lit(1)).alias("requests"), mean("latency_ms").alias("average_latency_ms"), mean("tokens_per_second").alias("tokens_per_second"),
+        mean("prompt_tokens").alias("average_prompt_tokens"), F.coalesce(F.count_if("cached") * 100 / F.nullif(F.count(F.lit(1)), F.lit(0)), F.lit(0.0)).alias("cache_hit_rate"),
+        F.max_by("model", F.struct("created_at", "id")).alias("current_model"),
     )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import planning as L
 from ..operators import progress as P
 from ..operators import usage as M
+from .quality import points_sql
 from ..sources.adapters import attempts, questions, requests, table, units, with_views
 from .progress import MASTERY, NOW, fact, over_fact
 
@@ -76,7 +77,7 @@ def users(s, d):
 def answered(s, d):
     """Requests whose answers cite the units that their numbers name."""
     marks = F.concat(F.col("output_text"), F.lit(" [E"), (F.col("conv_id") % 500).cast("string"), F.lit("] [E"), (F.col("id") % 700).cast("string"), F.lit("]"))
-    return requests(s, d).withColumn("output_text", marks)
+    return requests(s, d).withColumn("output_text", marks).withColumn("request_type", F.when(F.col("conv_id") % 6 == 5, "quiz").otherwise("ask"))
 
 
 def stored_cards(s, d):
@@ -85,7 +86,7 @@ def stored_cards(s, d):
 
 def calls(s, d):
     rows = table(s, d, "events")
-    return rows.select(F.col("event_id").alias("id"), F.col("ts").alias("created_at"), (F.col("event_type") == "view").alias("cached"), F.floor(F.col("value") * 10).alias("latency_ms"), F.floor("value").alias("prompt_tokens"), F.floor(F.col("value") / 2).alias("tokens"))
+    return rows.select(F.col("event_id").alias("id"), F.col("ts").alias("created_at"), (F.col("event_type") == "view").alias("cached"), F.floor(F.col("value") * 10).alias("latency_ms"), F.floor("value").alias("prompt_tokens"), (F.col("value") / 2).alias("tokens_per_second"), F.concat(F.lit("m"), (F.col("user_id") % 3).cast("string")).alias("model"))
 
 
 QUERIES = {
@@ -108,9 +109,9 @@ QUERIES = {
     "m6_user_activity": lambda s, d: M.user_activity(attempts(s, d), TODAY).withColumn("day", F.col("day").cast("string")),
     "m6_latest_scores": lambda s, d: M.latest_scores(quizzes(s, d)),
     "m7_history": lambda s, d: M.history(requests(s, d), stored_cards(s, d), cited(s, d), "THE"),
-    "m8_review_cards": lambda s, d: M.review_cards(answered(s, d), active_units(s, d), stored_cards(s, d)).withColumn("evidence_ids", F.array_join(F.transform("evidence_ids", lambda x: x.cast("string")), ",")),
+    "m8_review_cards": lambda s, d: M.review_cards(answered(s, d), active_units(s, d), stored_cards(s, d)).withColumn("rubric", F.array_join("rubric", "~")).withColumn("evidence_ids", F.array_join(F.transform("evidence_ids", lambda x: x.cast("string")), ",")),
     "m9_citation_links": lambda s, d: M.citation_links(requests(s, d).select(F.col("id").alias("request_id"), "subject_id", F.concat(F.lit("E"), (F.col("conv_id") % 600).cast("string")).alias("marker")), units(s, d)),
-    "m10_inference_metrics": lambda s, d: M.inference_metrics(calls(s, d)),
+    "m10_inference_metrics": lambda s, d: M.inference_metrics(calls(s, d)).withColumn("tokens_per_second", F.round("tokens_per_second", 9)),
     "m11_quiz_scores": lambda s, d: M.quiz_scores(quizzes(s, d)).withColumn("similarity", F.round("similarity", 9)),
 }
 
@@ -185,12 +186,15 @@ ORACLE_SQL = {
         SELECT user_id, id, score, CAST(row_number() OVER (PARTITION BY user_id ORDER BY p DESC) AS INT) AS place FROM l"""),
     "m7_history": with_views("requests", f"""{_CITED}, {_CARDS} SELECT r.id, r.user_id, r.subject_id, coalesce(c.status, 'none') AS card_status, document_id || ':' || page AS sources FROM requests r LEFT JOIN cards c ON c.request_id = r.id
         JOIN cited s ON s.request_id = r.id WHERE contains(lower(input_text), 'the') OR contains(lower(output_text), 'the')"""),
-    "m8_review_cards": with_views("requests units", f"""{_CARDS}, w AS (SELECT id, subject_id, conv_id % 500 AS a, id % 700 AS b FROM requests WHERE id NOT IN (SELECT request_id FROM cards WHERE status <> 'needs_review')),
+    "m8_review_cards": with_views("requests units", f"""{_CARDS}, w AS (SELECT id, subject_id, conv_id % 500 AS a, id % 700 AS b, output_text || ' [E' || (conv_id % 500) || '] [E' || (id % 700) || ']' AS answer
+            FROM requests WHERE conv_id % 6 <> 5 AND trim(input_text) <> '' AND id NOT IN (SELECT request_id FROM cards WHERE status <> 'needs_review')),
         e AS (SELECT w.id, u.id AS unit_id FROM w JOIN units u ON u.subject_id = w.subject_id AND (u.id = w.a OR u.id = w.b) WHERE u.review_status = 'accepted'),
         g AS (SELECT id, string_agg(unit_id::VARCHAR, ',' ORDER BY unit_id) AS evidence_ids FROM e GROUP BY ALL)
-        SELECT w.id AS request_id, subject_id, coalesce(evidence_ids, '') AS evidence_ids, CASE WHEN evidence_ids IS NULL THEN 0.25 ELSE 0.7 END::DOUBLE AS quality_score, 'needs_review' AS status FROM w LEFT JOIN g USING (id)"""),
+        SELECT w.id AS request_id, subject_id, coalesce(evidence_ids, '') AS evidence_ids, CASE WHEN evidence_ids IS NULL THEN '' ELSE array_to_string({points_sql("answer")}, '~') END AS rubric,
+        CASE WHEN evidence_ids IS NULL THEN 0.25 ELSE 0.7 END::DOUBLE AS quality_score, 'needs_review' AS status FROM w LEFT JOIN g USING (id)"""),
     "m9_citation_links": with_views("requests units", "SELECT r.id AS request_id, r.subject_id, 'E' || (conv_id % 600) AS marker, u.id AS linked_unit_id FROM requests r LEFT JOIN units u ON u.id = conv_id % 600 AND u.subject_id = r.subject_id AND u.review_status = 'accepted'"),
-    "m10_inference_metrics": """WITH l AS (SELECT *, event_type = 'view' AS cached FROM events ORDER BY ts DESC, event_id DESC LIMIT 500) SELECT count(*) AS calls, avg(floor(value * 10)) FILTER (NOT cached) AS mean_latency_ms,
-        avg(floor(value)) FILTER (NOT cached) AS mean_prompt_tokens, CAST(sum(floor(value / 2)) FILTER (NOT cached) AS BIGINT) AS tokens, (count(*) FILTER (cached)) * 100 / count(*) AS cache_hit_percent FROM l""",
+    "m10_inference_metrics": """WITH l AS (SELECT *, event_type = 'view' AS cached FROM events ORDER BY ts DESC, event_id DESC LIMIT 500) SELECT count(*) AS requests, avg(floor(value * 10)) FILTER (NOT cached) AS average_latency_ms,
+        round(avg(value / 2) FILTER (NOT cached), 9) AS tokens_per_second, avg(floor(value)) FILTER (NOT cached) AS average_prompt_tokens, (count(*) FILTER (cached)) * 100 / count(*) AS cache_hit_rate,
+        'm' || (arg_max(user_id, (ts, event_id)) % 3) AS current_model FROM l""",
     "m11_quiz_scores": with_views("attempts", f"{_QUIZ} SELECT session_id, count(*) AS answers, round(avg(similarity), 9) AS similarity, avg(correct::INT) AS correctness FROM quizzes GROUP BY ALL"),
 }

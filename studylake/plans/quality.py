@@ -43,6 +43,10 @@ def _merge(s, d):
     return Q.merge_proposals(rows, proposals).select("doc_id", "source_start", "status", F.array_join("problems", ",").alias("problems"), F.length("content").alias("n"))
 
 
+def _queued(s, d):
+    return gated(s, d).select(F.col("doc_id").alias("document_id"), "source_start", F.col("status").alias("review_status"), "confidence", "problems")
+
+
 def _flags(s, d):
     t = F.col("text")
     return docs(s, d).select("doc_id", X.purpose_problem(t).alias("purpose"), X.table_corrupt(t).alias("corrupt"), X.formula_broken(t).alias("broken"), X.sha256(t).alias("hash"), F.length(X.normalize(t)).alias("n"))
@@ -58,7 +62,7 @@ def _headings(s, d):
 
 
 def _citations(s, d):
-    allowed = F.array(*(F.lit(x).cast("bigint") for x in (1, 2, 3, 5)))
+    allowed = F.array(*map(F.lit, ("E1", "E2", "E3", "E5")))
     rows = requests(s, d).withColumn("answer", F.concat("output_text", F.lit(" [E"), (F.col("conv_id") % 6).cast("string"), F.lit("] and more. [E"), (F.col("turn") % 4).cast("string"), F.lit("]")))
     return rows.select("id", X.citations_valid(F.col("answer"), allowed).alias("valid"), X.repair_citations(F.col("answer"), allowed).alias("repaired"), F.array_join(X.draft_points(F.col("answer")), "~").alias("points"))
 
@@ -83,7 +87,7 @@ QUERIES = {
     "c4_without_counters": lambda s, d: S.without_counters(lines(s, d)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines")),
     "c5_merge_short": lambda s, d: S.merge_short(lines(s, d).where("line <> ''").select("doc_id", "page_number", F.col("line_no").alias("source_start"), F.col("line_no").alias("source_end"), F.col("line").alias("raw_content"))).select("doc_id", "page_number", "source_start", "source_end", F.length("raw_content").alias("n")),
     "c6_section_titles": lambda s, d: S.section_titles(lines(s, d)).select("doc_id", "line_no", "section_title", "page_topic"),
-    "c7_extraction_summary": lambda s, d: S.extraction_summary(lines(s, d)),
+    "c7_extraction_summary": lambda s, d: S.extraction_summary(lines(s, d)).withColumn("empty_pages", F.array_join(F.col("empty_pages").cast("array<string>"), ",")),
     "c8_unit_quality": lambda s, d: gated(s, d).withColumn("problems", F.array_join("problems", ",")),
     "c8_status_by_source": lambda s, d: gated(s, d).join(docs(s, d).select("doc_id", "source"), "doc_id").groupBy("source", "status").agg(F.count(F.lit(1)).alias("units"), F.sum(F.length("content")).alias("chars")),
     "c9_merge_proposals": _merge,
@@ -93,7 +97,9 @@ QUERIES = {
     "c13_document_list": lambda s, d: Q.document_list(units(s, d), questions(s, d)),
     "c14_quality_report": lambda s, d: Q.quality_report(gated(s, d)),
     "c14_coverage_warnings": lambda s, d: Q.coverage_warnings(gated(s, d)),
-    "c15_review_queue": lambda s, d: Q.review_queue(units(s, d), most_confidence=0.96).select("id", "document_id", "topic_id", "review_status", "confidence"),
+    "c14_unit_detail": lambda s, d: Q.unit_detail(gated(s, d)).withColumn("problems", F.array_join("problems", ",")),
+    "c15_review_queue": lambda s, d: Q.review_queue(_queued(s, d), most_confidence=0.96, issue="fragment").withColumn("problems", F.array_join("problems", ",")),
+    "c15_suspicious": lambda s, d: Q.review_queue(_queued(s, d), suspicious_only=True).withColumn("problems", F.array_join("problems", ",")),
     "c17_batch_acceptance": lambda s, d: Q.batch_acceptance(gated(s, d)),
     "c18_fold_reviews": lambda s, d: Q.fold_reviews(units(s, d), _reviews(s, d)),
     "c19_revisions": lambda s, d: Q.revisions(table(s, d, "events").select((F.col("user_id")).alias("source_id"), F.col("event_id").alias("revision"), F.md5("event_type").alias("hash"))),
@@ -147,6 +153,19 @@ def titles_sql(t: str) -> str:
     return f"list_filter({parts}, lambda p, i: list_position(list_transform({parts}, lambda q: lower(q)), lower(p)) = i)"
 
 
+def points_sql(t: str) -> str:
+    """Draft rubric points of an answer. Where a sentence ends a line break is put, so that no look-around is needed."""
+    body = f"regexp_replace(regexp_replace({t}, '(?is)\\n\\s*(citations?|sources?|evidence)\\s*:.*$', ''), '\\[(E|Q)\\d+\\]', '', 'g')"
+    pieces = f"string_split_regex(regexp_replace({body}, '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+')"
+    long = f"list_filter(list_transform({pieces}, lambda p: trim(regexp_replace(p, '\\s+', ' ', 'g'), ' -•' || chr(9))), lambda p: length(p) >= 25)"
+    whole = f"trim(regexp_replace({body}, '\\s+', ' ', 'g'))"
+
+    def cut(p: str) -> str:
+        return f"CASE WHEN length({p}) <= 360 THEN {p} ELSE rtrim(substring({p}, 1, 357)) || '…' END"
+
+    return f"CASE WHEN len({long}) > 0 THEN list_transform({long}, lambda p: {cut('p')})[1:4] WHEN {whole} <> '' THEN [{cut(whole)}] ELSE [] END"
+
+
 PARAGRAPHS = """islands AS (SELECT *, sum(CASE WHEN trim(line) = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS island FROM lines),
     paragraphs AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY line_no) AS raw_content, min(line_no) AS source_start, max(line_no) AS source_end FROM islands WHERE trim(line) <> '' GROUP BY doc_id, island),
     repeats AS (SELECT doc_id, trim(line) AS line, count(*) AS times FROM lines WHERE trim(line) <> '' AND length(trim(line)) <= 120 GROUP BY doc_id, trim(line) HAVING count(*) >= 3)"""
@@ -206,6 +225,10 @@ ORACLE_SQL = {
     "b13_b20_scalars": with_views("questions", """SELECT id, CAST(expected_duration_seconds AS INT) AS page, CAST(least(8, greatest(3, round_even(expected_duration_seconds * 15 / 150, 0))) AS INT) AS target,
         trim(regexp_replace(lower(question_text), '[^\\p{L}\\p{N}_]+', ' ', 'g')) AS question_key, regexp_replace(lower(topic_name || '.x'), '[^a-z0-9]+', '', 'g') AS stem FROM questions"""),
     "b21_reported_quality": with_views("questions", "SELECT id, round(least(1.0, greatest(0.0, [0.95, 0.85, 0.65, 0.5][id % 4 + 1] + [0.04, 0.02, -0.05][id % 3 + 1]))::DOUBLE, 6) AS quality FROM questions"),
+    "b22_b24_citations": with_views("requests", f"""a AS (SELECT id, output_text || ' [E' || (conv_id % 6) || '] and more. [E' || (turn % 4) || ']' AS t FROM requests),
+        n AS (SELECT *, regexp_extract_all(t, '\\[([EN]\\d+(_\\d+)?)\\]', 1) AS names, trim(regexp_replace(t, '\\[(E(0|4|[6-9]|\\d\\d+)|E\\d+_\\d+|N\\d+(_\\d+)?)\\]', '', 'g')) AS kept FROM a)
+        SELECT id, len(names) > 0 AND len(list_filter(names, lambda x: x NOT IN ('E1', 'E2', 'E3', 'E5'))) = 0 AS valid,
+        CASE WHEN kept = '' OR regexp_matches(kept, '\\[E\\d+\\]') THEN kept ELSE kept || chr(10) || chr(10) || 'Evidence: [E1] [E2] [E3]' END AS repaired, array_to_string({points_sql("t")}, '~') AS points FROM n"""),
     "b26_lenient_json": "SELECT event_id, regexp_extract(props, '(?s)\\{.*\\}') AS json FROM events",
     "b29_question_cleanup": with_views("questions", "SELECT id, replace(question_text, ' ?', '?') || '!' AS text, true AS noise FROM questions"),
     "c1_paragraphs": with_views("lines", f"{PARAGRAPHS} SELECT doc_id, raw_content, source_start, source_end FROM paragraphs"),
@@ -219,26 +242,35 @@ ORACLE_SQL = {
         trim(first_value(line) OVER (PARTITION BY doc_id, page_number ORDER BY line_no)) AS f FROM lines WHERE trim(line) <> '')
         SELECT doc_id, line_no, section_title, CASE WHEN len(string_split_regex(f, '\\s+')) BETWEEN 2 AND 10 AND NOT regexp_matches(f, '[.!?=∑√+]') THEN f END AS page_topic FROM l"""),
     "c7_extraction_summary": with_views("lines", """p AS (SELECT doc_id, page_number, count(*) FILTER (trim(line) <> '') AS n FROM lines GROUP BY ALL)
-        SELECT doc_id, count(*) AS pages, count(*) FILTER (n = 0) AS empty_pages, CASE WHEN count(*) FILTER (n = 0) = count(*) THEN 'empty' WHEN count(*) FILTER (n = 0) > 0 THEN 'partial' ELSE 'complete' END AS state FROM p GROUP BY doc_id"""),
+        SELECT doc_id, count(*) AS pages, coalesce(string_agg(page_number::VARCHAR, ',' ORDER BY page_number) FILTER (n = 0), '') AS empty_pages,
+        CASE WHEN count(*) FILTER (n = 0) = count(*) THEN 'no_extractable_text' ELSE 'text_extracted' END AS state FROM p GROUP BY doc_id"""),
     "c8_unit_quality": over_gate("SELECT * REPLACE (array_to_string(problems, ',') AS problems) FROM gated"),
     "c8_status_by_source": over_gate("SELECT source, status, count(*) AS units, CAST(sum(length(content)) AS BIGINT) AS chars FROM gated JOIN documents USING (doc_id) GROUP BY ALL"),
-    "c9_merge_proposals": over_gate(f"""SELECT doc_id, source_start, CASE WHEN doc_id % 3 = 0 AND status <> 'rejected' AND NOT list_has_any(problems, [{", ".join(map(_q, Q.QUARANTINE))}]) THEN 'accepted' ELSE status END AS status,
-        array_to_string(CASE WHEN doc_id % 3 = 0 THEN list_sort(list_append(problems, 'rewritten')) ELSE problems END, ',') AS problems, length(CASE WHEN doc_id % 3 = 0 AND status <> 'rejected' AND trim(content) <> '' THEN content || ' (revised)' ELSE content END) AS n FROM gated"""),
+    "c9_merge_proposals": over_gate(f"""m AS (SELECT *, doc_id % 3 = 0 AS use, list_has_any(problems, [{", ".join(map(_q, Q.HARD))}]) AS hard, list_contains(problems, 'repeated_header_or_footer') AS furniture FROM gated)
+        SELECT doc_id, source_start, CASE WHEN use AND NOT hard AND NOT furniture THEN 'accepted' ELSE status END AS status,
+        array_to_string(CASE WHEN NOT use THEN problems WHEN hard THEN list_sort(list_append(problems, 'rewritten')) WHEN furniture THEN ['repeated_header_or_footer', 'rewritten'] ELSE ['rewritten'] END, ',') AS problems,
+        length(CASE WHEN use AND NOT hard AND NOT furniture THEN content || ' (revised)' ELSE content END) AS n FROM m"""),
     "c10_changes": """WITH o AS (SELECT doc_id, doc_id % 7 = 1 AS x FROM documents WHERE doc_id % 10 <> 1), n AS (SELECT doc_id, doc_id % 7 = 2 AS x FROM documents WHERE doc_id % 10 <> 2)
         SELECT coalesce(o.doc_id, n.doc_id) % 4 AS subject_id, 'doc/' || coalesce(o.doc_id, n.doc_id) AS path, CASE WHEN n.doc_id IS NULL THEN 'gone' WHEN o.doc_id IS NULL THEN 'new' WHEN o.x = n.x THEN 'unchanged' ELSE 'changed' END AS change FROM o FULL JOIN n USING (doc_id)""",
     "c11_supersede": with_views("units", """SELECT id, document_id, source_start, id % 11 = 0 AS authoritative, NOT (document_id % 5 = 0 AND id % 11 <> 0) AS enabled, CASE WHEN document_id % 5 = 0 AND id % 11 <> 0 THEN 'superseded_extraction' ELSE '' END AS problems FROM units
         UNION ALL SELECT id + 100000, document_id, source_start, false, true, '' FROM units WHERE document_id % 5 = 0 AND (document_id, source_start) NOT IN (SELECT (document_id, source_start) FROM units WHERE id % 11 = 0)"""),
-    "c12_document_rollup": with_views("units", """c AS (SELECT document_id, count(*) FILTER (review_status = 'accepted') AS accepted, count(*) FILTER (review_status = 'needs_review') AS needs_review, count(*) FILTER (review_status = 'quarantined') AS quarantined, count(*) FILTER (review_status = 'rejected') AS rejected FROM units GROUP BY ALL)
-        SELECT *, CASE WHEN accepted > 0 AND needs_review + quarantined = 0 THEN 'accepted' WHEN accepted > 0 THEN 'needs_review' ELSE 'quarantined' END AS quality, accepted > 0 AS training FROM c"""),
+    "c12_document_rollup": with_views("units", """c AS (SELECT document_id, count(*) FILTER (review_status = 'accepted') AS accepted, count(*) FILTER (review_status = 'needs_review') AS needs_review,
+        count(*) FILTER (review_status = 'quarantined') AS quarantined, count(*) FILTER (review_status = 'rejected') AS rejected FROM units GROUP BY ALL)
+        SELECT *, CASE WHEN accepted > 0 AND needs_review = 0 THEN 'accepted' ELSE 'needs_review' END AS quality, accepted > 0 AS training FROM c"""),
     "c13_document_list": with_views("units questions", """l AS (SELECT document_id, count(DISTINCT q.id) AS questions FROM units u JOIN questions q ON u.id IN (q.evidence_id_1, q.evidence_id_2) GROUP BY ALL)
         SELECT u.*, coalesce(questions, 0) AS questions FROM (SELECT document_id, count(*) FILTER (review_status = 'accepted') AS accepted, count(*) FILTER (review_status = 'needs_review') AS review, count(*) FILTER (review_status = 'quarantined') AS quarantined,
         count(*) AS total, count(DISTINCT source_start) AS pages FROM units GROUP BY ALL) u LEFT JOIN l USING (document_id)"""),
     "c14_quality_report": over_gate("SELECT doc_id, 'status' AS what, status AS name, count(*) AS n FROM gated GROUP BY ALL UNION ALL SELECT doc_id, 'issue', name, count(*) FROM (SELECT doc_id, unnest(problems) AS name FROM gated) GROUP BY doc_id, name"),
-    "c14_coverage_warnings": over_gate("""c AS (SELECT doc_id, count(*) AS u, count(*) FILTER (status = 'accepted') AS a, count(*) FILTER (status = 'quarantined') AS q, count(*) FILTER (status = 'needs_review') AS r FROM gated GROUP BY ALL)
-        SELECT doc_id, coalesce(array_to_string([CASE WHEN a = 0 THEN 'no_accepted_units' END, CASE WHEN q * 2 > u THEN 'mostly_quarantined' END, CASE WHEN r > a THEN 'more_review_than_accepted' END, CASE WHEN u < 3 THEN 'few_units' END], ','), '') AS warnings FROM c"""),
-    "c15_review_queue": with_views("units", "SELECT id, document_id, topic_id, review_status, confidence FROM units WHERE review_status <> 'accepted' AND confidence <= 0.96"),
+    "c14_coverage_warnings": over_gate("""c AS (SELECT doc_id, count(*) FILTER (status = 'accepted') AS a, count(*) FILTER (list_contains(problems, 'visual_fragment')) AS v,
+        count(*) FILTER (list_contains(problems, 'corrupted_table')) AS t, count(*) FILTER (list_contains(problems, 'broken_formula')) AS f FROM gated GROUP BY ALL)
+        SELECT doc_id, concat_ws(',', CASE WHEN a = 0 THEN 'no_accepted_evidence' END, CASE WHEN v > 0 THEN 'original_visual_inspection_required' END,
+        CASE WHEN t > 0 THEN 'broken_tables_present' END, CASE WHEN f > 0 THEN 'broken_formulas_present' END) AS warnings FROM c"""),
+    "c14_unit_detail": over_gate("SELECT doc_id, source_start, source_end, status, confidence, array_to_string(problems, ',') AS problems FROM gated"),
+    "c15_review_queue": over_gate("""SELECT doc_id AS document_id, source_start, status AS review_status, confidence, array_to_string(problems, ',') AS problems FROM gated
+        WHERE confidence <= 0.96 AND len(list_filter(problems, lambda p: contains(p, 'fragment'))) > 0"""),
+    "c15_suspicious": over_gate("SELECT doc_id AS document_id, source_start, status AS review_status, confidence, array_to_string(problems, ',') AS problems FROM gated WHERE status <> 'accepted'"),
     "c17_batch_acceptance": over_gate(f"""r AS (SELECT doc_id, source_start, CASE WHEN confidence < 0.9 THEN 'low_confidence' WHEN list_has_any(problems, [{", ".join(map(_q, Q.NOT_IN_BATCH))}]) THEN 'problem:' || list_min(list_intersect(problems, [{", ".join(map(_q, Q.NOT_IN_BATCH))}])) END AS reason FROM gated)
-        SELECT doc_id, source_start, reason IS NULL AS accepted, reason FROM r"""),
+        SELECT doc_id, source_start, reason IS NULL AS accepted, reason FROM r JOIN gated USING (doc_id, source_start) WHERE status <> 'accepted'"""),
     "c18_fold_reviews": with_views("units", """SELECT id, coalesce(CASE WHEN l.toxic = 1 THEN 'removed' END, content) AS content, CASE WHEN l.doc_id IS NULL THEN review_status WHEN l.quality = 1 THEN 'accepted' ELSE 'rejected' END AS review_status, l.doc_id IS NOT NULL AS authoritative FROM units LEFT JOIN labels l ON l.doc_id = id"""),
     "c19_revisions": """SELECT user_id AS source_id, event_id AS revision, md5(event_type) AS hash, coalesce(lag(event_type) OVER w <> event_type, true) AS changed, event_id = max(event_id) OVER (PARTITION BY user_id) AS active FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)""",
     "c21_work_batches": with_views("units", "SELECT id, document_id, CAST(CASE WHEN document_id % 2 = 0 THEN dense_rank() OVER (PARTITION BY document_id ORDER BY source_start) - 1 ELSE (row_number() OVER (PARTITION BY document_id ORDER BY source_start, id) - 1) // 8 END AS INT) AS batch FROM units"),

@@ -55,8 +55,8 @@ def _hybrid(s, d):
 
 
 def _pool(s, d):
-    shared, kept = _shared(s, d), _hybrid(s, d)
-    return kept.unionByName(R.rescue(shared, kept, query_vectors(s, d)))
+    kept = _hybrid(s, d)
+    return kept.unionByName(R.rescue(query_vectors(s, d), R.corpus(units(s, d)), kept))
 
 
 def _resolution(s, d):
@@ -146,10 +146,10 @@ QUERIES = {
     "e2_to_embed": lambda s, d: R.to_embed(units(s, d), units(s, d).where("id % 4 = 0").select(X.sha256(F.col("content")).alias("hash"))).select("hash"),
     "e3_nearest": lambda s, d: _nearest(s, d).withColumn("semantic", F.round("semantic", 9)),
     "e4_hybrid": lambda s, d: _hybrid(s, d).select("query_id", "unit_id", F.round("semantic", 9).alias("semantic"), F.round("score", 9).alias("score")),
-    "e5_rescue": lambda s, d: R.rescue(_shared(s, d), _hybrid(s, d), query_vectors(s, d)).select("query_id", "unit_id", F.round("score", 9).alias("score")),
+    "e5_rescue": lambda s, d: R.rescue(query_vectors(s, d), R.corpus(units(s, d)), _hybrid(s, d)).select("query_id", "unit_id", F.round("score", 9).alias("score")),
     "e6_diversified": lambda s, d: R.diversified(_pool(s, d).withColumn("score", F.round("score", 9)), units(s, d), 6),
     "e7_still_active": lambda s, d: R.still_active(_nearest(s, d).select("query_id", "unit_id"), units(s, d), units(s, d).withColumn("content", F.when(F.col("id") % 6 == 0, F.lit("changed")).otherwise(F.col("content")))),
-    "e9_notes": lambda s, d: R.notes(query_vectors(s, d), units(s, d).select(F.col("id").alias("note_id"), "subject_id", "document_id", F.col("source_start").alias("page"), "content")).select("query_id", "note_id", "shared", "place", "source"),
+    "e9_notes": lambda s, d: R.notes(query_vectors(s, d), units(s, d).select(F.col("id").alias("note_id"), "subject_id", "document_id", F.col("source_start").alias("page"), "content", (F.col("id") * 7 % 1000).alias("updated_at"))).select("query_id", "note_id", "shared", "place", "source"),
     "e10_query_texts": lambda s, d: R.query_texts(table(s, d, "conversations").where("role = 'user'")).select("conv_id", "turn", "query_text"),
     "e12_evidence_resolution": _resolution,
     "e13_evidence_of": lambda s, d: R.evidence_of(questions(s, d), units(s, d)),
@@ -205,22 +205,35 @@ _TITLE = "['Learning model', 'Process of control', 'Media evaluation', 'Unassign
 _DIMS = ", ".join(f"regexp_matches(content, {_q('(?i)' + p)}) AS {n}" for n, p in D.DIMENSIONS.items())
 _ALL = [*D.DIMENSIONS, "source_traceability"]
 _TOKENS = "list_distinct(regexp_extract_all(lower({}), '[A-Za-zÀ-ÖØ-öø-ÿ0-9]{{3,}}'))"
+_NOTE_TERMS = "list_distinct(regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}_]{{3,}}'))"
+_MEANINGFUL = f"list_filter(q.tokens, lambda t: t NOT IN ({', '.join(map(_q, R.RESCUE_STOP))}))"
 CORPUS = f"""corpus AS (SELECT id, subject_id, document_id, content, {_TOKENS.format("content")} AS tokens, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM units WHERE review_status = 'accepted'),
-    pairs AS (SELECT q.id AS query_id, c.id AS unit_id, c.document_id, c.content, list_cosine_similarity(q.v, c.v) AS semantic, len(list_intersect(q.tokens, c.tokens)) AS shared, greatest(1, len(q.tokens)) AS terms FROM corpus q JOIN corpus c USING (subject_id) WHERE q.id % 50 = 0),
+    pairs AS (SELECT q.id AS query_id, c.id AS unit_id, c.document_id, c.content, list_cosine_similarity(q.v, c.v) AS semantic, len(list_intersect(q.tokens, c.tokens)) AS shared, greatest(1, len(q.tokens)) AS terms,
+        {_MEANINGFUL} AS asked, list_intersect({_MEANINGFUL}, c.tokens) AS met, q.content AS query_text FROM corpus q JOIN corpus c USING (subject_id) WHERE q.id % 50 = 0),
     near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY semantic DESC, unit_id) AS place FROM pairs QUALIFY place <= 12),
     hybrid AS (SELECT query_id, unit_id, document_id, semantic, 0.82::DOUBLE * semantic + 0.18::DOUBLE * shared / terms AS score FROM near WHERE 0.82::DOUBLE * semantic + 0.18::DOUBLE * shared / terms >= 0.28
         QUALIFY row_number() OVER (PARTITION BY query_id, lower(trim(regexp_replace(content, '\\s+', ' ', 'g'))) ORDER BY 0.82::DOUBLE * semantic + 0.18::DOUBLE * shared / terms DESC, unit_id) = 1),
-    rescue AS (SELECT query_id, unit_id, document_id, greatest(0.28::DOUBLE, 0.35::DOUBLE + 0.35::DOUBLE * shared / terms) AS score FROM pairs WHERE shared >= 2 AND (query_id, unit_id) NOT IN (SELECT (query_id, unit_id) FROM hybrid)),
+    rescue AS (SELECT query_id, unit_id, document_id, greatest(0.28::DOUBLE, 0.35::DOUBLE + 0.35::DOUBLE * len(met) / greatest(1, len(asked))) AS score FROM pairs
+        WHERE (len(met) >= 2 OR len(list_filter(met, lambda t: contains(query_text, upper(t)) AND contains(content, upper(t)))) > 0) AND (query_id, unit_id) NOT IN (SELECT (query_id, unit_id) FROM hybrid)),
     pool AS (SELECT query_id, unit_id, document_id, round(score, 9) AS score FROM hybrid UNION ALL SELECT query_id, unit_id, document_id, round(score, 9) FROM rescue)"""
 REPORTED = f"""reported AS (SELECT 'r' || item_id AS stable_id, item_id % 4 AS subject_id, text AS wording, [{", ".join(map(_q, X.RELIABILITY))}][item_id % 4 + 1] AS reliability, CASE WHEN item_id % 2 = 0 THEN 'active' ELSE 'awaiting_course_evidence' END AS activation,
     CASE WHEN item_id % 5 = 0 THEN [] ELSE [item_id % 500, item_id * 3 % 500] END AS evidence_ids, CASE WHEN item_id % 6 = 0 THEN 'c' || (item_id % 4) END AS chain_id, item_id % 5 AS n_actions FROM benchmark)"""
 CONCEPTS = f"""concepts AS (SELECT *, CASE WHEN id % 17 = 0 THEN 'concept:c' || (id % 5) WHEN id % 4 = 0 THEN 'source:' || regexp_replace(lower(topic_name), '[^a-z0-9]+', '', 'g') || ':' || (id % 9) || '-' || (id % 9)
     WHEN id % 6 = 1 THEN 'external:' || id ELSE 'terms:' || array_to_string(list_sort(list_filter({_TOKENS.format("question_text")}, lambda t: t NOT IN ({", ".join(map(_q, P.CONCEPT_STOP))})))[1:8], ',') END AS concept FROM questions)"""
 RECENT = "recent AS (SELECT DISTINCT user_id, subject_id, question_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, subject_id ORDER BY created_at DESC, id DESC) AS k FROM attempts) WHERE k <= 10)"
+def recursive(names: str, body: str) -> str:
+    return with_views(names, body).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 _IMPORTS = """imports AS (SELECT subject_id, id AS line, CASE WHEN id % 2 = 0 THEN 'x' || (id % 400) END AS external_id, 'What is ' || topic_name || ' in ' || difficulty || '?' AS question, topic_name, priority FROM questions WHERE id % 3 <> 1),
     stored AS (SELECT subject_id, 'x' || id AS external_id, 'what is ' || topic_name || ' in easy?' AS question_text FROM questions WHERE id % 3 = 1 AND subject_id = 1),
-    p1 AS (SELECT *, external_id IS NOT NULL AND (external_id IN (SELECT external_id FROM stored WHERE stored.subject_id = imports.subject_id) OR row_number() OVER (PARTITION BY subject_id, external_id ORDER BY line) > 1) AS by_id FROM imports),
-    preview AS (SELECT *, CASE WHEN by_id THEN 'duplicate external ID' WHEN lower(question) IN (SELECT lower(question_text) FROM stored WHERE stored.subject_id = p1.subject_id) OR row_number() OVER (PARTITION BY subject_id, lower(question), by_id ORDER BY line) > 1 THEN 'duplicate question text' END AS reason FROM p1)"""
+    p1 AS (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY line) AS n, (subject_id, external_id) IN (SELECT (subject_id, external_id) FROM stored) AS stored_id,
+        (subject_id, lower(question)) IN (SELECT (subject_id, lower(question_text)) FROM stored) AS stored_text FROM imports),
+    fold AS (SELECT DISTINCT subject_id, 0::BIGINT AS n, NULL::VARCHAR AS reason, []::VARCHAR[] AS ids, []::VARCHAR[] AS texts FROM imports UNION ALL
+        SELECT subject_id, n, reason, CASE WHEN reason IS NULL AND external_id IS NOT NULL THEN list_append(ids, external_id) ELSE ids END, CASE WHEN reason IS NULL THEN list_append(texts, text) ELSE texts END
+        FROM (SELECT p1.subject_id, p1.n, external_id, lower(question) AS text, ids, texts, CASE WHEN external_id IS NOT NULL AND (stored_id OR list_contains(ids, external_id)) THEN 'duplicate external ID'
+            WHEN stored_text OR list_contains(texts, lower(question)) THEN 'duplicate question text' END AS reason FROM fold JOIN p1 ON p1.subject_id = fold.subject_id AND p1.n = fold.n + 1)),
+    preview AS (SELECT p1.*, fold.reason FROM p1 JOIN fold USING (subject_id, n))"""
 
 _SAME = """s AS (SELECT id, subject_id, raw_heading AS name, topic_name AS title FROM (SELECT subject_id, raw_heading, min(id) AS id, any_value(topic_name) AS topic_name FROM questions GROUP BY subject_id, raw_heading))"""
 
@@ -240,9 +253,10 @@ ORACLE_SQL = {
     "e6_diversified": with_views("units", f"""{CORPUS}, a AS (SELECT *, row_number() OVER (PARTITION BY query_id, document_id ORDER BY score DESC, unit_id) AS r FROM pool), b AS (SELECT *, CASE WHEN r = 1 THEN row_number() OVER (PARTITION BY query_id, r = 1 ORDER BY score DESC, unit_id) END AS h FROM a)
         SELECT query_id, unit_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY coalesce(h <= 2, false) DESC, score DESC, unit_id) AS INT) AS place FROM b QUALIFY place <= 6"""),
     "e7_still_active": with_views("units", f"{CORPUS} SELECT query_id, unit_id FROM near WHERE unit_id % 6 <> 0"),
-    "e9_notes": with_views("units", f"""{CORPUS}, n AS (SELECT id AS note_id, subject_id, 'N' || document_id || '_' || source_start AS source, {_TOKENS.format("content")} AS tokens FROM units WHERE trim(content) <> '' QUALIFY row_number() OVER (PARTITION BY subject_id ORDER BY id DESC) <= 200),
-        m AS (SELECT q.id AS query_id, n.note_id, n.source, len(list_intersect(list_filter(q.tokens, lambda t: t NOT IN ({", ".join(map(_q, X.STOP_WORDS))})), n.tokens)) AS shared FROM corpus q JOIN n USING (subject_id) WHERE q.id % 50 = 0)
-        SELECT query_id, note_id, shared, source, CAST(row_number() OVER (PARTITION BY query_id ORDER BY shared DESC, note_id) AS INT) AS place FROM m WHERE shared > 0 QUALIFY place <= 5"""),
+    "e9_notes": with_views("units", f"""{CORPUS}, n AS (SELECT id AS note_id, subject_id, 'N' || document_id || '_' || source_start AS source, {_NOTE_TERMS.format("content")} AS tokens,
+        row_number() OVER (PARTITION BY subject_id ORDER BY id * 7 % 1000 DESC, id DESC) AS age FROM units WHERE trim(content) <> '' QUALIFY age <= 200),
+        m AS (SELECT q.id AS query_id, n.note_id, n.source, n.age, len(list_intersect(list_filter({_NOTE_TERMS.format("q.content")}, lambda t: t NOT IN ({", ".join(map(_q, R.NOTE_STOP))})), n.tokens)) AS shared FROM corpus q JOIN n USING (subject_id) WHERE q.id % 50 = 0)
+        SELECT query_id, note_id, shared, source, CAST(row_number() OVER (PARTITION BY query_id ORDER BY shared DESC, age) AS INT) AS place FROM m WHERE shared > 0 QUALIFY place <= 5"""),
     "e10_query_texts": "SELECT conv_id, turn, concat_ws(chr(10), lag(text, 2) OVER w, lag(text) OVER w, text) AS query_text FROM conversations WHERE role = 'user' WINDOW w AS (PARTITION BY conv_id ORDER BY turn)",
     "e13_evidence_of": with_views("questions units", "i AS (SELECT DISTINCT id AS question_id, unnest([evidence_id_1, evidence_id_2]) AS unit_id FROM questions) SELECT question_id, unit_id, document_id, source_start FROM i JOIN units ON units.id = unit_id WHERE review_status = 'accepted'"),
     "f9_vector_problems": with_views("units", "SELECT id, CASE WHEN id % 13 = 0 THEN 'zero' WHEN id % 17 = 0 THEN 'missing' ELSE 'valid' END AS state FROM units"),
@@ -253,8 +267,8 @@ ORACLE_SQL = {
         SELECT id, reason IS NULL AS acceptable, reason FROM r"""),
     "f13_citation_gate": with_views("questions", """u AS (SELECT id, CASE WHEN id % 3 = 0 THEN [evidence_id_1] ELSE list_distinct([evidence_id_1, evidence_id_2]) END AS used, id % 3 <> 0 AS cites, [evidence_id_1, id % 250] AS allowed FROM questions),
         x AS (SELECT id, cites, list_sort(list_filter(used, lambda e: NOT list_contains(allowed, e))) AS n FROM u) SELECT id, cites AND len(n) = 0 AS valid, array_to_string(n, ',') AS unknown FROM x"""),
-    "g1_preview": with_views("questions", f"{_IMPORTS} SELECT subject_id, line, external_id, question, reason FROM preview"),
-    "g2_counts": with_views("questions", f"{_IMPORTS} SELECT subject_id, priority, count(*) AS n FROM preview WHERE reason IS NULL GROUP BY ALL"),
+    "g1_preview": recursive("questions", f"{_IMPORTS} SELECT subject_id, line, external_id, question, reason FROM preview"),
+    "g2_counts": recursive("questions", f"{_IMPORTS} SELECT subject_id, priority, count(*) AS n FROM preview WHERE reason IS NULL GROUP BY ALL"),
     "g4_disable": with_views("questions", "SELECT id, enabled AND coalesce(question_pool_id, 0) <> 2 AS enabled FROM questions"),
     "g5_listed": with_views("questions", "SELECT id, CASE WHEN id % 20 < 10 THEN 'Topic ' || (id % 20) || ' model' WHEN id % 3 = 0 THEN 'Unassigned' ELSE topic_name END AS topic FROM questions WHERE review_status = 'accepted' AND enabled"),
     "g7_practice_candidates": with_views("questions", "SELECT id, subject_id, difficulty FROM questions WHERE review_status = 'accepted' AND enabled AND difficulty IN ('easy', 'hard') AND priority = 'A'"),

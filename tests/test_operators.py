@@ -51,12 +51,17 @@ def test_slides(spark, text, numbers, rest):
 
 
 def test_citations(spark):
-    allowed = F.array(F.lit(1).cast("bigint"), F.lit(2).cast("bigint"))
+    allowed = F.array(F.lit("E1"), F.lit("E2"), F.lit("N3_2"))
     repaired = lambda t: one(spark, lambda c: X.repair_citations(c, allowed), t)
-    assert repaired("A [E1] b [E9].") == "A [E1] b."
-    assert repaired("No marks") == "No marks [E1] [E2]"
+    assert repaired("A [E1] b [E9].") == "A [E1] b ."
+    assert repaired("No marks") == "No marks\n\nEvidence: [E1] [E2] [N3_2]"
+    assert repaired("Gone [E7] [N3_1]") == "Gone\n\nEvidence: [E1] [E2] [N3_2]" and repaired("[E9]") == ""
     valid = lambda t: one(spark, lambda c: X.citations_valid(c, allowed), t)
-    assert valid("x [E1]") and not valid("x [E3]") and not valid("x")
+    assert valid("x [E1]") and valid("[N3_2]") and not valid("x [E3]") and not valid("x [E1] [N3_1]") and not valid("x")
+    points = lambda t: one(spark, X.draft_points, t)
+    assert points("A first sentence that is long [E1].\nShort.\nEvidence: [E1] and a longer line of sources") == ["A first sentence that is long ."]
+    assert points("Too short [Q2]") == ["Too short"] and points("  ") == []
+    assert points("x" * 400) == ["x" * 357 + "…"]
 
 
 def test_lenient_json(spark):
