@@ -143,8 +143,9 @@ def near_questions(candidates: DataFrame, existing: DataFrame) -> DataFrame:
     """F8: pairs (id, other_id) of candidates and existing questions (id, subject_id, question_text) that repeat each
     other: same terms by more than 0.8, a prefix of five words and more, or nearly the same letters.
 
-    Pairs meet by a shared rare term: two texts alike by more than 0.8 share one of the rarest fifth of their terms, and
-    one of a question's terms is enough for a prefix. Terms are ordered by how often they occur in the subject.
+    Pairs meet by a shared rare term: two texts alike by more than 0.8 share one of the rarest fifth of their terms, by how
+    often they occur in the subject. Prefixes meet by equality of one question with the first words of the other. For the
+    letters no bound is known that leaves few pairs: they are compared for the pairs that meet, and for no others.
     """
     key = X.question_key(F.col("question_text"))
     one = candidates.select("id", "subject_id", "question_text", key.alias("key"), X.question_terms(F.col("question_text")).alias("terms"))
@@ -157,7 +158,15 @@ def near_questions(candidates: DataFrame, existing: DataFrame) -> DataFrame:
         # |A and B| > 0.8 |A or B| leaves less than a fifth of either's terms unshared
         return rows.withColumn("k", place).where(F.col("k") <= F.floor(F.col("n") * 0.2) + 1).select("id", "subject_id", "term")
 
-    met = rarest(one).withColumnRenamed("id", "a").join(rarest(two).withColumnRenamed("id", "b"), ["subject_id", "term"]).where("a != b").select("subject_id", "a", "b").distinct()
+    def beginnings(df: DataFrame) -> DataFrame:
+        """The first five, six and so on words of each question but all of them."""
+        words = F.split("key", " ")
+        return df.where(F.size(words) > 5).select("id", "subject_id", F.explode(F.transform(F.sequence(F.lit(5), F.size(words) - 1), lambda k: F.array_join(F.slice(words, 1, k), " "))).alias("key"))
+
+    whole = [df.select("id", "subject_id", "key") for df in (one, two)]
+    begun = [x.withColumnRenamed("id", "a").join(y.withColumnRenamed("id", "b"), ["subject_id", "key"]).select("subject_id", "a", "b") for x, y in ((beginnings(one), whole[1]), (whole[0], beginnings(two)))]
+    met = rarest(one).withColumnRenamed("id", "a").join(rarest(two).withColumnRenamed("id", "b"), ["subject_id", "term"]).select("subject_id", "a", "b")
+    met = met.unionByName(begun[0]).unionByName(begun[1]).where("a != b").distinct()
     left = one.select(F.col("id").alias("a"), "subject_id", F.col("key").alias("key_a"), F.col("terms").alias("terms_a"), F.col("question_text").alias("text_a"))
     right = two.select(F.col("id").alias("b"), "subject_id", F.col("key").alias("key_b"), F.col("terms").alias("terms_b"), F.col("question_text").alias("text_b"))
     rows = met.join(left, ["a", "subject_id"]).join(right, ["b", "subject_id"])
@@ -281,11 +290,11 @@ def grade_answers(graded: DataFrame) -> DataFrame:
 
 
 def prune_claims(claims: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Claims (answer_id, k, text, cited) keep citations of their answer's evidence (answer_id, unit_id, content); claims
-    whose citations are all unknown go; one without any gets the unit that shares most terms."""
+    """Claims (answer_id, k, text, cited) against their answer's evidence (answer_id, unit_id, content): a claim with a
+    citation that is not among it goes; one without any citation gets the unit that shares most terms."""
     allowed = evidence.groupBy("answer_id").agg(F.collect_set("unit_id").alias("allowed"))
     rows = claims.join(allowed, "answer_id", "left").withColumn("kept", F.array_sort(F.array_intersect("cited", F.coalesce("allowed", F.array().cast("array<bigint>")))))
-    rows = rows.where((F.size("cited") == 0) | (F.size("kept") > 0)).select("answer_id", "k", "text", "cited", "kept")
+    rows = rows.where(F.size(F.array_except("cited", "kept")) == 0).select("answer_id", "k", "text", "cited", "kept")
     open_claims = rows.where("size(cited) = 0").join(evidence, "answer_id")
     shared = F.size(F.array_intersect(X.semantic_terms(F.col("text")), X.semantic_terms(F.col("content"))))
     best = open_claims.withColumn("shared", shared).where("shared > 0").groupBy("answer_id", "k").agg(F.max_by("unit_id", F.struct("shared", -F.col("unit_id"))).alias("best"))

@@ -81,8 +81,12 @@ def schedule(loads: DataFrame, today: str, per_session: int = PER_SESSION, days:
     return rows.select(*KEYS, F.date_add(F.to_date(F.lit(today)), F.col("i")).alias("day"), amount.alias("questions"), F.ceil(amount / per_session).cast("bigint").alias("sessions"))
 
 
-def study_plan(reported: DataFrame, without_pack: DataFrame, weak: DataFrame, due: DataFrame, thin: DataFrame, n: int = 8) -> DataFrame:
-    """The n first recommendations. Each branch has user_id, subject_id, action, rank (1 first) and, for reported and
+# What is recommended where nothing else is.
+SIMULATION = "Run a timed exam simulation"
+
+
+def study_plan(learners: DataFrame, reported: DataFrame, without_pack: DataFrame, weak: DataFrame, due: DataFrame, thin: DataFrame, n: int = 8) -> DataFrame:
+    """The n first recommendations of every learner (user_id, subject_id). Each branch has user_id, subject_id, action, rank (1 first) and, for reported and
     due ones, urgency: whether the report is current, or the priority of the due attempt.
 
     Priorities: reported cards 110 if current, else 100 (six); no accepted pack 100; weak topics 90 (four); due questions
@@ -98,6 +102,9 @@ def study_plan(reported: DataFrame, without_pack: DataFrame, weak: DataFrame, du
         (without_pack, 1, F.lit(100), 1), (weak, 2, F.lit(90), 4), (due, 3, 80 + F.least(F.lit(9), F.floor("urgency")), 4), (thin, 4, F.lit(65), 3),
     ):
         rows = rows.unionByName(branch(df, order, priority, most))
+    none = learners.select(*every).distinct().join(rows.select(*every).distinct(), list(every), "left_anti")
+    simulation = none.select(*every, F.lit(SIMULATION).alias("action"), F.lit(50).alias("priority"), F.lit(5).alias("branch"), F.lit(1).alias("rank"))
+    rows = rows.unionByName(simulation)
     place = Window.partitionBy(*every).orderBy(F.desc("priority"), "branch", "rank")
     return rows.withColumn("place", F.row_number().over(place)).where(F.col("place") <= n)
 

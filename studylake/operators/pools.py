@@ -222,7 +222,7 @@ def training_cards(reported: DataFrame, hits: DataFrame, existing: DataFrame, li
     substantive hits (stable_id, unit_id, place), the first two must-know; skipped without any; existing ones stay."""
     chosen = reported.where(F.col("rank") <= limit)
     top = hits.where(F.col("place") <= 8).withColumn("k", F.row_number().over(Window.partitionBy("stable_id").orderBy("place"))).where("k <= 3")
-    points = top.groupBy("stable_id").agg(F.array_sort(F.collect_list(F.struct("k", "unit_id", F.when(F.col("k") <= 2, "must_know").otherwise("supporting").alias("priority")))).alias("points"))
+    points = top.groupBy("stable_id").agg(F.array_sort(F.collect_list(F.struct("k", "unit_id", F.when(F.col("k") <= 2, "must_know").otherwise("useful_detail").alias("priority")))).alias("points"))
     rows = chosen.join(existing.select("stable_id").distinct().withColumn("has", F.lit(True)), "stable_id", "left").join(points, "stable_id", "left")
     outcome = F.when(F.col("has"), "existing").when(F.col("points").isNull(), "unmatched").otherwise("created")
     return rows.select("subject_id", "stable_id", outcome.alias("outcome"), F.when(outcome == "created", F.col("points")).alias("points"), F.when(F.col("n_actions") >= 3, "hard").otherwise("medium").alias("difficulty"))

@@ -84,15 +84,32 @@ def merge_short(units: DataFrame) -> DataFrame:
     return ordered.mapInPandas(run, schema)
 
 
-def section_titles(lines: DataFrame) -> DataFrame:
-    """The Markdown heading above each line, carried down; and the page's topic, its first line if it reads like a title."""
+def titled(line: Column) -> Column:
+    """The clean title that a line is, if it has two to ten words and no sign of a sentence or formula; else null."""
+    words = F.size(F.split(F.trim(line), r"\s+"))
+    return F.when(words.between(2, 10) & ~line.rlike(r"[.!?=∑√+]"), X.single_title(F.trim(line)))
+
+
+def section_titles(lines: DataFrame, furniture: DataFrame) -> DataFrame:
+    """The Markdown heading above each line, carried down; and the page's topic, the first of its lines that are no page
+    furniture (doc_id, key) if it reads like a title."""
     heading = F.when(F.col("line").rlike(r"^#{1,6}\s+\S"), F.trim(F.regexp_replace("line", r"^#{1,6}\s+", "")))
     down = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = lines.where(F.trim("line") != "").withColumn("section_title", F.last(heading, ignorenulls=True).over(down))
-    first = F.first("line").over(Window.partitionBy("doc_id", "page_number").orderBy("line_no"))
-    words = F.size(F.split(F.trim(first), r"\s+"))
-    topic = F.when(words.between(2, 10) & ~first.rlike(r"[.!?=∑√+]"), F.trim(first))
-    return rows.withColumn("page_topic", topic)
+    own = furniture.select("doc_id", "key").distinct().withColumn("furniture", F.lit(True))
+    rows = rows.withColumn("key", X.line_key(F.col("line"))).join(own, ["doc_id", "key"], "left")
+    page = Window.partitionBy("doc_id", "page_number").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    first = F.first(F.when(F.col("furniture").isNull(), F.col("line")), ignorenulls=True).over(page)
+    return rows.withColumn("first", first).withColumn("page_topic", titled(F.col("first"))).drop("first", "key", "furniture")
+
+
+def unit_titles(units: DataFrame) -> DataFrame:
+    """`section_title` of units (raw_content, section_title, page_topic): the unit's own first line if more lines follow
+    and it reads like a title (cleaned, which may leave none), else the page's topic, else the heading above."""
+    lines = F.filter(F.transform(F.split("raw_content", "\n"), F.trim), lambda line: line != "")
+    first = F.get(lines, F.lit(0))
+    reads = (F.size(lines) > 1) & F.size(F.split(first, r"\s+")).between(2, 10) & ~first.rlike(r"[.!?=∑√+]")
+    return units.withColumn("section_title", F.when(reads, X.single_title(first)).otherwise(F.coalesce("page_topic", "section_title")))
 
 
 def extraction_summary(lines: DataFrame) -> DataFrame:

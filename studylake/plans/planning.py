@@ -47,7 +47,7 @@ def _plan(s, d):
     weak = _rank(P.topic_rows(f, NOW).where("mastery_state = 'weak'").withColumn("action", F.concat(F.lit("Practice "), "topic_name")), ["place"])
     due = P.due_list(f, NOW).withColumn("action", F.concat(F.lit("Question "), F.col("question_id").cast("string"))).withColumn("urgency", F.col("priority")).withColumn("rank", F.col("place"))
     thin = _rank(P.topic_rows(f, NOW).where("mastery_state = 'not_practised'").withColumn("action", F.concat(F.lit("Improve material coverage for "), "topic_name")), ["topic_name"])
-    return L.study_plan(reported, pack, weak, due, thin).select(*P.KEYS, "action", "priority", "place")
+    return L.study_plan(learners, reported, pack, weak, due, thin).select(*P.KEYS, "action", "priority", "place")
 
 
 def _cards(s, d):
@@ -164,8 +164,9 @@ ORACLE_SQL = {
         UNION ALL SELECT user_id, subject_id, 'Review and accept the generated exam pack', 100, 1, 1 FROM learners WHERE subject_id <> 1
         UNION ALL SELECT user_id, subject_id, 'Practice ' || topic_name, 90, 2, row_number() OVER (PARTITION BY user_id, subject_id ORDER BY topic_name) AS rank FROM ranked WHERE mastery_state = 'weak' QUALIFY rank <= 4
         UNION ALL SELECT user_id, subject_id, 'Question ' || question_id, CAST(80 + least(9, floor(p)) AS INT), 3, row_number() OVER (PARTITION BY user_id, subject_id ORDER BY p DESC, attempt_id) AS rank FROM d QUALIFY rank <= 4
-        UNION ALL SELECT user_id, subject_id, 'Improve material coverage for ' || topic_name, 65, 4, row_number() OVER (PARTITION BY user_id, subject_id ORDER BY topic_name) AS rank FROM ranked WHERE mastery_state = 'not_practised' QUALIFY rank <= 3)
-        SELECT user_id, subject_id, action, CAST(priority AS INT) AS priority, CAST(row_number() OVER (PARTITION BY user_id, subject_id ORDER BY priority DESC, branch, rank) AS INT) AS place FROM b QUALIFY place <= 8"""),
+        UNION ALL SELECT user_id, subject_id, 'Improve material coverage for ' || topic_name, 65, 4, row_number() OVER (PARTITION BY user_id, subject_id ORDER BY topic_name) AS rank FROM ranked WHERE mastery_state = 'not_practised' QUALIFY rank <= 3),
+        o AS (SELECT * FROM b UNION ALL SELECT user_id, subject_id, 'Run a timed exam simulation', 50, 5, 1 FROM learners WHERE (user_id, subject_id) NOT IN (SELECT (user_id, subject_id) FROM b))
+        SELECT user_id, subject_id, action, CAST(priority AS INT) AS priority, CAST(row_number() OVER (PARTITION BY user_id, subject_id ORDER BY priority DESC, branch, rank) AS INT) AS place FROM o QUALIFY place <= 8"""),
     "l7_answer_cards": with_views("questions units", f"""{ELIGIBLE}, p AS (SELECT id AS question_id, 0 AS k, evidence_id_1 AS unit_id FROM questions WHERE difficulty = 'hard' UNION ALL SELECT id, 1, evidence_id_2 FROM questions WHERE difficulty = 'hard'),
         m AS (SELECT p.*, a.id AS known, source_start FROM p LEFT JOIN active a ON a.id = p.unit_id)
         SELECT question_id, string_agg(trim('Point ' || k || '. ' || coalesce('[E' || known || ']', '')), ' ' ORDER BY k) AS answer,

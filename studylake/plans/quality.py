@@ -86,7 +86,7 @@ QUERIES = {
     "c3_page_furniture": lambda s, d: S.page_furniture(lines(s, d)),
     "c4_without_counters": lambda s, d: S.without_counters(lines(s, d)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines")),
     "c5_merge_short": lambda s, d: S.merge_short(lines(s, d).where("line <> ''").select("doc_id", "page_number", F.col("line_no").alias("source_start"), F.col("line_no").alias("source_end"), F.col("line").alias("raw_content"))).select("doc_id", "page_number", "source_start", "source_end", F.length("raw_content").alias("n")),
-    "c6_section_titles": lambda s, d: S.section_titles(lines(s, d)).select("doc_id", "line_no", "section_title", "page_topic"),
+    "c6_section_titles": lambda s, d: S.section_titles(lines(s, d), S.page_furniture(lines(s, d))).select("doc_id", "line_no", "section_title", "page_topic"),
     "c7_extraction_summary": lambda s, d: S.extraction_summary(lines(s, d)).withColumn("empty_pages", F.array_join(F.col("empty_pages").cast("array<string>"), ",")),
     "c8_unit_quality": lambda s, d: gated(s, d).withColumn("problems", F.array_join("problems", ",")),
     "c8_status_by_source": lambda s, d: gated(s, d).join(docs(s, d).select("doc_id", "source"), "doc_id").groupBy("source", "status").agg(F.count(F.lit(1)).alias("units"), F.sum(F.length("content")).alias("chars")),
@@ -238,9 +238,13 @@ ORACLE_SQL = {
         SELECT doc_id, key, count(DISTINCT page_number) AS on_pages FROM e JOIN p USING (doc_id) WHERE a <= 3 OR b <= 3 GROUP BY doc_id, key, pages HAVING count(DISTINCT page_number) >= greatest(CASE WHEN pages = 1 THEN 3 ELSE 2 END, ceil(pages * 0.35))"""),
     "c4_without_counters": with_views("lines", """e AS (SELECT *, min(line_no) OVER p AS a, max(line_no) OVER p AS b FROM lines WHERE trim(line) <> '' WINDOW p AS (PARTITION BY doc_id, page_number))
         SELECT doc_id, count(*) AS lines FROM e WHERE NOT ((line_no IN (a, b) AND regexp_matches(line, '(?i)^\\s*(page|seite|slide)\\s+\\d{1,4}\\s*(/\\s*\\d{1,4})?\\s*$')) OR (line_no = b AND trim(line) = page_number::VARCHAR)) GROUP BY ALL"""),
-    "c6_section_titles": with_views("lines", """l AS (SELECT doc_id, line_no, last_value(CASE WHEN regexp_matches(line, '^#{1,6}\\s+\\S') THEN trim(regexp_replace(line, '^#{1,6}\\s+', '')) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no) AS section_title,
-        trim(first_value(line) OVER (PARTITION BY doc_id, page_number ORDER BY line_no)) AS f FROM lines WHERE trim(line) <> '')
-        SELECT doc_id, line_no, section_title, CASE WHEN len(string_split_regex(f, '\\s+')) BETWEEN 2 AND 10 AND NOT regexp_matches(f, '[.!?=∑√+]') THEN f END AS page_topic FROM l"""),
+    "c6_section_titles": with_views("lines", f"""e AS (SELECT *, replace(lower(regexp_replace({normal_sql("line")}, '\\s+', ' ', 'g')), 'ß', 'ss') AS key, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY line_no) AS a,
+        row_number() OVER (PARTITION BY doc_id, page_number ORDER BY line_no DESC) AS b FROM lines WHERE trim(line) <> ''), p AS (SELECT doc_id, count(DISTINCT page_number) AS pages FROM lines GROUP BY ALL),
+        u AS (SELECT doc_id, key FROM e JOIN p USING (doc_id) WHERE a <= 3 OR b <= 3 GROUP BY doc_id, key, pages HAVING count(DISTINCT page_number) >= greatest(CASE WHEN pages = 1 THEN 3 ELSE 2 END, ceil(pages * 0.35))),
+        l AS (SELECT doc_id, line_no, last_value(CASE WHEN regexp_matches(line, '^#{{1,6}}\\s+\\S') THEN trim(regexp_replace(line, '^#{{1,6}}\\s+', '')) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no) AS section_title,
+        trim(min_by(line, line_no) FILTER ((doc_id, key) NOT IN (SELECT (doc_id, key) FROM u)) OVER (PARTITION BY doc_id, page_number)) AS f FROM e),
+        t AS (SELECT *, {titles_sql("f")} AS titles FROM l)
+        SELECT doc_id, line_no, section_title, CASE WHEN len(string_split_regex(f, '\\s+')) BETWEEN 2 AND 10 AND NOT regexp_matches(f, '[.!?=∑√+]') AND len(titles) = 1 THEN titles[1] END AS page_topic FROM t"""),
     "c7_extraction_summary": with_views("lines", """p AS (SELECT doc_id, page_number, count(*) FILTER (trim(line) <> '') AS n FROM lines GROUP BY ALL)
         SELECT doc_id, count(*) AS pages, coalesce(string_agg(page_number::VARCHAR, ',' ORDER BY page_number) FILTER (n = 0), '') AS empty_pages,
         CASE WHEN count(*) FILTER (n = 0) = count(*) THEN 'no_extractable_text' ELSE 'text_extracted' END AS state FROM p GROUP BY doc_id"""),

@@ -11,6 +11,7 @@ from ..operators import pools as P
 from ..operators import progress as J
 from ..operators import retrieval as R
 from ..operators import topics as D
+from .quality import _SEM
 from ..sources.adapters import attempts, questions, requests, table, units, with_views
 from .planning import ELIGIBLE, eligible
 from .progress import MASTERY, NOW, fact, over_fact
@@ -259,6 +260,11 @@ ORACLE_SQL = {
         SELECT query_id, note_id, shared, source, CAST(row_number() OVER (PARTITION BY query_id ORDER BY shared DESC, age) AS INT) AS place FROM m WHERE shared > 0 QUALIFY place <= 5"""),
     "e10_query_texts": "SELECT conv_id, turn, concat_ws(chr(10), lag(text, 2) OVER w, lag(text) OVER w, text) AS query_text FROM conversations WHERE role = 'user' WINDOW w AS (PARTITION BY conv_id ORDER BY turn)",
     "e13_evidence_of": with_views("questions units", "i AS (SELECT DISTINCT id AS question_id, unnest([evidence_id_1, evidence_id_2]) AS unit_id FROM questions) SELECT question_id, unit_id, document_id, source_start FROM i JOIN units ON units.id = unit_id WHERE review_status = 'accepted'"),
+    "f8_near_questions": with_views("questions", f"""k AS (SELECT id, subject_id, trim(regexp_replace(lower(question_text), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g')) AS key,
+        list_filter(string_split({_SEM}, ','), lambda w: w <> '' AND w NOT IN ({", ".join(map(_q, X.INTERROGATIVES))})) AS terms FROM questions),
+        p AS (SELECT a.id, b.id AS other_id, len(list_intersect(a.terms, b.terms)) / greatest(1, len(list_distinct(list_concat(a.terms, b.terms)))) AS jaccard,
+        CASE WHEN length(a.key) <= length(b.key) THEN len(string_split(a.key, ' ')) >= 5 AND starts_with(b.key, a.key || ' ') ELSE len(string_split(b.key, ' ')) >= 5 AND starts_with(a.key, b.key || ' ') END AS prefix
+        FROM k a JOIN k b ON a.subject_id = b.subject_id AND a.id <> b.id) SELECT id, other_id, round(jaccard, 9) AS jaccard, prefix FROM p WHERE jaccard > {G.SAME_TERMS} OR prefix"""),
     "f9_vector_problems": with_views("units", "SELECT id, CASE WHEN id % 13 = 0 THEN 'zero' WHEN id % 17 = 0 THEN 'missing' ELSE 'valid' END AS state FROM units"),
     "f10_verdicts": with_views("questions", """r AS (SELECT id, list_sort(list_filter([CASE WHEN id % 3 = 0 THEN 'grounded' END, CASE WHEN id % 4 = 0 THEN 'clear' END, CASE WHEN id % 5 = 0 THEN 'duplicate' END, CASE WHEN id % 7 = 0 THEN 'low_quality' END], lambda x: x IS NOT NULL)) AS r FROM questions)
         SELECT id, len(r) = 0 AS accepted, array_to_string(r, ',') AS reasons FROM r"""),
