@@ -63,7 +63,7 @@ def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = e.join(d.select("doc_id", "text"), F.col("doc_id") == F.col("vec_id")).drop("doc_id").join(q, F.col("doc_id") == F.col("vec_id"), "left")
     return rows.select(
         F.col("vec_id").alias("id"), (F.col("vec_id") % 4).alias("subject_id"), (F.col("vec_id") % 50).alias("document_id"), F.col("label").alias("topic_id"),
-        (F.col("vec_id") % 7 + 1).alias("source_start"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("content"),
+        (F.col("vec_id") % 7 + 1).alias("source_start"), F.col("text").alias("content"),
         F.when(F.col("quality") == 0, "quarantined").when(F.col("vec_id") % 9 == 0, "needs_review").otherwise("accepted").alias("review_status"),
         F.when(F.col("toxic") == 1, 0.5).otherwise(0.95).alias("confidence"), "embedding",
     )
@@ -80,12 +80,10 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of documents; every fourth is blank and six make a page."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return rows.select(
-        "doc_id", (F.col("pos") + 1).alias("line_no"), (F.floor(F.col("pos") / 6).cast("int") + 1).alias("page_number"),
-        F.when((F.col("pos") + 1) % 4 == 0, "").otherwise(F.col("line")).alias("line"),
-    )
+    """All lines of documents, with a blank one after every three; six make a page."""
+    spaced = F.flatten(F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 3 == 2, F.array(x, F.lit(""))).otherwise(F.array(x))))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(spaced).alias("pos", "line"))
+    return rows.select("doc_id", (F.col("pos") + 1).alias("line_no"), (F.floor(F.col("pos") / 6).cast("int") + 1).alias("page_number"), "line")
 
 
 #: The same views for DuckDB, as common table expressions.
@@ -106,13 +104,14 @@ SQL = {
         event_id % 3 AS missing_count, CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END AS incorrect_count, CAST(FLOOR(value) AS INT) AS duration_seconds, ts AS created_at
         FROM (SELECT *, CAST(REGEXP_EXTRACT(props, '[0-9]+', 0) AS BIGINT) AS k FROM events) e)""",
     "units": """units AS (SELECT e.vec_id AS id, e.vec_id % 4 AS subject_id, e.vec_id % 50 AS document_id, e.label AS topic_id, e.vec_id % 7 + 1 AS source_start,
-        SPLIT_PART(d.text, CHR(10), 1) AS content, CASE WHEN l.quality = 0 THEN 'quarantined' WHEN e.vec_id % 9 = 0 THEN 'needs_review' ELSE 'accepted' END AS review_status,
+        d.text AS content, CASE WHEN l.quality = 0 THEN 'quarantined' WHEN e.vec_id % 9 = 0 THEN 'needs_review' ELSE 'accepted' END AS review_status,
         CASE WHEN l.toxic = 1 THEN 0.5 ELSE 0.95 END::DOUBLE AS confidence, e.embedding FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id LEFT JOIN labels l ON l.doc_id = e.vec_id)""",
     "requests": """requests AS (SELECT * FROM (SELECT CONCAT(CAST(conv_id AS STRING), ':', CAST(turn AS STRING)) AS request_uuid, conv_id % 10 AS user_id, conv_id % 4 AS subject_id,
         role, text AS input_text, LEAD(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role, LEAD(text) OVER (PARTITION BY conv_id ORDER BY turn) AS output_text,
         conv_id * 100 + turn AS id, conv_id, turn FROM conversations) t WHERE role = 'user' AND next_role = 'assistant')""",
-    "lines": """lines AS (SELECT doc_id, pos AS line_no, CAST(FLOOR((pos - 1) / 6) AS INT) + 1 AS page_number, CASE WHEN pos % 4 = 0 THEN '' ELSE line END AS line
-        FROM (SELECT doc_id, UNNEST(string_split(text, CHR(10))) AS line, generate_subscripts(string_split(text, CHR(10)), 1) AS pos FROM documents))""",
+    "lines": """lines AS (SELECT doc_id, pos AS line_no, CAST(FLOOR((pos - 1) / 6) AS INT) + 1 AS page_number, line
+        FROM (SELECT doc_id, UNNEST(spaced) AS line, generate_subscripts(spaced, 1) AS pos FROM
+        (SELECT doc_id, flatten(list_transform(string_split(text, CHR(10)), lambda x, i: CASE WHEN i % 3 = 0 THEN [x, ''] ELSE [x] END)) AS spaced FROM documents)))""",
 }
 
 
