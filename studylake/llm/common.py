@@ -65,10 +65,13 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, read from spark.checkpoint.dir; a local one is made only where it is unset."""
+    """The folder that driver and executors share, read from spark.checkpoint.dir; one is made only for a local session
+    that names none."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         directory = spark.sparkContext.getCheckpointDir()
+        if not directory and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         found = directory or tempfile.mkdtemp(prefix="spark-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(found)

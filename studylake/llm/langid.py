@@ -12,6 +12,7 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,16 +20,16 @@ from pyspark.sql import types as T
 
 from .common import in_batches, rows_of, to_batches
 
-#: The learned sample: about so many texts of each language, chosen by the hash of their ids, so many characters of
-#: each, and so many bytes of dictionary. With at most MAX_LANGUAGES languages this bounds what the driver collects
-#: (4 MB a language) and ships to the workers (64 KB a language).
-SAMPLE_TEXTS, SAMPLE_CHARS, DICTIONARY_BYTES, MAX_LANGUAGES = 500, 2000, 65_536, 256
+#: The learned sample: about so many whole texts of each language, chosen by a hash, and so many bytes of dictionary
+#: (64 KB a language for the workers), to which each text gives an equal part from a place that its hash names. More
+#: than MAX_LANGUAGES languages are refused.
+SAMPLE_TEXTS, DICTIONARY_BYTES, MAX_LANGUAGES = 200, 65_536, 256
 #: Texts are compressed in blocks of so many bytes, as a dictionary helps most at a block's start; whole texts count.
 BLOCK_BYTES = 2048
 UNKNOWN = "und"
 
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def normalised(text: str) -> bytes:
@@ -51,23 +52,35 @@ def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         return {}
     space = 1 << 20
     rates = F.create_map(*(x for r in counts for x in (F.lit(r["lang"]), F.lit(-(-space * SAMPLE_TEXTS // max(r["n"], 1))))))
-    place = F.pmod(F.xxhash64(F.lit("langid"), F.col(id_col).cast("string")), F.lit(space))
+    # by id and text, so that rows which repeat an id are not taken all together
+    place = F.pmod(F.xxhash64(F.lit("langid"), F.col(id_col).cast("string"), F.col(text_col)), F.lit(space))
     rows = (
         df.where(F.col(lang_col).isNotNull() & (place < rates[F.col(lang_col).cast("string")]))
-        .select(F.col(lang_col).cast("string").alias("lang"), place.alias("place"), F.col(id_col).cast("string").alias("id"), F.substring(text_col, 1, SAMPLE_CHARS).alias("text"))
+        .select(F.col(lang_col).cast("string").alias("lang"), place.alias("place"), F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"))
         .where(F.col("text").isNotNull())
-        # rows that repeat one id could exceed the rate; the bound holds all the same
+        .distinct()
+        # what repeats is taken once; the bound of rows holds whatever the hash does
         .limit(4 * SAMPLE_TEXTS * len(counts))
         .collect()
     )
-    texts: dict[str, list[bytes]] = {}
+    texts: dict[str, list[tuple[int, bytes]]] = {}
     for row in sorted(rows, key=lambda r: (r["place"], r["id"] or "", r["text"])):
-        texts.setdefault(row["lang"], []).append(normalised(row["text"]))
-    # zstandard reaches a dictionary's end with the shortest offsets; all of it counts alike here
-    found = {lang: b" ".join(parts)[:DICTIONARY_BYTES] for lang, parts in sorted(texts.items())}
+        texts.setdefault(row["lang"], []).append((row["place"], normalised(row["text"])))
+    found = {lang: _dictionary(parts) for lang, parts in sorted(texts.items())}
     return {lang: content for lang, content in found.items() if len(content) >= 8}
 
 
+def _dictionary(texts: list[tuple[int, bytes]]) -> bytes:
+    """DICTIONARY_BYTES at most: equal parts of all texts, and what short ones leave to the longer ones."""
+    left, parts = DICTIONARY_BYTES, []
+    for k, (place, text) in enumerate(sorted(texts, key=lambda t: (len(t[1]), t))):
+        share = min(len(text), max(0, left // (len(texts) - k) - 1))
+        start = place % (len(text) - share + 1)
+        parts.append(text[start : start + share])
+        left -= share + 1
+    return b" ".join(parts)
+
+
 @functools.lru_cache(maxsize=4)
 def _compressors(digest: str, languages: tuple[tuple[str, bytes], ...]) -> list[tuple[str, zstandard.ZstdCompressor]]:
     out = []

@@ -21,33 +21,50 @@ from pyspark.sql import types as T
 from .common import in_batches, rows_of, to_batches
 
 # Words that make a stretch a candidate, in lower case.
-TRIGGERS = ("licens", "licenc", "copyright", "permission", "redistribut", "warrant", "public domain", "spdx")
+TRIGGERS = ("licens", "licenc", "copyright", "permission", "redistribut", "warrant", "public domain", "spdx", "endorse or promote")
 # Wordings of public licenses.
 TEMPLATES = (
+    ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. The software is provided as is and the author disclaims all warranties"),
+    ("AGPL-3.0", "licensed under the GNU Affero General Public License, version 3"),
+    ("AGPL-3.0", "SPDX-License-Identifier: AGPL-3.0-only"),
+    ("AGPL-3.0", "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
     ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
     ("CC-BY-4.0", "licensed under CC BY 4.0"),
     ("CC-BY-4.0", "licensed under a Creative Commons Attribution 4.0 International License"),
     ("CC-BY-NC-4.0", "licensed under CC BY-NC 4.0"),
     ("CC-BY-NC-4.0", "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("CC-BY-ND-4.0", "licensed under CC BY-ND 4.0"),
+    ("CC-BY-ND-4.0", "licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"),
     ("CC-BY-SA-4.0", "licensed under CC BY-SA 4.0"),
     ("CC-BY-SA-4.0", "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
     ("CC0-1.0", "dedicated to the public domain under CC0 1.0"),
     ("GPL-2.0", "licensed under the GNU General Public License, version 2"),
+    ("GPL-2.0", "it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version"),
     ("GPL-3.0", "licensed under the GNU General Public License, version 3"),
     ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-only"),
+    ("GPL-3.0", "it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
     ("LGPL-3.0", "licensed under the GNU Lesser General Public License, version 3"),
+    ("LGPL-3.0", "it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
     ("MIT", "Released under the MIT License"),
     ("MIT", "Licensed under the MIT License"),
     ("MIT", "SPDX-License-Identifier: MIT"),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("MIT", "The software is provided \"as is\", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement. In no event shall the authors or copyright holders be liable for any claim, damages or other liability"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("Proprietary", "All rights reserved. No part of this work may be reproduced without permission"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain"),
 )
 #: Characters taken on both sides of a trigger (stretches that touch are joined), bytes that a template has to save, and
 #: the words of a wording that may differ: one in so many.
-REACH, LEAST_SAVED, ONE_IN = 240, 3, 10
+REACH, LEAST_SAVED, ONE_IN = 400, 3, 10
 
 _WORD = re.compile(r"[^\W_]+(?:[-.][^\W_]+)*")
 
@@ -70,7 +87,7 @@ def stretches(text: str) -> list[tuple[int, int]]:
 
 @functools.lru_cache(maxsize=4)
 def _compressors(templates: tuple[tuple[str, str], ...]):
-    level = dict(level=19, write_content_size=False)
+    level = dict(level=9, write_content_size=False)
     out = [
         (name, wording, _WORD.findall(wording.lower()), zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(wording.lower().encode("utf-8"), dict_type=zstandard.DICT_TYPE_RAWCONTENT), **level))
         for name, wording in templates
@@ -100,7 +117,8 @@ def aligned(template: list[str], words: list[str]) -> tuple[int, int, int]:
 def find(text: str | None, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> list[tuple]:
     """Confirmed licenses: start, end (characters), name, saved (share of the compressed size), differences, wording found.
 
-    In order of place; of wordings that overlap the one with fewer differences is taken, then the longer one.
+    In order of place. Templates are confirmed in the order of the bytes they save, and of wordings that overlap the one
+    that saves more is taken; between equal savings the one with fewer differences, then the longer one.
     """
     out: list[tuple] = []
     plain, compressors = _compressors(templates)
@@ -127,20 +145,22 @@ def find(text: str | None, templates: tuple[tuple[str, str], ...] = TEMPLATES) -
                 changes, a, b = aligned(template, words[low:high])
                 if changes > len(template) // ONE_IN or b <= a:
                     continue
-                found.append((changes, -len(template), low + a, low + b, name, saved / alone))
+                found.append((-saved, changes, -len(template), low + a, low + b, name))
                 todo += [(low, low + a), (low + b, high)]
         taken: list[tuple[int, int]] = []
-        for changes, _, a, b, name, saved in sorted(found):
+        for less, changes, _, a, b, name in sorted(found):
             if all(b <= x or y <= a for x, y in taken):
                 taken.append((a, b))
-                out.append((begin + spots[a][0], begin + spots[b - 1][1], name, saved, changes, part[spots[a][0] : spots[b - 1][1]]))
+                out.append((begin + spots[a][0], begin + spots[b - 1][1], name, -less / alone, changes, part[spots[a][0] : spots[b - 1][1]]))
     return sorted(out)
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
     """Licenses in whole texts. Returns `id_col` and found, an array of struct start, end, license, saved, changes, wording.
 
-    Null, empty and clean texts give an empty array. Rows stay one to one; other columns are left out.
+    Null, empty and clean texts give an empty array. Rows stay one to one, repeated ones and null ids included; other
+    columns are left out, whatever their names. Very long texts are searched whole, stretch by stretch. Ties are settled
+    by `find`.
     """
     fields = [("start", pa.int64(), T.LongType()), ("end", pa.int64(), T.LongType()), ("license", pa.string(), T.StringType()), ("saved", pa.float64(), T.DoubleType()), ("changes", pa.int64(), T.LongType()), ("wording", pa.string(), T.StringType())]
 

@@ -76,6 +76,11 @@ def test_language_id_odd_rows(spark, odd, empty):
     assert {r["lang_pred"] for r in langid.identify(odd, {}).collect()} == {"und"}
 
 
+def test_numbers_are_no_letters(odd):
+    learned = langid._compressors("x", tuple(sorted(langid.learn(odd).items())))
+    assert langid.judge("½ ² ³ ①", learned) == ("und", 0.0)
+
+
 def test_language_id_refuses_clashes(odd):
     with pytest.raises(ValueError):
         langid.identify(odd.withColumn("score", F.lit(1)), {}, keep=["score"])
@@ -336,6 +341,14 @@ def test_license_scan(spark, odd, empty):
         (7, "Licensed under CC BY 4.0", "en"),
     ]
     got = {r["doc_id"]: [(x["license"], x["changes"]) for x in r["found"]] for r in licenses.scan(docs(spark, rows)).collect()}
+    notices = {
+        "the GNU Affero General Public License, version 3": "AGPL-3.0",
+        "redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.": "GPL-3.0",
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY": "MIT",
+        "BSD 3-Clause license": "BSD-3-Clause", "Licensed under CC BY-ND 4.0": "CC-BY-ND-4.0",
+    }
+    for text, name in notices.items():
+        assert [x[2] for x in licenses.find("Before it. licensed under " * text.startswith("the") + text + " After it.")] == [name], text
     assert got == {1: [("CC-BY-NC-4.0", 0)], 2: [("MIT", 0), ("Apache-2.0", 0)], 3: [], 4: [("GPL-3.0", 0)], 5: [("GPL-2.0", 0)], 6: [("MIT", 1)], 7: [("CC-BY-4.0", 0)]}
     for r in licenses.scan(docs(spark, rows)).collect():
         text = rows[r["doc_id"] - 1][1]
