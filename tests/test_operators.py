@@ -219,3 +219,22 @@ def test_streams_equal_their_batch_twins(spark, tmp_path):
     fold = {r["session_id"]: (r["answered"], r["skipped"], r["discarded"], r["state"]) for r in run(stream.fold_sessions(live(), 2), "fold", "update").collect()}
     assert fold == {r["session_id"]: (r["answered"], r["skipped"], r["discarded"], r["state"]) for r in stream.fold_sessions(table, 2).collect()}
     assert fold == {1: (1, 1, 2, "completed"), 2: (0, 0, 1, "time_expired"), 3: (1, 0, 0, "answering")}
+
+
+def test_rejected_rows_of_a_file_mark_nothing(spark):
+    from studylake.operators import pools
+
+    new = spark.createDataFrame([(1, 1, "x", "What is stored?"), (1, 2, "x", "What is new?"), (1, 3, "x", "What else?"), (1, 4, None, "what is new")], "subject_id long, line long, external_id string, question string")
+    stored = spark.createDataFrame([(1, "y", "what is stored")], "subject_id long, external_id string, question_text string")
+    got = {r["line"]: r["reason"] for r in pools.preview(new, stored).collect()}
+    assert got == {1: "duplicate question text", 2: None, 3: "duplicate external ID", 4: "duplicate question text"}
+
+
+def test_rescue_by_an_acronym(spark):
+    from studylake.operators import retrieval
+
+    queries = spark.createDataFrame([(1, 1, "What is an LMS?")], "query_id long, subject_id long, text string")
+    units = spark.createDataFrame([(7, 1, "An LMS helps learners"), (8, 1, "an lms in small letters")], "id long, subject_id long, content string")
+    kept = spark.createDataFrame([], "query_id long, unit_id long")
+    got = {r["unit_id"]: r["score"] for r in retrieval.rescue(queries, units, kept).collect()}
+    assert got.keys() == {7} and abs(got[7] - 0.7) < 1e-9
