@@ -21,11 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import in_batches, release, rows_of, to_batches
+from .common import in_batches, rows_of, to_batches
 
 #: Entries (about 200 bytes each) in a generation of a worker's tables, of chunks and of shorter strings; two generations
 #: are held at most, and none once a task has ended.
-CHUNKS, PARTS = 90_000, 60_000
+CHUNKS, PARTS = 60_000, 40_000
 
 #: Strings up to this length are merged directly; they are the leaves of the tree.
 LEAF_BYTES = 5
@@ -252,7 +252,6 @@ class TreeEncoder:
         """Empty the tables, so that a worker that waits for its next task holds the vocabulary alone."""
         for held in (self.windows, self.chunks, self.fits):
             held.forget()
-        release()
 
 
 def decode_ids(ids: array, bytes_of: dict[int, bytes]) -> bytes:
@@ -378,7 +377,6 @@ class HeapCounter:
     def forget(self) -> None:
         self.pieces.forget()
         self.chunks.forget()
-        release()
 
 
 def _byte_letters() -> list[str]:

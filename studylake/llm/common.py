@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
@@ -22,6 +23,9 @@ def release() -> None:
     """Give memory that a task is done with back to the system, as its worker may wait for long."""
     gc.collect()
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the C library keeps what is freed, where it is glibc
+    if trim is not None:
+        trim(0)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,11 +57,16 @@ def to_batches(rows: Iterable[tuple], schema: pa.Schema, weigh: int | None = Non
 
 def in_batches(df: DataFrame, run, schema) -> DataFrame:
     """`df.mapInArrow`, fed with batches of at most BATCH_ROWS rows, so that texts don't pile up on both sides of the
-    pipe: it lowers the session's limit where that is higher."""
+    pipe: it lowers the session's limit where that is higher. After each task the worker gives its memory back."""
     limit = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(df.sparkSession.conf.get(limit)) <= BATCH_ROWS:
         df.sparkSession.conf.set(limit, BATCH_ROWS)
-    return df.mapInArrow(run, schema)
+
+    def released(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return df.mapInArrow(released, schema)
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
