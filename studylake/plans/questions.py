@@ -25,7 +25,8 @@ def topics(s, d):
 
 def _named(s, d):
     """Topics of units: their labels as names."""
-    return s.range(10).select(F.col("id"), F.concat(F.lit("Topic "), F.col("id").cast("string"), F.lit(" model")).alias("name"))
+    ids = units(s, d).select(F.col("topic_id").cast("bigint").alias("id")).distinct()
+    return ids.select("id", F.concat(F.lit("Topic "), F.col("id").cast("string"), F.lit(" model")).alias("name"))
 
 
 def titled_units(s, d):
@@ -128,16 +129,16 @@ def _cards(s, d):
 
 
 def _next(s, d):
-    q = questions(s, d).select(F.col("id").alias("question_id"), "subject_id", F.array("evidence_id_1", "evidence_id_2").alias("evidence_ids"))
-    sessions = attempts(s, d).groupBy("session_id", "subject_id").agg(F.max(F.col("question_id") % 500).alias("m"), F.min("question_id").alias("low"))
-    rows = sessions.where("session_id % 16 = 3").join(q.where("question_id <= 300"), "subject_id")
-    return P.next_question(rows.select("session_id", F.col("question_id").alias("place"), "question_id", (F.col("question_id") <= F.col("low")).alias("used"), "evidence_ids", F.array("m", F.col("m") + 7, F.col("m") + 14).alias("missing_ids")))
+    q = questions(s, d).select(F.col("id").alias("question_id"), "subject_id", F.col("id").alias("place"), F.array("evidence_id_1", "evidence_id_2").alias("evidence_ids"))
+    sessions = attempts(s, d).groupBy("session_id", "subject_id").agg(F.max(F.col("question_id") % 500).alias("m"))
+    sessions = sessions.select("session_id", "subject_id", F.array("m", F.col("m") + 7, F.col("m") + 14).alias("missing_ids"))
+    return P.next_questions(sessions, q, attempts(s, d).select("session_id", "question_id").distinct())
 
 
 QUERIES = {
     "d1_canonical_topics": lambda s, d: D.canonical(topics(s, d)),
     "d2_evidence_counts": lambda s, d: D.evidence_counts(_named(s, d), units(s, d)),
-    "d3_active_topics": lambda s, d: D.active(_named(s, d), units(s, d).where("subject_id = 1 AND id % 3 = 0")).select("id", "name"),
+    "d3_active_topics": lambda s, d: D.active(_named(s, d), units(s, d).where("review_status <> 'quarantined'")).select("id", "name"),
     "d4_resolve_topics": lambda s, d: D.resolve(questions(s, d).select("subject_id", F.concat("topic_name", F.lit(" "), "difficulty").alias("name")), topics(s, d).where("id % 2 = 0").withColumn("name", F.concat(F.regexp_extract("name", r"(Brand#\d+)", 1), F.lit(" easy")))),
     "d5_backfill_topics": lambda s, d: D.backfill(units(s, d).select("id", "document_id", "source_start", F.when(F.col("id") % 3 == 0, F.lit("given")).alias("topic_name"), (F.col("id") % 10 == 1).alias("authoritative")), units(s, d).where("id % 2 = 0").select("document_id", F.col("source_start").alias("page"), F.concat(F.lit("T"), F.col("topic_id").cast("string")).alias("title"))),
     "d6_infer_topics": lambda s, d: D.infer(questions(s, d), R.evidence_of(questions(s, d), units(s, d)).join(units(s, d).select(F.col("id").alias("unit_id"), "topic_id"), "unit_id").select(F.col("question_id").alias("id"), F.col("topic_id").cast("bigint").alias("topic_id")), questions(s, d).where("id % 40 = 0").select("subject_id", "id", F.element_at(F.split("question_text", "[ ?]"), 3).alias("name"))),
@@ -164,7 +165,7 @@ QUERIES = {
     "f8_duplicate_questions": lambda s, d: G.duplicate_questions(G.near_questions(questions(s, d).where("id % 50 = 0"), questions(s, d))).select("id", "other_id"),
     "f9_vector_problems": lambda s, d: G.vector_problems(units(s, d).select("id", F.when(F.col("id") % 13 == 0, F.transform("embedding", lambda x: x * 0)).when(F.col("id") % 17 != 0, F.col("embedding")).alias("embedding"))),
     "f10_verdicts": lambda s, d: G.verdicts(questions(s, d).select("id", (F.col("id") % 3 != 0).alias("grounded"), (F.col("id") % 4 != 0).alias("clear"), (F.col("id") % 5 == 0).alias("duplicate"), F.when(F.col("id") % 7 == 0, F.array(F.lit("low_quality"))).otherwise(F.array().cast("array<string>")).alias("reasons")), ["grounded", "clear"]).withColumn("reasons", F.array_join("reasons", ",")),
-    "f11_storable": lambda s, d: G.storable(questions(s, d).where("id % 2 = 0"), questions(s, d).where("id % 2 = 1 AND id < 200")).select("id", "subject_id"),
+    "f11_storable": lambda s, d: G.storable(questions(s, d).where("review_status = 'accepted'"), questions(s, d).where("review_status <> 'accepted'")).select("id", "subject_id"),
     "f12_acceptance": lambda s, d: G.acceptance(questions(s, d).withColumn("has_rubric", F.col("id") % 8 != 0), units(s, d)),
     "f13_citation_gate": lambda s, d: G.citation_gate(questions(s, d).select("id", F.array("evidence_id_1").alias("referenced"), F.when(F.col("id") % 3 == 0, F.array().cast("array<bigint>")).otherwise(F.array("evidence_id_2")).alias("cited"), F.array("evidence_id_1", F.col("id") % 250).alias("allowed"))).withColumn("unknown", F.array_join(F.transform("unknown", lambda x: x.cast("string")), ",")),
     "f14_uncovered_targets": lambda s, d: G.uncovered_targets(units(s, d).select(F.col("id").alias("unit_id"), F.posexplode(F.split("content", r"(?<=[.!?])\s+")).alias("k", "sentence")), units(s, d).select(F.col("id").alias("unit_id"), F.substring("content", 1, 80).alias("text"))).select("unit_id", "k"),
@@ -241,8 +242,8 @@ _SAME = """s AS (SELECT id, subject_id, raw_heading AS name, topic_name AS title
 ORACLE_SQL = {
     "d1_canonical_topics": with_views("questions", f"""{_SAME}, h AS (SELECT subject_id, title, min(id) AS new_id FROM s GROUP BY ALL)
         SELECT id, subject_id, name, new_id, title AS new_name, CASE WHEN new_id <> id THEN 'merged' ELSE 'renamed' END AS action FROM s JOIN h USING (subject_id, title)"""),
-    "d2_evidence_counts": with_views("units", "SELECT r.id, count(u.id) AS evidence_count FROM range(10) r(id) LEFT JOIN units u ON u.topic_id = r.id AND u.review_status = 'accepted' GROUP BY r.id"),
-    "d3_active_topics": with_views("units", "SELECT DISTINCT topic_id::BIGINT AS id, 'Topic ' || topic_id || ' model' AS name FROM units WHERE subject_id = 1 AND id % 3 = 0"),
+    "d2_evidence_counts": with_views("units", "SELECT r.id, count(u.id) AS evidence_count FROM (SELECT DISTINCT topic_id::BIGINT AS id FROM units) r LEFT JOIN units u ON u.topic_id = r.id AND u.review_status = 'accepted' GROUP BY r.id"),
+    "d3_active_topics": with_views("units", "SELECT DISTINCT topic_id::BIGINT AS id, 'Topic ' || topic_id || ' model' AS name FROM units WHERE review_status <> 'quarantined'"),
     "d5_backfill_topics": with_views("units", """h AS (SELECT document_id, source_start, min('T' || topic_id) AS title FROM units WHERE id % 2 = 0 GROUP BY ALL HAVING count(DISTINCT topic_id) = 1)
         SELECT id, CASE WHEN id % 3 = 0 THEN 'given' WHEN id % 10 = 1 THEN NULL ELSE title END AS topic_name FROM units LEFT JOIN h USING (document_id, source_start)"""),
     "d7_reclassify": with_views("questions", """r AS (SELECT id, CASE WHEN id % 4 = 0 THEN id % 7 WHEN id % 5 <> 0 AND id % 2 = 0 THEN 3 END AS topic_id, id % 5 <> 0 AND id % 4 <> 0 AND id % 2 = 0 AS assigned FROM questions) SELECT *, topic_id IS NULL AS unresolved FROM r"""),
@@ -268,7 +269,7 @@ ORACLE_SQL = {
     "f9_vector_problems": with_views("units", "SELECT id, CASE WHEN id % 13 = 0 THEN 'zero' WHEN id % 17 = 0 THEN 'missing' ELSE 'valid' END AS state FROM units"),
     "f10_verdicts": with_views("questions", """r AS (SELECT id, list_sort(list_filter([CASE WHEN id % 3 = 0 THEN 'grounded' END, CASE WHEN id % 4 = 0 THEN 'clear' END, CASE WHEN id % 5 = 0 THEN 'duplicate' END, CASE WHEN id % 7 = 0 THEN 'low_quality' END], lambda x: x IS NOT NULL)) AS r FROM questions)
         SELECT id, len(r) = 0 AS accepted, array_to_string(r, ',') AS reasons FROM r"""),
-    "f11_storable": with_views("questions", "SELECT min(id) AS id, subject_id FROM questions q WHERE id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM questions o WHERE o.id % 2 = 1 AND o.id < 200 AND o.subject_id = q.subject_id AND o.question_text = q.question_text) GROUP BY subject_id, question_text"),
+    "f11_storable": with_views("questions", "SELECT min(id) AS id, subject_id FROM questions q WHERE review_status = 'accepted' AND NOT EXISTS (SELECT 1 FROM questions o WHERE o.review_status <> 'accepted' AND o.subject_id = q.subject_id AND o.question_text = q.question_text) GROUP BY subject_id, question_text"),
     "f12_acceptance": with_views("questions units", """r AS (SELECT id, CASE WHEN evidence_id_1 NOT IN (SELECT id FROM units WHERE review_status = 'accepted') OR evidence_id_2 NOT IN (SELECT id FROM units WHERE review_status = 'accepted') THEN 'evidence_not_accepted' WHEN id % 8 = 0 THEN 'no_rubric' END AS reason FROM questions)
         SELECT id, reason IS NULL AS acceptable, reason FROM r"""),
     "f13_citation_gate": with_views("questions", """u AS (SELECT id, CASE WHEN id % 3 = 0 THEN [evidence_id_1] ELSE list_distinct([evidence_id_1, evidence_id_2]) END AS used, id % 3 <> 0 AS cites, [evidence_id_1, id % 250] AS allowed FROM questions),
@@ -276,7 +277,11 @@ ORACLE_SQL = {
     "g1_preview": recursive("questions", f"{_IMPORTS} SELECT subject_id, line, external_id, question, reason FROM preview"),
     "g2_counts": recursive("questions", f"{_IMPORTS} SELECT subject_id, priority, count(*) AS n FROM preview WHERE reason IS NULL GROUP BY ALL"),
     "g4_disable": with_views("questions", "SELECT id, enabled AND coalesce(question_pool_id, 0) <> 2 AS enabled FROM questions"),
-    "g5_listed": with_views("questions", "SELECT id, CASE WHEN id % 20 < 10 THEN 'Topic ' || (id % 20) || ' model' WHEN id % 3 = 0 THEN 'Unassigned' ELSE topic_name END AS topic FROM questions WHERE review_status = 'accepted' AND enabled"),
+    "g5_listed": with_views("questions units", "SELECT id, CASE WHEN id % 20 IN (SELECT topic_id FROM units) THEN 'Topic ' || (id % 20) || ' model' WHEN id % 3 = 0 THEN 'Unassigned' ELSE topic_name END AS topic FROM questions WHERE review_status = 'accepted' AND enabled"),
+    "g12_next_question": with_views("attempts questions", """s AS (SELECT session_id, subject_id, max(question_id % 500) AS m FROM attempts GROUP BY ALL),
+        c AS (SELECT s.session_id, q.id, row_number() OVER (PARTITION BY s.session_id ORDER BY NOT (q.evidence_id_1 IN (m, m + 7, m + 14) OR q.evidence_id_2 IN (m, m + 7, m + 14)), q.id) AS k
+        FROM s JOIN questions q USING (subject_id) WHERE NOT EXISTS (SELECT 1 FROM attempts a WHERE a.session_id = s.session_id AND a.question_id = q.id))
+        SELECT session_id, id AS next_question_id FROM c WHERE k = 1"""),
     "g7_practice_candidates": with_views("questions", "SELECT id, subject_id, difficulty FROM questions WHERE review_status = 'accepted' AND enabled AND difficulty IN ('easy', 'hard') AND priority = 'A'"),
     "g8_recent": with_views("attempts", f"{RECENT} SELECT * FROM recent"),
     "g9_balanced_sample": with_views("questions attempts", f"""{CONCEPTS}, {RECENT}, o AS (SELECT subject_id, concept, min(id) AS id, arg_min(topic_name, id) AS topic_name FROM concepts GROUP BY ALL),

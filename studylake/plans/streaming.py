@@ -20,7 +20,7 @@ def _late(s, d):
 
 
 QUERIES = {
-    "a10_catalogue": lambda s, d: catalogue(lines(s, d).withColumn("line", F.when(F.col("line_no") % 3 == 1, F.concat(F.col("line_no").cast("string"), F.lit(". "), "line")).otherwise(F.col("line"))).where("line_no <= 6")).select("doc_id", "number", F.length("question").alias("n")),
+    "a10_catalogue": lambda s, d: catalogue(lines(s, d).withColumn("line", F.when(F.col("line_no") % 3 == 1, F.concat(F.col("line_no").cast("string"), F.lit(". "), "line")).otherwise(F.col("line")))).select("doc_id", "number", F.length("question").alias("n")),
     "n1_exactly_once": lambda s, d: N.exactly_once(attempts(s, d)).select("session_id", "question_id", "id"),
     "n2_late_answers": _late,
     "n3_session_fold": lambda s, d: N.fold_sessions(sessions(s, d), 2).withColumn("last_at", F.date_format("last_at", "yyyy-MM-dd HH:mm:ss")),
