@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dartminhash, langid, licenses, mixing, nndescent, quality, secrets, suffixes
-from .common import table
+from . import bpe, dartminhash, langid, licenses, mixing, nndescent, prefixtrie, quality, secrets, subword, suffixes, veccode
+from .common import table, written
 
 RANKS, VOCABULARY, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
 
@@ -91,6 +91,26 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    books = veccode.learn(vectors)
+    coded = written(veccode.compress(vectors, books, keep=["vec_id", "label"]), "vector-codes")
+    found = veccode.with_label_error(coded)
+    return found.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seqs = written(prefixtrie.sequences(table(spark, sf_dir, "conversations")), "trie-turns")
+    return prefixtrie.nodes(written(prefixtrie.rebuilt(seqs), "trie-paths"))
+
+
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = subword.learn(docs, table(spark, sf_dir, "labels").where(~held_out()))
+    scored = subword.score(docs, model)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_mixing": op2_mixing,
@@ -102,6 +122,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_secret_scan": op9_secret_scan,
     "op10_quality_rules": op10_quality_rules,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_quality_classifier": op13_quality_classifier,
 }
 
 def _secret_sql() -> str:
@@ -156,7 +179,59 @@ def mix_sql(documents: str, plan: mixing.Plan) -> str:
         CAST(CASE WHEN fin > rest AND fin - n_tokens < rest THEN rest - (fin - n_tokens) ELSE 0 END AS BIGINT) AS part_tokens FROM r)"""
 
 
+def _vector_code_sql() -> str:
+    """One block of CTEs for each round: the nearest entry of every part, and the entries' means rounded down."""
+    parts, entries = veccode.PARTS, veccode.ENTRIES
+    assigned = """SELECT vec_id, part, pos_list, arg_min(entry, (dist, entry)) AS entry, min(dist) AS dist FROM (
+        SELECT x.vec_id, x.part, x.vals AS pos_list, b.entry, list_sum(list_transform(list_zip(x.vals, b.vals), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS dist FROM x JOIN {books} b USING (part))
+        GROUP BY ALL"""
+    ctes = f"""
+    v AS (SELECT vec_id, label, list_transform(embedding, lambda e: CAST(floor(CAST(e AS DOUBLE) * {veccode.SCALE}) AS BIGINT)) AS c FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+    x AS MATERIALIZED (SELECT vec_id, p.part, c[p.part * len(c) // {parts} + 1 : (p.part + 1) * len(c) // {parts}] AS vals FROM v, (SELECT unnest(range({parts})) AS part) p),
+    seeds AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM v ORDER BY vec_id LIMIT {entries}),
+    b0 AS MATERIALIZED (SELECT part, entry, vals FROM x JOIN seeds USING (vec_id))"""
+    for k in range(veccode.ROUNDS):
+        ctes += f""",
+    a{k} AS ({assigned.format(books=f"b{k}").replace("GROUP BY ALL", "GROUP BY vec_id, part, pos_list")}),
+    s{k} AS (SELECT part, entry, i, CAST(sum(pos_list[i]) AS BIGINT) AS s, count(*) AS n FROM a{k}, (SELECT unnest(range(1, (SELECT max(len(vals)) FROM x) + 1)) AS i) GROUP BY ALL),
+    m{k} AS (SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY i) AS vals FROM s{k} GROUP BY part, entry),
+    b{k + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m{k}.vals, b{k}.vals) AS vals FROM b{k} LEFT JOIN m{k} USING (part, entry))"""
+    last = f"b{veccode.ROUNDS}"
+    return f"""WITH {ctes},
+    f AS ({assigned.format(books=last).replace("GROUP BY ALL", "GROUP BY vec_id, part, pos_list")}),
+    e AS (SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(dist) AS BIGINT) AS error FROM f GROUP BY vec_id)
+    SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+        (SELECT sha256(string_agg(array_to_string(vals, ','), ',' ORDER BY part, entry)) FROM {last}) AS codebooks_sha256 FROM e JOIN v USING (vec_id)"""
+
+
+#: Every node is a row (depth, path) of its conversations; leaves and saved tokens go up along the smallest one's path.
+#: The CRC-32 of an id's decimals is folded over its characters by the table of the polynomial.
+_TRIE_SQL = r"""
+    WITH z AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda a, b: xor(a >> 1, (a & 1) * 3988292384)) ORDER BY i) AS crc FROM (SELECT unnest(range(256)) AS i)),
+    t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, turn FROM conversations WHERE conv_id IS NOT NULL),
+    k AS (SELECT conv_id, sha256(octet_length(encode(role)) || ':' || role || text) AS key, len(regexp_extract_all(text, '[^ 	-
+]+')) AS words, turn, role FROM t),
+    o AS (SELECT conv_id, key, words, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, key) AS i FROM k),
+    c AS (SELECT conv_id, conv_id - conv_id % 20 AS base, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT))),
+        lambda a, b: xor(a >> 8, crc[(xor(a, b) & 255) + 1])), 4294967295) % 4 AS h FROM (SELECT DISTINCT conv_id FROM t), z),
+    r AS (SELECT c.conv_id, i, key, words FROM c JOIN o USING (conv_id) WHERE i > h
+        UNION ALL SELECT c.conv_id, i, key, words FROM c JOIN o ON o.conv_id = c.base WHERE i <= h),
+    q AS (SELECT conv_id, key, words, row_number() OVER (PARTITION BY conv_id ORDER BY i) AS depth FROM r),
+    p AS (SELECT conv_id, depth, words, sha256(string_agg(key, '') OVER (PARTITION BY conv_id ORDER BY depth)) AS path FROM q UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+    l AS (SELECT *, lag(path) OVER (PARTITION BY conv_id ORDER BY depth) AS parent, depth = max(depth) OVER (PARTITION BY conv_id) AS ends FROM p),
+    n AS (SELECT depth, path, any_value(parent) AS parent, any_value(words) AS words, min(conv_id) AS conv_id, count(*) AS n_convs,
+        sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM l GROUP BY depth, path),
+    k2 AS (SELECT depth - 1 AS depth, parent AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+    m AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k2 USING (depth, path)),
+    u AS (SELECT l.depth, l.path, sum(CASE WHEN m.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((m.n_convs - 1) * m.words) AS saved_tokens
+        FROM m JOIN l ON l.conv_id = m.conv_id AND l.depth <= m.depth GROUP BY ALL)
+    SELECT m.conv_id, m.depth, up.conv_id AS parent_conv_id, m.n_convs, m.n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, m.ends_sha256
+    FROM m JOIN u USING (depth, path) LEFT JOIN n up ON up.depth = m.depth - 1 AND up.path = m.parent"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_vector_codes": _vector_code_sql(),
+    "op12_prefix_trie": _TRIE_SQL,
     "op2_mixing": f"WITH {mix_sql('documents', MIX)} SELECT * FROM mixed WHERE copies > 0 OR part_tokens > 0",
     "op9_secret_scan": _secret_sql(),
 }
