@@ -10,11 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from . import similar
 
 # Limits of the gates.
 MIN_QUALITY, MIN_QUOTE, MIN_WORDS, MAX_WORDS, MAX_CHARS = 0.8, 20, 4, 55, 450
 SUPPORTED, REPEATS, SAME_SIDE = 0.6, 0.9, 0.8
-FUZZY_TERM, FUZZY_CONCEPT, FUZZY_QUESTION, SAME_TERMS = 0.86, 0.82, 0.9, 0.8
+FUZZY_TERM, FUZZY_CONCEPT, FUZZY_QUESTION, SAME_TERMS, SAME_VECTORS = 0.86, 0.82, 0.9, 0.8, 0.92
 BATCH_UNITS, BATCH_CHARS, BATCH_WORDS = 4, 12_000, 8
 # Question forms.
 DANGLING = r"\b(?:does|do)\b.+\ballow(?:s)?\s+.+\s+from\?$"
@@ -139,13 +140,13 @@ def subsumed(points: DataFrame, existing: DataFrame) -> DataFrame:
     return held.join(total, "question_id").where("held = total").select("question_id", "other_id")
 
 
-def near_questions(candidates: DataFrame, existing: DataFrame) -> DataFrame:
-    """F8: pairs (id, other_id) of candidates and existing questions (id, subject_id, question_text) that repeat each
-    other: same terms by more than 0.8, a prefix of five words and more, or nearly the same letters.
+def near_questions(candidates: DataFrame, existing: DataFrame, letters: bool = True) -> DataFrame:
+    """F8: pairs (id, other_id) of candidates and existing questions (id, subject_id, question_text) that can repeat each
+    other: same terms by more than 0.8, a prefix of five words and more, or (unless not asked for) nearly the same letters.
 
     Pairs meet by a shared rare term: two texts alike by more than 0.8 share one of the rarest fifth of their terms, by how
-    often they occur in the subject. Prefixes meet by equality of one question with the first words of the other. For the
-    letters no bound is known that leaves few pairs: they are compared for the pairs that meet, and for no others.
+    often they occur in the subject. Prefixes meet by equality of one question with the first words of the other, and
+    letters by shared rare grams (`similar.letter_candidates`); no pair that repeats is lost by any of the three.
     """
     key = X.question_key(F.col("question_text"))
     one = candidates.select("id", "subject_id", "question_text", key.alias("key"), X.question_terms(F.col("question_text")).alias("terms"))
@@ -166,14 +167,18 @@ def near_questions(candidates: DataFrame, existing: DataFrame) -> DataFrame:
     whole = [df.select("id", "subject_id", "key") for df in (one, two)]
     begun = [x.withColumnRenamed("id", "a").join(y.withColumnRenamed("id", "b"), ["subject_id", "key"]).select("subject_id", "a", "b") for x, y in ((beginnings(one), whole[1]), (whole[0], beginnings(two)))]
     met = rarest(one).withColumnRenamed("id", "a").join(rarest(two).withColumnRenamed("id", "b"), ["subject_id", "term"]).select("subject_id", "a", "b")
-    met = met.unionByName(begun[0]).unionByName(begun[1]).where("a != b").distinct()
+    met = met.unionByName(begun[0]).unionByName(begun[1])
+    if letters:
+        folded = [df.select("id", "subject_id", X.casefold(F.col("question_text")).alias("text")) for df in (candidates, existing)]
+        met = met.unionByName(similar.letter_candidates(*folded, FUZZY_QUESTION))
+    met = met.where("a != b").distinct()
     left = one.select(F.col("id").alias("a"), "subject_id", F.col("key").alias("key_a"), F.col("terms").alias("terms_a"), F.col("question_text").alias("text_a"))
     right = two.select(F.col("id").alias("b"), "subject_id", F.col("key").alias("key_b"), F.col("terms").alias("terms_b"), F.col("question_text").alias("text_b"))
     rows = met.join(left, ["a", "subject_id"]).join(right, ["b", "subject_id"])
     jaccard = F.size(F.array_intersect("terms_a", "terms_b")) / F.greatest(F.lit(1), F.size(F.array_union("terms_a", "terms_b")))
     short, long = F.when(F.length("key_a") <= F.length("key_b"), F.col("key_a")).otherwise(F.col("key_b")), F.when(F.length("key_a") <= F.length("key_b"), F.col("key_b")).otherwise(F.col("key_a"))
     prefix = (F.size(F.split(short, " ")) >= 5) & F.startswith(long, F.concat(short, F.lit(" ")))
-    return rows.select(F.col("a").alias("id"), F.col("b").alias("other_id"), jaccard.alias("jaccard"), prefix.alias("prefix"), F.lower("text_a").alias("text_a"), F.lower("text_b").alias("text_b"))
+    return rows.select(F.col("a").alias("id"), F.col("b").alias("other_id"), jaccard.alias("jaccard"), prefix.alias("prefix"), X.casefold(F.col("text_a")).alias("text_a"), X.casefold(F.col("text_b")).alias("text_b"))
 
 
 def duplicate_questions(pairs: DataFrame) -> DataFrame:
@@ -196,6 +201,12 @@ def vector_problems(vectors: DataFrame) -> DataFrame:
     return vectors.select("id", F.when(v.isNull() | (F.size(v) == 0), "missing").when(odd, "not_finite").when(norm <= 1e-12, "zero").otherwise("valid").alias("state"))
 
 
+def vector_duplicates(candidates: DataFrame, existing: DataFrame) -> DataFrame:
+    """pairs (id, other_id, cosine) of candidates and existing questions (id, subject_id, embedding) of a subject whose
+    vectors are alike by 0.92 or more; vectors that have a problem have no pairs."""
+    return similar.vector_pairs(candidates, existing, SAME_VECTORS)
+
+
 def verdicts(rows: DataFrame, checks: list[str]) -> DataFrame:
     """accepted if all boolean checks hold, nothing repeats and no reason stands; the reasons of all three."""
     failed = F.array_compact(F.array(*(F.when(~F.coalesce(F.col(c), F.lit(False)), c) for c in checks)))

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from . import similar
 
 # Weights and threshold of the hybrid score, of the rescue, and of relevance.
 SEMANTIC, LEXICAL, KEEP_FROM = 0.82, 0.18, 0.28
@@ -36,43 +35,38 @@ def to_embed(units: DataFrame, cache: DataFrame) -> DataFrame:
 def nearest(queries: DataFrame, units: DataFrame, n: int) -> DataFrame:
     """The n closest units of each query (query_id, subject_id, vector) in its subject, by inner product.
 
-    Units and query blocks meet by subject; each task keeps n of each query before the global ranking, so that what is
-    shuffled again is bounded by queries, tasks and n.
+    Queries and units of a subject meet block by block, as many blocks as their numbers ask for; each pair of blocks
+    keeps n units of a query before the global ranking.
     """
-    blocks = queries.groupBy("subject_id", F.floor(F.pmod(F.xxhash64("query_id"), F.lit(1 << 30)) / ((1 << 30) // 8)).cast("int").alias("block")).agg(
-        F.collect_list("query_id").alias("ids"), F.flatten(F.collect_list("vector")).alias("vectors")
-    )
-    pairs = units.select(F.col("id").alias("unit_id"), "subject_id", "vector").join(blocks, "subject_id")
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict = {}
-
-        def take(unit_ids, vectors, ids, matrix):
-            sims = matrix @ vectors.T
-            for row, query in enumerate(ids):
-                kept = best.setdefault(query, [])
-                top = np.argsort(-sims[row], kind="stable")[:n] if len(unit_ids) > n else range(len(unit_ids))
-                kept += [(-float(sims[row, k]), unit_ids[k]) for k in top]
-                kept.sort()
-                del kept[n:]
-
-        for batch in batches:
-            groups: dict = {}
-            for unit, subject, vector, block, ids, flat in zip(*(c.to_pylist() for c in batch.columns)):
-                group = groups.setdefault((subject, block), ([], [], ids, flat))
-                group[0].append(unit)
-                group[1].append(vector)
-            for unit_ids, vectors, ids, flat in groups.values():
-                take(unit_ids, np.array(vectors), ids, np.array(flat).reshape(len(ids), -1))
-        rows = [(q, u, -s) for q, kept in best.items() for s, u in kept]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "unit_id", "semantic"])
-
-    found = pairs.select("unit_id", "subject_id", "vector", "block", "ids", "vectors").mapInArrow(run, "query_id long, unit_id long, semantic double")
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        rows: tuple[list, list, list] = ([], [], [])
+        if len(left) and len(right):
+            right = right.sort_values("unit_id")
+            vectors, unit_ids = np.stack(right["vector"].to_numpy()), right["unit_id"].to_numpy()
+            for query, vector in zip(left["query_id"], left["vector"]):
+                semantic = vectors @ vector
+                top = np.argsort(-semantic, kind="stable")[:n]
+                for column, values in zip(rows, ([query] * len(top), unit_ids[top], semantic[top])):
+                    column.extend(values)
+        return pd.DataFrame(dict(zip(("query_id", "unit_id", "semantic"), rows))).astype({"query_id": "int64", "unit_id": "int64", "semantic": "float64"})
+
+    units = units.select(F.col("id").cast("long").alias("unit_id"), "subject_id", "vector")
+    queries = queries.select(F.col("query_id").cast("long"), "subject_id", "vector").where("vector IS NOT NULL")
+    found = similar.in_block_pairs(queries, units, run, "query_id long, unit_id long, semantic double", ["subject_id"], "query_id", "unit_id")
     place = Window.partitionBy("query_id").orderBy(F.desc("semantic"), "unit_id")
     return found.withColumn("place", F.row_number().over(place)).where(F.col("place") <= n)
 
 
+def of_topic(rows: DataFrame, queries: DataFrame, units: DataFrame) -> DataFrame:
+    """Of rows (query_id, unit_id) those whose unit has the query's topic; queries without a topic keep all. It
+    goes after the first N, so a topic that is rare among them finds few."""
+    topics = units.select(F.col("id").alias("unit_id"), F.col("topic_id").alias("__unit_topic"))
+    asked = queries.select("query_id", F.col("topic_id").alias("__asked"))
+    joined = rows.join(topics, "unit_id").join(asked, "query_id")
+    return joined.where("__asked IS NULL OR __asked = __unit_topic").drop("__asked", "__unit_topic")
+
+
 def overlap(queries: DataFrame, units: DataFrame, tokens=X.long_tokens) -> DataFrame:
     """Shared tokens of queries and units of a subject, by an equal token; units without one do not appear."""
     q = queries.select("query_id", "subject_id", F.explode(tokens(F.col("text"))).alias("token"))

@@ -44,6 +44,14 @@ def query_vectors(s, d):
     return rows.select(F.col("id").alias("query_id"), "subject_id", "vector", F.col("content").alias("text"))
 
 
+def question_vectors(s, d):
+    """Questions with the sum of their two units' vectors; questions on the same units are alike."""
+    rows = questions(s, d).select("id", "subject_id", "evidence_id_1", "evidence_id_2")
+    for k in (1, 2):
+        rows = rows.join(units(s, d).select(F.col("id").alias(f"evidence_id_{k}"), F.col("embedding").alias(f"v{k}")), f"evidence_id_{k}", "left")
+    return rows.select("id", "subject_id", F.zip_with("v1", "v2", lambda x, y: x.cast("double") + y.cast("double")).alias("embedding"))
+
+
 def _shared(s, d):
     return R.overlap(query_vectors(s, d), R.corpus(units(s, d)))
 
@@ -161,9 +169,10 @@ QUERIES = {
     "f5_concepts": lambda s, d: G.concept_problems(_candidates(s, d)).select("id", F.array_join("problems", ",").alias("problems")),
     "f6_comparisons": lambda s, d: G.comparison_problems(_asked(s, d).withColumn("rubric", F.concat_ws(" ", "topic_name", "question_type"))).select("id", F.array_join("problems", ",").alias("problems")),
     "f7_subsumed": lambda s, d: G.subsumed(_points(s, d).where("question_id % 2 = 0"), _points(s, d).where("question_id % 2 = 1")),
-    "f8_near_questions": lambda s, d: G.near_questions(questions(s, d), questions(s, d)).where(f"jaccard > {G.SAME_TERMS} OR prefix").select("id", "other_id", F.round("jaccard", 9).alias("jaccard"), "prefix"),
+    "f8_near_questions": lambda s, d: G.near_questions(questions(s, d), questions(s, d), letters=False).where(f"jaccard > {G.SAME_TERMS} OR prefix").select("id", "other_id", F.round("jaccard", 9).alias("jaccard"), "prefix"),
     "f8_duplicate_questions": lambda s, d: G.duplicate_questions(G.near_questions(questions(s, d).where("id % 50 = 0"), questions(s, d))).select("id", "other_id"),
     "f9_vector_problems": lambda s, d: G.vector_problems(units(s, d).select("id", F.when(F.col("id") % 13 == 0, F.transform("embedding", lambda x: x * 0)).when(F.col("id") % 17 != 0, F.col("embedding")).alias("embedding"))),
+    "f9_vector_duplicates": lambda s, d: G.vector_duplicates(question_vectors(s, d).where("id % 50 = 0"), question_vectors(s, d)).withColumn("cosine", F.round("cosine", 6)),
     "f10_verdicts": lambda s, d: G.verdicts(questions(s, d).select("id", (F.col("id") % 3 != 0).alias("grounded"), (F.col("id") % 4 != 0).alias("clear"), (F.col("id") % 5 == 0).alias("duplicate"), F.when(F.col("id") % 7 == 0, F.array(F.lit("low_quality"))).otherwise(F.array().cast("array<string>")).alias("reasons")), ["grounded", "clear"]).withColumn("reasons", F.array_join("reasons", ",")),
     "f11_storable": lambda s, d: G.storable(questions(s, d).where("review_status = 'accepted'"), questions(s, d).where("review_status <> 'accepted'")).select("id", "subject_id"),
     "f12_acceptance": lambda s, d: G.acceptance(questions(s, d).withColumn("has_rubric", F.col("id") % 8 != 0), units(s, d)),
@@ -266,6 +275,9 @@ ORACLE_SQL = {
         p AS (SELECT a.id, b.id AS other_id, len(list_intersect(a.terms, b.terms)) / greatest(1, len(list_distinct(list_concat(a.terms, b.terms)))) AS jaccard,
         CASE WHEN length(a.key) <= length(b.key) THEN len(string_split(a.key, ' ')) >= 5 AND starts_with(b.key, a.key || ' ') ELSE len(string_split(b.key, ' ')) >= 5 AND starts_with(a.key, b.key || ' ') END AS prefix
         FROM k a JOIN k b ON a.subject_id = b.subject_id AND a.id <> b.id) SELECT id, other_id, round(jaccard, 9) AS jaccard, prefix FROM p WHERE jaccard > {G.SAME_TERMS} OR prefix"""),
+    "f9_vector_duplicates": with_views("questions units", """v AS (SELECT q.id, q.subject_id, list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::DOUBLE + z[2]::DOUBLE) AS v FROM questions q
+        JOIN units a ON a.id = evidence_id_1 JOIN units b ON b.id = evidence_id_2)
+        SELECT a.id, b.id AS other_id, round(list_cosine_similarity(a.v, b.v), 6) AS cosine FROM v a JOIN v b ON a.subject_id = b.subject_id AND a.id <> b.id WHERE a.id % 50 = 0 AND list_cosine_similarity(a.v, b.v) >= 0.92"""),
     "f9_vector_problems": with_views("units", "SELECT id, CASE WHEN id % 13 = 0 THEN 'zero' WHEN id % 17 = 0 THEN 'missing' ELSE 'valid' END AS state FROM units"),
     "f10_verdicts": with_views("questions", """r AS (SELECT id, list_sort(list_filter([CASE WHEN id % 3 = 0 THEN 'grounded' END, CASE WHEN id % 4 = 0 THEN 'clear' END, CASE WHEN id % 5 = 0 THEN 'duplicate' END, CASE WHEN id % 7 = 0 THEN 'low_quality' END], lambda x: x IS NOT NULL)) AS r FROM questions)
         SELECT id, len(r) = 0 AS accepted, array_to_string(r, ',') AS reasons FROM r"""),

@@ -38,5 +38,5 @@ ORACLE_SQL = {
         SELECT session_id, coalesce(a, 0)::INT AS answered, coalesce(s, 0)::INT AS skipped, (count(*) - coalesce(a, 0) - coalesce(s, 0))::INT AS discarded, CASE WHEN coalesce(a + s, 0) >= 2 THEN 'completed' WHEN bool_or(created_at >= deadline) THEN 'time_expired' ELSE 'answering' END AS state,
         strftime(last_at, '%Y-%m-%d %H:%M:%S') AS last_at FROM d LEFT JOIN c USING (session_id) GROUP BY session_id, a, s, last_at"""),
     "n4_daily_failures": with_views("attempts", "SELECT strftime(created_at, '%Y-%m-%d') AS day, user_id, subject_id, count(*) AS answers, count(*) FILTER (score < 3) AS failed FROM attempts WHERE score IS NOT NULL GROUP BY ALL"),
-    "n5_metric_minutes": "SELECT strftime(ts, '%Y-%m-%d %H:%M') AS minute, count(*) AS calls, avg(floor(value * 10)) AS mean_latency_ms, CAST(sum(floor(value / 2)) AS BIGINT) AS tokens FROM events GROUP BY ALL",
+    "n5_metric_minutes": "SELECT strftime(ts, '%Y-%m-%d %H:%M') AS minute, count(*) AS calls, avg(floor(value * 10)) AS mean_latency_ms, CAST(sum(floor(value)) AS BIGINT) AS prompt_tokens FROM events GROUP BY ALL",
 }

@@ -132,12 +132,21 @@ def write_catalogue(questions: DataFrame, path: str) -> None:
     questions.write.mode("overwrite").json(f"{path}/json")
 
 
-METRICS = "id bigint, created_at timestamp, cached boolean, latency_ms double, prompt_tokens bigint, tokens bigint"
+#: One schema of a call for A11, M10 and N5, by the log's own names: created_at, cache_hit, total_duration_ms, prompt_tokens,
+#: tokens_per_second, model. Logs carry no ids; one is taken where a line has it.
+METRIC_LOG = "id bigint, created_at timestamp, cache_hit boolean, total_duration_ms double, prompt_tokens bigint, tokens_per_second double, model string"
 
 
-def metrics(spark: SparkSession, path: str) -> DataFrame:
-    """Metrics of JSON lines; lines that do not parse are skipped."""
-    return spark.read.schema(METRICS).json(path, mode="DROPMALFORMED")
+def metrics(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+    """Inference metrics of JSON lines, as a table or as a stream; lines that do not parse are skipped.
+
+    A call that does not say so was not cached; what else a line does not tell is null.
+    """
+    reader = (spark.readStream if stream else spark.read).schema(METRIC_LOG).option("mode", "DROPMALFORMED")
+    rows = reader.json(path)
+    return rows.select(
+        "id", "created_at", F.coalesce("cache_hit", F.lit(False)).alias("cached"), F.col("total_duration_ms").alias("latency_ms"), "prompt_tokens", "tokens_per_second", "model"
+    )
 
 
 def write_report(report: DataFrame, path: str, key: str = "subject_id") -> None:

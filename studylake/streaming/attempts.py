@@ -85,7 +85,7 @@ def daily_failures(answers: DataFrame, below: float = 3, delay: str = "2 days")
 
 
 def metric_minutes(metrics: DataFrame, delay: str = "5 minutes") -> DataFrame:
-    """Calls, mean latency and tokens of each minute."""
+    """Calls, mean latency and prompt tokens of each minute, of calls in the schema of A11."""
     rows = metrics.withWatermark("created_at", delay) if metrics.isStreaming else metrics
-    grouped = rows.groupBy(F.window("created_at", "1 minute")).agg(F.count(F.lit(1)).alias("calls"), F.avg("latency_ms").alias("mean_latency_ms"), F.sum("tokens").alias("tokens"))
-    return grouped.select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("minute"), "calls", "mean_latency_ms", "tokens")
+    grouped = rows.groupBy(F.window("created_at", "1 minute")).agg(F.count(F.lit(1)).alias("calls"), F.avg("latency_ms").alias("mean_latency_ms"), F.sum("prompt_tokens").alias("prompt_tokens"))
+    return grouped.select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("minute"), "calls", "mean_latency_ms", "prompt_tokens")
