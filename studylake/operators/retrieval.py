@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..shared import checkpointed
 from . import similar
 
 # Weights and threshold of the hybrid score, of the rescue, and of relevance.
@@ -160,19 +161,79 @@ def relevance(question: Column, points: Column, content: Column, exact: Column)
     return F.least(F.lit(1.0), F.when(exact, 0.55).otherwise(0.0) + 0.3 * part(X.evidence_tokens(points), 12) + 0.15 * part(X.evidence_tokens(question), 8))
 
 
+def search(queries: DataFrame, units: DataFrame, k: int) -> DataFrame:
+    """E3-E6 in one: for queries (query_id, subject_id, topic_id, text, vector) their best k units (id, subject_id,
+    document_id, topic_id, content, vector): query_id, unit_id, score, place.
+
+    The nearest max(4k, 12) are taken before the topic filter; a query without a topic searches its whole subject, one
+    without a vector finds units by their words only.
+    """
+    placed = units.where("vector IS NOT NULL")
+    near = of_topic(nearest(queries, placed, max(4 * k, 12)), queries, units)
+    kept = hybrid(near, overlap(queries, units), queries, units)
+    pool = kept.unionByName(of_topic(rescue(queries, units, kept), queries, units))
+    return diversified(pool, units, k)
+
+
+#: What is known of a question's evidence once a tier has settled it.
+_RESOLVED = ("id", "strategy", "status", "sufficient", "role", "unit_id", "relevance", "place")
+
+
+def _from_source(questions: DataFrame, units: DataFrame, limit: int) -> DataFrame:
+    """E12, first tiers: the questions that their own source settles, with up to `limit` units in each role."""
+    rows = questions.join(units.select("subject_id", "stem", F.col("id").alias("unit_id"), "page", "content"), ["subject_id", "stem"])
+    asked = F.size(F.coalesce("pages", F.array().cast("array<int>"))) > 0
+    exact = F.coalesce(F.array_contains("pages", F.col("page")), F.lit(False))
+    beside = F.coalesce(F.col("page").between(F.array_min("pages") - 1, F.array_max("pages") + 1), F.lit(False))
+    rows = rows.withColumn("near", asked & (exact | beside)).withColumn("exact", exact)
+    rows = rows.withColumn("relevance", relevance(F.concat_ws(" ", "question_text", "tags"), F.col("points"), F.col("content"), F.col("near")))
+    rows = rows.withColumn("role", F.when(F.col("near"), "near").when(F.col("relevance") >= RELEVANT_FROM, "evidence").otherwise("rejected"))
+    best = [F.when(F.col("near"), F.when(F.col("exact"), 0).otherwise(1)), F.when(F.col("near"), F.col("page")).otherwise(-F.col("relevance")), F.col("page"), F.col("unit_id")]
+    kept = rows.withColumn("place", F.row_number().over(Window.partitionBy("id", "role").orderBy(*best))).where(F.col("place") <= limit)
+    of_all = kept.groupBy("id").agg(F.bool_or(F.col("role") == "near").alias("has_near"), F.bool_or(F.col("role") == "evidence").alias("has_evidence"), F.first("canonical").alias("canonical"), F.first(asked).alias("asked"))
+    by_page = F.col("asked") & (F.col("has_near") | F.col("canonical"))
+    settled = of_all.where(by_page | F.col("has_evidence") | F.col("canonical")).select(
+        "id", F.when(by_page, "exact_source").otherwise("source_search").alias("strategy"),
+        F.when(by_page & F.col("has_near"), "exact_source").when(~by_page & F.col("has_evidence"), "source_search").otherwise("canonical_only").alias("status"),
+    )
+    # pages that settle a question leave nothing rejected; without them no unit is near
+    shown = kept.select("id", "role", "unit_id", "relevance", "place")
+    joined = settled.join(shown, "id", "left").where((F.col("strategy") != "exact_source") | (F.col("role") == "near") | (F.col("status") == "canonical_only"))
+    joined = joined.withColumn("shown", (F.col("strategy") != "exact_source") | (F.col("role") == "near")).withColumn("sufficient", F.lit(True))
+    listed = joined.where("shown").withColumn("role", F.when(F.col("role") == "near", "evidence").otherwise(F.col("role"))).select(*_RESOLVED)
+    bare = joined.where("NOT shown").select("id", "strategy", "status", "sufficient").distinct()
+    nothing = F.lit(None)
+    return listed.unionByName(bare.select("*", nothing.cast("string").alias("role"), nothing.cast("long").alias("unit_id"), nothing.cast("double").alias("relevance"), nothing.cast("int").alias("place")))
+
+
 def resolve_evidence(questions: DataFrame, units: DataFrame, limit: int = EVIDENCE_LIMIT) -> DataFrame:
-    """Evidence of questions (id, stem, pages, question_text, points) among active units (id, stem, page, content):
-    the exact pages of the source, then those beside them; else the source by relevance."""
-    rows = questions.join(units.select(F.col("id").alias("unit_id"), "stem", "page", "content"), "stem")
-    exact = F.array_contains("pages", F.col("page"))
-    beside = F.col("page").between(F.array_min("pages") - 1, F.array_max("pages") + 1)
-    near = F.coalesce((F.size("pages") > 0) & (exact | beside), F.lit(False))
-    rows = rows.withColumn("tier", F.when(near, 0).otherwise(1)).withColumn("rank", F.when(near & exact, 0).otherwise(1))
-    rows = rows.withColumn("relevance", relevance(F.col("question_text"), F.col("points"), F.col("content"), near))
-    rows = rows.withColumn("best", F.min("tier").over(Window.partitionBy("id"))).where("tier = best").where((F.col("tier") == 0) | (F.col("relevance") >= RELEVANT_FROM))
-    order = Window.partitionBy("id").orderBy(F.when(F.col("tier") == 0, F.col("rank")), F.when(F.col("tier") == 0, F.col("page")).otherwise(-F.col("relevance")), "unit_id")
-    kept = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
-    return kept.select("id", "unit_id", F.when(F.col("tier") == 0, "exact_source").otherwise("source_search").alias("strategy"), "relevance", "place")
+    """Evidence of questions (id, subject_id, topic_id, stem, pages, question_text, tags, points, canonical, vector)
+    among active units (id, subject_id, document_id, topic_id, stem, page, content, vector), tier by tier.
+
+    The pages that the question's source names come first, then those beside them; else the source's units by relevance;
+    else a search in the question's topic, and where that finds nothing, one in its subject. Only questions that a tier
+    leaves open go on to the next and dearer one, so `questions` and the open ones are cut off by a checkpoint. A question
+    with points of its own is settled by them even without evidence.
+
+    Rows: id, strategy (exact_source, source_search, topic_search, fallback), status (exact_source, source_search,
+    fallback, canonical_only, poor), sufficient, role (evidence or rejected), unit_id, relevance, place: up to `limit`
+    units a role, and one row with null unit for a question without any.
+    """
+    settled = checkpointed(_from_source(questions, units, limit))
+    rest = checkpointed(questions.join(settled.select("id").distinct(), "id", "left_anti"))
+    asked = rest.select(F.col("id").alias("query_id"), "subject_id", "topic_id", F.col("question_text").alias("text"), "vector")
+    found = checkpointed(search(asked, units, max(2 * limit, 8)))
+    again = asked.where("topic_id IS NOT NULL").join(found.select("query_id").distinct(), "query_id", "left_anti").withColumn("topic_id", F.lit(None).cast(asked.schema["topic_id"].dataType))
+    found = found.unionByName(search(again, units, max(2 * limit, 8)))
+    rows = found.select(F.col("query_id").alias("id"), "unit_id", F.col("place").alias("found_at")).join(rest, "id").join(units.select(F.col("id").alias("unit_id"), "content"), "unit_id")
+    rows = rows.withColumn("relevance", relevance(F.concat_ws(" ", "question_text", "tags"), F.col("points"), F.col("content"), F.lit(False)))
+    rows = rows.withColumn("role", F.when(F.col("relevance") >= RELEVANT_FROM, "evidence").otherwise("rejected"))
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("id", "role").orderBy("found_at"))).where(F.col("place") <= limit).select("id", "role", "unit_id", "relevance", "place")
+    with_evidence = rows.where("role = 'evidence'").select("id").distinct().withColumn("found", F.lit(True))
+    state = rest.select("id", "topic_id", "canonical").join(with_evidence, "id", "left")
+    status = F.when(F.col("found"), "fallback").when(F.col("canonical"), "canonical_only").otherwise("poor")
+    state = state.select("id", F.when(F.col("topic_id").isNotNull(), "topic_search").otherwise("fallback").alias("strategy"), status.alias("status"), (F.coalesce("found", F.lit(False)) | F.col("canonical")).alias("sufficient"))
+    return settled.unionByName(state.join(rows, "id", "left").select(*_RESOLVED))
 
 
 def evidence_of(questions: DataFrame, units: DataFrame) -> DataFrame:

@@ -70,9 +70,17 @@ def _pool(s, d):
 
 
 def _resolution(s, d):
-    rows = questions(s, d)
-    q = rows.select("id", F.concat(F.lit("doc"), (F.col("id") % 50).cast("string")).alias("stem"), F.when(F.col("id") % 3 == 0, F.array().cast("array<int>")).otherwise(F.array((F.col("id") % 7 + 1).cast("int"))).alias("pages"), "question_text", F.col("topic_name").alias("points"))
-    u = units(s, d).where("review_status = 'accepted'").select("id", F.concat(F.lit("doc"), F.col("document_id").cast("string")).alias("stem"), F.col("source_start").cast("int").alias("page"), "content")
+    """Questions that ask about a unit's first line; some name a source and pages, some one that is not there, some none."""
+    rows, u = questions(s, d), R.corpus(units(s, d))
+    u = u.select("id", "subject_id", "document_id", "topic_id", F.concat(F.lit("doc"), F.col("document_id").cast("string")).alias("stem"), F.col("source_start").cast("int").alias("page"), "content", "vector")
+    line = F.split("content", "\n")[0]
+    one, two = u.select(F.col("id").alias("evidence_id_1"), line.alias("line_1"), "vector"), u.select(F.col("id").alias("evidence_id_2"), line.alias("line_2"))
+    stem = F.when(F.col("id") % 7 == 0, "doc999").when(F.col("id") % 5 != 0, F.concat(F.lit("doc"), (F.col("id") % 50).cast("string")))
+    canonical = F.col("id") % 4 != 1
+    q = rows.join(one, "evidence_id_1", "left").join(two, "evidence_id_2", "left").select(
+        "id", "subject_id", F.when(F.col("id") % 6 != 0, (F.col("id") % 12).cast("int")).alias("topic_id"), stem.alias("stem"), F.when(F.col("id") % 3 == 0, F.array().cast("array<int>")).otherwise(F.array((F.col("id") % 7 + 1).cast("int"))).alias("pages"),
+        F.concat_ws(" ", "question_text", "line_1").alias("question_text"), F.col("question_type").alias("tags"), F.when(canonical, F.concat_ws(" ", "topic_name", "line_2")).otherwise("").alias("points"), canonical.alias("canonical"), "vector",
+    )
     return R.resolve_evidence(q, u).withColumn("relevance", F.round("relevance", 6))
 
 
@@ -227,6 +235,60 @@ CORPUS = f"""corpus AS (SELECT id, subject_id, document_id, content, {_TOKENS.fo
     rescue AS (SELECT query_id, unit_id, document_id, greatest(0.28::DOUBLE, 0.35::DOUBLE + 0.35::DOUBLE * len(met) / greatest(1, len(asked))) AS score FROM pairs
         WHERE (len(met) >= 2 OR len(list_filter(met, lambda t: contains(query_text, upper(t)) AND contains(content, upper(t)))) > 0) AND (query_id, unit_id) NOT IN (SELECT (query_id, unit_id) FROM hybrid)),
     pool AS (SELECT query_id, unit_id, document_id, round(score, 9) AS score FROM hybrid UNION ALL SELECT query_id, unit_id, document_id, round(score, 9) FROM rescue)"""
+def _evidence(t: str) -> str:
+    """B11b as a list."""
+    return f"list_filter(list_distinct(regexp_extract_all(replace(lower({t}), 'ß', 'ss'), '[A-Za-zÀ-ÖØ-öø-ÿ0-9]{{2,}}')), lambda w: w NOT IN ({', '.join(map(_q, X.STOP_WORDS))}))"
+
+
+def _relevance(exact: str) -> str:
+    """E11 over q.expected and q.asked, c.evidence."""
+    part = lambda t, n: f"len(list_intersect({t}, c.evidence))::DOUBLE / greatest(1, least(len({t}), {n}))"
+    return f"least(1.0::DOUBLE, CASE WHEN {exact} THEN 0.55::DOUBLE ELSE 0.0::DOUBLE END + 0.3::DOUBLE * {part('q.expected', 12)} + 0.15::DOUBLE * {part('q.asked', 8)})"
+
+
+def _search_sql(name: str, queries: str, k: int) -> str:
+    """E3-E6 for one query set: `name` holds query_id, unit_id, place."""
+    near = f"""{name}_p AS (SELECT q.id AS query_id, c.id AS unit_id, c.document_id, c.content, (q.topic_id IS NULL OR q.topic_id = c.topic_id) AS fits, list_cosine_similarity(q.v, c.v) AS semantic, len(list_intersect(q.tokens, c.tokens)) AS shared,
+        greatest(1, len(q.tokens)) AS terms, {_MEANINGFUL} AS m, list_intersect({_MEANINGFUL}, c.tokens) AS met, q.question_text AS text FROM {queries} q JOIN c USING (subject_id)),
+    {name}_n AS (SELECT * FROM {name}_p WHERE semantic IS NOT NULL QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY semantic DESC, unit_id) <= {max(4 * k, 12)}),
+    {name}_h AS (SELECT query_id, unit_id, document_id, 0.82::DOUBLE * semantic + 0.18::DOUBLE * shared / terms AS score FROM {name}_n WHERE fits AND 0.82::DOUBLE * semantic + 0.18::DOUBLE * shared / terms >= 0.28
+        QUALIFY row_number() OVER (PARTITION BY query_id, lower(trim(regexp_replace(content, '\\s+', ' ', 'g'))) ORDER BY 0.82::DOUBLE * semantic + 0.18::DOUBLE * shared / terms DESC, unit_id) = 1),
+    {name}_r AS (SELECT query_id, unit_id, document_id, greatest(0.28::DOUBLE, 0.35::DOUBLE + 0.35::DOUBLE * len(met) / greatest(1, len(m))) AS score FROM {name}_p
+        WHERE fits AND (len(met) >= 2 OR len(list_filter(met, lambda t: contains(text, upper(t)) AND contains(content, upper(t)))) > 0) AND (query_id, unit_id) NOT IN (SELECT (query_id, unit_id) FROM {name}_h)),
+    {name}_u AS (SELECT *, row_number() OVER (PARTITION BY query_id, document_id ORDER BY score DESC, unit_id) AS w FROM (FROM {name}_h UNION ALL FROM {name}_r)),
+    {name}_f AS (SELECT *, w = 1 AND row_number() OVER (PARTITION BY query_id, w = 1 ORDER BY score DESC, unit_id) <= 2 AS head FROM {name}_u),
+    {name} AS (SELECT query_id, unit_id, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY head DESC, score DESC, unit_id) AS place FROM {name}_f) WHERE place <= {k})"""
+    return near
+
+
+def _resolution_sql() -> str:
+    return with_views("questions units", f"""
+    c AS (SELECT id, subject_id, document_id, topic_id, 'doc' || document_id AS stem, source_start AS page, content, {_TOKENS.format("content")} AS tokens, {_evidence("content")} AS evidence, list_transform(embedding, lambda x: x::DOUBLE) AS v
+        FROM units WHERE review_status = 'accepted' AND embedding IS NOT NULL),
+    q0 AS (SELECT q.id, q.subject_id, CASE WHEN q.id % 6 <> 0 THEN q.id % 12 END AS topic_id, CASE WHEN q.id % 7 = 0 THEN 'doc999' WHEN q.id % 5 <> 0 THEN 'doc' || (q.id % 50) END AS stem, CASE WHEN q.id % 3 = 0 THEN NULL ELSE q.id % 7 + 1 END AS page,
+        concat_ws(' ', question_text, split_part(a.content, chr(10), 1)) AS question_text, question_type, CASE WHEN q.id % 4 <> 1 THEN concat_ws(' ', topic_name, split_part(b.content, chr(10), 1)) ELSE '' END AS points, q.id % 4 <> 1 AS canonical, a.v
+        FROM questions q LEFT JOIN c a ON a.id = evidence_id_1 LEFT JOIN c b ON b.id = evidence_id_2),
+    q AS (SELECT *, {_TOKENS.format("question_text")} AS tokens, {_evidence("points")} AS expected, {_evidence("question_text || ' ' || question_type")} AS asked FROM q0),
+    s AS (SELECT q.id, c.id AS unit_id, c.page, q.canonical, q.page IS NOT NULL AS wants, coalesce(c.page BETWEEN q.page - 1 AND q.page + 1, FALSE) AS near, c.page = q.page AS exact,
+        {_relevance("coalesce(c.page BETWEEN q.page - 1 AND q.page + 1, FALSE)")} AS relevance FROM q JOIN c ON c.subject_id = q.subject_id AND c.stem = q.stem),
+    o AS (SELECT *, CASE WHEN near THEN 'near' WHEN relevance >= 0.12 THEN 'evidence' ELSE 'rejected' END AS role FROM s),
+    k AS (SELECT *, row_number() OVER (PARTITION BY id, role ORDER BY CASE WHEN near THEN (CASE WHEN exact THEN 0 ELSE 1 END) END, CASE WHEN near THEN page ELSE -relevance END, page, unit_id) AS place FROM o),
+    g AS (SELECT id, bool_or(role = 'near') AS n, bool_or(role = 'evidence') AS e, any_value(canonical) AS canonical, any_value(wants) AS wants FROM o GROUP BY id),
+    t AS (SELECT id, wants AND (n OR canonical) AS paged, n, e FROM g WHERE (wants AND (n OR canonical)) OR e OR canonical),
+    t2 AS (SELECT id, paged, CASE WHEN paged THEN 'exact_source' ELSE 'source_search' END AS strategy, CASE WHEN paged AND n THEN 'exact_source' WHEN NOT paged AND e THEN 'source_search' ELSE 'canonical_only' END AS status FROM t),
+    first_tiers AS (SELECT t2.id, strategy, status, TRUE AS sufficient, CASE WHEN k.role = 'near' THEN 'evidence' ELSE k.role END AS role, unit_id, relevance, place FROM t2 LEFT JOIN k ON k.id = t2.id AND place <= 5 AND (NOT paged OR k.role = 'near')),
+    rest AS (SELECT * FROM q WHERE id NOT IN (SELECT id FROM t)),
+    {_search_sql("f1", "rest", 10)},
+    rest2 AS (SELECT * REPLACE (CAST(NULL AS BIGINT) AS topic_id) FROM rest WHERE topic_id IS NOT NULL AND id NOT IN (SELECT query_id FROM f1)),
+    {_search_sql("f2", "rest2", 10)},
+    h AS (SELECT q.id, q.canonical, f.unit_id, f.place AS found_at, {_relevance("FALSE")} AS relevance FROM (FROM f1 UNION ALL FROM f2) f JOIN q ON q.id = f.query_id JOIN c ON c.id = f.unit_id),
+    h2 AS (SELECT *, CASE WHEN relevance >= 0.12 THEN 'evidence' ELSE 'rejected' END AS role FROM h),
+    h3 AS (SELECT *, row_number() OVER (PARTITION BY id, role ORDER BY found_at) AS place FROM h2),
+    last_tiers AS (SELECT rest.id, CASE WHEN topic_id IS NOT NULL THEN 'topic_search' ELSE 'fallback' END AS strategy, CASE WHEN e.id IS NOT NULL THEN 'fallback' WHEN rest.canonical THEN 'canonical_only' ELSE 'poor' END AS status,
+        e.id IS NOT NULL OR rest.canonical AS sufficient, role, unit_id, relevance, place FROM rest LEFT JOIN (SELECT DISTINCT id FROM h2 WHERE role = 'evidence') e ON e.id = rest.id LEFT JOIN h3 ON h3.id = rest.id AND place <= 5)
+    SELECT id, strategy, status, sufficient, role, unit_id, round(relevance, 6) AS relevance, place FROM (FROM first_tiers UNION ALL FROM last_tiers)""")
+
+
 REPORTED = f"""reported AS (SELECT 'r' || item_id AS stable_id, item_id % 4 AS subject_id, text AS wording, [{", ".join(map(_q, X.RELIABILITY))}][item_id % 4 + 1] AS reliability, CASE WHEN item_id % 2 = 0 THEN 'active' ELSE 'awaiting_course_evidence' END AS activation,
     CASE WHEN item_id % 5 = 0 THEN [] ELSE [item_id % 500, item_id * 3 % 500] END AS evidence_ids, CASE WHEN item_id % 6 = 0 THEN 'c' || (item_id % 4) END AS chain_id, item_id % 5 AS n_actions FROM benchmark)"""
 CONCEPTS = f"""concepts AS (SELECT *, CASE WHEN id % 17 = 0 THEN 'concept:c' || (id % 5) WHEN id % 4 = 0 THEN 'source:' || regexp_replace(lower(topic_name), '[^a-z0-9]+', '', 'g') || ':' || (id % 9) || '-' || (id % 9)
@@ -275,6 +337,7 @@ ORACLE_SQL = {
         p AS (SELECT a.id, b.id AS other_id, len(list_intersect(a.terms, b.terms)) / greatest(1, len(list_distinct(list_concat(a.terms, b.terms)))) AS jaccard,
         CASE WHEN length(a.key) <= length(b.key) THEN len(string_split(a.key, ' ')) >= 5 AND starts_with(b.key, a.key || ' ') ELSE len(string_split(b.key, ' ')) >= 5 AND starts_with(a.key, b.key || ' ') END AS prefix
         FROM k a JOIN k b ON a.subject_id = b.subject_id AND a.id <> b.id) SELECT id, other_id, round(jaccard, 9) AS jaccard, prefix FROM p WHERE jaccard > {G.SAME_TERMS} OR prefix"""),
+    "e12_evidence_resolution": _resolution_sql(),
     "f9_vector_duplicates": with_views("questions units", """v AS (SELECT q.id, q.subject_id, list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::DOUBLE + z[2]::DOUBLE) AS v FROM questions q
         JOIN units a ON a.id = evidence_id_1 JOIN units b ON b.id = evidence_id_2)
         SELECT a.id, b.id AS other_id, round(list_cosine_similarity(a.v, b.v), 6) AS cosine FROM v a JOIN v b ON a.subject_id = b.subject_id AND a.id <> b.id WHERE a.id % 50 = 0 AND list_cosine_similarity(a.v, b.v) >= 0.92"""),
