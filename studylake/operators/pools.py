@@ -63,28 +63,55 @@ def concept_key(q: DataFrame) -> Column:
     )
 
 
-def preview(new: DataFrame, stored: DataFrame) -> DataFrame:
-    """G1: rows of a file (subject_id, line, external_id, question) with why they are rejected: an id or else a text that is
-    stored, or that an earlier accepted row has. A rejected row marks neither its id nor its text as seen.
+def _before(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """`rows` with the first two lines of all rows that share `keys`, as name_1 and name_2; null where a key is null."""
+    known = rows.where(F.col(keys[-1]).isNotNull())
+    first = known.groupBy(*keys).agg(F.min("line").alias(f"{name}_1"))
+    second = known.join(first, keys).where(F.col("line") > F.col(f"{name}_1")).groupBy(*keys).agg(F.min("line").alias(f"{name}_2"))
+    return rows.join(first, keys, "left").join(second, keys, "left")
+
 
-    Decided in rounds: a row that comes first with its id and its text among those still open is accepted, and open rows
-    that share either with it are rejected. A round settles at least the first open row of every knot of shared ids and texts.
+def _first_wins(rows: DataFrame) -> DataFrame:
+    """Of rows (subject_id, line, external_id, key) with unique lines those that no earlier one of these shares id or key with.
+
+    A round settles all rows that come first with both, and whole chains behind them: a row with just one open row before
+    it is taken if that one is not, so it points to it, and pointers are doubled until they reach a row that does not
+    point on. So a chain of n rows takes about log2 n steps of one round. Rows that share an id or key with a taken row
+    go; what two or more rows stood before waits for the next round.
     """
+    left, taken = checkpointed(rows), rows.limit(0)
+    while not left.isEmpty():
+        marked = _before(_before(left, ["subject_id", "key"], "text"), ["subject_id", "external_id"], "id")
+        by_text = F.when(F.col("line") > F.col("text_1"), F.col("text_1"))
+        by_id = F.when(F.col("line") > F.col("id_1"), F.col("id_1"))
+        more = (F.col("line") > F.col("text_2")) | (F.col("line") > F.col("id_2")) | (by_text != by_id)
+        marked = marked.select(*rows.columns, F.coalesce(by_text, by_id).alias("to"), F.coalesce(more, F.lit(False)).alias("waits"))
+        # to: the row that this one points to; odd: whether it is taken just if that one is not
+        steps = checkpointed(marked.withColumn("to", F.when(~F.col("waits"), F.col("to"))).withColumn("odd", F.col("to").isNotNull()))
+        while True:
+            aim = steps.where("to IS NOT NULL").select("subject_id", F.col("line").alias("to"), F.col("to").alias("next"), F.col("odd").alias("turn"))
+            if aim.join(steps.select("subject_id", "to"), ["subject_id", "to"], "left_semi").isEmpty():
+                break
+            joined = steps.join(aim, ["subject_id", "to"], "left")
+            steps = checkpointed(joined.select(*rows.columns, "waits", F.coalesce("next", "to").alias("to"), (F.col("odd") != F.coalesce("turn", F.lit(False))).alias("odd")))
+        roots = steps.where("to IS NULL AND NOT waits").select("subject_id", F.col("line").alias("to"), F.lit(True).alias("settled"))
+        ends = checkpointed(steps.join(roots, ["subject_id", "to"], "left").withColumn("settled", F.coalesce("settled", F.col("to").isNull() & ~F.col("waits"))))
+        now = ends.where("settled AND NOT odd").select(*rows.columns)
+        taken = taken.unionByName(now)
+        rest = ends.where("NOT settled").select(*rows.columns).join(now.select("subject_id", "key").distinct(), ["subject_id", "key"], "left_anti")
+        left = checkpointed(rest.join(now.where("external_id IS NOT NULL").select("subject_id", "external_id").distinct(), ["subject_id", "external_id"], "left_anti"))
+    return taken
+
+
+def preview(new: DataFrame, stored: DataFrame) -> DataFrame:
+    """G1: rows of a file (subject_id, line, external_id, question) with why they are rejected: an id or else a text that is
+    stored, or that an earlier accepted row has. A rejected row marks neither its id nor its text as seen."""
     key = X.question_key(F.col("question"))
     ids = stored.where("external_id IS NOT NULL").select("subject_id", "external_id").distinct().withColumn("stored_id", F.lit(True))
     texts = stored.select("subject_id", X.question_key(F.col("question_text")).alias("key")).distinct().withColumn("stored_text", F.lit(True))
     rows = new.withColumn("key", key).join(ids, ["subject_id", "external_id"], "left").join(texts, ["subject_id", "key"], "left")
     rows = checkpointed(rows.withColumn("stored_id", F.coalesce("stored_id", F.lit(False))).withColumn("stored_text", F.coalesce("stored_text", F.lit(False))))
-    left = rows.where("NOT stored_id AND NOT stored_text").select("subject_id", "line", "external_id", "key")
-    accepted = left.limit(0)
-    while not left.isEmpty():
-        of_text = F.min("line").over(Window.partitionBy("subject_id", "key"))
-        of_id = F.when(F.col("external_id").isNotNull(), F.min("line").over(Window.partitionBy("subject_id", "external_id")))
-        marked = left.withColumn("first", (F.col("line") == of_text) & (F.col("line") == F.coalesce(of_id, F.col("line"))))
-        chosen = checkpointed(marked.where("first").drop("first"))
-        accepted = accepted.unionByName(chosen)
-        rest = left.join(chosen.select("subject_id", "key"), ["subject_id", "key"], "left_anti")
-        left = checkpointed(rest.join(chosen.select("subject_id", "external_id"), ["subject_id", "external_id"], "left_anti"))
+    accepted = _first_wins(rows.where("NOT stored_id AND NOT stored_text").select("subject_id", "line", "external_id", "key"))
     seen_ids = accepted.where("external_id IS NOT NULL").select("subject_id", "external_id", F.col("line").alias("id_line"))
     seen_texts = accepted.select("subject_id", "key", F.col("line").alias("text_line"))
     rows = rows.join(seen_ids, ["subject_id", "external_id"], "left").join(seen_texts, ["subject_id", "key"], "left")

@@ -19,6 +19,8 @@ NOT_IN_BATCH = (
     "possible_diagram_or_broken_reading_order", "heading_without_explanation", "low_information_fragment",
 )
 FURNITURE, SUPERSEDED = "repeated_header_or_footer", "superseded_extraction"
+# Marks of units whose source has a newer revision.
+RETIRED = ("superseded_extraction", "superseded_source")
 # Warnings on a document's coverage by the problem that gives rise to them.
 WARNINGS = {"original_visual_inspection_required": "visual_fragment", "broken_tables_present": "corrupted_table", "broken_formulas_present": "broken_formula"}
 
@@ -218,3 +220,50 @@ def revisions(log: DataFrame) -> DataFrame:
     before = F.lag("hash").over(line)
     last = F.max("revision").over(Window.partitionBy("source_id"))
     return log.withColumn("changed", before.isNull() | (before != F.col("hash"))).withColumn("active", F.col("revision") == last)
+
+
+def revision_log(uploads: DataFrame) -> DataFrame:
+    """Revisions of sources from their uploads (source_id, upload_id, uploaded_at, hash, filename): an upload whose hash is
+    that of the one before makes none. Columns: source_id, revision (from 1), filename, hash, valid_from, valid_to, active.
+
+    A revision holds from its upload until the next one's, the last one without end. Uploads at one time go by id.
+    """
+    line = Window.partitionBy("source_id").orderBy("uploaded_at", "upload_id")
+    before = F.lag("hash").over(line)
+    changed = uploads.withColumn("__changed", before.isNull() | (before != F.col("hash"))).where("__changed")
+    numbered = changed.withColumn("revision", F.row_number().over(line)).withColumn("valid_to", F.lead("uploaded_at").over(line))
+    return numbered.select("source_id", "revision", "filename", "hash", F.col("uploaded_at").alias("valid_from"), "valid_to", F.col("valid_to").isNull().alias("active"))
+
+
+def _as_of(log: DataFrame, revision: int | None) -> DataFrame:
+    """The revision of each source that holds once `revision` is uploaded (the last one if there are fewer, or for None)."""
+    rows = log if revision is None else log.where(F.col("revision") <= revision)
+    return rows.groupBy("source_id").agg(F.max_by(F.struct("revision", "valid_from"), "revision").alias("now")).select("source_id", F.col("now.revision").alias("revision"), F.col("now.valid_from").alias("since"))
+
+
+def units_as_of(units: DataFrame, log: DataFrame, revision: int | None = None) -> DataFrame:
+    """Units (id, source_id, created_at, problems, enabled, authoritative) as they stand once `revision` is uploaded.
+
+    Units of an older revision are retired, accepted ones by hand as well: out of retrieval, no longer authoritative, and
+    marked as superseded. Units that a later revision brings are not there yet. Those of a source without revisions stay.
+    """
+    later = log if revision is None else log.where(F.col("revision") == revision)
+    until = later.where("valid_to IS NOT NULL").select("source_id", F.col("valid_to").alias("__until")) if revision is not None else None
+    rows = units.join(_as_of(log, revision), "source_id", "left")
+    if until is not None:
+        rows = rows.join(until, "source_id", "left").where("__until IS NULL OR created_at < __until").drop("__until")
+    retired = F.coalesce(F.col("created_at") < F.col("since"), F.lit(False))
+    marks = F.array(*map(F.lit, RETIRED))
+    problems = F.when(retired, F.array_sort(F.array_union("problems", marks))).otherwise(F.col("problems"))
+    return rows.select("id", "source_id", "revision", problems.alias("problems"), (F.col("enabled") & ~retired).alias("enabled"), (F.col("authoritative") & ~retired).alias("authoritative"), retired.alias("retired"))
+
+
+def note_snapshots(edits: DataFrame, log: DataFrame) -> DataFrame:
+    """The notes of each revision (source_id, revision, page, content, updated_at): the last edit of each page (source_id,
+    edit_id, page, content, updated_at) while the revision held. The next revision starts without notes, and an empty
+    edit takes a note away. Edits before the first revision belong to none."""
+    held = (F.col("updated_at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("updated_at") < F.col("valid_to")))
+    spans = log.select(F.col("source_id").alias("__source"), "revision", "valid_from", "valid_to")
+    rows = edits.join(spans, (F.col("source_id") == F.col("__source")) & held)
+    last = rows.groupBy("source_id", "revision", "page").agg(F.max_by(F.struct("content", "updated_at"), F.struct("updated_at", "edit_id")).alias("last"))
+    return last.select("source_id", "revision", "page", "last.content", "last.updated_at").where("trim(content) != ''")

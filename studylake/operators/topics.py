@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..shared import checkpointed
 
 # What tells the dimensions of a topic in its material, and topic names that ask for more of them.
 DIMENSIONS = {
@@ -24,16 +26,23 @@ NAMED = {
     "relationships_process": r"\b(?:process|workflow|cycle|method)\b",
     "limitation_comparison": r"\b(?:comparison|evaluation|method|alternative)\b",
 }
-TRACEABLE_FROM = 0.7
+TRACEABLE_FROM, TITLE_CHARS = 0.7, 160
 STATE_ORDER = {"conflicting": 0, "needs_review": 1, "missing": 2, "partial": 3, "complete": 4, "unassigned": 5}
 
 
 def canonical(topics: DataFrame, unicode: Callable[[Column], Column] = X.nfkc) -> DataFrame:
-    """For each topic (id, subject_id, name) what becomes of it: kept, renamed, merged into the least id of its
-    subject with this key, or unassigned if it has not just one title; and the new id and name."""
+    """For each topic (id, subject_id, name) what becomes of it: kept, renamed, merged into the topic that stands for its
+    title in its subject, or unassigned if it has not just one title; and the new id and name.
+
+    The topic with the least id stands for a title, unless another one already bears the clean title as its name: then
+    the least of those does.
+    """
     same = lambda c: c
-    rows = topics.withColumn("plain", unicode(F.col("name"))).withColumn("title", X.single_title(F.col("plain"), same)).withColumn("key", X.topic_key(F.col("title"), same)).drop("plain")
-    heads = rows.where("title IS NOT NULL").groupBy("subject_id", "key").agg(F.min(F.struct("id", "title")).alias("head"))
+    rows = topics.withColumn("plain", unicode(F.col("name"))).withColumn("title", F.substring(X.single_title(F.col("plain"), same), 1, TITLE_CHARS)).withColumn("key", X.casefold(F.col("title"))).drop("plain")
+    titled = rows.where("title IS NOT NULL")
+    first = titled.groupBy("subject_id", "key").agg(F.min(F.struct("id", "title")).alias("first"))
+    bearer = F.min(F.when((F.col("id") != F.col("first.id")) & (F.lower("name") == F.lower("first.title")), F.struct("id", "title")))
+    heads = titled.join(first, ["subject_id", "key"]).groupBy("subject_id", "key").agg(F.coalesce(bearer, F.min("first")).alias("head"))
     joined = rows.join(heads, ["subject_id", "key"], "left")
     action = (
         F.when(F.col("title").isNull(), "unassigned").when(F.col("head.id") != F.col("id"), "merged").when(F.col("title") != F.col("name"), "renamed").otherwise("kept")
@@ -41,6 +50,47 @@ def canonical(topics: DataFrame, unicode: Callable[[Column], Column] = X.nfkc) -
     return joined.select("id", "subject_id", "name", F.col("head.id").alias("new_id"), F.col("head.title").alias("new_name"), action.alias("action"))
 
 
+class Normalized(NamedTuple):
+    """The tables after topics were made canonical."""
+
+    topics: DataFrame
+    units: DataFrame
+    questions: DataFrame
+    counts: DataFrame
+
+
+def normalized(topics: DataFrame, units: DataFrame, questions: DataFrame, unicode: Callable[[Column], Column] = X.nfkc) -> Normalized:
+    """Topics (id, subject_id, name, description) made canonical, and the rows that refer to them.
+
+    Units (id, topic_id, review_status, enabled_for_retrieval) and questions (id, topic_id) take the id that their topic
+    was merged into, or none if it became unassigned; their other columns stay. Topics that nothing refers to any more go.
+    A renamed topic keeps its heading in its description, and evidence_count has its accepted, enabled units. The counts of
+    each subject are renamed, merged, moved_to_unassigned and deleted_orphans. What becomes of topics is decided once and
+    checkpointed, as all four results hang on it.
+    """
+    decided = checkpointed(canonical(topics, unicode))
+    remap = decided.select(F.col("id").alias("topic_id"), "new_id", F.lit(True).alias("__known"))
+
+    def moved(df: DataFrame) -> DataFrame:
+        rows = df.join(remap, "topic_id", "left")
+        return rows.withColumn("topic_id", F.when(F.col("__known"), F.col("new_id")).otherwise(F.col("topic_id"))).select(*df.columns)
+
+    units, questions = moved(units), moved(questions)
+    used = units.select("topic_id").unionByName(questions.select("topic_id")).where("topic_id IS NOT NULL").distinct().withColumn("used", F.lit(True))
+    heads = decided.where("new_id = id").join(used, F.col("id") == F.col("topic_id"), "left").drop("topic_id")
+    heads = checkpointed(heads.select("id", "subject_id", F.col("name").alias("heading"), F.col("new_name").alias("name"), "action", F.coalesce("used", F.lit(False)).alias("used")))
+    counted = units.where("review_status = 'accepted' AND enabled_for_retrieval").groupBy("topic_id").agg(F.count(F.lit(1)).alias("n"))
+    kept = heads.where("used").join(topics.select("id", "description"), "id").join(counted, F.col("id") == F.col("topic_id"), "left")
+    before = F.coalesce("description", F.lit(""))
+    trace = F.concat(F.lit("Original source heading: "), "heading")
+    traced = F.when((F.col("action") == "renamed") & ~F.contains(before, trace), X.strip(F.concat(before, F.lit("\n"), trace))).otherwise(F.col("description"))
+    kept = kept.select("id", "subject_id", "name", traced.alias("description"), F.coalesce("n", F.lit(0)).alias("evidence_count"))
+    of_all = decided.groupBy("subject_id").agg(*(F.count_if(F.col("action") == a).alias(n) for a, n in (("renamed", "renamed"), ("merged", "merged"), ("unassigned", "moved_to_unassigned"))))
+    orphans = heads.where("NOT used").groupBy("subject_id").agg(F.count(F.lit(1)).alias("orphans"))
+    counts = of_all.join(orphans, "subject_id", "left").select("subject_id", "renamed", "merged", "moved_to_unassigned", F.coalesce("orphans", F.lit(0)).alias("deleted_orphans"))
+    return Normalized(kept, units, questions, counts)
+
+
 def evidence_counts(topics: DataFrame, units: DataFrame) -> DataFrame:
     """Accepted units of each topic, zeros included."""
     counted = units.where("review_status = 'accepted'").groupBy("topic_id").agg(F.count(F.lit(1)).alias("n"))
@@ -52,18 +102,32 @@ def active(topics: DataFrame, used: DataFrame) -> DataFrame:
     return topics.join(used.select(F.col("topic_id").alias("id")).distinct(), "id", "left_semi")
 
 
+def numbered(rows: DataFrame, order: list[str], after: int, name: str) -> DataFrame:
+    """`rows` with numbers after `after`, without gaps, in the order of the columns `order`.
+
+    Rows are dealt by range and checkpointed with the number of their part. The sizes of the parts, one row each, tell
+    where each part begins, so that no task sees more than its part.
+    """
+    dealt = rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    dealt = checkpointed(dealt)
+    sizes = sorted((r["__part"], r["count"]) for r in dealt.groupBy("__part").count().collect())
+    starts, at = [], after
+    for part, size in sizes:
+        starts.append((part, at))
+        at += size
+    starts = rows.sparkSession.createDataFrame(starts, "__part int, __start long")
+    place = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return dealt.join(F.broadcast(starts), "__part").withColumn(name, F.col("__start") + place).drop("__part", "__start")
+
+
 def resolve(names: DataFrame, topics: DataFrame, unicode: Callable[[Column], Column] = X.nfkc) -> DataFrame:
     """Ids of names by key; new keys get ids after the highest, in the order of subject and key."""
-    from pyspark.sql import Window
-
     wanted = names.select("subject_id", X.topic_key(F.col("name"), unicode).alias("key")).distinct()
     known = topics.select("subject_id", X.topic_key(F.col("name"), unicode).alias("key"), "id").groupBy("subject_id", "key").agg(F.min("id").alias("id"))
-    joined = wanted.join(known, ["subject_id", "key"], "left")
-    # Only keys without an id are numbered: few, as topics are named by people.
-    fresh = joined.where("id IS NULL").withColumn("n", F.row_number().over(Window.orderBy("subject_id", "key")))
-    top = topics.agg(F.max("id").alias("top"))
-    fresh = fresh.join(F.broadcast(top)).select("subject_id", "key", (F.coalesce("top", F.lit(0)) + F.col("n")).alias("id"), F.lit(True).alias("created"))
-    return joined.where("id IS NOT NULL").select("subject_id", "key", "id", F.lit(False).alias("created")).unionByName(fresh)
+    joined = checkpointed(wanted.join(known, ["subject_id", "key"], "left"))
+    top = topics.agg(F.max("id")).first()[0] or 0
+    fresh = numbered(joined.where("id IS NULL").drop("id"), ["subject_id", "key"], top, "id")
+    return joined.where("id IS NOT NULL").select("subject_id", "key", "id", F.lit(False).alias("created")).unionByName(fresh.select("subject_id", "key", "id", F.lit(True).alias("created")))
 
 
 def backfill(units: DataFrame, headings: DataFrame) -> DataFrame:

@@ -67,6 +67,27 @@ def _citations(s, d):
     return rows.select("id", X.citations_valid(F.col("answer"), allowed).alias("valid"), X.repair_citations(F.col("answer"), allowed).alias("repaired"), F.array_join(X.draft_points(F.col("answer")), "~").alias("points"))
 
 
+def _uploads(s, d):
+    """Signups and purchases as uploads of a learner's script; equal ones in a row make no revision."""
+    rows = table(s, d, "events").where("event_type IN ('signup', 'purchase')")
+    return rows.select(F.col("user_id").alias("source_id"), F.col("event_id").alias("upload_id"), F.col("ts").alias("uploaded_at"), F.md5(F.concat("event_type", (F.col("event_id") % 3).cast("string"))).alias("hash"), F.concat(F.lit("script"), F.col("event_id").cast("string"), F.lit(".pdf")).alias("filename"))
+
+
+def _extracted(s, d):
+    rows = table(s, d, "events").where("event_type = 'click'")
+    problems = F.when(F.col("event_id") % 2 == 0, F.array(F.lit("broken_formula"))).otherwise(F.array().cast("array<string>"))
+    return rows.select(F.col("event_id").alias("id"), F.col("user_id").alias("source_id"), F.col("ts").alias("created_at"), problems.alias("problems"), (F.col("event_id") % 5 != 0).alias("enabled"), (F.col("event_id") % 3 == 0).alias("authoritative"))
+
+
+def _note_edits(s, d):
+    rows = table(s, d, "events").where("event_type = 'view'")
+    return rows.select(F.col("user_id").alias("source_id"), F.col("event_id").alias("edit_id"), (F.col("event_id") % 5).alias("page"), F.when(F.col("event_id") % 4 != 0, F.col("props")).otherwise(" ").alias("content"), F.col("ts").alias("updated_at"))
+
+
+def _plain_times(df, *columns):
+    return df.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in columns})
+
+
 QUERIES = {
     "a2_document_scan": lambda s, d: docs(s, d).select("doc_id", X.sha256(F.col("text")).alias("hash"), F.length("text").alias("n")),
     "a3_page_range": lambda s, d: _pages(s, d).groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line")),
@@ -102,6 +123,10 @@ QUERIES = {
     "c15_suspicious": lambda s, d: Q.review_queue(_queued(s, d), suspicious_only=True).withColumn("problems", F.array_join("problems", ",")),
     "c17_batch_acceptance": lambda s, d: Q.batch_acceptance(gated(s, d)),
     "c18_fold_reviews": lambda s, d: Q.fold_reviews(units(s, d), _reviews(s, d)),
+    "c19_revision_log": lambda s, d: _plain_times(Q.revision_log(_uploads(s, d)), "valid_from", "valid_to"),
+    "c19_units_as_of": lambda s, d: Q.units_as_of(_extracted(s, d), Q.revision_log(_uploads(s, d)), 2).withColumn("problems", F.array_join("problems", ",")),
+    "c19_current_units": lambda s, d: Q.units_as_of(_extracted(s, d), Q.revision_log(_uploads(s, d))).withColumn("problems", F.array_join("problems", ",")),
+    "c19_note_snapshots": lambda s, d: _plain_times(Q.note_snapshots(_note_edits(s, d), Q.revision_log(_uploads(s, d))), "updated_at"),
     "c19_revisions": lambda s, d: Q.revisions(table(s, d, "events").select((F.col("user_id")).alias("source_id"), F.col("event_id").alias("revision"), F.md5("event_type").alias("hash"))),
     "c21_work_batches": lambda s, d: S.work_batches(units(s, d), F.col("document_id") % 2 == 0).select("id", "document_id", "batch"),
 }
@@ -210,6 +235,13 @@ def _terms(t: str, pattern: str, stop=(), aliases=None, plural=False) -> str:
 
 _SEM = _terms("question_text", r"[a-zA-ZÀ-ÖØ-öø-ÿ0-9]{2,}", (), X.SEMANTIC_ALIASES)
 
+_LOG = """up AS (SELECT user_id AS source_id, event_id, ts, md5(event_type || (event_id % 3)) AS hash, 'script' || event_id || '.pdf' AS filename FROM events WHERE event_type IN ('signup', 'purchase')),
+    ch AS (SELECT *, lag(hash) OVER (PARTITION BY source_id ORDER BY ts, event_id) AS before FROM up),
+    log AS (SELECT source_id, row_number() OVER w AS revision, filename, hash, ts AS valid_from, lead(ts) OVER w AS valid_to, lead(ts) OVER w IS NULL AS active FROM ch WHERE before IS NULL OR before <> hash WINDOW w AS (PARTITION BY source_id ORDER BY ts, event_id)),
+    x AS (SELECT event_id AS id, user_id AS source_id, ts AS created_at, CASE WHEN event_id % 2 = 0 THEN ['broken_formula'] ELSE [] END AS problems, event_id % 5 <> 0 AS enabled, event_id % 3 = 0 AS authoritative FROM events WHERE event_type = 'click')"""
+_RETIRED = """SELECT id, source_id, revision, array_to_string(CASE WHEN retired THEN list_sort(list_distinct(list_concat(problems, ['superseded_extraction', 'superseded_source']))) ELSE problems END, ',') AS problems,
+        enabled AND NOT retired AS enabled, authoritative AND NOT retired AS authoritative, retired FROM (SELECT *, coalesce(created_at < since, FALSE) AS retired FROM u)"""
+
 ORACLE_SQL = {
     "a2_document_scan": "SELECT doc_id, sha256(text) AS hash, length(text) AS n FROM documents",
     "a3_page_range": with_views("lines", "SELECT doc_id, count(*) AS lines, min(line_no) AS first_line, max(line_no) AS last_line FROM lines WHERE page_number BETWEEN 2 AND 3 GROUP BY ALL"),
@@ -276,6 +308,13 @@ ORACLE_SQL = {
     "c17_batch_acceptance": over_gate(f"""r AS (SELECT doc_id, source_start, CASE WHEN confidence < 0.9 THEN 'low_confidence' WHEN list_has_any(problems, [{", ".join(map(_q, Q.NOT_IN_BATCH))}]) THEN 'problem:' || list_min(list_intersect(problems, [{", ".join(map(_q, Q.NOT_IN_BATCH))}])) END AS reason FROM gated)
         SELECT doc_id, source_start, reason IS NULL AS accepted, reason FROM r JOIN gated USING (doc_id, source_start) WHERE status <> 'accepted'"""),
     "c18_fold_reviews": with_views("units", """SELECT id, coalesce(CASE WHEN l.toxic = 1 THEN 'removed' END, content) AS content, CASE WHEN l.doc_id IS NULL THEN review_status WHEN l.quality = 1 THEN 'accepted' ELSE 'rejected' END AS review_status, l.doc_id IS NOT NULL AS authoritative FROM units LEFT JOIN labels l ON l.doc_id = id"""),
+    "c19_revision_log": f"WITH {_LOG} SELECT source_id, revision, filename, hash, strftime(valid_from, '%Y-%m-%d %H:%M:%S') AS valid_from, strftime(valid_to, '%Y-%m-%d %H:%M:%S') AS valid_to, active FROM log",
+    "c19_units_as_of": f"""WITH {_LOG}, now AS (SELECT source_id, max(revision) AS revision, max(valid_from) AS since FROM log WHERE revision <= 2 GROUP BY ALL), u AS (SELECT x.*, now.revision, since FROM x LEFT JOIN now USING (source_id) LEFT JOIN log n ON n.source_id = x.source_id AND n.revision = 2
+        WHERE n.valid_to IS NULL OR created_at < n.valid_to) {_RETIRED}""",
+    "c19_current_units": f"WITH {_LOG}, now AS (SELECT source_id, max(revision) AS revision, max(valid_from) AS since FROM log GROUP BY ALL), u AS (SELECT x.*, now.revision, since FROM x LEFT JOIN now USING (source_id)) {_RETIRED}",
+    "c19_note_snapshots": f"""WITH {_LOG}, e AS (SELECT user_id AS source_id, event_id, event_id % 5 AS page, CASE WHEN event_id % 4 <> 0 THEN props ELSE ' ' END AS content, ts FROM events WHERE event_type = 'view')
+        SELECT source_id, revision, page, content, strftime(ts, '%Y-%m-%d %H:%M:%S') AS updated_at FROM (SELECT e.*, revision FROM e JOIN log USING (source_id) WHERE ts >= valid_from AND (valid_to IS NULL OR ts < valid_to)
+        QUALIFY row_number() OVER (PARTITION BY source_id, revision, page ORDER BY ts DESC, event_id DESC) = 1) WHERE trim(content) <> ''""",
     "c19_revisions": """SELECT user_id AS source_id, event_id AS revision, md5(event_type) AS hash, coalesce(lag(event_type) OVER w <> event_type, true) AS changed, event_id = max(event_id) OVER (PARTITION BY user_id) AS active FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)""",
     "c21_work_batches": with_views("units", "SELECT id, document_id, CAST(CASE WHEN document_id % 2 = 0 THEN dense_rank() OVER (PARTITION BY document_id ORDER BY source_start) - 1 ELSE (row_number() OVER (PARTITION BY document_id ORDER BY source_start, id) - 1) // 8 END AS INT) AS batch FROM units"),
 }

@@ -23,6 +23,20 @@ def topics(s, d):
     return rows.groupBy("subject_id", "raw_heading").agg(F.min("id").alias("id")).select("id", "subject_id", F.col("raw_heading").alias("name"))
 
 
+def _headings(s, d):
+    """Topics as extracted: some headings hold two titles, some are clean already."""
+    name = F.when(F.col("id") % 11 == 0, F.concat("name", F.lit("|Second heading"))).when(F.col("id") % 7 == 0, F.regexp_extract("name", r"(Brand#\d+)", 1)).otherwise(F.col("name"))
+    return topics(s, d).withColumn("name", name).withColumn("description", F.when(F.col("id") % 2 == 0, F.lit("from slides")))
+
+
+def _normalized(s, d):
+    """D1 over the headings, the questions below them (some without) and the units of the same ids."""
+    placed = questions(s, d).join(topics(s, d).select("subject_id", F.col("name").alias("raw_heading"), F.col("id").alias("topic_id")), ["subject_id", "raw_heading"])
+    q = placed.select("id", F.when(F.col("id") % 9 != 0, F.col("topic_id")).alias("topic_id"))
+    u = units(s, d).drop("topic_id").join(placed.select("id", "topic_id"), "id", "left").select("id", "topic_id", "review_status", (F.col("id") % 10 != 0).alias("enabled_for_retrieval"))
+    return D.normalized(_headings(s, d), u, q)
+
+
 def _named(s, d):
     """Topics of units: their labels as names."""
     ids = units(s, d).select(F.col("topic_id").cast("bigint").alias("id")).distinct()
@@ -153,6 +167,9 @@ def _next(s, d):
 
 QUERIES = {
     "d1_canonical_topics": lambda s, d: D.canonical(topics(s, d)),
+    "d1_normalized_topics": lambda s, d: _normalized(s, d).topics,
+    "d1_moved_rows": lambda s, d: _normalized(s, d).units.select(F.lit("unit").alias("kind"), "id", "topic_id").unionByName(_normalized(s, d).questions.select(F.lit("question").alias("kind"), "id", "topic_id")),
+    "d1_counts": lambda s, d: _normalized(s, d).counts,
     "d2_evidence_counts": lambda s, d: D.evidence_counts(_named(s, d), units(s, d)),
     "d3_active_topics": lambda s, d: D.active(_named(s, d), units(s, d).where("review_status <> 'quarantined'")).select("id", "name"),
     "d4_resolve_topics": lambda s, d: D.resolve(questions(s, d).select("subject_id", F.concat("topic_name", F.lit(" "), "difficulty").alias("name")), topics(s, d).where("id % 2 = 0").withColumn("name", F.concat(F.regexp_extract("name", r"(Brand#\d+)", 1), F.lit(" easy")))),
@@ -308,11 +325,33 @@ _IMPORTS = """imports AS (SELECT subject_id, id AS line, CASE WHEN id % 2 = 0 TH
             WHEN stored_text OR list_contains(texts, lower(question)) THEN 'duplicate question text' END AS reason FROM fold JOIN p1 ON p1.subject_id = fold.subject_id AND p1.n = fold.n + 1)),
     preview AS (SELECT p1.*, fold.reason FROM p1 JOIN fold USING (subject_id, n))"""
 
+_KEY = "trim(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'))"
 _SAME = """s AS (SELECT id, subject_id, raw_heading AS name, topic_name AS title FROM (SELECT subject_id, raw_heading, min(id) AS id, any_value(topic_name) AS topic_name FROM questions GROUP BY subject_id, raw_heading))"""
 
+
+def _normalized_sql(body: str) -> str:
+    """Topics with what becomes of them (m), units and questions under their new topics (mu, mq)."""
+    return with_views("questions units", f"""{_SAME}, t AS (SELECT id, subject_id, CASE WHEN id % 11 = 0 THEN name || '|Second heading' WHEN id % 7 = 0 THEN title ELSE name END AS name, CASE WHEN id % 11 <> 0 THEN title END AS title,
+        CASE WHEN id % 2 = 0 THEN 'from slides' END AS description FROM s),
+    f AS (SELECT subject_id, title, min(id) AS first FROM t WHERE title IS NOT NULL GROUP BY ALL),
+    h AS (SELECT t.subject_id, t.title, coalesce(min(id) FILTER (id <> first AND lower(name) = lower(t.title)), min(first)) AS new_id FROM t JOIN f USING (subject_id, title) GROUP BY ALL),
+    m AS (SELECT t.*, h.new_id FROM t LEFT JOIN h USING (subject_id, title)),
+    p AS (SELECT q.id, s.id AS topic_id FROM questions q JOIN s ON s.subject_id = q.subject_id AND s.name = q.raw_heading),
+    mq AS (SELECT p.id, m.new_id AS topic_id FROM p LEFT JOIN m ON m.id = p.topic_id AND p.id % 9 <> 0),
+    mu AS (SELECT u.id, m.new_id AS topic_id, review_status, u.id % 10 <> 0 AS on_ FROM units u LEFT JOIN p ON p.id = u.id LEFT JOIN m ON m.id = p.topic_id) {body}""")
+
+
 ORACLE_SQL = {
     "d1_canonical_topics": with_views("questions", f"""{_SAME}, h AS (SELECT subject_id, title, min(id) AS new_id FROM s GROUP BY ALL)
         SELECT id, subject_id, name, new_id, title AS new_name, CASE WHEN new_id <> id THEN 'merged' ELSE 'renamed' END AS action FROM s JOIN h USING (subject_id, title)"""),
+    "d1_normalized_topics": _normalized_sql("""SELECT h.id, h.subject_id, h.title AS name, CASE WHEN h.title <> h.name AND h.id = h.new_id THEN trim(coalesce(h.description, '') || chr(10) || 'Original source heading: ' || h.name, ' ' || chr(10)) ELSE h.description END AS description,
+        (SELECT count(*) FROM mu WHERE mu.topic_id = h.id AND review_status = 'accepted' AND on_) AS evidence_count FROM m h WHERE h.new_id = h.id AND h.id IN (SELECT topic_id FROM mq UNION ALL SELECT topic_id FROM mu)"""),
+    "d1_moved_rows": _normalized_sql("SELECT 'unit' AS kind, id, topic_id FROM mu UNION ALL SELECT 'question', id, topic_id FROM mq"),
+    "d1_counts": _normalized_sql("""SELECT subject_id, count(*) FILTER (new_id = id AND title <> name) AS renamed, count(*) FILTER (new_id <> id) AS merged, count(*) FILTER (title IS NULL) AS moved_to_unassigned,
+        count(*) FILTER (new_id = id AND id NOT IN (SELECT topic_id FROM mq WHERE topic_id IS NOT NULL UNION ALL SELECT topic_id FROM mu WHERE topic_id IS NOT NULL)) AS deleted_orphans FROM m GROUP BY subject_id"""),
+    "d4_resolve_topics": with_views("questions", f"""{_SAME}, w AS (SELECT DISTINCT subject_id, {_KEY.format("topic_name || ' ' || difficulty")} AS key FROM questions),
+        k AS (SELECT subject_id, {_KEY.format("title || ' easy'")} AS key, min(id) AS id FROM s WHERE id % 2 = 0 GROUP BY ALL), j AS (SELECT * FROM w LEFT JOIN k USING (subject_id, key))
+        SELECT subject_id, key, coalesce(id, (SELECT max(id) FROM s WHERE id % 2 = 0) + row_number() OVER (PARTITION BY id IS NULL ORDER BY subject_id, key)) AS id, id IS NULL AS created FROM j"""),
     "d2_evidence_counts": with_views("units", "SELECT r.id, count(u.id) AS evidence_count FROM (SELECT DISTINCT topic_id::BIGINT AS id FROM units) r LEFT JOIN units u ON u.topic_id = r.id AND u.review_status = 'accepted' GROUP BY r.id"),
     "d3_active_topics": with_views("units", "SELECT DISTINCT topic_id::BIGINT AS id, 'Topic ' || topic_id || ' model' AS name FROM units WHERE review_status <> 'quarantined'"),
     "d5_backfill_topics": with_views("units", """h AS (SELECT document_id, source_start, min('T' || topic_id) AS title FROM units WHERE id % 2 = 0 GROUP BY ALL HAVING count(DISTINCT topic_id) = 1)

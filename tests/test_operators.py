@@ -238,3 +238,78 @@ def test_rescue_by_an_acronym(spark):
     kept = spark.createDataFrame([], "query_id long, unit_id long")
     got = {r["unit_id"]: r["score"] for r in retrieval.rescue(queries, units, kept).collect()}
     assert got.keys() == {7} and abs(got[7] - 0.7) < 1e-9
+
+
+def first_wins(rows):
+    """The rule of an import, row by row."""
+    ids, texts, out = set(), set(), {}
+    for subject, line, external, question in sorted(rows, key=lambda r: r[1]):
+        text = " ".join(question.lower().replace("?", " ").split())
+        out[line] = "duplicate external ID" if external and (subject, external) in ids else "duplicate question text" if (subject, text) in texts else None
+        if out[line] is None:
+            texts.add((subject, text))
+            if external:
+                ids.add((subject, external))
+    return out
+
+
+IMPORT = "subject_id long, line long, external_id string, question string"
+
+
+def test_import_settles_a_long_chain_in_few_rounds(spark, monkeypatch):
+    # each row shares its id with the row before it or its text, so that what becomes of one hangs on all before
+    chain = [(1, k, f"x{(k + 1) // 2}", f"what is {k // 2}") for k in range(10_000)]
+    cuts = []
+    kept = pools.checkpointed
+    monkeypatch.setattr(pools, "checkpointed", lambda df: cuts.append(1) or kept(df))
+    none = spark.createDataFrame([], "subject_id long, external_id string, question_text string")
+    got = {r["line"]: r["reason"] for r in pools.preview(spark.createDataFrame(chain, IMPORT), none).collect()}
+    assert got == first_wins(chain) and sum(r is None for r in got.values()) == 5000
+    assert len(cuts) <= 25
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_import_equals_the_rule_row_by_row(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    rows = [(rng.randrange(2), k, rng.choice([None, *(f"x{i}" for i in range(60))]), f"what is {rng.randrange(60)}?") for k in range(300)]
+    none = spark.createDataFrame([], "subject_id long, external_id string, question_text string")
+    assert {r["line"]: r["reason"] for r in pools.preview(spark.createDataFrame(rows, IMPORT), none).collect()} == first_wins(rows)
+    assert pools.preview(spark.createDataFrame([], IMPORT), none).count() == 0
+
+
+def test_new_topics_are_numbered_without_gaps(spark):
+    names = spark.createDataFrame([(k % 3, f"Topic {k % 200}") for k in range(500)], "subject_id long, name string")
+    known = spark.createDataFrame([(0, "topic 0", 7), (0, "TOPIC 0", 5), (1, "other", 40)], "subject_id long, name string, id long")
+    got = topics.resolve(names, known).collect()
+    new = sorted((r["id"], r["subject_id"], r["key"]) for r in got if r["created"])
+    assert [i for i, *_ in new] == list(range(41, 41 + len(new))) and [n[1:] for n in new] == sorted(n[1:] for n in new)
+    assert [(r["subject_id"], r["key"], r["id"]) for r in got if not r["created"]] == [(0, "topic 0", 5)]
+    assert topics.resolve(names, known.where("false")).where("created").agg(F.min("id"), F.max("id")).first()[:] == (1, len(new) + 1)
+
+
+def test_topics_move_with_their_rows(spark):
+    rows = spark.createDataFrame([(1, 1, "13. Cognitive Load", "old"), (2, 1, "Cognitive Load", None), (3, 1, "Slide 4: cognitive load", None), (4, 1, "Memory|Attention", None), (5, 1, "7. Working Memory", None), (6, 1, "Unused topic", None), (7, 2, "13. Cognitive Load", None)], "id long, subject_id long, name string, description string")
+    units = spark.createDataFrame([(1, 1, "accepted", True), (2, 3, "accepted", False), (3, 4, "accepted", True), (4, None, "accepted", True), (5, 99, "accepted", True)], "id long, topic_id long, review_status string, enabled_for_retrieval boolean")
+    questions = spark.createDataFrame([(1, 3), (2, 5), (3, 7), (4, 4)], "id long, topic_id long")
+    done = topics.normalized(rows, units, questions)
+    assert {r["id"]: r["topic_id"] for r in done.units.collect()} == {1: 2, 2: 2, 3: None, 4: None, 5: 99}
+    assert {r["id"]: r["topic_id"] for r in done.questions.collect()} == {1: 2, 2: 5, 3: 7, 4: None}
+    assert sorted((r["id"], r["name"], r["description"], r["evidence_count"]) for r in done.topics.collect()) == [(2, "Cognitive Load", None, 1), (5, "Working Memory", "Original source heading: 7. Working Memory", 0), (7, "Cognitive Load", "Original source heading: 13. Cognitive Load", 0)]
+    assert {r["subject_id"]: tuple(r)[1:] for r in done.counts.collect()} == {1: (1, 2, 1, 1), 2: (1, 0, 0, 0)}
+
+
+def test_revisions_retire_units_and_keep_notes(spark):
+    at = lambda c: F.to_timestamp(F.concat(F.lit("2024-01-01 "), c))
+    uploads = spark.createDataFrame([(1, 1, "08:00:00", "a", "one.pdf"), (1, 2, "09:00:00", "a", "same.pdf"), (1, 3, "10:00:00", "b", "two.pdf"), (1, 4, "11:00:00", "a", "back.pdf")], "source_id long, upload_id long, t string, hash string, filename string").withColumn("uploaded_at", at("t"))
+    log = quality.revision_log(uploads)
+    assert [(r["revision"], r["filename"], r["active"]) for r in log.orderBy("revision").collect()] == [(1, "one.pdf", False), (2, "two.pdf", False), (3, "back.pdf", True)]
+    units = spark.createDataFrame([(1, 1, "08:30:00", ["x"], True, True), (2, 1, "10:00:00", [], True, False), (3, 1, "12:00:00", [], True, True), (4, 2, "12:00:00", [], True, True)], "id long, source_id long, t string, problems array<string>, enabled boolean, authoritative boolean").withColumn("created_at", at("t"))
+    state = lambda n: {r["id"]: (r["enabled"], r["authoritative"], r["problems"]) for r in quality.units_as_of(units, log, n).collect()}
+    gone = ["superseded_extraction", "superseded_source"]
+    assert state(None) == {1: (False, False, [*gone, "x"]), 2: (False, False, gone), 3: (True, True, []), 4: (True, True, [])}
+    assert state(1) == {1: (True, True, ["x"]), 4: (True, True, [])}
+    assert state(2) == {1: (False, False, [*gone, "x"]), 2: (True, False, []), 4: (True, True, [])}
+    edits = spark.createDataFrame([(1, 1, 5, "07:00:00", "too early"), (1, 2, 5, "08:10:00", "draft"), (1, 3, 5, "09:10:00", "kept"), (1, 4, 6, "09:20:00", "away"), (1, 5, 6, "09:30:00", " "), (1, 6, 5, "10:00:00", "new")], "source_id long, edit_id long, page long, t string, content string").withColumn("updated_at", at("t"))
+    assert sorted((r["revision"], r["page"], r["content"]) for r in quality.note_snapshots(edits, log).collect()) == [(1, 5, "kept"), (2, 5, "new")]
