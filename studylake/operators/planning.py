@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from .progress import KEYS
 
 # A goal's default repetitions and questions a session, days of activity and of a schedule.
@@ -85,24 +86,49 @@ def schedule(loads: DataFrame, today: str, per_session: int = PER_SESSION, days:
 SIMULATION = "Run a timed exam simulation"
 
 
+# How many of each branch are recommended, and the states of thin material.
+REPORTED_CARDS, WEAK_TOPICS, DUE_QUESTIONS, THIN_TOPICS = 6, 4, 4, 3
+THIN_STATES = ("partial", "missing", "needs_review", "conflicting")
+
+
+def reported_cards(cards: DataFrame) -> DataFrame:
+    """The reported cards (id, subject_id, question_text, quality_score, reliability) to prepare first in each subject:
+    those on current reports, then by quality."""
+    urgency = (F.col("reliability") == "current").cast("int")
+    rank = F.row_number().over(Window.partitionBy("subject_id").orderBy(F.desc(F.coalesce("urgency", F.lit(0))), F.desc("quality_score"), "id"))
+    return cards.withColumn("urgency", urgency).withColumn("rank", rank).where(F.col("rank") <= REPORTED_CARDS).select("subject_id", F.col("question_text").alias("action"), "urgency", "rank")
+
+
+def thin_topics(coverage: DataFrame) -> DataFrame:
+    """The first topics of each subject whose material is thin, in the order of the coverage table (K4: subject_id,
+    title, material_state, state_rank)."""
+    rank = F.row_number().over(Window.partitionBy("subject_id").orderBy("state_rank", X.casefold(F.col("title")), "title"))
+    rows = coverage.where(F.col("material_state").isin(*THIN_STATES)).withColumn("rank", rank).where(F.col("rank") <= THIN_TOPICS)
+    return rows.select("subject_id", F.concat(F.lit("Improve material coverage for "), "title").alias("action"), "rank")
+
+
 def study_plan(learners: DataFrame, reported: DataFrame, without_pack: DataFrame, weak: DataFrame, due: DataFrame, thin: DataFrame, n: int = 8) -> DataFrame:
-    """The n first recommendations of every learner (user_id, subject_id). Each branch has user_id, subject_id, action, rank (1 first) and, for reported and
-    due ones, urgency: whether the report is current, or the priority of the due attempt.
+    """The n first recommendations of every learner (user_id, subject_id). Each branch has subject_id, action, rank (1
+    first), user_id where it differs by learner, and, for reported and due ones, urgency: whether the report is current,
+    or the priority of the due attempt. A branch is cut to its first rows before it meets the learners.
 
     Priorities: reported cards 110 if current, else 100 (six); no accepted pack 100; weak topics 90 (four); due questions
     80 and up to 9 more (four); thin topics 65 (three); with nothing else a simulation at 50. Equal ones keep this order.
     """
     every = "user_id", "subject_id"
+    who = learners.select(*every).distinct()
 
     def branch(df: DataFrame, order: int, priority: Column, most: int) -> DataFrame:
-        return df.where(F.col("rank") <= most).select(*every, "action", priority.cast("int").alias("priority"), F.lit(order).alias("branch"), "rank")
+        df = df.where(F.col("rank") <= most)
+        df = df if "user_id" in df.columns else who.join(df, "subject_id")
+        return df.select(*every, "action", priority.cast("int").alias("priority"), F.lit(order).alias("branch"), "rank")
 
-    rows = branch(reported, 0, F.when(F.col("urgency") == 1, 110).otherwise(100), 6)
+    rows = branch(reported, 0, F.when(F.col("urgency") == 1, 110).otherwise(100), REPORTED_CARDS)
     for df, order, priority, most in (
-        (without_pack, 1, F.lit(100), 1), (weak, 2, F.lit(90), 4), (due, 3, 80 + F.least(F.lit(9), F.floor("urgency")), 4), (thin, 4, F.lit(65), 3),
+        (without_pack, 1, F.lit(100), 1), (weak, 2, F.lit(90), WEAK_TOPICS), (due, 3, 80 + F.least(F.lit(9), F.floor("urgency")), DUE_QUESTIONS), (thin, 4, F.lit(65), THIN_TOPICS),
     ):
         rows = rows.unionByName(branch(df, order, priority, most))
-    none = learners.select(*every).distinct().join(rows.select(*every).distinct(), list(every), "left_anti")
+    none = who.join(rows.select(*every).distinct(), list(every), "left_anti")
     simulation = none.select(*every, F.lit(SIMULATION).alias("action"), F.lit(50).alias("priority"), F.lit(5).alias("branch"), F.lit(1).alias("rank"))
     rows = rows.unionByName(simulation)
     place = Window.partitionBy(*every).orderBy(F.desc("priority"), "branch", "rank")

@@ -170,35 +170,48 @@ def balanced_sample(questions: DataFrame, recently: DataFrame, count: int, seed:
     """For each learner of `recently` count questions of the subject: one for each concept, fresh ones first within a
     topic, topics in turn. Chance is the MD5 of seed and id.
 
-    Only the first `count` of a topic can be drawn, whichever are recent: with those that are not, they are all a
-    learner's rows are joined with.
+    Topics take turns in one order for all learners, so only the first `count` of a subject are drawn from. Of such a topic
+    a learner gets `count` questions at most, the first ones by chance that are not among their recent ones, and recent
+    ones behind them. So the first `count` and as many more as any learner has recent ones, cut once for each topic, are
+    all that a learner meets, with their own recent ones: what is joined grows with learners, not with questions.
     """
     chance = lambda c: F.md5(F.concat_ws(":", F.lit(seed), c.cast("string")))
-    one = questions.groupBy("subject_id", "concept").agg(F.min("id").alias("id"), F.min_by("topic_name", "id").alias("topic_name"))
+    one = questions.groupBy("subject_id", "concept").agg(F.min("id").alias("id"), F.min_by("topic_name", "id").alias("topic_name")).withColumn("chance", chance(F.col("id")))
+    turns = one.select("subject_id", "topic_name").distinct()
+    turns = turns.withColumn("k", F.row_number().over(Window.partitionBy("subject_id").orderBy(chance(F.col("topic_name")), "topic_name"))).where(F.col("k") <= count).drop("k")
+    drawn = one.join(turns, ["subject_id", "topic_name"], "left_semi").select("subject_id", "topic_name", "id", "chance")
+    most = recently.groupBy("user_id", "subject_id").count().agg(F.max("count")).first()[0] or 0
+    first = drawn.withColumn("k", F.row_number().over(Window.partitionBy("subject_id", "topic_name").orderBy("chance", "id"))).where(F.col("k") <= count + most).drop("k")
     learners = recently.select("user_id", "subject_id").distinct()
-    rows = learners.join(one, "subject_id").join(recently.select("user_id", "subject_id", F.col("question_id").alias("id"), F.lit(1).alias("recent")), ["user_id", "subject_id", "id"], "left")
-    rows = rows.withColumn("recent", F.coalesce("recent", F.lit(0))).withColumn("chance", chance(F.col("id")))
+    marked = recently.select("user_id", "subject_id", F.col("question_id").alias("id")).distinct()
+    fresh = learners.join(first, "subject_id").join(marked, ["user_id", "subject_id", "id"], "left_anti").withColumn("recent", F.lit(0))
+    rows = fresh.unionByName(marked.join(drawn, ["subject_id", "id"]).withColumn("recent", F.lit(1)))
     turn = F.row_number().over(Window.partitionBy("user_id", "subject_id", "topic_name").orderBy("recent", "chance", "id"))
     place = F.row_number().over(Window.partitionBy("user_id", "subject_id").orderBy("turn", chance(F.col("topic_name")), "id"))
     return rows.withColumn("turn", turn).withColumn("place", place).where(F.col("place") <= count).select("user_id", "subject_id", "id", "topic_name", "recent", "place")
 
 
 def mock_pool(questions: DataFrame) -> DataFrame:
-    """Questions for mock exams: of a subject's pools if it has any, the best of each concept."""
+    """Questions for mock exams: accepted and enabled ones with a rubric (n_points) that are in a pool or name evidence
+    (n_evidence); of a subject's pools if it has any such, the best of each concept."""
     curated = F.col("question_pool_id").isNotNull()
-    rows = questions.where("review_status = 'accepted' AND enabled")
+    rows = questions.where("review_status = 'accepted' AND enabled AND n_points > 0").where(curated | (F.col("n_evidence") > 0))
     has = rows.groupBy("subject_id").agg(F.bool_or(curated).alias("has_pool"))
-    rows = rows.join(F.broadcast(has), "subject_id").where(curated | ~F.col("has_pool"))
+    rows = rows.join(has, "subject_id").where(curated | ~F.col("has_pool"))
     best = rows.groupBy("subject_id", "concept").agg(F.max_by("id", F.struct("quality_score", -F.col("id"))).alias("id"))
     return rows.join(best, ["subject_id", "concept", "id"], "left_semi").drop("has_pool")
 
 
-def question_order(questions: DataFrame, weak: DataFrame) -> DataFrame:
-    """Questions by type, quality and id, weak ones (subject_id, id, place) before them in their own order."""
+def question_order(questions: DataFrame, weak: DataFrame, target: int | None = None) -> DataFrame:
+    """Questions by type, quality and id, weak ones (subject_id, id, place) before them in their own order.
+
+    With a target, as for a mock exam, `questions` are those of G10 and the first `target` of each subject are taken.
+    """
     rank = F.coalesce(F.create_map(*(F.lit(x) for p in TYPE_RANK.items() for x in p))[F.col("question_type")], F.lit(5))
     rows = questions.join(weak.select("subject_id", "id", F.col("place").alias("weak_place")), ["subject_id", "id"], "left")
     order = Window.partitionBy("subject_id").orderBy(F.col("weak_place").asc_nulls_last(), rank, F.desc("quality_score"), "id")
-    return rows.select("subject_id", "id", F.row_number().over(order).alias("place"))
+    placed = rows.select("subject_id", "id", F.row_number().over(order).alias("place"))
+    return placed if target is None else placed.where(F.col("place") <= target)
 
 
 def next_question(candidates: DataFrame) -> DataFrame:

@@ -169,18 +169,21 @@ def unit_dimensions(units: DataFrame) -> DataFrame:
     """K1: a column for each dimension a unit shows."""
     for name, pattern in DIMENSIONS.items():
         units = units.withColumn(name, F.col("content").rlike(f"(?iU){pattern}"))
-    return units.withColumn("source_traceability", F.col("document_id").isNotNull() & (F.col("confidence") >= TRACEABLE_FROM))
+    located = F.col("document_id").isNotNull() & (F.coalesce("source_location", F.lit("")) != "")
+    return units.withColumn("source_traceability", located & (F.coalesce("confidence", F.lit(0.0)) >= TRACEABLE_FROM))
 
 
 def material_coverage(units: DataFrame, keys: list[str]) -> DataFrame:
     """K2: material of each group of units, of which `title` is a key: counts, dimensions covered and missing, state.
 
-    Dimensions count for accepted units only.
+    Units have content, document_id, source_location, confidence, review_status, enabled_for_retrieval and problems. Only
+    accepted and enabled ones count as material; a problem that speaks of a conflict makes them conflicting.
     """
-    ok = F.col("review_status") == "accepted"
+    ok = (F.col("review_status") == "accepted") & F.coalesce("enabled_for_retrieval", F.lit(True))
+    conflict = F.contains(F.lower(F.array_join(F.coalesce("problems", F.array().cast("array<string>")), " ")), F.lit("conflict"))
     names = [*DIMENSIONS, "source_traceability"]
     grouped = unit_dimensions(units).groupBy(*keys).agg(
-        F.count_if(ok).alias("accepted"), F.count_if(F.col("review_status") == "needs_review").alias("review"), F.count_if(ok & F.col("conflict")).alias("conflicts"), *(F.max(ok & F.col(n)).alias(n) for n in names)
+        F.count_if(ok).alias("accepted"), F.count_if(F.col("review_status") == "needs_review").alias("review"), F.count_if(ok & conflict).alias("conflicts"), *(F.max(ok & F.col(n)).alias(n) for n in names)
     )
     covered = F.array_sort(F.array_compact(F.array(*(F.when(F.col(n), n) for n in names))))
     asked = {n: F.col("title").rlike(f"(?iU){p}") for n, p in NAMED.items()}
@@ -195,8 +198,24 @@ def material_coverage(units: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, "accepted", "review", "conflicts", "covered", "required", "missing", state.alias("material_state"))
 
 
-def topic_coverage(material: DataFrame, mastery: DataFrame, keys: list[str]) -> DataFrame:
-    """K4: material and mastery of each topic side by side; topics without material are missing, without practice not practised."""
+def topic_coverage(topics: DataFrame, units: DataFrame, mastery: DataFrame, unicode: Callable[[Column], Column] = X.nfkc) -> DataFrame:
+    """K4: what is known of each title of a subject: its topics (topic_ids, topic_id the least one or 0, original_names),
+    its material (K2) and its mastery (subject_id, title, n, mastery_state), with state_rank for the order of the table.
+
+    Titles come from the active topics (id, subject_id, name) and from the units (subject_id, topic_id, topic_name, and
+    what K2 asks for) that are accepted or wait for a review; units of a topic without a title, or of none, are
+    Unassigned. A title without units is missing material, one without answers is not practised.
+    """
+    named = topics.withColumn("title", F.explode(X.topic_titles(F.col("name"), unicode))).select("subject_id", "title", F.col("id").cast("long").alias("topic_id"), F.col("name").alias("original"))
+    placed = by_title(units.where("review_status IN ('accepted', 'needs_review')"), F.col("topic_name"), unicode)
+    of_units = placed.select("subject_id", "title", F.col("topic_id").cast("long"), F.coalesce("topic_name", F.lit("Unassigned")).alias("original"))
+    known = named.unionByName(of_units).distinct().groupBy("subject_id", "title").agg(F.array_sort(F.collect_set("topic_id")).alias("topic_ids"), F.array_sort(F.collect_set("original")).alias("original_names"))
+    material = material_coverage(placed, ["subject_id", "title"]).select("subject_id", "title", "accepted", "review", "conflicts", "material_state")
+    rows = known.join(material, ["subject_id", "title"], "left").join(mastery.select("subject_id", "title", "n", "mastery_state"), ["subject_id", "title"], "left")
     rank = F.create_map(*(F.lit(x) for p in STATE_ORDER.items() for x in p))
-    rows = material.join(mastery, keys, "full").withColumn("material_state", F.coalesce("material_state", F.lit("missing"))).withColumn("mastery_state", F.coalesce("mastery_state", F.lit("not_practised")))
-    return rows.withColumn("state_rank", rank[F.col("material_state")])
+    state = F.coalesce("material_state", F.when(F.col("title") == "Unassigned", "unassigned").otherwise("missing"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return rows.select(
+        "subject_id", "title", "topic_ids", F.coalesce(F.try_element_at("topic_ids", F.lit(1)), F.lit(0)).alias("topic_id"), "original_names", zero("accepted"), zero("review"), zero("conflicts"),
+        state.alias("material_state"), zero("n"), F.coalesce("mastery_state", F.lit("not_practised")).alias("mastery_state"), rank[state].alias("state_rank"),
+    )

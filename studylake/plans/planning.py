@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import planning as L
 from ..operators import progress as P
+from ..operators import topics as D
 from ..operators import usage as M
 from .quality import points_sql
 from ..sources.adapters import attempts, questions, requests, table, units, with_views
@@ -38,16 +39,19 @@ def _rank(df, order):
 
 
 def _plan(s, d):
+    from .questions import titled_units
+
     f = fact(s, d)
     learners = f.select(*P.KEYS).distinct()
     cards = questions(s, d).where("question_pool_id IS NOT NULL AND review_status = 'accepted' AND priority = 'A' AND difficulty = 'hard'")
-    cards = learners.join(cards.select("subject_id", F.col("id").alias("q"), F.col("question_text").alias("action"), "quality_score", (F.col("id") % 2).alias("urgency")), "subject_id")
-    reported = _rank(cards, [F.desc("urgency"), F.desc("quality_score"), "q"])
-    pack = learners.where("subject_id <> 1").select(*P.KEYS, F.lit("Review and accept the generated exam pack").alias("action"), F.lit(1).alias("rank"))
+    cards = cards.withColumn("reliability", F.when(F.col("id") % 2 == 1, "current").when(F.col("id") % 3 == 0, "inferred"))
+    pack = learners.where("subject_id <> 1").select("subject_id").distinct().select("subject_id", F.lit("Review and accept the generated exam pack").alias("action"), F.lit(1).alias("rank"))
     weak = _rank(P.topic_rows(f, NOW).where("mastery_state = 'weak'").withColumn("action", F.concat(F.lit("Practice "), "topic_name")), ["place"])
-    due = P.due_list(f, NOW).withColumn("action", F.concat(F.lit("Question "), F.col("question_id").cast("string"))).withColumn("urgency", F.col("priority")).withColumn("rank", F.col("place"))
-    thin = _rank(P.topic_rows(f, NOW).where("mastery_state = 'not_practised'").withColumn("action", F.concat(F.lit("Improve material coverage for "), "topic_name")), ["topic_name"])
-    return L.study_plan(learners, reported, pack, weak, due, thin).select(*P.KEYS, "action", "priority", "place")
+    due = P.due_list(f, NOW, L.DUE_QUESTIONS).select(*P.KEYS, "question_id", F.col("priority").alias("urgency"), F.col("place").alias("rank"))
+    due = due.join(questions(s, d).select(F.col("id").alias("question_id"), F.col("question_text").alias("action")), "question_id")
+    states = F.create_map(*(F.lit(x) for p in D.STATE_ORDER.items() for x in p))
+    material = D.material_coverage(titled_units(s, d), ["subject_id", "title"]).withColumn("state_rank", states[F.col("material_state")])
+    return L.study_plan(learners, L.reported_cards(cards), pack, weak, due, L.thin_topics(material)).select(*P.KEYS, "action", "priority", "place")
 
 
 def _cards(s, d):
@@ -154,19 +158,6 @@ ORACLE_SQL = {
     "l5_schedule": _over("units", f"""{ELIGIBLE}, {LOADS}, i AS (SELECT *, unnest(range(0, least(study_days, 14))) AS i, greatest(0, remaining - today_remaining) AS ahead, greatest(1, study_days - 1) AS later FROM loads),
         a AS (SELECT user_id, subject_id, i, CAST(CASE WHEN i = 0 THEN today_remaining ELSE ahead // later + CASE WHEN i <= ahead % later THEN 1 ELSE 0 END END AS BIGINT) AS questions FROM i)
         SELECT user_id, subject_id, CAST(DATE '{TODAY}' + CAST(i AS INT) AS VARCHAR) AS day, questions, CAST(ceil(questions / 10) AS BIGINT) AS sessions FROM a"""),
-    "l6_study_plan": over_fact(f"""{MASTERY}, ranked AS (SELECT *, row_number() OVER (PARTITION BY user_id, subject_id ORDER BY topic_name) AS rn FROM states),
-        learners AS (SELECT DISTINCT user_id, subject_id FROM fact),
-        d AS (SELECT user_id, subject_id, question_id, id AS attempt_id, (5 - coalesce(progress_score, 0)) * 2 + missing_count * 2 + incorrect_count * 3
-        + CASE WHEN duration_seconds > expected_duration_seconds * 1.25 THEN 1 ELSE 0 END + age / 7 AS p FROM fact
-        WHERE progress_score IS NULL OR progress_score < 4 OR missing_count > 0 OR incorrect_count > 0 OR age >= 14),
-        b AS (SELECT user_id, subject_id, question_text AS action, CASE WHEN id % 2 = 1 THEN 110 ELSE 100 END AS priority, 0 AS branch, row_number() OVER (PARTITION BY user_id, subject_id ORDER BY id % 2 DESC, quality_score DESC, id) AS rank
-        FROM learners JOIN questions USING (subject_id) WHERE question_pool_id IS NOT NULL AND review_status = 'accepted' AND priority = 'A' AND difficulty = 'hard' QUALIFY rank <= 6
-        UNION ALL SELECT user_id, subject_id, 'Review and accept the generated exam pack', 100, 1, 1 FROM learners WHERE subject_id <> 1
-        UNION ALL SELECT user_id, subject_id, 'Practice ' || topic_name, 90, 2, row_number() OVER (PARTITION BY user_id, subject_id ORDER BY topic_name) AS rank FROM ranked WHERE mastery_state = 'weak' QUALIFY rank <= 4
-        UNION ALL SELECT user_id, subject_id, 'Question ' || question_id, CAST(80 + least(9, floor(p)) AS INT), 3, row_number() OVER (PARTITION BY user_id, subject_id ORDER BY p DESC, attempt_id) AS rank FROM d QUALIFY rank <= 4
-        UNION ALL SELECT user_id, subject_id, 'Improve material coverage for ' || topic_name, 65, 4, row_number() OVER (PARTITION BY user_id, subject_id ORDER BY topic_name) AS rank FROM ranked WHERE mastery_state = 'not_practised' QUALIFY rank <= 3),
-        o AS (SELECT * FROM b UNION ALL SELECT user_id, subject_id, 'Run a timed exam simulation', 50, 5, 1 FROM learners WHERE (user_id, subject_id) NOT IN (SELECT (user_id, subject_id) FROM b))
-        SELECT user_id, subject_id, action, CAST(priority AS INT) AS priority, CAST(row_number() OVER (PARTITION BY user_id, subject_id ORDER BY priority DESC, branch, rank) AS INT) AS place FROM o QUALIFY place <= 8"""),
     "l7_answer_cards": with_views("questions units", f"""{ELIGIBLE}, p AS (SELECT id AS question_id, 0 AS k, evidence_id_1 AS unit_id FROM questions WHERE difficulty = 'hard' UNION ALL SELECT id, 1, evidence_id_2 FROM questions WHERE difficulty = 'hard'),
         m AS (SELECT p.*, a.id AS known, source_start FROM p LEFT JOIN active a ON a.id = p.unit_id)
         SELECT question_id, string_agg(trim('Point ' || k || '. ' || coalesce('[E' || known || ']', '')), ' ' ORDER BY k) AS answer,
@@ -199,3 +190,24 @@ ORACLE_SQL = {
         'm' || (arg_max(user_id, (ts, event_id)) % 3) AS current_model FROM l""",
     "m11_quiz_scores": with_views("attempts", f"{_QUIZ} SELECT session_id, count(*) AS answers, round(avg(similarity), 9) AS similarity, avg(correct::INT) AS correctness FROM quizzes GROUP BY ALL"),
 }
+
+
+def plan_sql() -> str:
+    """L6; its material comes from the queries on topics, which import this module."""
+    from .questions import _TITLE, material_sql
+
+    body = material_sql(f"u AS (SELECT *, {_TITLE} AS title FROM units)")
+    return _over("units", f"""{MASTERY}, {body}, ranked AS (SELECT * FROM states), learners AS (SELECT DISTINCT user_id, subject_id FROM fact),
+        d AS (SELECT user_id, subject_id, question_id, id AS attempt_id, (5 - coalesce(progress_score, 0)) * 2 + missing_count * 2 + incorrect_count * 3
+        + CASE WHEN duration_seconds > expected_duration_seconds * 1.25 THEN 1 ELSE 0 END + age / 7 AS p, question_text FROM fact
+        WHERE progress_score IS NULL OR progress_score < 4 OR missing_count > 0 OR incorrect_count > 0 OR age >= 14),
+        thin AS (SELECT subject_id, title, row_number() OVER (PARTITION BY subject_id ORDER BY list_position(['conflicting', 'needs_review', 'missing', 'partial'], material_state), lower(title), title) AS rank FROM material
+        WHERE material_state IN ('partial', 'missing', 'needs_review', 'conflicting') QUALIFY rank <= 3),
+        b AS (SELECT user_id, subject_id, question_text AS action, CASE WHEN id % 2 = 1 THEN 110 ELSE 100 END AS priority, 0 AS branch, row_number() OVER (PARTITION BY user_id, subject_id ORDER BY id % 2 DESC, quality_score DESC, id) AS rank
+        FROM learners JOIN questions USING (subject_id) WHERE question_pool_id IS NOT NULL AND review_status = 'accepted' AND priority = 'A' AND difficulty = 'hard' QUALIFY rank <= 6
+        UNION ALL SELECT user_id, subject_id, 'Review and accept the generated exam pack', 100, 1, 1 FROM learners WHERE subject_id <> 1
+        UNION ALL SELECT user_id, subject_id, 'Practice ' || topic_name, 90, 2, row_number() OVER (PARTITION BY user_id, subject_id ORDER BY topic_name) AS rank FROM ranked WHERE mastery_state = 'weak' QUALIFY rank <= 4
+        UNION ALL SELECT user_id, subject_id, question_text, CAST(80 + least(9, floor(p)) AS INT), 3, row_number() OVER (PARTITION BY user_id, subject_id ORDER BY p DESC, attempt_id) AS rank FROM d QUALIFY rank <= 4
+        UNION ALL SELECT user_id, subject_id, 'Improve material coverage for ' || title, 65, 4, rank FROM learners JOIN thin USING (subject_id)),
+        o AS (SELECT * FROM b UNION ALL SELECT user_id, subject_id, 'Run a timed exam simulation', 50, 5, 1 FROM learners WHERE (user_id, subject_id) NOT IN (SELECT (user_id, subject_id) FROM b))
+        SELECT user_id, subject_id, action, CAST(priority AS INT) AS priority, CAST(row_number() OVER (PARTITION BY user_id, subject_id ORDER BY priority DESC, branch, rank) AS INT) AS place FROM o QUALIFY place <= 8""")

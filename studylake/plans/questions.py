@@ -13,8 +13,8 @@ from ..operators import retrieval as R
 from ..operators import topics as D
 from .quality import _SEM
 from ..sources.adapters import attempts, questions, requests, table, units, with_views
-from .planning import ELIGIBLE, eligible
-from .progress import MASTERY, NOW, fact, over_fact
+from .planning import ELIGIBLE, eligible, plan_sql
+from .progress import FACT, MASTERY, NOW, fact, over_fact
 
 
 def topics(s, d):
@@ -39,13 +39,30 @@ def _normalized(s, d):
 
 def _named(s, d):
     """Topics of units: their labels as names."""
-    ids = units(s, d).select(F.col("topic_id").cast("bigint").alias("id")).distinct()
+    ids = units(s, d).where("topic_id IS NOT NULL").select(F.col("topic_id").cast("bigint").alias("id")).distinct()
     return ids.select("id", F.concat(F.lit("Topic "), F.col("id").cast("string"), F.lit(" model")).alias("name"))
 
 
+def located(s, d):
+    """Units with where they stand, whether retrieval may use them, and their problems."""
+    return units(s, d).select(
+        "*", F.when(F.col("id") % 8 != 0, F.concat(F.lit("Page "), F.col("source_start").cast("string"))).otherwise("").alias("source_location"), (F.col("id") % 10 != 3).alias("enabled_for_retrieval"),
+        F.when(F.col("id") % 97 == 0, F.array(F.lit("broken_formula"), F.lit("Conflicting_source"))).otherwise(F.array(F.lit("broken_formula"))).alias("problems"),
+    )
+
+
 def titled_units(s, d):
     name = F.element_at(F.array(*(F.lit(x) for x in ("Learning model", "Process of control", "Media evaluation", "Unassigned", "Basics"))), (F.col("topic_id") % 5 + 1).cast("int"))
-    return units(s, d).withColumn("title", name).withColumn("conflict", F.col("id") % 97 == 0)
+    return located(s, d).withColumn("title", F.when(F.col("topic_id").isNull(), "Unassigned").otherwise(name))
+
+
+def coverage(s, d):
+    """K4 over the headings as topics, where some are active only, and the units of the questions with their ids."""
+    at = questions(s, d).join(topics(s, d).select("subject_id", F.col("name").alias("raw_heading"), F.col("id").alias("topic_id")), ["subject_id", "raw_heading"]).select("id", "topic_id")
+    names = _headings(s, d).select("id", "subject_id", "name")
+    placed = located(s, d).drop("topic_id").join(at, "id", "left").join(names.select(F.col("id").alias("topic_id"), F.col("name").alias("topic_name")), "topic_id", "left")
+    practised = J.mastery(fact(s, d).withColumn("title", F.col("topic_name")), ["subject_id", "title"], NOW)
+    return D.topic_coverage(names.where("id % 4 != 1"), placed, practised)
 
 
 def _material(s, d):
@@ -98,12 +115,25 @@ def _resolution(s, d):
     return R.resolve_evidence(q, u).withColumn("relevance", F.round("relevance", 6))
 
 
+def _words(s, d):
+    """The third words of all questions as topics."""
+    rows = questions(s, d).select("subject_id", "id", F.element_at(F.split("question_text", "[ ?]"), 3).alias("name"))
+    return rows.groupBy("subject_id", "name").agg(F.min("id").alias("id"))
+
+
+def _line(text, number):
+    """A whole line of a text, chosen by a number."""
+    lines = F.split(F.coalesce(text, F.lit("")), "\n")
+    return F.get(lines, F.pmod(number, F.size(lines)).cast("int"))
+
+
 def _points(s, d):
     """Points of questions that quote the units they name, some of them wrongly."""
     q = questions(s, d).select(F.col("id").alias("question_id"), F.posexplode(F.array("evidence_id_1", "evidence_id_2")).alias("k", "unit_id"))
     rows = q.join(units(s, d).select(F.col("id").alias("unit_id"), F.col("content").alias("c")), "unit_id", "left")
-    quote = F.when(F.col("question_id") % 4 == 0, F.concat(F.lit("not in the text "), F.substring("c", 1, 30))).otherwise(F.substring("c", 1, 80))
-    text = F.when(F.col("question_id") % 5 == 0, F.concat(F.substring("c", 1, 60), F.lit(" 42"))).otherwise(F.substring("c", 1, 60))
+    line = _line(F.col("c"), F.col("question_id"))
+    quote = F.when(F.col("question_id") % 4 == 0, F.concat(F.lit("not in the text "), line)).otherwise(line)
+    text = F.when(F.col("question_id") % 5 == 0, F.concat(line, F.lit(" 42"))).when(F.col("question_id") % 7 == 0, _line(F.col("c"), F.col("question_id") + 1)).otherwise(line)
     return rows.select("question_id", "k", "unit_id", F.coalesce(text, F.lit("")).alias("text"), F.coalesce(quote, F.lit("")).alias("source_quote"), (F.col("question_id") % 9 != 0).alias("cited"))
 
 
@@ -121,7 +151,7 @@ def _candidates(s, d):
 def _answers(s, d):
     """Answers: the assistant turns, graded against points made of their own and other words."""
     rows = requests(s, d).select(F.col("id").alias("answer_id"), F.col("output_text").alias("answer"), "input_text", F.length("output_text").alias("duration_seconds"))
-    points = F.array(F.substring("answer", 1, 40), F.substring("input_text", 1, 40), F.lit("quantum chromodynamics lattice"))
+    points = F.array(_line(F.col("answer"), F.col("answer_id")), _line(F.col("input_text"), F.col("answer_id")), F.lit("quantum chromodynamics lattice"))
     return rows.select("answer_id", "answer", "duration_seconds", F.posexplode(points).alias("k", "text"))
 
 
@@ -131,13 +161,19 @@ def _concepts(s, d):
     return rows.withColumn("concept", P.concept_key(rows))
 
 
+def _rubrics(s, d):
+    """Questions with the sizes of their rubrics and evidence; the second subject has no pool."""
+    rows = _concepts(s, d).where("subject_id <> 2 OR question_pool_id IS NULL")
+    return rows.withColumn("n_points", F.when(F.col("id") % 13 != 0, 2).otherwise(0)).withColumn("n_evidence", F.when(F.col("id") % 10 != 7, 1).otherwise(0))
+
+
 def _imports(s, d):
     q = questions(s, d)
     return q.where("id % 3 <> 1").select("subject_id", F.col("id").alias("line"), F.when(F.col("id") % 2 == 0, F.concat(F.lit("x"), (F.col("id") % 400).cast("string"))).alias("external_id"), F.concat(F.lit("What is "), "topic_name", F.lit(" in "), "difficulty", F.lit("?")).alias("question"), "topic_name", "priority")
 
 
 def _stored(s, d):
-    return questions(s, d).where("id % 3 = 1").select("subject_id", F.concat(F.lit("x"), F.col("id").cast("string")).alias("external_id"), F.concat(F.lit("what is "), "topic_name", F.lit(" in easy?")).alias("question_text")).where("subject_id = 1")
+    return questions(s, d).where("id % 3 = 1").select("subject_id", F.concat(F.lit("x"), F.col("id").cast("string")).alias("external_id"), F.concat(F.lit("what is "), "topic_name", F.lit(" in easy?")).alias("question_text"))
 
 
 def reported(s, d):
@@ -174,7 +210,7 @@ QUERIES = {
     "d3_active_topics": lambda s, d: D.active(_named(s, d), units(s, d).where("review_status <> 'quarantined'")).select("id", "name"),
     "d4_resolve_topics": lambda s, d: D.resolve(questions(s, d).select("subject_id", F.concat("topic_name", F.lit(" "), "difficulty").alias("name")), topics(s, d).where("id % 2 = 0").withColumn("name", F.concat(F.regexp_extract("name", r"(Brand#\d+)", 1), F.lit(" easy")))),
     "d5_backfill_topics": lambda s, d: D.backfill(units(s, d).select("id", "document_id", "source_start", F.when(F.col("id") % 3 == 0, F.lit("given")).alias("topic_name"), (F.col("id") % 10 == 1).alias("authoritative")), units(s, d).where("id % 2 = 0").select("document_id", F.col("source_start").alias("page"), F.concat(F.lit("T"), F.col("topic_id").cast("string")).alias("title"))),
-    "d6_infer_topics": lambda s, d: D.infer(questions(s, d), R.evidence_of(questions(s, d), units(s, d)).join(units(s, d).select(F.col("id").alias("unit_id"), "topic_id"), "unit_id").select(F.col("question_id").alias("id"), F.col("topic_id").cast("bigint").alias("topic_id")), questions(s, d).where("id % 40 = 0").select("subject_id", "id", F.element_at(F.split("question_text", "[ ?]"), 3).alias("name"))),
+    "d6_infer_topics": lambda s, d: D.infer(questions(s, d), R.evidence_of(questions(s, d), units(s, d)).join(units(s, d).select(F.col("id").alias("unit_id"), "topic_id"), "unit_id").select(F.col("question_id").alias("id"), F.col("topic_id").cast("bigint").alias("topic_id")), _words(s, d)),
     "d7_reclassify": lambda s, d: D.reclassify(questions(s, d).select("id", F.when(F.col("id") % 4 == 0, F.col("id") % 7).alias("topic_id"), (F.col("id") % 5 == 0).alias("manual")), questions(s, d).select("id", F.when(F.col("id") % 2 == 0, F.lit(3).cast("bigint")).alias("topic_id"))),
     "d8_titles": lambda s, d: D.by_title(questions(s, d), F.concat_ws("|", "raw_heading", "topic_name", "difficulty")).groupBy("subject_id", "title").agg(F.count(F.lit(1)).alias("n")),
     "e1_corpus": lambda s, d: R.corpus(units(s, d)).select("id", "subject_id", F.size("vector").alias("size"), F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x), 9).alias("norm")),
@@ -202,7 +238,7 @@ QUERIES = {
     "f11_storable": lambda s, d: G.storable(questions(s, d).where("review_status = 'accepted'"), questions(s, d).where("review_status <> 'accepted'")).select("id", "subject_id"),
     "f12_acceptance": lambda s, d: G.acceptance(questions(s, d).withColumn("has_rubric", F.col("id") % 8 != 0), units(s, d)),
     "f13_citation_gate": lambda s, d: G.citation_gate(questions(s, d).select("id", F.array("evidence_id_1").alias("referenced"), F.when(F.col("id") % 3 == 0, F.array().cast("array<bigint>")).otherwise(F.array("evidence_id_2")).alias("cited"), F.array("evidence_id_1", F.col("id") % 250).alias("allowed"))).withColumn("unknown", F.array_join(F.transform("unknown", lambda x: x.cast("string")), ",")),
-    "f14_uncovered_targets": lambda s, d: G.uncovered_targets(units(s, d).select(F.col("id").alias("unit_id"), F.posexplode(F.split("content", r"(?<=[.!?])\s+")).alias("k", "sentence")), units(s, d).select(F.col("id").alias("unit_id"), F.substring("content", 1, 80).alias("text"))).select("unit_id", "k"),
+    "f14_uncovered_targets": lambda s, d: G.uncovered_targets(units(s, d).select(F.col("id").alias("unit_id"), F.posexplode(F.split("content", r"(?<=[.!?])\s+")).alias("k", "sentence")), units(s, d).select(F.col("id").alias("unit_id"), _line(F.col("content"), F.col("id")).alias("text"))).select("unit_id", "k"),
     "f15_evidence_batches": lambda s, d: G.evidence_batches(units(s, d).where("review_status = 'accepted'")),
     "f16_coverage_targets": lambda s, d: G.coverage_targets(G.evidence_batches(units(s, d).where("review_status = 'accepted'")), units(s, d), eligible(s, d)),
     "g1_preview": lambda s, d: P.preview(_imports(s, d), _stored(s, d)),
@@ -213,7 +249,8 @@ QUERIES = {
     "g7_practice_candidates": lambda s, d: P.practice_candidates(questions(s, d), difficulties=["easy", "hard"], priorities=["A"]).select("id", "subject_id", "difficulty"),
     "g8_recent": lambda s, d: P.recent(attempts(s, d), 5),
     "g9_balanced_sample": lambda s, d: P.balanced_sample(_concepts(s, d), P.recent(attempts(s, d), 5), 8, 7),
-    "g10_mock_pool": lambda s, d: P.mock_pool(_concepts(s, d)).select("id", "subject_id", "concept"),
+    "g10_mock_pool": lambda s, d: P.mock_pool(_rubrics(s, d)).select("id", "subject_id", "concept"),
+    "g11_mock_order": lambda s, d: P.question_order(P.mock_pool(_rubrics(s, d)), questions(s, d).where("id % 21 = 0").select("subject_id", "id", (-F.col("id")).alias("place")), 8),
     "g11_question_order": lambda s, d: P.question_order(questions(s, d), questions(s, d).where("id % 21 = 0").select("subject_id", "id", (-F.col("id")).alias("place"))),
     "g12_next_question": _next,
     "b18_concept_keys": lambda s, d: _concepts(s, d).select("id", "concept"),
@@ -227,9 +264,9 @@ QUERIES = {
     "i3_prune_claims": lambda s, d: G.prune_claims(_answers(s, d).select("answer_id", "k", "text", F.when(F.col("k") == 2, F.array(F.lit(-1).cast("bigint"))).when(F.col("k") == 1, F.array((F.col("answer_id") % 300).cast("bigint"), F.lit(-2).cast("bigint"))).otherwise(F.array().cast("array<bigint>")).alias("cited")), requests(s, d).select(F.col("id").alias("answer_id"), F.explode(F.array(F.col("id") % 300, F.col("id") % 299)).alias("unit_id")).join(units(s, d).select(F.col("id").alias("unit_id"), "content"), "unit_id")).withColumn("cited", F.array_join(F.transform("cited", lambda x: x.cast("string")), ",")),
     "i4_evaluation_guard": lambda s, d: G.evaluation_guard(attempts(s, d).select("id", (F.col("id") % 3).alias("linked"), F.least(F.col("id") % 3, F.col("id") % 2).alias("current"), (F.col("id") % 5 != 0).alias("has_rubric"))),
     "i5_corrected": lambda s, d: G.corrected(attempts(s, d), attempts(s, d).where("id % 3 = 0").select((F.col("id") - F.col("id") % 9).alias("attempt_id"), F.col("id").alias("correction_id"), (F.col("id") % 6).cast("double").alias("score"))),
-    "k1_dimensions": lambda s, d: D.unit_dimensions(units(s, d)).select("id", *D.DIMENSIONS, "source_traceability"),
+    "k1_dimensions": lambda s, d: D.unit_dimensions(located(s, d)).select("id", *D.DIMENSIONS, "source_traceability"),
     "k2_material_coverage": _material,
-    "k4_topic_coverage": lambda s, d: D.topic_coverage(D.material_coverage(titled_units(s, d), ["subject_id", "title"]).select("subject_id", "title", "accepted", "material_state"), J.mastery(fact(s, d).withColumn("title", F.element_at(F.array(F.lit("Learning model"), F.lit("Other")), (F.col("question_id") % 2 + 1).cast("int"))), ["subject_id", "title"], NOW).select("subject_id", "title", "n", "mastery_state"), ["subject_id", "title"]),
+    "k4_topic_coverage": lambda s, d: coverage(s, d).withColumn("topic_ids", F.array_join(F.transform("topic_ids", lambda x: x.cast("string")), ",")).withColumn("original_names", F.array_join("original_names", "~")),
 }
 
 
@@ -237,13 +274,27 @@ def _q(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
 
-_TITLE = "['Learning model', 'Process of control', 'Media evaluation', 'Unassigned', 'Basics'][topic_id % 5 + 1]"
+_TITLE = "coalesce(['Learning model', 'Process of control', 'Media evaluation', 'Unassigned', 'Basics'][topic_id % 5 + 1], 'Unassigned')"
+_TRACED = "confidence >= 0.7 AND id % 8 <> 0"
+_USED = "review_status = 'accepted' AND id % 10 <> 3"
+
+
+def material_sql(titled: str) -> str:
+    """K2 as CTEs that end in `material`, over the CTE that `titled` begins (u: units with title)."""
+    return f"""{titled}, ud AS (SELECT *, id % 97 = 0 AS conflict, {_USED} AS used, {_DIMS}, {_TRACED} AS source_traceability FROM u),
+        mg AS (SELECT subject_id, title, count(*) FILTER (used) AS accepted, count(*) FILTER (review_status = 'needs_review') AS review, count(*) FILTER (used AND conflict) AS conflicts, {", ".join(f"bool_or(used AND {n}) AS {n}" for n in _ALL)} FROM ud GROUP BY ALL),
+        ml AS (SELECT *, list_sort(list_filter([{", ".join(f"CASE WHEN {n} THEN '{n}' END" for n in _ALL)}], lambda x: x IS NOT NULL)) AS covered, list_sort(list_filter([{", ".join(map(_q, D.BASE_DIMENSIONS))}, {", ".join(f"CASE WHEN regexp_matches(title, {_q('(?i)' + p)}){' OR limitation_comparison' if n == 'limitation_comparison' else ''} THEN '{n}' END" for n, p in D.NAMED.items())}], lambda x: x IS NOT NULL)) AS required FROM mg),
+        mm AS (SELECT *, list_filter(required, lambda x: NOT list_contains(covered, x)) AS missing FROM ml),
+        material AS (SELECT subject_id, title, accepted, review, conflicts, covered, required, missing, CASE WHEN title = 'Unassigned' THEN 'unassigned' WHEN conflicts > 0 THEN 'conflicting'
+        WHEN accepted = 0 AND review > 0 THEN 'needs_review' WHEN accepted = 0 THEN 'missing' WHEN len(missing) = 0 THEN 'complete' WHEN review > 0 AND len(covered) < greatest(1, len(required) // 2) THEN 'needs_review' ELSE 'partial' END AS material_state FROM mm)"""
+
+
 _DIMS = ", ".join(f"regexp_matches(content, {_q('(?i)' + p)}) AS {n}" for n, p in D.DIMENSIONS.items())
 _ALL = [*D.DIMENSIONS, "source_traceability"]
 _TOKENS = "list_distinct(regexp_extract_all(lower({}), '[A-Za-zÀ-ÖØ-öø-ÿ0-9]{{3,}}'))"
 _NOTE_TERMS = "list_distinct(regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}_]{{3,}}'))"
 _MEANINGFUL = f"list_filter(q.tokens, lambda t: t NOT IN ({', '.join(map(_q, R.RESCUE_STOP))}))"
-CORPUS = f"""corpus AS (SELECT id, subject_id, document_id, content, {_TOKENS.format("content")} AS tokens, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM units WHERE review_status = 'accepted'),
+CORPUS = f"""corpus AS (SELECT id, subject_id, document_id, content, {_TOKENS.format("content")} AS tokens, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM units WHERE review_status = 'accepted' AND embedding IS NOT NULL),
     pairs AS (SELECT q.id AS query_id, c.id AS unit_id, c.document_id, c.content, list_cosine_similarity(q.v, c.v) AS semantic, len(list_intersect(q.tokens, c.tokens)) AS shared, greatest(1, len(q.tokens)) AS terms,
         {_MEANINGFUL} AS asked, list_intersect({_MEANINGFUL}, c.tokens) AS met, q.content AS query_text FROM corpus q JOIN corpus c USING (subject_id) WHERE q.id % 50 = 0),
     near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY semantic DESC, unit_id) AS place FROM pairs QUALIFY place <= 12),
@@ -310,13 +361,15 @@ REPORTED = f"""reported AS (SELECT 'r' || item_id AS stable_id, item_id % 4 AS s
     CASE WHEN item_id % 5 = 0 THEN [] ELSE [item_id % 500, item_id * 3 % 500] END AS evidence_ids, CASE WHEN item_id % 6 = 0 THEN 'c' || (item_id % 4) END AS chain_id, item_id % 5 AS n_actions FROM benchmark)"""
 CONCEPTS = f"""concepts AS (SELECT *, CASE WHEN id % 17 = 0 THEN 'concept:c' || (id % 5) WHEN id % 4 = 0 THEN 'source:' || regexp_replace(lower(topic_name), '[^a-z0-9]+', '', 'g') || ':' || (id % 9) || '-' || (id % 9)
     WHEN id % 6 = 1 THEN 'external:' || id ELSE 'terms:' || array_to_string(list_sort(list_filter({_TOKENS.format("question_text")}, lambda t: t NOT IN ({", ".join(map(_q, P.CONCEPT_STOP))})))[1:8], ',') END AS concept FROM questions)"""
+_MOCK = """ok AS (SELECT * FROM concepts WHERE review_status = 'accepted' AND enabled AND id % 13 <> 0 AND (question_pool_id IS NOT NULL OR id % 10 <> 7)), a AS (SELECT *, max((question_pool_id IS NOT NULL AND subject_id <> 2)::INT) OVER (PARTITION BY subject_id) AS has FROM ok WHERE subject_id <> 2 OR question_pool_id IS NULL),
+    mock AS (SELECT * FROM a WHERE question_pool_id IS NOT NULL OR has = 0 QUALIFY row_number() OVER (PARTITION BY subject_id, concept ORDER BY quality_score DESC, id) = 1)"""
 RECENT = "recent AS (SELECT DISTINCT user_id, subject_id, question_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, subject_id ORDER BY created_at DESC, id DESC) AS k FROM attempts) WHERE k <= 10)"
 def recursive(names: str, body: str) -> str:
     return with_views(names, body).replace("WITH ", "WITH RECURSIVE ", 1)
 
 
 _IMPORTS = """imports AS (SELECT subject_id, id AS line, CASE WHEN id % 2 = 0 THEN 'x' || (id % 400) END AS external_id, 'What is ' || topic_name || ' in ' || difficulty || '?' AS question, topic_name, priority FROM questions WHERE id % 3 <> 1),
-    stored AS (SELECT subject_id, 'x' || id AS external_id, 'what is ' || topic_name || ' in easy?' AS question_text FROM questions WHERE id % 3 = 1 AND subject_id = 1),
+    stored AS (SELECT subject_id, 'x' || id AS external_id, 'what is ' || topic_name || ' in easy?' AS question_text FROM questions WHERE id % 3 = 1),
     p1 AS (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY line) AS n, (subject_id, external_id) IN (SELECT (subject_id, external_id) FROM stored) AS stored_id,
         (subject_id, lower(question)) IN (SELECT (subject_id, lower(question_text)) FROM stored) AS stored_text FROM imports),
     fold AS (SELECT DISTINCT subject_id, 0::BIGINT AS n, NULL::VARCHAR AS reason, []::VARCHAR[] AS ids, []::VARCHAR[] AS texts FROM imports UNION ALL
@@ -352,12 +405,12 @@ ORACLE_SQL = {
     "d4_resolve_topics": with_views("questions", f"""{_SAME}, w AS (SELECT DISTINCT subject_id, {_KEY.format("topic_name || ' ' || difficulty")} AS key FROM questions),
         k AS (SELECT subject_id, {_KEY.format("title || ' easy'")} AS key, min(id) AS id FROM s WHERE id % 2 = 0 GROUP BY ALL), j AS (SELECT * FROM w LEFT JOIN k USING (subject_id, key))
         SELECT subject_id, key, coalesce(id, (SELECT max(id) FROM s WHERE id % 2 = 0) + row_number() OVER (PARTITION BY id IS NULL ORDER BY subject_id, key)) AS id, id IS NULL AS created FROM j"""),
-    "d2_evidence_counts": with_views("units", "SELECT r.id, count(u.id) AS evidence_count FROM (SELECT DISTINCT topic_id::BIGINT AS id FROM units) r LEFT JOIN units u ON u.topic_id = r.id AND u.review_status = 'accepted' GROUP BY r.id"),
-    "d3_active_topics": with_views("units", "SELECT DISTINCT topic_id::BIGINT AS id, 'Topic ' || topic_id || ' model' AS name FROM units WHERE review_status <> 'quarantined'"),
+    "d2_evidence_counts": with_views("units", "SELECT r.id, count(u.id) AS evidence_count FROM (SELECT DISTINCT topic_id::BIGINT AS id FROM units WHERE topic_id IS NOT NULL) r LEFT JOIN units u ON u.topic_id = r.id AND u.review_status = 'accepted' GROUP BY r.id"),
+    "d3_active_topics": with_views("units", "SELECT DISTINCT topic_id::BIGINT AS id, 'Topic ' || topic_id || ' model' AS name FROM units WHERE review_status <> 'quarantined' AND topic_id IS NOT NULL"),
     "d5_backfill_topics": with_views("units", """h AS (SELECT document_id, source_start, min('T' || topic_id) AS title FROM units WHERE id % 2 = 0 GROUP BY ALL HAVING count(DISTINCT topic_id) = 1)
         SELECT id, CASE WHEN id % 3 = 0 THEN 'given' WHEN id % 10 = 1 THEN NULL ELSE title END AS topic_name FROM units LEFT JOIN h USING (document_id, source_start)"""),
     "d7_reclassify": with_views("questions", """r AS (SELECT id, CASE WHEN id % 4 = 0 THEN id % 7 WHEN id % 5 <> 0 AND id % 2 = 0 THEN 3 END AS topic_id, id % 5 <> 0 AND id % 4 <> 0 AND id % 2 = 0 AS assigned FROM questions) SELECT *, topic_id IS NULL AS unresolved FROM r"""),
-    "e1_corpus": with_views("units", "SELECT id, subject_id, len(embedding)::INT AS size, 1.0::DOUBLE AS norm FROM units WHERE review_status = 'accepted'"),
+    "e1_corpus": with_views("units", "SELECT id, subject_id, len(embedding)::INT AS size, 1.0::DOUBLE AS norm FROM units WHERE review_status = 'accepted' AND embedding IS NOT NULL"),
     "e2_to_embed": with_views("units", "SELECT DISTINCT sha256(content) AS hash FROM units WHERE sha256(content) NOT IN (SELECT sha256(content) FROM units WHERE id % 4 = 0)"),
     "e3_nearest": with_views("units", f"{CORPUS} SELECT query_id, unit_id, round(semantic, 9) AS semantic, place::INT AS place FROM near"),
     "e4_hybrid": with_views("units", f"{CORPUS} SELECT query_id, unit_id, round(semantic, 9) AS semantic, round(score, 9) AS score FROM hybrid"),
@@ -380,7 +433,7 @@ ORACLE_SQL = {
     "f9_vector_duplicates": with_views("questions units", """v AS (SELECT q.id, q.subject_id, list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::DOUBLE + z[2]::DOUBLE) AS v FROM questions q
         JOIN units a ON a.id = evidence_id_1 JOIN units b ON b.id = evidence_id_2)
         SELECT a.id, b.id AS other_id, round(list_cosine_similarity(a.v, b.v), 6) AS cosine FROM v a JOIN v b ON a.subject_id = b.subject_id AND a.id <> b.id WHERE a.id % 50 = 0 AND list_cosine_similarity(a.v, b.v) >= 0.92"""),
-    "f9_vector_problems": with_views("units", "SELECT id, CASE WHEN id % 13 = 0 THEN 'zero' WHEN id % 17 = 0 THEN 'missing' ELSE 'valid' END AS state FROM units"),
+    "f9_vector_problems": with_views("units", "SELECT id, CASE WHEN id % 13 = 0 AND embedding IS NOT NULL THEN 'zero' WHEN id % 17 = 0 OR embedding IS NULL THEN 'missing' ELSE 'valid' END AS state FROM units"),
     "f10_verdicts": with_views("questions", """r AS (SELECT id, list_sort(list_filter([CASE WHEN id % 3 = 0 THEN 'grounded' END, CASE WHEN id % 4 = 0 THEN 'clear' END, CASE WHEN id % 5 = 0 THEN 'duplicate' END, CASE WHEN id % 7 = 0 THEN 'low_quality' END], lambda x: x IS NOT NULL)) AS r FROM questions)
         SELECT id, len(r) = 0 AS accepted, array_to_string(r, ',') AS reasons FROM r"""),
     "f11_storable": with_views("questions", "SELECT min(id) AS id, subject_id FROM questions q WHERE review_status = 'accepted' AND NOT EXISTS (SELECT 1 FROM questions o WHERE o.review_status <> 'accepted' AND o.subject_id = q.subject_id AND o.question_text = q.question_text) GROUP BY subject_id, question_text"),
@@ -402,8 +455,9 @@ ORACLE_SQL = {
         r AS (SELECT u.user_id, u.subject_id, o.id, o.topic_name, (x.question_id IS NOT NULL)::INT AS recent, md5('7:' || o.id) AS chance FROM (SELECT DISTINCT user_id, subject_id FROM recent) u JOIN o USING (subject_id) LEFT JOIN recent x ON x.user_id = u.user_id AND x.subject_id = u.subject_id AND x.question_id = o.id),
         t AS (SELECT *, row_number() OVER (PARTITION BY user_id, subject_id, topic_name ORDER BY recent, chance, id) AS turn FROM r)
         SELECT user_id, subject_id, id, topic_name, recent, CAST(row_number() OVER (PARTITION BY user_id, subject_id ORDER BY turn, md5('7:' || topic_name), id) AS INT) AS place FROM t QUALIFY place <= 8"""),
-    "g10_mock_pool": with_views("questions", f"""{CONCEPTS}, a AS (SELECT *, max((question_pool_id IS NOT NULL)::INT) OVER (PARTITION BY subject_id) AS has FROM concepts WHERE review_status = 'accepted' AND enabled)
-        SELECT id, subject_id, concept FROM a WHERE question_pool_id IS NOT NULL OR has = 0 QUALIFY row_number() OVER (PARTITION BY subject_id, concept ORDER BY quality_score DESC, id) = 1"""),
+    "g10_mock_pool": with_views("questions", f"{CONCEPTS}, {_MOCK} SELECT id, subject_id, concept FROM mock"),
+    "g11_mock_order": with_views("questions", f"""{CONCEPTS}, {_MOCK} SELECT subject_id, id, CAST(row_number() OVER (PARTITION BY subject_id ORDER BY CASE WHEN id % 21 = 0 THEN -id END ASC NULLS LAST, quality_score DESC, id) AS INT) AS place
+        FROM mock QUALIFY place <= 8"""),
     "g11_question_order": with_views("questions", "SELECT subject_id, id, CAST(row_number() OVER (PARTITION BY subject_id ORDER BY CASE WHEN id % 21 = 0 THEN -id END ASC NULLS LAST, quality_score DESC, id) AS INT) AS place FROM questions"),
     "b18_concept_keys": with_views("questions", f"{CONCEPTS} SELECT id, concept FROM concepts"),
     "h1_import_reported": f"WITH {REPORTED} SELECT stable_id, CASE WHEN n_actions >= 3 THEN 'inserted' WHEN n_actions = 0 THEN 'conflict' ELSE 'unchanged' END AS state FROM reported",
@@ -414,12 +468,19 @@ ORACLE_SQL = {
     "i4_evaluation_guard": with_views("attempts", "SELECT id, CASE WHEN id % 2 < id % 3 THEN 'insufficient_evidence' WHEN id % 3 = 0 AND id % 5 = 0 THEN 'needs_review' ELSE 'gradable' END AS state FROM attempts"),
     "i5_corrected": with_views("attempts", """c AS (SELECT id - id % 9 AS attempt_id, arg_max((id % 6)::DOUBLE, id) AS s FROM attempts WHERE id % 3 = 0 GROUP BY ALL)
         SELECT id, coalesce(s, score) AS score, CASE WHEN s IS NOT NULL THEN score END AS previous_score FROM attempts LEFT JOIN c ON attempt_id = id"""),
-    "k1_dimensions": with_views("units", f"SELECT id, {_DIMS}, confidence >= 0.7 AS source_traceability FROM units"),
-    "k2_material_coverage": with_views("units", f"""u AS (SELECT *, {_TITLE} AS title, id % 97 = 0 AS conflict, {_DIMS}, confidence >= 0.7 AS source_traceability FROM units),
-        g AS (SELECT subject_id, title, count(*) FILTER (review_status = 'accepted') AS accepted, count(*) FILTER (review_status = 'needs_review') AS review, count(*) FILTER (review_status = 'accepted' AND conflict) AS conflicts, {", ".join(f"bool_or(review_status = 'accepted' AND {n}) AS {n}" for n in _ALL)} FROM u GROUP BY ALL),
-        l AS (SELECT *, list_sort(list_filter([{", ".join(f"CASE WHEN {n} THEN '{n}' END" for n in _ALL)}], lambda x: x IS NOT NULL)) AS covered, list_sort(list_filter([{", ".join(map(_q, D.BASE_DIMENSIONS))}, {", ".join(f"CASE WHEN regexp_matches(title, {_q('(?i)' + p)}){' OR limitation_comparison' if n == 'limitation_comparison' else ''} THEN '{n}' END" for n, p in D.NAMED.items())}], lambda x: x IS NOT NULL)) AS required FROM g),
-        m AS (SELECT *, list_filter(required, lambda x: NOT list_contains(covered, x)) AS missing FROM l)
-        SELECT subject_id, title, accepted, review, conflicts, array_to_string(covered, ',') AS covered, array_to_string(required, ',') AS required, array_to_string(missing, ',') AS missing, CASE WHEN title = 'Unassigned' THEN 'unassigned' WHEN conflicts > 0 THEN 'conflicting'
-        WHEN accepted = 0 AND review > 0 THEN 'needs_review' WHEN accepted = 0 THEN 'missing' WHEN len(missing) = 0 THEN 'complete' WHEN review > 0 AND len(covered) < greatest(1, len(required) // 2) THEN 'needs_review' ELSE 'partial' END AS material_state FROM m"""),
+    "k1_dimensions": with_views("units", f"SELECT id, {_DIMS}, {_TRACED} AS source_traceability FROM units"),
+    "k2_material_coverage": with_views("units", f"""{material_sql(f"u AS (SELECT *, {_TITLE} AS title FROM units)")}
+        SELECT subject_id, title, accepted, review, conflicts, array_to_string(covered, ',') AS covered, array_to_string(required, ',') AS required, array_to_string(missing, ',') AS missing, material_state FROM material"""),
+    "k4_topic_coverage": with_views("questions attempts units", f"""{FACT}, {MASTERY.replace("SELECT user_id, subject_id, topic_name", "SELECT subject_id, topic_name")}, {_SAME},
+        t AS (SELECT id, subject_id, CASE WHEN id % 11 = 0 THEN name || '|Second heading' WHEN id % 7 = 0 THEN title ELSE name END AS name, CASE WHEN id % 11 = 0 THEN [title, 'Second heading'] ELSE [title] END AS titles FROM s),
+        {material_sql("""w AS (SELECT u.* EXCLUDE (topic_id), t.id AS topic_id, t.name AS topic_name, coalesce(t.titles, ['Unassigned']) AS titles FROM units u LEFT JOIN questions q ON q.id = u.id LEFT JOIN s ON s.subject_id = q.subject_id AND s.name = q.raw_heading
+            LEFT JOIN t ON t.id = s.id WHERE u.review_status IN ('accepted', 'needs_review')), u AS (SELECT *, unnest(titles) AS title FROM w)""")},
+        k AS (SELECT subject_id, unnest(titles) AS title, id AS topic_id, name AS original FROM t WHERE id % 4 <> 1 UNION SELECT subject_id, title, topic_id, coalesce(topic_name, 'Unassigned') FROM u),
+        g AS (SELECT subject_id, title, list_sort(list(DISTINCT topic_id) FILTER (topic_id IS NOT NULL)) AS ids, list_sort(list(DISTINCT original)) AS names FROM k GROUP BY ALL),
+        c AS (SELECT g.*, m.* EXCLUDE (subject_id, title, covered, required, missing), coalesce(m.material_state, CASE WHEN g.title = 'Unassigned' THEN 'unassigned' ELSE 'missing' END) AS state, st.n, st.mastery_state FROM g
+            LEFT JOIN material m ON m.subject_id = g.subject_id AND m.title = g.title LEFT JOIN states st ON st.subject_id = g.subject_id AND st.topic_name = g.title)
+        SELECT subject_id, title, coalesce(array_to_string(ids, ','), '') AS topic_ids, coalesce(ids[1], 0) AS topic_id, array_to_string(names, '~') AS original_names, coalesce(accepted, 0) AS accepted, coalesce(review, 0) AS review, coalesce(conflicts, 0) AS conflicts,
+        state AS material_state, coalesce(n, 0) AS n, coalesce(mastery_state, 'not_practised') AS mastery_state, list_position(['conflicting', 'needs_review', 'missing', 'partial', 'complete', 'unassigned'], state) - 1 AS state_rank FROM c"""),
 }
+ORACLE_SQL["l6_study_plan"] = plan_sql()
 assert ELIGIBLE and MASTERY and over_fact

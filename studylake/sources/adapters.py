@@ -59,12 +59,13 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a unit; those without a vector have none, and no topic either."""
     e, d, q = table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    rows = e.join(d.select("doc_id", "text"), F.col("doc_id") == F.col("vec_id")).drop("doc_id").join(q, F.col("doc_id") == F.col("vec_id"), "left")
+    rows = d.select("doc_id", "text").join(e, F.col("doc_id") == F.col("vec_id"), "left").join(q, "doc_id", "left")
     return rows.select(
-        F.col("vec_id").alias("id"), (F.col("vec_id") % 4).alias("subject_id"), (F.col("vec_id") % 50).alias("document_id"), F.col("label").alias("topic_id"),
-        (F.col("vec_id") % 7 + 1).alias("source_start"), F.col("text").alias("content"),
-        F.when(F.col("quality") == 0, "quarantined").when(F.col("vec_id") % 9 == 0, "needs_review").otherwise("accepted").alias("review_status"),
+        F.col("doc_id").alias("id"), (F.col("doc_id") % 4).alias("subject_id"), (F.col("doc_id") % 50).alias("document_id"), F.col("label").alias("topic_id"),
+        (F.col("doc_id") % 7 + 1).alias("source_start"), F.col("text").alias("content"),
+        F.when(F.col("quality") == 0, "quarantined").when(F.col("doc_id") % 9 == 0, "needs_review").otherwise("accepted").alias("review_status"),
         F.when(F.col("toxic") == 1, 0.5).otherwise(0.95).alias("confidence"), "embedding",
     )
 
@@ -103,9 +104,9 @@ SQL = {
         CASE WHEN event_type IN ('click', 'purchase') THEN LEAST(CAST(5 AS DOUBLE), CAST(FLOOR(value / 15) AS DOUBLE)) END AS score,
         event_id % 3 AS missing_count, CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END AS incorrect_count, CAST(FLOOR(value) AS INT) AS duration_seconds, ts AS created_at
         FROM (SELECT *, CAST(REGEXP_EXTRACT(props, '[0-9]+', 0) AS BIGINT) AS k FROM events) e)""",
-    "units": """units AS (SELECT e.vec_id AS id, e.vec_id % 4 AS subject_id, e.vec_id % 50 AS document_id, e.label AS topic_id, e.vec_id % 7 + 1 AS source_start,
-        d.text AS content, CASE WHEN l.quality = 0 THEN 'quarantined' WHEN e.vec_id % 9 = 0 THEN 'needs_review' ELSE 'accepted' END AS review_status,
-        CASE WHEN l.toxic = 1 THEN 0.5 ELSE 0.95 END::DOUBLE AS confidence, e.embedding FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id LEFT JOIN labels l ON l.doc_id = e.vec_id)""",
+    "units": """units AS (SELECT d.doc_id AS id, d.doc_id % 4 AS subject_id, d.doc_id % 50 AS document_id, e.label AS topic_id, d.doc_id % 7 + 1 AS source_start,
+        d.text AS content, CASE WHEN l.quality = 0 THEN 'quarantined' WHEN d.doc_id % 9 = 0 THEN 'needs_review' ELSE 'accepted' END AS review_status,
+        CASE WHEN l.toxic = 1 THEN 0.5 ELSE 0.95 END::DOUBLE AS confidence, e.embedding FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id LEFT JOIN labels l ON l.doc_id = d.doc_id)""",
     "requests": """requests AS (SELECT * FROM (SELECT CONCAT(CAST(conv_id AS STRING), ':', CAST(turn AS STRING)) AS request_uuid, conv_id % 10 AS user_id, conv_id % 4 AS subject_id,
         role, text AS input_text, LEAD(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role, LEAD(text) OVER (PARTITION BY conv_id ORDER BY turn) AS output_text,
         conv_id * 100 + turn AS id, conv_id, turn FROM conversations) t WHERE role = 'user' AND next_role = 'assistant')""",
