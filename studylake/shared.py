@@ -1,18 +1,32 @@
-"""Cutting the lineage of loops in the folder that driver and executors share."""
+"""Cutting the lineage of loops, and room for exports, in the folder that driver and executors share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` as a checkpoint in spark.checkpoint.dir; a folder is made only for a local session that names none."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        found = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        if not found and not context.master.startswith("local"):
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a folder is made only for a local session that names none."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not found:
+        if not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
-        context.setCheckpointDir(found or tempfile.mkdtemp(prefix="spark-"))
+        found = tempfile.mkdtemp(prefix="spark-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(found)
+    return found
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path for an export below the shared folder that nothing else uses."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """`df` as a checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import pools
+from ..shared import checkpointed
 
 # Kinds of source files by extension.
 SOURCE_KINDS = {"md": "markdown", "markdown": "markdown", "pdf": "pdf"}
@@ -19,11 +20,12 @@ PROVENANCE = ("exact_reported", "reported_followup", "inferred_followup")
 RELIABILITY = ("current", "historical_same_course", "adjacent_historical", "inferred")
 
 
-def discover(spark: SparkSession, root: str) -> DataFrame:
-    """A1: source files below a folder: relative path, title, kind, size and SHA-256. Contents stay in their tasks."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{md,markdown,pdf,MD,PDF}").load(root)
+def discover(spark: SparkSession, root: str, kinds: dict[str, str] = SOURCE_KINDS) -> DataFrame:
+    """A1: source files below a folder: relative path, title, kind by extension, size and SHA-256. Contents stay in their tasks."""
+    endings = ",".join(e for x in kinds for e in (x, x.upper()))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{{{endings}}}").load(root)
     name = F.element_at(F.split("path", "/"), -1)
-    kind = F.create_map(*(F.lit(x) for p in SOURCE_KINDS.items() for x in p))[F.lower(F.regexp_extract("path", r"\.([^.]+)$", 1))]
+    kind = F.create_map(*(F.lit(x) for p in kinds.items() for x in p))[F.lower(F.regexp_extract("path", r"\.([^.]+)$", 1))]
     title = F.trim(F.regexp_replace(F.regexp_replace(name, r"\.[^.]+$", ""), r"[_\-\s]+", " "))
     base = root.split("://")[-1].removeprefix("file:").rstrip("/") + "/"
     return files.select(F.substring_index("path", base, -1).alias("relative_path"), title.alias("title"), kind.alias("kind"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
@@ -93,10 +95,11 @@ def markdown_bank(files: DataFrame) -> DataFrame:
     return pools.normalized(raw)
 
 
-def reported_bank(spark: SparkSession, path: str, subjects: DataFrame, aliases: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Reported questions of bank files of schema 1.0 with their subject (id, slug), and rejects with a reason."""
+def reported_bank(spark: SparkSession, path: str, subjects: DataFrame, aliases: dict[str, str] | None = None, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Reported questions of bank files of schema 1.0 with their subject (id, slug), and rejects with a reason. A file is
+    one bank, or, as exports are, has one on each line."""
     schema = "schema_version string, source_file string, questions array<struct<question_id:string, exam_id:string, wording:string, provenance:string, reliability:string, question_type:string, activation_status:string, answerability_status:string, chain_id:string, topic_tags:array<string>, required_actions:array<string>, current_course_evidence_ids:array<bigint>>>"
-    raw = spark.read.schema(schema).json(path, multiLine=True)
+    raw = spark.read.schema(schema).json(path, multiLine=not lines)
     rows = raw.select("schema_version", "source_file", F.explode_outer("questions").alias("q")).select("schema_version", "source_file", "q.*")
     slug = F.trim("exam_id")
     if aliases:
@@ -110,11 +113,20 @@ def reported_bank(spark: SparkSession, path: str, subjects: DataFrame, aliases:
     return rows.where("reason IS NULL").drop("reason"), rows.where("reason IS NOT NULL").select("source_file", "question_id", "reason")
 
 
-def export_reported(reported: DataFrame, path: str) -> None:
-    """One JSON line for each report of a subject, in folders by subject, with the rules that go with them."""
+def export_reported(reported: DataFrame, path: str, per_bank: int = 500) -> None:
+    """Reports (subject_id, question_id and more fields of A8) as banks of about `per_bank` questions, one on each line, in
+    folders by subject, with the rules that go with them. A8 reads them back.
+
+    A subject's reports are dealt to banks by a hash of their ids, as many as their number asks for, so that no bank grows
+    with its subject.
+    """
     rules = F.struct(F.lit(False).alias("reports_are_authoritative_for_answers"), F.lit(True).alias("require_current_course_evidence_for_activation"))
-    rows = reported.select("subject_id", F.lit("1.0").alias("schema_version"), rules.alias("rules"), F.struct(*(F.col(c) for c in reported.columns if c != "subject_id")).alias("question"))
-    rows.write.mode("overwrite").partitionBy("subject_id").json(path)
+    banks = reported.groupBy("subject_id").agg(F.ceil(F.count(F.lit(1)) / per_bank).alias("banks"))
+    fields = [F.col(c) for c in reported.columns if c not in ("subject_id", "source_file")]
+    rows = reported.join(banks, "subject_id").withColumn("bank", F.pmod(F.xxhash64("question_id"), F.col("banks")))
+    grouped = rows.groupBy("subject_id", "bank").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("questions"))
+    source = F.concat(F.lit("export-"), F.col("subject_id").cast("string"), F.lit("-"), F.col("bank").cast("string"))
+    grouped.select("subject_id", F.lit("1.0").alias("schema_version"), source.alias("source_file"), rules.alias("rules"), "questions").write.mode("overwrite").partitionBy("subject_id").json(path)
 
 
 def catalogue(lines: DataFrame) -> DataFrame:
@@ -152,3 +164,37 @@ def metrics(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
 def write_report(report: DataFrame, path: str, key: str = "subject_id") -> None:
     """A report in folders by subject; subjects that are written again are replaced, the others stay."""
     report.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+
+
+def upsert(updates: DataFrame, path: str, keys: list[str], partition: str, order: list[str], where: str = "true") -> DataFrame:
+    """A13 in a stored table: INSERT ... ON CONFLICT (partition, keys) DO UPDATE WHERE, on Parquet in folders by `partition`.
+
+    Of several updates of a key the last by `order` counts. `where` may speak of `old` and `new`: a stored row stays where
+    it does not hold, or where nothing would change. Only folders in which a row comes in or changes are written, so the
+    same batch again writes nothing. What is written is checkpointed first, as it is read from where it goes; a job that
+    fails leaves the folders as they were. Returns the folders written with their counts (partition, inserted, updated).
+    """
+    spark, columns, at = updates.sparkSession, updates.columns, [partition, *keys]
+    last = F.row_number().over(Window.partitionBy(*at).orderBy(*(F.desc(c) for c in order)))
+    new = checkpointed(updates.withColumn("__k", last).where("__k = 1").drop("__k"))
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    old = spark.read.schema(updates.schema).parquet(path) if there else new.limit(0)
+    old = old.select(*columns).join(new.select(partition).distinct(), partition, "left_semi")
+    row = F.struct(*columns)
+    pairs = old.select(*at, row.alias("old")).join(new.select(*at, row.alias("new")), at, "full")
+    changes = F.col("old").isNotNull() & F.col("new").isNotNull() & ~F.col("old").eqNullSafe(F.col("new")) & F.coalesce(F.expr(where), F.lit(False))
+    action = F.when(F.col("old").isNull(), "inserted").when(changes, "updated").otherwise("kept")
+    pairs = checkpointed(pairs.select(partition, action.alias("action"), F.when(action == "kept", F.col("old")).otherwise(F.col("new")).alias("row")))
+    written = pairs.groupBy(partition).agg(F.count_if(F.col("action") == "inserted").alias("inserted"), F.count_if(F.col("action") == "updated").alias("updated")).where("inserted + updated > 0")
+    written = checkpointed(written)
+    rows = pairs.join(written.select(partition), partition, "left_semi").select("row.*")
+    if not written.isEmpty():
+        rows.repartition(partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    return written
+
+
+def upsert_stream(updates: DataFrame, path: str, checkpoint: str, keys: list[str], partition: str, order: list[str], where: str = "true"):
+    """A13 fed by a stream: each micro-batch is upserted; a batch that comes again after a failure changes nothing more.
+    Returns the writer, to be triggered and started by the caller."""
+    return updates.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, _: upsert(batch, path, keys, partition, order, where))

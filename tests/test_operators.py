@@ -178,9 +178,11 @@ def test_reported_bank(spark, tmp_path):
     good, bad = files.reported_bank(spark, path, subjects, {"old": "new"})
     assert [(r["question_id"], r["subject_id"]) for r in good.collect()] == [("r1", 7)]
     assert sorted((r["question_id"], r["reason"]) for r in bad.collect()) == [("r2", "reliability"), ("r3", "no such exam")]
-    files.export_reported(good.select("subject_id", "question_id", "wording"), str(tmp_path / "out"))
-    back = spark.read.json(str(tmp_path / "out"))
-    assert back.select("question.wording", "subject_id").first() == ("What?", 7)
+    files.export_reported(good.drop("source_file", "schema_version", "slug"), str(tmp_path / "out"))
+    bank = spark.read.json(str(tmp_path / "out")).first()
+    assert (bank["subject_id"], bank["schema_version"], bank["questions"][0]["wording"], bank["rules"]["reports_are_authoritative_for_answers"]) == (7, "1.0", "What?", False)
+    back, bad = files.reported_bank(spark, str(tmp_path / "out"), subjects, {"old": "new"}, lines=True)
+    assert [(r["question_id"], r["subject_id"], r["current_course_evidence_ids"]) for r in back.collect()] == [("r1", 7, [2, 1])] and bad.count() == 0
 
 
 def test_metrics_and_reports(spark, tmp_path):
@@ -216,7 +218,8 @@ def test_streams_equal_their_batch_twins(spark, tmp_path):
     assert sorted((r["session_id"], r["question_id"]) for r in once.collect()) == sorted((r["session_id"], r["question_id"]) for r in stream.exactly_once(table).collect())
     days = run(stream.daily_failures(live()), "days", "update")
     assert [tuple(r) for r in days.collect()] == [tuple(r) for r in stream.daily_failures(table).collect()]
-    fold = {r["session_id"]: (r["answered"], r["skipped"], r["discarded"], r["state"]) for r in run(stream.fold_sessions(live(), 2), "fold", "update").collect()}
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", stream.ROCKS_DB)
+    fold = {r["session_id"]: (r["answered"], r["skipped"], r["discarded"], r["state"]) for r in run(stream.fold_sessions(live(), 2, delay="2 hours"), "fold", "update").collect()}
     assert fold == {r["session_id"]: (r["answered"], r["skipped"], r["discarded"], r["state"]) for r in stream.fold_sessions(table, 2).collect()}
     assert fold == {1: (1, 1, 2, "completed"), 2: (0, 0, 1, "time_expired"), 3: (1, 0, 0, "answering")}
 
@@ -313,3 +316,61 @@ def test_revisions_retire_units_and_keep_notes(spark):
     assert state(2) == {1: (False, False, [*gone, "x"]), 2: (True, False, []), 4: (True, True, [])}
     edits = spark.createDataFrame([(1, 1, 5, "07:00:00", "too early"), (1, 2, 5, "08:10:00", "draft"), (1, 3, 5, "09:10:00", "kept"), (1, 4, 6, "09:20:00", "away"), (1, 5, 6, "09:30:00", " "), (1, 6, 5, "10:00:00", "new")], "source_id long, edit_id long, page long, t string, content string").withColumn("updated_at", at("t"))
     assert sorted((r["revision"], r["page"], r["content"]) for r in quality.note_snapshots(edits, log).collect()) == [(1, 5, "kept"), (2, 5, "new")]
+
+
+def test_a_session_expires_without_answers_also_after_a_restart(spark, tmp_path):
+    schema = "id long, session_id long, question_id long, status string, created_at timestamp, deadline timestamp"
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", stream.ROCKS_DB)
+
+    def put(name, *rows):
+        frame = spark.createDataFrame([(*r[:4], *r[4:]) for r in rows], "id long, session_id long, question_id long, status string, at string, until string")
+        frame.select("id", "session_id", "question_id", "status", F.to_timestamp("at").alias("created_at"), F.to_timestamp("until").alias("deadline")).coalesce(1).write.parquet(str(tmp_path / "in" / name))
+
+    def run():
+        live = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        seen = []
+        query = stream.fold_sessions(live, 3).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True)
+        query.foreachBatch(lambda batch, _: seen.extend((r["session_id"], r["answered"], r["state"]) for r in batch.collect())).start().awaitTermination(180)
+        return seen
+
+    put("1", (1, 1, 10, "evaluated", "2024-01-01 10:00:00", "2024-01-01 12:00:00"), (2, 2, 10, "skipped", "2024-01-01 10:10:00", "2024-01-01 18:00:00"))
+    assert sorted(run()) == [(1, 1, "answering"), (2, 0, "answering")]
+    # the query is gone; another session's answer moves the clock to 13:00 once it starts again
+    put("2", (3, 3, 10, "evaluated", "2024-01-01 14:00:00", "2024-01-01 18:00:00"))
+    assert sorted(run()) == [(1, 1, "time_expired"), (3, 1, "answering")]
+    put("3", (4, 1, 11, "evaluated", "2024-01-01 14:30:00", "2024-01-01 12:00:00"))
+    assert run() == [(1, 1, "time_expired")]
+    everything = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    twin = {r["session_id"]: r["state"] for r in stream.fold_sessions(everything, 3, now="2024-01-01 13:30:00").collect()}
+    assert twin == {1: "time_expired", 2: "answering", 3: "answering"}
+
+
+def test_upsert_writes_touched_folders_only(spark, tmp_path):
+    import os
+
+    path = str(tmp_path / "units")
+    schema = "subject_id long, id long, content string, authoritative boolean, version long"
+    put = lambda *rows: {r["subject_id"]: (r["inserted"], r["updated"]) for r in files.upsert(spark.createDataFrame(rows, schema), path, ["id"], "subject_id", ["version"], "NOT old.authoritative").collect()}
+    names = lambda s: sorted(os.listdir(f"{path}/subject_id={s}"))
+    first = [(1, 1, "a", False, 1), (1, 2, "b", True, 1), (2, 1, "c", False, 1)]
+    assert put(*first) == {1: (2, 0), 2: (1, 0)}
+    before = names(1), names(2)
+    assert put(*first) == {} and (names(1), names(2)) == before
+    # of two updates of a key the later counts; a protected row stays; the other folder is not touched
+    batch = [(1, 1, "old", False, 2), (1, 1, "new", False, 3), (1, 2, "never", False, 3), (1, 3, None, False, 1)]
+    assert put(*batch) == {1: (1, 1)} and names(2) == before[1] and names(1) != before[0]
+    rows = lambda: sorted((r["subject_id"], r["id"], r["content"] or "", r["authoritative"]) for r in spark.read.parquet(path).collect())
+    want = [(1, 1, "new", False), (1, 2, "b", True), (1, 3, "", False), (2, 1, "c", False)]
+    assert rows() == want
+    after = names(1)
+    assert put(*batch) == {} and names(1) == after and rows() == want
+
+
+def test_upsert_from_a_stream(spark, tmp_path):
+    schema = "subject_id long, id long, content string, version long"
+    for k, rows in enumerate([[(1, 1, "a", 1), (2, 1, "b", 1)], [(1, 1, "c", 2), (1, 2, "d", 1)]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / str(k)))
+    live = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    writer = files.upsert_stream(live, str(tmp_path / "table"), str(tmp_path / "state"), ["id"], "subject_id", ["version"], "new.version >= old.version")
+    writer.trigger(availableNow=True).start().awaitTermination(180)
+    assert sorted((r["subject_id"], r["id"], r["content"]) for r in spark.read.parquet(str(tmp_path / "table")).collect()) == [(1, 1, "c"), (1, 2, "d"), (2, 1, "b")]
