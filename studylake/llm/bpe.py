@@ -25,7 +25,7 @@ from .common import in_batches, rows_of, to_batches
 
 #: Entries (about 200 bytes each) in a generation of a worker's tables, of chunks and of shorter strings; two generations
 #: are held at most, and none once a task has ended.
-CHUNKS, PARTS = 60_000, 40_000
+CHUNKS, PARTS = 25_000, 20_000
 
 #: Strings up to this length are merged directly; they are the leaves of the tree.
 LEAF_BYTES = 5

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: A mapped Arrow batch is cut once its variable-length results hold so many bytes, so that very long documents
 #: never pile up in one Python worker.
-OUT_BATCH_BYTES = 8 << 20
+OUT_BATCH_BYTES = 1 << 20
 #: Rows of a batch that goes to a Python worker.
 BATCH_ROWS = 1024
 
@@ -41,7 +41,7 @@ def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
 
 
 def to_batches(rows: Iterable[tuple], schema: pa.Schema, weigh: int | None = None) -> Iterator[pa.RecordBatch]:
-    """Rows gathered into Arrow batches of at most 4,096 rows or, by the length of column `weigh`, 8 MB."""
+    """Rows gathered into Arrow batches of at most 4,096 rows or, by the length of column `weigh`, 1 MB."""
     held: list[tuple] = []
     size = 0
     for row in rows:
