@@ -6,7 +6,7 @@ its list. What comes out above the threshold joins vectors to groups, before lis
 neighbours, so each is then enlarged to the whole group it lies in: the members of a group are compared with each other,
 block by block, and only counts leave the blocks. So a link is lost only if its ends fall into different groups; an
 audit against brute force measures how many do, and rounds with new planes follow until it finds none and a round joins
-nothing more.
+nothing more. If they don't come to that, all vectors are compared once, block by block, for links between groups.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ NEIGHBOURS, REVERSE = 5, 3
 #: Sets of planes in a round, vectors in a block of the start, refinements at most, and the share of links gained to stop at.
 TABLES, BLOCK, REFINEMENTS, CHANGED = 4, 256, 5, 0.002
 #: Vectors that the audit compares with all others (once out of all, once out of those with links), and the rounds of new
-#: planes it may ask for; if links are still missing then, a warning with the measured recall is logged.
+#: planes it may ask for; if links are still missing then, all vectors are compared, block by block.
 AUDITED, ROUNDS = 256, 6
 #: Single precision decides what is worth an exact look, with this slack.
 SLACK = 1e-4
@@ -274,6 +274,42 @@ def _group_links(members: DataFrame, threshold: float) -> DataFrame:
     return ordered.select("component", "low", "high", "block", "id", "mult", "unit").transform(in_batches, run, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
 
 
+def _missing_joins(nodes: DataFrame, group: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of groups, by their least ids, that a link between their vectors joins. Every pair of blocks of about
+    BLOCK vectors is one small comparison, and gives each pair of groups once, however many links join them."""
+    known = group.select(F.col("node").alias("id"), "component")
+    rows = nodes.select("id", "unit").join(known, "id", "left").withColumn("component", F.coalesce("component", "id")).withColumn("length", F.octet_length("unit"))
+    blocks = rows.groupBy("length").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    own = rows.join(blocks, "length").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sent = own.select("length", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "component", "unit")
+    ordered = sent.repartition("length", "low", "high").sortWithinPartitions("length", "low", "high")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def joins(held):
+            side, component = np.array([r[3] for r in held]), np.array([r[4] for r in held])
+            matrix = np.frombuffer(b"".join(r[5] for r in held)).reshape(len(held), -1)
+            a, b = np.flatnonzero(side == held[0][1]), np.flatnonzero(side == held[0][2])
+            near = (matrix[a] @ matrix[b].T >= threshold) & (component[a][:, None] != component[b][None, :])
+            i, j = np.nonzero(near)
+            ends = np.sort(np.stack([component[a][i], component[b][j]], axis=1), axis=1)
+            return np.unique(ends, axis=0)
+
+        def batch(held):
+            ends = joins(held)
+            return pa.RecordBatch.from_arrays([pa.array(ends[:, 0], pa.int64()), pa.array(ends[:, 1], pa.int64())], names=["a", "b"])
+
+        held: list[tuple] = []
+        for row in rows_of(batches):
+            if held and held[-1][:3] != row[:3]:
+                yield batch(held)
+                held = []
+            held.append(row)
+        if held:
+            yield batch(held)
+
+    return ordered.transform(in_batches, run, "a long, b long").distinct()
+
+
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, seed: int = 5) -> DataFrame:
     """Near-duplicate links by cosine. Returns one row for each row: `id_col`, n_links (other rows linked directly),
     component_id (the least id reachable by links).
@@ -320,7 +356,10 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
                 break
             joined = now
         else:
-            log.warning("NN-descent: after %d rounds the audit finds %.4f of the links", ROUNDS, recall)
+            # the rest exactly: pairs of groups that a link joins, out of all pairs
+            log.warning("NN-descent: after %d rounds the audit finds %.4f of the links; all vectors are compared", ROUNDS, recall)
+            links = written(_missing_joins(nodes, group, threshold).unionByName(links).distinct(), "nn-links")
+            group = written(components(links), "nn-components")
     if group is None:
         n_links = rows.sparkSession.createDataFrame([], "id long, links long")
         group = rows.sparkSession.createDataFrame([], "node long, component long")
