@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules of queries; each has QUERIES and ORACLE_SQL.
-MODULES = ("progress", "planning", "quality", "questions", "streaming")
+MODULES = ("progress", "planning", "quality", "questions", "streaming", "files")
 
 
 def _merged(name: str) -> dict:
