@@ -25,6 +25,8 @@ COMPARISONS = (
     r"difference between (.+?) and (.+?)\?", r"how (?:does|do) (.+?) differ from (.+?)\?", r"how (?:does|do) (.+?) and (.+?) differ\b",
     r"unterschied(?:e)? zwischen (.+?) und (.+?)\?", r"wie unterscheidet sich (.+?) von (.+?)\?",
 )
+# Categories of claims that keep only citations of their answer's evidence.
+SURE_CLAIMS = ("correct", "missing", "incorrect")
 NUMBERS = r"\b\d+(?:[.,]\d+)?\b"
 
 
@@ -301,16 +303,23 @@ def grade_answers(graded: DataFrame) -> DataFrame:
 
 
 def prune_claims(claims: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Claims (answer_id, k, text, cited) against their answer's evidence (answer_id, unit_id, content): a claim with a
-    citation that is not among it goes; one without any citation gets the unit that shares most terms."""
-    allowed = evidence.groupBy("answer_id").agg(F.collect_set("unit_id").alias("allowed"))
-    rows = claims.join(allowed, "answer_id", "left").withColumn("kept", F.array_sort(F.array_intersect("cited", F.coalesce("allowed", F.array().cast("array<bigint>")))))
-    rows = rows.where(F.size(F.array_except("cited", "kept")) == 0).select("answer_id", "k", "text", "cited", "kept")
-    open_claims = rows.where("size(cited) = 0").join(evidence, "answer_id")
-    shared = F.size(F.array_intersect(X.semantic_terms(F.col("text")), X.semantic_terms(F.col("content"))))
-    best = open_claims.withColumn("shared", shared).where("shared > 0").groupBy("answer_id", "k").agg(F.max_by("unit_id", F.struct("shared", -F.col("unit_id"))).alias("best"))
-    joined = rows.join(best, ["answer_id", "k"], "left")
-    return joined.select("answer_id", "k", F.when(F.size("cited") > 0, F.col("kept")).otherwise(F.array_compact(F.array("best"))).alias("cited"))
+    """Claims (answer_id, k, category, text, cited, contradicted) against their answer's evidence (answer_id, unit_id, content).
+
+    A correct, missing or incorrect claim that cites anything else goes, and an incorrect one that the evidence does not
+    contradict. Those that cite nothing, and partial and misplaced ones in any case, cite the unit that holds most of the
+    claim's terms, spelt closely; the least id of several, and always one if the answer has evidence at all.
+    """
+    allowed = evidence.groupBy("answer_id").agg(F.array_sort(F.collect_set("unit_id")).alias("allowed"))
+    none = F.array().cast("array<bigint>")
+    rows = claims.join(allowed, "answer_id", "left").withColumn("cited", F.coalesce("cited", none)).withColumn("allowed", F.coalesce("allowed", none))
+    sure = F.col("category").isin(*SURE_CLAIMS)
+    unknown = F.size(F.array_except("cited", "allowed")) > 0
+    gone = (sure & unknown) | ((F.col("category") == "incorrect") & ~F.coalesce("contradicted", F.lit(False)))
+    rows = rows.where(~gone).withColumn("kept", F.when(sure, F.array_sort(F.col("cited"))).otherwise(none)).select("answer_id", "k", "category", "text", "kept")
+    pairs = rows.where("size(kept) = 0").select("answer_id", "k", X.semantic_terms(F.col("text")).alias("__terms")).join(evidence.select("answer_id", "unit_id", X.semantic_terms(F.col("content")).alias("__held")), "answer_id")
+    scored = fuzzy_share(pairs, "__terms", "__held", FUZZY_CONCEPT, "overlap")
+    best = scored.groupBy("answer_id", "k").agg(F.max_by("unit_id", F.struct("overlap", -F.col("unit_id"))).alias("best"))
+    return rows.join(best, ["answer_id", "k"], "left").select("answer_id", "k", "category", F.when(F.size("kept") > 0, F.col("kept")).otherwise(F.array_compact(F.array("best"))).alias("cited"))
 
 
 def evaluation_guard(rows: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..shared import checkpointed
+from . import retrieval
+from . import topics as D
 
 # Allowed values and defaults of questions, ranks of types, tags that are too general for project evidence.
 DIFFICULTIES, PRIORITIES = ("easy", "medium", "hard"), ("A", "B", "C")
@@ -126,16 +128,25 @@ def counts(accepted: DataFrame, column: str) -> DataFrame:
     return accepted.groupBy("subject_id", column).agg(F.count(F.lit(1)).alias("n"))
 
 
-def materialized(accepted: DataFrame, topics: DataFrame, first_id: int) -> DataFrame:
-    """Imported questions as stored: topic by name in any case, points as structs, defaults, new ids in file order."""
-    known = topics.groupBy("subject_id", X.casefold(F.col("name")).alias("key")).agg(F.min("id").alias("topic_id"))
+def materialized(accepted: DataFrame, topics: DataFrame, first_id: int) -> tuple[DataFrame, DataFrame]:
+    """Imported questions as stored, and the topics that they bring (id, subject_id, name).
+
+    A question's topic is found by name in any case; names that no topic of the subject has become topics with ids after
+    the highest, in the order of subject and name, spelt as in the first line. Points become structs, defaults are set,
+    and questions are numbered in file order.
+    """
+    known = topics.groupBy("subject_id", X.casefold(F.col("name")).alias("key")).agg(F.min("id").alias("known_id"))
     rows = accepted.withColumn("key", X.casefold(F.col("topic"))).join(known, ["subject_id", "key"], "left")
+    new = rows.where("known_id IS NULL").groupBy("subject_id", "key").agg(F.min_by("topic", "line").alias("name"))
+    created = D.numbered(new, ["subject_id", "key"], topics.agg(F.max("id")).first()[0] or 0, "id")
+    rows = rows.join(created.select("subject_id", "key", F.col("id").alias("new_id")), ["subject_id", "key"], "left")
     number = F.row_number().over(Window.partitionBy("subject_id").orderBy("line"))
-    return rows.select(
-        "subject_id", (number - 1 + first_id).alias("number"), "topic_id", F.col("topic_id").isNull().alias("creates_topic"), "question",
+    stored = rows.select(
+        "subject_id", (number - 1 + first_id).alias("number"), F.coalesce("known_id", "new_id").alias("topic_id"), F.col("known_id").isNull().alias("creates_topic"), "question",
         F.transform("points", lambda p: F.struct(p.alias("text"), F.array().cast("array<bigint>").alias("evidence_ids"), F.lit("must_know").alias("priority"))).alias("points"),
         F.lit(90).alias("expected_duration_seconds"), F.lit(0.8).alias("quality_score"), F.lit("accepted").alias("review_status"),
     )
+    return stored, created.select("id", "subject_id", "name")
 
 
 def disable(questions: DataFrame, pools: DataFrame) -> DataFrame:
@@ -278,12 +289,40 @@ def substantive(content: Column, answerability: Column, tags: Column) -> Column:
     return long & (~F.contains(answerability, F.lit("project")) | F.exists(own, lambda t: F.contains(norm(content), t)))
 
 
-def training_cards(reported: DataFrame, hits: DataFrame, existing: DataFrame, limit: int) -> DataFrame:
-    """H5: outcome for the first reports of each subject (subject_id, stable_id, rank, n_actions): cards of their first three
-    substantive hits (stable_id, unit_id, place), the first two must-know; skipped without any; existing ones stay."""
-    chosen = reported.where(F.col("rank") <= limit)
-    top = hits.where(F.col("place") <= 8).withColumn("k", F.row_number().over(Window.partitionBy("stable_id").orderBy("place"))).where("k <= 3")
-    points = top.groupBy("stable_id").agg(F.array_sort(F.collect_list(F.struct("k", "unit_id", F.when(F.col("k") <= 2, "must_know").otherwise("useful_detail").alias("priority")))).alias("points"))
-    rows = chosen.join(existing.select("stable_id").distinct().withColumn("has", F.lit(True)), "stable_id", "left").join(points, "stable_id", "left")
-    outcome = F.when(F.col("has"), "existing").when(F.col("points").isNull(), "unmatched").otherwise("created")
-    return rows.select("subject_id", "stable_id", outcome.alias("outcome"), F.when(outcome == "created", F.col("points")).alias("points"), F.when(F.col("n_actions") >= 3, "hard").otherwise("medium").alias("difficulty"))
+#: Units searched for a report's card, and those that make its points.
+CARD_HITS, CARD_POINTS = 8, 3
+
+
+def training_cards(reported: DataFrame, units: DataFrame, stored: DataFrame, limit: int = 10, followups: bool = True) -> DataFrame:
+    """H5: cards of the first reports of each subject, and what becomes of each.
+
+    Reports (stable_id, subject_id, wording, provenance, reliability, chain_id, question_type, answerability, topic_tags,
+    required_actions, vector) go by current reliability, exact wording, chain and id; `limit` of a subject are taken, 50 at
+    most. Evidence comes from a search for wording, tags and actions among active units (id, subject_id, document_id,
+    topic_id, content, vector): the first three of eight hits that are substantive, whose whole texts are the points, the
+    first two as must-know. Outcomes: existing (a stored question stems from the report: origin_id), unmatched (no
+    evidence), skipped (the wording is stored, or an earlier card has it), created.
+    """
+    rows = reported if followups else reported.where("provenance != 'reported_followup'")
+    order = [(F.col("reliability") != "current").cast("int"), (F.col("provenance") != "exact_reported").cast("int"), F.coalesce("chain_id", "stable_id"), F.col("stable_id")]
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("subject_id").orderBy(*order))).where(F.col("rank") <= max(1, min(50, limit)))
+    linked = stored.where("origin_id IS NOT NULL").select(F.col("origin_id").alias("stable_id")).distinct().withColumn("linked", F.lit(True))
+    rows = checkpointed(rows.join(linked, "stable_id", "left"))
+    text = F.array_join(F.concat(F.array("wording"), "topic_tags", "required_actions"), " ")
+    numbered = rows.where("linked IS NULL").withColumn("query_id", F.xxhash64("subject_id", "stable_id"))
+    asked = numbered.select("query_id", "subject_id", F.lit(None).cast("int").alias("topic_id"), text.alias("text"), "vector")
+    hits = retrieval.search(asked, units, CARD_HITS).join(units.select(F.col("id").alias("unit_id"), "content"), "unit_id").join(numbered.select("query_id", "stable_id", "answerability", "topic_tags"), "query_id")
+    hits = hits.where(substantive(F.col("content"), F.col("answerability"), F.col("topic_tags"))).withColumn("k", F.row_number().over(Window.partitionBy("stable_id").orderBy("place"))).where(F.col("k") <= CARD_POINTS)
+    point = F.struct("k", "unit_id", F.trim("content").alias("text"), F.when(F.col("k") <= 2, "must_know").otherwise("useful_detail").alias("priority"))
+    points = hits.groupBy("stable_id").agg(F.array_sort(F.collect_list(point)).alias("points"))
+    key = X.question_key(F.col("wording"))
+    known = stored.select("subject_id", X.question_key(F.col("question_text")).alias("key")).distinct().withColumn("known", F.lit(True))
+    rows = rows.join(points, "stable_id", "left").withColumn("key", key).join(known, ["subject_id", "key"], "left")
+    open_ = F.col("linked").isNull() & F.col("points").isNotNull() & F.col("known").isNull()
+    earlier = F.row_number().over(Window.partitionBy("subject_id", "key", open_).orderBy("rank")) > 1
+    outcome = F.when(F.col("linked"), "existing").when(F.col("points").isNull(), "unmatched").when(F.col("known") | earlier, "skipped").otherwise("created")
+    rows = rows.withColumn("outcome", outcome)
+    return rows.select(
+        "subject_id", "stable_id", "rank", "outcome", F.when(F.col("outcome") == "created", F.col("points")).alias("points"), F.when(F.size("required_actions") >= 3, "hard").otherwise("medium").alias("difficulty"),
+        X.reported_quality(F.col("reliability"), F.col("provenance")).alias("quality_score"),
+    )

@@ -208,9 +208,14 @@ def batch_acceptance(gated: DataFrame) -> DataFrame:
 
 
 def fold_reviews(units: DataFrame, events: DataFrame) -> DataFrame:
-    """Units under their latest review (unit_id, event_id, decision, text)."""
-    last = events.groupBy("unit_id").agg(F.max_by(F.struct("decision", "text"), "event_id").alias("r"))
+    """Units (id, content, review_status, problems) under their latest review (unit_id, event_id, decision, text).
+
+    Units of a superseded source can't be reviewed any more, and a review that accepts an empty text counts for nothing.
+    """
+    last = events.where("decision != 'accepted' OR text IS NULL OR trim(text) != ''").groupBy("unit_id").agg(F.max_by(F.struct("decision", "text"), "event_id").alias("r"))
     rows = units.join(last, units["id"] == last["unit_id"], "left")
+    fixed = F.array_contains(F.coalesce("problems", F.array().cast("array<string>")), RETIRED[1])
+    rows = rows.withColumn("r", F.when(~fixed, F.col("r")))
     return rows.select("id", F.coalesce("r.text", "content").alias("content"), F.coalesce("r.decision", "review_status").alias("review_status"), F.col("r").isNotNull().alias("authoritative"))
 
 

@@ -91,11 +91,15 @@ def titled(line: Column) -> Column:
 
 
 def section_titles(lines: DataFrame, furniture: DataFrame) -> DataFrame:
-    """The Markdown heading above each line, carried down; and the page's topic, the first of its lines that are no page
-    furniture (doc_id, key) if it reads like a title."""
-    heading = F.when(F.col("line").rlike(r"^#{1,6}\s+\S"), F.trim(F.regexp_replace("line", r"^#{1,6}\s+", "")))
+    """The title of the Markdown heading above each line, carried down; and the page's topic, the first of its lines that
+    are no page furniture (doc_id, key) if it reads like a title.
+
+    Headings are cleaned like topics. One that has not just one title ends the section before it and names none.
+    """
+    mark = r"^#{1,6}\s+"
+    heading = F.when(F.col("line").rlike(mark), F.struct(X.single_title(F.regexp_replace("line", mark, "")).alias("title")))
     down = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = lines.where(F.trim("line") != "").withColumn("section_title", F.last(heading, ignorenulls=True).over(down))
+    rows = lines.where(F.trim("line") != "").withColumn("section_title", F.last(heading, ignorenulls=True).over(down)["title"])
     own = furniture.select("doc_id", "key").distinct().withColumn("furniture", F.lit(True))
     rows = rows.withColumn("key", X.line_key(F.col("line"))).join(own, ["doc_id", "key"], "left")
     page = Window.partitionBy("doc_id", "page_number").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

@@ -34,7 +34,7 @@ def _paths(s, d, step):
 
 
 def _reviews(s, d):
-    return table(s, d, "labels").select(F.col("doc_id").alias("unit_id"), F.col("doc_id").alias("event_id"), F.when(F.col("quality") == 1, "accepted").otherwise("rejected").alias("decision"), F.when(F.col("toxic") == 1, "removed").alias("text"))
+    return table(s, d, "labels").select(F.col("doc_id").alias("unit_id"), F.col("doc_id").alias("event_id"), F.when(F.col("quality") == 1, "accepted").otherwise("rejected").alias("decision"), F.when(F.col("toxic") == 1, "removed").when(F.col("doc_id") % 5 == 0, " ").alias("text"))
 
 
 def _merge(s, d):
@@ -88,6 +88,13 @@ def _plain_times(df, *columns):
     return df.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in columns})
 
 
+def headed(s, d):
+    """Lines, some of them as Markdown headings: numbered ones, generic ones, and ones with two titles."""
+    n, line = F.col("line_no"), F.col("line")
+    heading = F.when(n % 36 == 1, F.concat(F.lit("## "), n.cast("string"), F.lit(". "), line)).when(n % 36 == 13, F.lit("# 3. Overview")).when(n % 36 == 25, F.lit("### Memory|Attention"))
+    return lines(s, d).withColumn("line", F.when(F.trim("line") != "", F.coalesce(heading, line)).otherwise(line))
+
+
 QUERIES = {
     "a2_document_scan": lambda s, d: docs(s, d).select("doc_id", X.sha256(F.col("text")).alias("hash"), F.length("text").alias("n")),
     "a3_page_range": lambda s, d: _pages(s, d).groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line")),
@@ -107,7 +114,7 @@ QUERIES = {
     "c3_page_furniture": lambda s, d: S.page_furniture(lines(s, d)),
     "c4_without_counters": lambda s, d: S.without_counters(lines(s, d)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines")),
     "c5_merge_short": lambda s, d: S.merge_short(lines(s, d).where("line <> ''").select("doc_id", "page_number", F.col("line_no").alias("source_start"), F.col("line_no").alias("source_end"), F.col("line").alias("raw_content"))).select("doc_id", "page_number", "source_start", "source_end", F.length("raw_content").alias("n")),
-    "c6_section_titles": lambda s, d: S.section_titles(lines(s, d), S.page_furniture(lines(s, d))).select("doc_id", "line_no", "section_title", "page_topic"),
+    "c6_section_titles": lambda s, d: S.section_titles(headed(s, d), S.page_furniture(headed(s, d))).select("doc_id", "line_no", "section_title", "page_topic"),
     "c7_extraction_summary": lambda s, d: S.extraction_summary(lines(s, d)).withColumn("empty_pages", F.array_join(F.col("empty_pages").cast("array<string>"), ",")),
     "c8_unit_quality": lambda s, d: gated(s, d).withColumn("problems", F.array_join("problems", ",")),
     "c8_status_by_source": lambda s, d: gated(s, d).join(docs(s, d).select("doc_id", "source"), "doc_id").groupBy("source", "status").agg(F.count(F.lit(1)).alias("units"), F.sum(F.length("content")).alias("chars")),
@@ -122,7 +129,7 @@ QUERIES = {
     "c15_review_queue": lambda s, d: Q.review_queue(_queued(s, d), most_confidence=0.96, issue="fragment").withColumn("problems", F.array_join("problems", ",")),
     "c15_suspicious": lambda s, d: Q.review_queue(_queued(s, d), suspicious_only=True).withColumn("problems", F.array_join("problems", ",")),
     "c17_batch_acceptance": lambda s, d: Q.batch_acceptance(gated(s, d)),
-    "c18_fold_reviews": lambda s, d: Q.fold_reviews(units(s, d), _reviews(s, d)),
+    "c18_fold_reviews": lambda s, d: Q.fold_reviews(units(s, d).withColumn("problems", F.when(F.col("id") % 12 == 0, F.array(*map(F.lit, Q.RETIRED))).otherwise(F.array().cast("array<string>"))), _reviews(s, d)),
     "c19_revision_log": lambda s, d: _plain_times(Q.revision_log(_uploads(s, d)), "valid_from", "valid_to"),
     "c19_units_as_of": lambda s, d: Q.units_as_of(_extracted(s, d), Q.revision_log(_uploads(s, d)), 2).withColumn("problems", F.array_join("problems", ",")),
     "c19_current_units": lambda s, d: Q.units_as_of(_extracted(s, d), Q.revision_log(_uploads(s, d))).withColumn("problems", F.array_join("problems", ",")),
@@ -242,6 +249,8 @@ _LOG = """up AS (SELECT user_id AS source_id, event_id, ts, md5(event_type || (e
 _RETIRED = """SELECT id, source_id, revision, array_to_string(CASE WHEN retired THEN list_sort(list_distinct(list_concat(problems, ['superseded_extraction', 'superseded_source']))) ELSE problems END, ',') AS problems,
         enabled AND NOT retired AS enabled, authoritative AND NOT retired AS authoritative, retired FROM (SELECT *, coalesce(created_at < since, FALSE) AS retired FROM u)"""
 
+_HEADED = "CASE WHEN trim(line) = '' THEN line WHEN line_no % 36 = 1 THEN '## ' || line_no || '. ' || line WHEN line_no % 36 = 13 THEN '# 3. Overview' WHEN line_no % 36 = 25 THEN '### Memory|Attention' ELSE line END"
+
 ORACLE_SQL = {
     "a2_document_scan": "SELECT doc_id, sha256(text) AS hash, length(text) AS n FROM documents",
     "a3_page_range": with_views("lines", "SELECT doc_id, count(*) AS lines, min(line_no) AS first_line, max(line_no) AS last_line FROM lines WHERE page_number BETWEEN 2 AND 3 GROUP BY ALL"),
@@ -270,13 +279,14 @@ ORACLE_SQL = {
         SELECT doc_id, key, count(DISTINCT page_number) AS on_pages FROM e JOIN p USING (doc_id) WHERE a <= 3 OR b <= 3 GROUP BY doc_id, key, pages HAVING count(DISTINCT page_number) >= greatest(CASE WHEN pages = 1 THEN 3 ELSE 2 END, ceil(pages * 0.35))"""),
     "c4_without_counters": with_views("lines", """e AS (SELECT *, min(line_no) OVER p AS a, max(line_no) OVER p AS b FROM lines WHERE trim(line) <> '' WINDOW p AS (PARTITION BY doc_id, page_number))
         SELECT doc_id, count(*) AS lines FROM e WHERE NOT ((line_no IN (a, b) AND regexp_matches(line, '(?i)^\\s*(page|seite|slide)\\s+\\d{1,4}\\s*(/\\s*\\d{1,4})?\\s*$')) OR (line_no = b AND trim(line) = page_number::VARCHAR)) GROUP BY ALL"""),
-    "c6_section_titles": with_views("lines", f"""e AS (SELECT *, replace(lower(regexp_replace({normal_sql("line")}, '\\s+', ' ', 'g')), 'ß', 'ss') AS key, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY line_no) AS a,
-        row_number() OVER (PARTITION BY doc_id, page_number ORDER BY line_no DESC) AS b FROM lines WHERE trim(line) <> ''), p AS (SELECT doc_id, count(DISTINCT page_number) AS pages FROM lines GROUP BY ALL),
+    "c6_section_titles": with_views("lines", f"""headed AS (SELECT * REPLACE ({_HEADED} AS line) FROM lines), e AS (SELECT *, replace(lower(regexp_replace({normal_sql("line")}, '\\s+', ' ', 'g')), 'ß', 'ss') AS key, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY line_no) AS a,
+        row_number() OVER (PARTITION BY doc_id, page_number ORDER BY line_no DESC) AS b FROM headed WHERE trim(line) <> ''), p AS (SELECT doc_id, count(DISTINCT page_number) AS pages FROM headed GROUP BY ALL),
         u AS (SELECT doc_id, key FROM e JOIN p USING (doc_id) WHERE a <= 3 OR b <= 3 GROUP BY doc_id, key, pages HAVING count(DISTINCT page_number) >= greatest(CASE WHEN pages = 1 THEN 3 ELSE 2 END, ceil(pages * 0.35))),
-        l AS (SELECT doc_id, line_no, last_value(CASE WHEN regexp_matches(line, '^#{{1,6}}\\s+\\S') THEN trim(regexp_replace(line, '^#{{1,6}}\\s+', '')) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no) AS section_title,
-        trim(min_by(line, line_no) FILTER ((doc_id, key) NOT IN (SELECT (doc_id, key) FROM u)) OVER (PARTITION BY doc_id, page_number)) AS f FROM e),
+        h AS (SELECT *, CASE WHEN regexp_matches(line, '^#{{1,6}}\\s+') THEN regexp_replace(line, '^#{{1,6}}\\s+', '') END AS heading FROM e), h2 AS (SELECT *, {titles_sql("coalesce(heading, '')")} AS heads FROM h),
+        l AS (SELECT doc_id, line_no, last_value(CASE WHEN heading IS NOT NULL THEN {{'t': CASE WHEN len(heads) = 1 THEN heads[1] END}} END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no) AS section,
+        trim(min_by(line, line_no) FILTER ((doc_id, key) NOT IN (SELECT (doc_id, key) FROM u)) OVER (PARTITION BY doc_id, page_number)) AS f FROM h2),
         t AS (SELECT *, {titles_sql("f")} AS titles FROM l)
-        SELECT doc_id, line_no, section_title, CASE WHEN len(string_split_regex(f, '\\s+')) BETWEEN 2 AND 10 AND NOT regexp_matches(f, '[.!?=∑√+]') AND len(titles) = 1 THEN titles[1] END AS page_topic FROM t"""),
+        SELECT doc_id, line_no, section.t AS section_title, CASE WHEN len(string_split_regex(f, '\\s+')) BETWEEN 2 AND 10 AND NOT regexp_matches(f, '[.!?=∑√+]') AND len(titles) = 1 THEN titles[1] END AS page_topic FROM t"""),
     "c7_extraction_summary": with_views("lines", """p AS (SELECT doc_id, page_number, count(*) FILTER (trim(line) <> '') AS n FROM lines GROUP BY ALL)
         SELECT doc_id, count(*) AS pages, coalesce(string_agg(page_number::VARCHAR, ',' ORDER BY page_number) FILTER (n = 0), '') AS empty_pages,
         CASE WHEN count(*) FILTER (n = 0) = count(*) THEN 'no_extractable_text' ELSE 'text_extracted' END AS state FROM p GROUP BY doc_id"""),
@@ -307,7 +317,9 @@ ORACLE_SQL = {
     "c15_suspicious": over_gate("SELECT doc_id AS document_id, source_start, status AS review_status, confidence, array_to_string(problems, ',') AS problems FROM gated WHERE status <> 'accepted'"),
     "c17_batch_acceptance": over_gate(f"""r AS (SELECT doc_id, source_start, CASE WHEN confidence < 0.9 THEN 'low_confidence' WHEN list_has_any(problems, [{", ".join(map(_q, Q.NOT_IN_BATCH))}]) THEN 'problem:' || list_min(list_intersect(problems, [{", ".join(map(_q, Q.NOT_IN_BATCH))}])) END AS reason FROM gated)
         SELECT doc_id, source_start, reason IS NULL AS accepted, reason FROM r JOIN gated USING (doc_id, source_start) WHERE status <> 'accepted'"""),
-    "c18_fold_reviews": with_views("units", """SELECT id, coalesce(CASE WHEN l.toxic = 1 THEN 'removed' END, content) AS content, CASE WHEN l.doc_id IS NULL THEN review_status WHEN l.quality = 1 THEN 'accepted' ELSE 'rejected' END AS review_status, l.doc_id IS NOT NULL AS authoritative FROM units LEFT JOIN labels l ON l.doc_id = id"""),
+    "c18_fold_reviews": with_views("units", """r AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'accepted' ELSE 'rejected' END AS decision, CASE WHEN toxic = 1 THEN 'removed' WHEN doc_id % 5 = 0 THEN ' ' END AS text FROM labels),
+        k AS (SELECT * FROM r WHERE decision <> 'accepted' OR text IS NULL OR trim(text) <> '')
+        SELECT id, coalesce(k.text, content) AS content, coalesce(k.decision, review_status) AS review_status, k.doc_id IS NOT NULL AS authoritative FROM units LEFT JOIN k ON k.doc_id = id AND id % 12 <> 0"""),
     "c19_revision_log": f"WITH {_LOG} SELECT source_id, revision, filename, hash, strftime(valid_from, '%Y-%m-%d %H:%M:%S') AS valid_from, strftime(valid_to, '%Y-%m-%d %H:%M:%S') AS valid_to, active FROM log",
     "c19_units_as_of": f"""WITH {_LOG}, now AS (SELECT source_id, max(revision) AS revision, max(valid_from) AS since FROM log WHERE revision <= 2 GROUP BY ALL), u AS (SELECT x.*, now.revision, since FROM x LEFT JOIN now USING (source_id) LEFT JOIN log n ON n.source_id = x.source_id AND n.revision = 2
         WHERE n.valid_to IS NULL OR created_at < n.valid_to) {_RETIRED}""",

@@ -186,12 +186,35 @@ def reported(s, d):
     )
 
 
+def _materialized(s, d):
+    names = topics(s, d).withColumn("name", F.regexp_extract("name", r"(Brand#1\d)", 1)).where("name <> ''")
+    return P.materialized(_imports(s, d).withColumn("topic", F.upper("topic_name")).withColumn("points", F.array("question")), names, 1000)
+
+
 def _cards(s, d):
-    r = reported(s, d).withColumn("rank", F.row_number().over(Window.partitionBy("subject_id").orderBy("stable_id")))
-    u = units(s, d).where("review_status = 'accepted'").where(P.substantive(F.col("content"), F.lit("answerable"), F.array().cast("array<string>")))
-    ids = r.select("stable_id", "subject_id", F.explode("evidence_ids").alias("unit_id"))
-    hits = ids.join(u.select(F.col("id").alias("unit_id")), "unit_id").withColumn("place", F.row_number().over(Window.partitionBy("stable_id").orderBy("unit_id")))
-    return P.training_cards(r, hits, r.where("n_actions = 1"), 10).select("subject_id", "stable_id", "outcome", "difficulty", F.coalesce(F.array_join(F.transform("points", lambda p: F.concat_ws(":", p["k"], p["unit_id"], p["priority"])), ","), F.lit("")).alias("points"))
+    """Reports with the vectors of the units of their numbers, against units; some have questions already, or their wording has."""
+    key = F.substring("stable_id", 2, 20).cast("long")
+    tags, actions = F.array(F.lit("own project"), F.lit("of_the")), F.transform(F.sequence(F.lit(1), F.col("n_actions").cast("int") + 1), lambda k: F.concat(F.lit("act"), k.cast("string")))
+    u = R.corpus(units(s, d))
+    r = reported(s, d).select("*", key.alias("n"), F.lit("explanation").alias("question_type"), F.when(key % 3 == 0, "project").otherwise("open").alias("answerability"), tags.alias("topic_tags"), actions.alias("required_actions"))
+    r = r.withColumn("wording", F.when(F.col("n") % 7 == 3, "The same wording").otherwise(F.col("wording"))).join(u.select(F.col("id").alias("n"), "vector"), "n", "left")
+    stored = r.where("n % 10 IN (1, 2)").select("subject_id", F.when(F.col("n") % 10 == 1, F.col("stable_id")).alias("origin_id"), F.when(F.col("n") % 10 == 1, F.concat(F.lit("linked "), "stable_id")).otherwise(F.upper("wording")).alias("question_text"))
+    cards = P.training_cards(r, u, stored.where("question_text <> 'THE SAME WORDING'"), 10)
+    listed = F.array_join(F.transform("points", lambda p: F.concat_ws(":", p["k"], p["unit_id"], p["priority"], F.sha2(p["text"], 256))), ",")
+    return cards.select("subject_id", "stable_id", "rank", "outcome", "difficulty", F.round("quality_score", 9).alias("quality_score"), F.coalesce(listed, F.lit("")).alias("points"))
+
+
+def _claims(s, d):
+    """Lines of answers as claims in all categories; some cite their evidence, some a unit that is not there, some nothing."""
+    rows = _answers(s, d).withColumn("n", F.col("answer_id") + F.col("k"))
+    category = F.element_at(F.array(*map(F.lit, ("correct", "missing", "incorrect", "partial", "misplaced"))), (F.col("n") % 5 + 1).cast("int"))
+    cited = F.when(F.col("n") % 3 == 0, F.array(F.col("answer_id") % 300)).when(F.col("n") % 7 == 1, F.array(F.col("answer_id") % 300, F.lit(-2).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
+    return rows.select("answer_id", "k", category.alias("category"), "text", cited.alias("cited"), (F.col("n") % 2 == 0).alias("contradicted"))
+
+
+def _claim_evidence(s, d):
+    ids = requests(s, d).select(F.col("id").alias("answer_id"), F.explode(F.array_distinct(F.array(F.col("id") % 300, F.col("id") % 299))).alias("unit_id"))
+    return ids.join(units(s, d).select(F.col("id").alias("unit_id"), "content"), "unit_id")
 
 
 def _next(s, d):
@@ -243,7 +266,8 @@ QUERIES = {
     "f16_coverage_targets": lambda s, d: G.coverage_targets(G.evidence_batches(units(s, d).where("review_status = 'accepted'")), units(s, d), eligible(s, d)),
     "g1_preview": lambda s, d: P.preview(_imports(s, d), _stored(s, d)),
     "g2_counts": lambda s, d: P.counts(P.preview(_imports(s, d), _stored(s, d)).where("reason IS NULL").join(_imports(s, d).select("line", "priority"), "line"), "priority"),
-    "g3_materialized": lambda s, d: P.materialized(_imports(s, d).withColumn("topic", F.upper("topic_name")).withColumn("points", F.array("question")), topics(s, d).withColumn("name", F.regexp_extract("name", r"(Brand#1\d)", 1)).where("name <> ''"), 1000).select("subject_id", "number", "topic_id", "creates_topic", "question", F.size("points").alias("n_points")),
+    "g3_materialized": lambda s, d: _materialized(s, d)[0].select("subject_id", "number", "topic_id", "creates_topic", "question", F.size("points").alias("n_points")),
+    "g3_created_topics": lambda s, d: _materialized(s, d)[1],
     "g4_disable": lambda s, d: P.disable(questions(s, d), s.range(1).select(F.lit(2).cast("bigint").alias("pool_id"))).select("id", "enabled"),
     "g5_listed": lambda s, d: P.listed(questions(s, d).withColumn("topic_id", F.col("id") % 20).withColumn("topic_name", F.when(F.col("id") % 3 == 0, "").otherwise(F.col("topic_name"))), _named(s, d), True).select("id", "topic"),
     "g7_practice_candidates": lambda s, d: P.practice_candidates(questions(s, d), difficulties=["easy", "hard"], priorities=["A"]).select("id", "subject_id", "difficulty"),
@@ -261,7 +285,7 @@ QUERIES = {
     "h5_training_cards": _cards,
     "i1_grade_points": lambda s, d: G.grade_points(_answers(s, d)).select("answer_id", "k", F.round("overlap", 9).alias("overlap"), "verdict"),
     "i2_grade_answers": lambda s, d: G.grade_answers(G.grade_points(_answers(s, d))),
-    "i3_prune_claims": lambda s, d: G.prune_claims(_answers(s, d).select("answer_id", "k", "text", F.when(F.col("k") == 2, F.array(F.lit(-1).cast("bigint"))).when(F.col("k") == 1, F.array((F.col("answer_id") % 300).cast("bigint"), F.lit(-2).cast("bigint"))).otherwise(F.array().cast("array<bigint>")).alias("cited")), requests(s, d).select(F.col("id").alias("answer_id"), F.explode(F.array(F.col("id") % 300, F.col("id") % 299)).alias("unit_id")).join(units(s, d).select(F.col("id").alias("unit_id"), "content"), "unit_id")).withColumn("cited", F.array_join(F.transform("cited", lambda x: x.cast("string")), ",")),
+    "i3_prune_claims": lambda s, d: G.prune_claims(_claims(s, d), _claim_evidence(s, d)).withColumn("cited", F.array_join(F.transform("cited", lambda x: x.cast("string")), ",")),
     "i4_evaluation_guard": lambda s, d: G.evaluation_guard(attempts(s, d).select("id", (F.col("id") % 3).alias("linked"), F.least(F.col("id") % 3, F.col("id") % 2).alias("current"), (F.col("id") % 5 != 0).alias("has_rubric"))),
     "i5_corrected": lambda s, d: G.corrected(attempts(s, d), attempts(s, d).where("id % 3 = 0").select((F.col("id") - F.col("id") % 9).alias("attempt_id"), F.col("id").alias("correction_id"), (F.col("id") % 6).cast("double").alias("score"))),
     "k1_dimensions": lambda s, d: D.unit_dimensions(located(s, d)).select("id", *D.DIMENSIONS, "source_traceability"),
@@ -378,6 +402,7 @@ _IMPORTS = """imports AS (SELECT subject_id, id AS line, CASE WHEN id % 2 = 0 TH
             WHEN stored_text OR list_contains(texts, lower(question)) THEN 'duplicate question text' END AS reason FROM fold JOIN p1 ON p1.subject_id = fold.subject_id AND p1.n = fold.n + 1)),
     preview AS (SELECT p1.*, fold.reason FROM p1 JOIN fold USING (subject_id, n))"""
 
+_LIST = lambda values: "[" + ", ".join(map(_q, values)) + "]"
 _KEY = "trim(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'))"
 _SAME = """s AS (SELECT id, subject_id, raw_heading AS name, topic_name AS title FROM (SELECT subject_id, raw_heading, min(id) AS id, any_value(topic_name) AS topic_name FROM questions GROUP BY subject_id, raw_heading))"""
 
@@ -394,6 +419,31 @@ def _normalized_sql(body: str) -> str:
     mu AS (SELECT u.id, m.new_id AS topic_id, review_status, u.id % 10 <> 0 AS on_ FROM units u LEFT JOIN p ON p.id = u.id LEFT JOIN m ON m.id = p.topic_id) {body}""")
 
 
+_MATERIALIZED = f"""{_SAME}, t AS (SELECT subject_id, upper(title) AS name, min(id) AS known FROM s WHERE regexp_full_match(title, 'Brand#1\\d') GROUP BY ALL),
+    i AS (SELECT q.subject_id, q.id AS line, 'What is ' || topic_name || ' in ' || difficulty || '?' AS question, upper(topic_name) AS name, known FROM questions q LEFT JOIN t ON t.subject_id = q.subject_id AND t.name = upper(topic_name) WHERE id % 3 <> 1),
+    n AS (SELECT subject_id, name, (SELECT max(id) FROM s WHERE regexp_full_match(title, 'Brand#1\\d')) + row_number() OVER (ORDER BY subject_id, lower(name)) AS new_id FROM (SELECT DISTINCT subject_id, name FROM i WHERE known IS NULL))"""
+
+
+def _cards_sql() -> str:
+    base = " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in X.RELIABILITY.items())
+    change = " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in X.PROVENANCE.items())
+    return with_views("units", f"""{REPORTED}, c AS (SELECT id, subject_id, document_id, topic_id, content, {_TOKENS.format("content")} AS tokens, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM units WHERE review_status = 'accepted' AND embedding IS NOT NULL),
+    b AS (SELECT r.* REPLACE (CASE WHEN item % 7 = 3 THEN 'The same wording' ELSE wording END AS wording), {_LIST(X.PROVENANCE)}[item % 3 + 1] AS provenance, CASE WHEN item % 3 = 0 THEN 'project' ELSE 'open' END AS answerability FROM (SELECT *, CAST(stable_id[2:] AS BIGINT) AS item FROM reported) r),
+    o AS (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY reliability <> 'current', provenance <> 'exact_reported', coalesce(chain_id, stable_id), stable_id) AS rank FROM b QUALIFY rank <= 10),
+    q AS (SELECT item AS id, subject_id, NULL::BIGINT AS topic_id, wording || ' own project of_the' || list_reduce(list_prepend('', range(1, n_actions + 2)::VARCHAR[]), lambda a, k: a || ' act' || k) AS question_text, c.v, {_TOKENS.format("question_text")} AS tokens
+        FROM (SELECT o.*, wording || ' own project of_the' || list_reduce(list_prepend('', range(1, n_actions + 2)::VARCHAR[]), lambda a, k: a || ' act' || k) AS question_text FROM o WHERE item % 10 <> 1) o LEFT JOIN (SELECT id AS cid, v FROM c) c ON c.cid = o.item),
+    {_search_sql("f", "q", 8)},
+    w AS (SELECT f.query_id, f.unit_id, f.place, trim(c.content, ' ') AS text, trim(regexp_replace(c.content, '\\s+', ' ', 'g')) AS flat, answerability FROM f JOIN c ON c.id = f.unit_id JOIN o ON o.item = f.query_id),
+    h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place) AS k FROM w WHERE length(flat) >= 80 AND len(regexp_extract_all(flat, '[A-Za-zÀ-ÖØ-öø-ÿ]{{3,}}')) >= 10 AND NOT regexp_full_match(flat, '(?i)https?://\\S+') AND (answerability <> 'project' OR contains(lower(flat), 'of the')) QUALIFY k <= 3),
+    p AS (SELECT query_id, string_agg(k || ':' || unit_id || ':' || CASE WHEN k <= 2 THEN 'must_know' ELSE 'useful_detail' END || ':' || sha256(text), ',' ORDER BY k) AS points FROM h GROUP BY query_id),
+    known AS (SELECT DISTINCT subject_id, {_KEY.format("upper(wording)")} AS key FROM b WHERE item % 10 = 2 AND wording <> 'The same wording'),
+    z AS (SELECT o.*, p.points, {_KEY.format("wording")} AS key, item % 10 = 1 AS linked FROM o LEFT JOIN p ON p.query_id = o.item),
+    y AS (SELECT z.*, known.key IS NOT NULL AS known, row_number() OVER (PARTITION BY z.subject_id, z.key, NOT linked AND points IS NOT NULL AND known.key IS NULL ORDER BY rank) > 1 AS earlier FROM z LEFT JOIN known ON known.subject_id = z.subject_id AND known.key = z.key),
+    x AS (SELECT *, CASE WHEN linked THEN 'existing' WHEN points IS NULL THEN 'unmatched' WHEN known OR earlier THEN 'skipped' ELSE 'created' END AS outcome FROM y)
+    SELECT subject_id, stable_id, CAST(rank AS INT) AS rank, outcome, CASE WHEN n_actions + 1 >= 3 THEN 'hard' ELSE 'medium' END AS difficulty, round(least(1.0, greatest(0.0, CASE reliability {base} ELSE 0.5 END + CASE provenance {change} ELSE 0.0 END)), 9) AS quality_score,
+        CASE WHEN outcome = 'created' THEN points ELSE '' END AS points FROM x""")
+
+
 ORACLE_SQL = {
     "d1_canonical_topics": with_views("questions", f"""{_SAME}, h AS (SELECT subject_id, title, min(id) AS new_id FROM s GROUP BY ALL)
         SELECT id, subject_id, name, new_id, title AS new_name, CASE WHEN new_id <> id THEN 'merged' ELSE 'renamed' END AS action FROM s JOIN h USING (subject_id, title)"""),
@@ -461,6 +511,9 @@ ORACLE_SQL = {
     "g11_question_order": with_views("questions", "SELECT subject_id, id, CAST(row_number() OVER (PARTITION BY subject_id ORDER BY CASE WHEN id % 21 = 0 THEN -id END ASC NULLS LAST, quality_score DESC, id) AS INT) AS place FROM questions"),
     "b18_concept_keys": with_views("questions", f"{CONCEPTS} SELECT id, concept FROM concepts"),
     "h1_import_reported": f"WITH {REPORTED} SELECT stable_id, CASE WHEN n_actions >= 3 THEN 'inserted' WHEN n_actions = 0 THEN 'conflict' ELSE 'unchanged' END AS state FROM reported",
+    "g3_materialized": with_views("questions", f"""{_MATERIALIZED} SELECT subject_id, CAST(row_number() OVER (PARTITION BY subject_id ORDER BY line) - 1 + 1000 AS INT) AS number, coalesce(known, new_id) AS topic_id, known IS NULL AS creates_topic, question, 1 AS n_points FROM i LEFT JOIN n USING (subject_id, name)"""),
+    "g3_created_topics": with_views("questions", f"{_MATERIALIZED} SELECT new_id AS id, subject_id, name FROM n"),
+    "h5_training_cards": _cards_sql(),
     "h2_activation": with_views("units", f"""{REPORTED}, e AS (SELECT stable_id, unnest(evidence_ids) AS e FROM reported), v AS (SELECT stable_id, bool_and(e IN (SELECT id FROM units WHERE review_status = 'accepted')) AS ok FROM e GROUP BY ALL)
         SELECT r.stable_id, CASE WHEN activation = 'active' AND NOT coalesce(ok, false) THEN 'awaiting_course_evidence' ELSE activation END AS activation FROM reported r LEFT JOIN v USING (stable_id)"""),
     "h3_reported_list": f"WITH {REPORTED} SELECT stable_id, chain_id FROM reported WHERE reliability = 'current' AND contains(lower(wording), 'the')",

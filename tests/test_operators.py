@@ -374,3 +374,48 @@ def test_upsert_from_a_stream(spark, tmp_path):
     writer = files.upsert_stream(live, str(tmp_path / "table"), str(tmp_path / "state"), ["id"], "subject_id", ["version"], "new.version >= old.version")
     writer.trigger(availableNow=True).start().awaitTermination(180)
     assert sorted((r["subject_id"], r["id"], r["content"]) for r in spark.read.parquet(str(tmp_path / "table")).collect()) == [(1, 1, "c"), (1, 2, "d"), (2, 1, "b")]
+
+
+def test_headings_are_cleaned_and_end_sections(spark):
+    text = ["intro", "# 1. Cognitive Load", "a", "## Overview", "b", "# Memory|Attention", "c", "### Slide 4: Working Memory", "d"]
+    lines = spark.createDataFrame([(1, k, 1, line) for k, line in enumerate(text, 1)], "doc_id long, line_no int, page_number int, line string")
+    none = spark.createDataFrame([], "doc_id long, key string")
+    got = [r["section_title"] for r in segment.section_titles(lines, none).orderBy("line_no").collect()]
+    assert got == [None, "Cognitive Load", "Cognitive Load", None, None, None, None, "Working Memory", "Working Memory"]
+
+
+def test_superseded_units_are_not_reviewed(spark):
+    units = spark.createDataFrame([(1, "a", "needs_review", []), (2, "b", "needs_review", ["superseded_source"]), (3, "c", "needs_review", None), (4, "d", "accepted", [])], "id long, content string, review_status string, problems array<string>")
+    events = spark.createDataFrame([(1, 1, "accepted", "better"), (2, 2, "accepted", "never"), (3, 3, "rejected", None), (3, 4, "accepted", "  "), (4, 5, "rejected", None)], "unit_id long, event_id long, decision string, text string")
+    got = {r["id"]: (r["content"], r["review_status"], r["authoritative"]) for r in quality.fold_reviews(units, events).collect()}
+    assert got == {1: ("better", "accepted", True), 2: ("b", "needs_review", False), 3: ("c", "rejected", True), 4: ("d", "rejected", True)}
+
+
+def test_claims_are_pruned_and_cited(spark):
+    claims = spark.createDataFrame([
+        (1, 0, "correct", "the encoder maps tokens", [7], None), (1, 1, "correct", "x", [7, 99], None), (1, 2, "incorrect", "wrong", [7], False), (1, 3, "incorrect", "wrong", [8], True),
+        (1, 4, "missing", "decoders generates text", [], None), (1, 5, "partial", "encoders mapping", [99], None), (1, 6, "correct", "unrelated zebra", None, None), (2, 0, "correct", "no evidence", [], None),
+    ], "answer_id long, k int, category string, text string, cited array<long>, contradicted boolean")
+    evidence = spark.createDataFrame([(1, 7, "An encoder maps each token"), (1, 8, "A decoder generates a text")], "answer_id long, unit_id long, content string")
+    got = {(r["answer_id"], r["k"]): r["cited"] for r in G.prune_claims(claims, evidence).collect()}
+    assert got == {(1, 0): [7], (1, 3): [8], (1, 4): [8], (1, 5): [7], (1, 6): [7], (2, 0): []}
+
+
+def test_material_states(spark):
+    full = "Memory is defined as storage because it works by stages, for example a diary."
+    rows = [
+        (1, "Load", full, "accepted", True, "Page 1", 0.9, []), (2, "Thin", "Only words.", "accepted", True, "Page 1", 0.9, None), (3, "Off", full, "accepted", False, "Page 1", 0.9, []),
+        (4, "Wait", full, "needs_review", True, "Page 1", 0.9, []), (5, "Clash", full, "accepted", True, "Page 1", 0.9, ["Conflicting_definition"]), (6, "Unassigned", full, "accepted", True, "Page 1", 0.9, []),
+        (7, "Nowhere", full, "accepted", True, "", 0.9, []), (8, "Unsure", full, "accepted", True, "Page 1", 0.5, []), (9, "Both", "Only words.", "accepted", True, "", 0.9, []), (10, "Both", full, "needs_review", True, "Page 1", 0.9, []),
+    ]
+    units = spark.createDataFrame([(i, 1, 5, *r) for i, *r in rows], "id long, subject_id long, document_id long, title string, content string, review_status string, enabled_for_retrieval boolean, source_location string, confidence double, problems array<string>")
+    got = {r["title"]: r["material_state"] for r in topics.material_coverage(units, ["subject_id", "title"]).collect()}
+    assert got == {"Load": "complete", "Thin": "partial", "Off": "missing", "Wait": "needs_review", "Clash": "conflicting", "Unassigned": "unassigned", "Nowhere": "partial", "Unsure": "partial", "Both": "needs_review"}
+    named = units.withColumn("topic_name", F.when(F.col("title") != "Unassigned", F.concat(F.lit("3. "), "title"))).withColumn("topic_id", F.when(F.col("title") != "Unassigned", F.col("id"))).drop("title")
+    known = spark.createDataFrame([(40, 1, "Memory|Attention"), (41, 1, "Overview"), (1, 1, "3. Load")], "id long, subject_id long, name string")
+    mastery = spark.createDataFrame([(1, "Load", 3, "weak"), (1, "Elsewhere", 1, "weak")], "subject_id long, title string, n long, mastery_state string")
+    table = {r["title"]: r for r in topics.topic_coverage(known, named, mastery).collect()}
+    assert set(table) == set(got) | {"Memory", "Attention"}
+    assert (table["Load"]["topic_ids"], table["Load"]["original_names"], table["Load"]["mastery_state"], table["Load"]["n"]) == ([1], ["3. Load"], "weak", 3)
+    assert (table["Memory"]["topic_id"], table["Memory"]["material_state"], table["Unassigned"]["topic_id"], table["Unassigned"]["original_names"]) == (40, "missing", 0, ["Unassigned"])
+    assert table["Both"]["topic_ids"] == [9, 10] and table["Thin"]["mastery_state"] == "not_practised"
