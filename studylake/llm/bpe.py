@@ -24,8 +24,8 @@ from pyspark.sql import types as T
 from .common import in_batches, rows_of, to_batches
 
 #: Entries (about 200 bytes each) in a generation of a worker's tables, of chunks and of shorter strings; two generations
-#: are held at most, and none once a task has ended.
-CHUNKS, PARTS = 25_000, 20_000
+#: are held at most, and none once a task has ended. Fewer take less memory and more time.
+CHUNKS, PARTS = 120_000, 40_000
 
 #: Strings up to this length are merged directly; they are the leaves of the tree.
 LEAF_BYTES = 5
@@ -138,7 +138,7 @@ class TreeEncoder:
     end to the whole string.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, chunks: int = CHUNKS, parts: int = PARTS):
         self.ranks, self.split = ranks, regex.compile(pattern).findall
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.single = [ranks[bytes([b])] for b in range(256)]
@@ -146,7 +146,7 @@ class TreeEncoder:
         self.pairs = Pairs((c for c in cuts if c[0] is not None and c[1] is not None), max(self.bytes_of))
         self.shift, self.mask, self.never = self.pairs.shift, (1 << self.pairs.shift) - 1, 1 << 62
         self.cuts: dict[int, tuple[int, int]] = {}
-        self.windows, self.chunks, self.fits = Recent(self._window, PARTS), Recent(self._chunk, CHUNKS), Recent(self._compatible, PARTS, None)
+        self.windows, self.chunks, self.fits = Recent(self._window, parts), Recent(self._chunk, chunks), Recent(self._compatible, parts, None)
 
     def _window(self, text: bytes) -> tuple:
         """The encoding of a window, by merging alone: a short one by looking for the least rank each time, which beats a heap there."""
@@ -269,23 +269,24 @@ def _bytes_of(path: str) -> dict[int, bytes]:
 
 
 @functools.cache
-def _encoder(path: str, pattern: str) -> TreeEncoder:
+def _encoder(path: str, pattern: str, chunks: int, parts: int) -> TreeEncoder:
     """One for each Python worker, as the worker lives on from task to task."""
-    return TreeEncoder(load_ranks(path), pattern)
+    return TreeEncoder(load_ranks(path), pattern, chunks, parts)
 
 
-def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: Iterable[str] = ()) -> DataFrame:
+def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: Iterable[str] = (), chunks: int = CHUNKS, parts: int = PARTS) -> DataFrame:
     """Encode whole texts. Returns `id_col`, the columns in `keep`, n_tokens, ids (binary: little-endian unsigned 32-bit integers).
 
     A null text counts as empty: no tokens. Rows are kept one to one, repeated rows and null ids included; other
-    columns are left out. Columns in `keep` that have the names of results are refused.
+    columns are left out. Columns in `keep` that have the names of results are refused. Very long texts are encoded whole,
+    and an empty table stays empty. `chunks` and `parts` bound a worker's tables; they change time and memory only.
     """
     keep = [c for c in keep if c != id_col]
     if {"n_tokens", "ids"} & {id_col, *keep}:
         raise ValueError("n_tokens and ids are results and can't be kept")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = _encoder(ranks_path, pattern)
+        tree = _encoder(ranks_path, pattern, chunks, parts)
         for batch in batches:
             schema = pa.schema([*(batch.schema.field(k) for k in range(len(keep) + 1)), ("n_tokens", pa.int64()), ("ids", pa.binary())])
             encoded = ((row, tree.encode(text or "")) for *row, text in rows_of([batch]))
