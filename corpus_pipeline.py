@@ -70,8 +70,9 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null text counts as empty: no ids. Rows stay one to one, repeated ones and null ids included; other columns go.
     """
     hashed = docs.withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
-    # written between, so that the workers that encode are free before others decode
-    encoded = written(bpe.encode(hashed, RANKS, PATTERN, keep=["lang", "source", "text_sha256"]), "pipeline-encoded")
+    # small tables, as executors are full of what the stages before have left; written between, so that the workers
+    # that encode are free before others decode
+    encoded = written(bpe.encode(hashed, RANKS, PATTERN, keep=["lang", "source", "text_sha256"], chunks=60_000, parts=40_000), "pipeline-encoded")
     decoded = bpe.decode(encoded.withColumn("token_ids", F.col("ids")), RANKS)
     round_trip = F.sha2("decoded", 256) == F.col("text_sha256")
     return decoded.select("doc_id", "lang", "source", "n_tokens", F.col("token_ids").alias("ids"), round_trip.alias("round_trip"))
