@@ -290,7 +290,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
         for batch in batches:
             schema = pa.schema([*(batch.schema.field(k) for k in range(len(keep) + 1)), ("n_tokens", pa.int64()), ("ids", pa.binary())])
             encoded = ((row, tree.encode(text or "")) for *row, text in rows_of([batch]))
-            yield from to_batches(((*row, len(ids), _packed(ids)) for row, ids in encoded), schema, weigh=len(keep) + 2)
+            yield from to_batches(((*row, len(ids), _packed(ids)) for row, ids in encoded), schema, weigh=len(keep) + 2, most=1 << 20)
         tree.forget()
 
     out = T.StructType([*(df.schema[c] for c in (id_col, *keep)), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])

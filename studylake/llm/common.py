@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: A mapped Arrow batch is cut once its variable-length results hold so many bytes, so that very long documents
 #: never pile up in one Python worker.
-OUT_BATCH_BYTES = 1 << 20
+OUT_BATCH_BYTES = 8 << 20
 #: Rows of a batch that goes to a Python worker.
 BATCH_ROWS = 1024
 
@@ -40,15 +40,15 @@ def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
             yield tuple(c[i].as_py() for c in columns)
 
 
-def to_batches(rows: Iterable[tuple], schema: pa.Schema, weigh: int | None = None) -> Iterator[pa.RecordBatch]:
-    """Rows gathered into Arrow batches of at most 4,096 rows or, by the length of column `weigh`, 1 MB."""
+def to_batches(rows: Iterable[tuple], schema: pa.Schema, weigh: int | None = None, most: int = OUT_BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Rows gathered into Arrow batches of at most 4,096 rows or, by the length of column `weigh`, `most` bytes."""
     held: list[tuple] = []
     size = 0
     for row in rows:
         held.append(row)
         if weigh is not None and row[weigh] is not None:
             size += len(row[weigh])
-        if len(held) >= 4096 or size >= OUT_BATCH_BYTES:
+        if len(held) >= 4096 or size >= most:
             yield _batch(held, schema)
             held, size = [], 0
     if held:
