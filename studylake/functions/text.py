@@ -104,9 +104,15 @@ def sha256(text: Column) -> Column:
     return F.sha2(F.encode(text, "UTF-8"), 256)
 
 
-def purpose_problem(text: Column) -> Column:
-    """course_administration, outline_without_explanation, or null for study content."""
-    flat = strip(F.regexp_replace(text, r"(?U)\s+", " "))
+def flattened(text: Column) -> Column:
+    """A text on one line."""
+    return strip(F.regexp_replace(text, r"(?U)\s+", " "))
+
+
+def purpose_problem(text: Column, flat: Column | None = None) -> Column:
+    """course_administration, outline_without_explanation, or null for study content. `flat`, the flattened text, can be
+    given as a column, so that it is made once for all patterns."""
+    flat = flattened(text) if flat is None else flat
     admin = F.lit(False)
     for pattern in ADMINISTRATION:
         admin = admin | flat.rlike(f"(?iU){pattern}")

@@ -36,15 +36,20 @@ def gate(units: DataFrame, repeated: DataFrame, unicode: Callable[[Column], Colu
     rows = units.join(keys, "doc_id", "left").withColumn("keys", F.coalesce("keys", F.array().cast("array<string>"))).withColumn("whole", X.normalize(F.col("raw_content"), unicode))
     # within normalised text a line's key needs no further normalisation
     key = lambda line: X.casefold(F.regexp_replace(X.strip(line), r"(?U)\s+", " "))
-    rows = rows.withColumn("kept", F.filter(F.split("whole", "\n"), lambda line: ~F.array_contains(F.col("keys"), key(line))))
+    # most documents repeat no line: their lines need no keys
+    every = F.split("whole", "\n")
+    rows = rows.withColumn("kept", F.when(F.size("keys") == 0, every).otherwise(F.filter(every, lambda line: ~F.array_contains(F.col("keys"), key(line)))))
     has = F.size("kept") < F.size(F.split("whole", "\n"))
     rows = rows.withColumn("repeated", has).withColumn("content", F.when(has, X.normalize(F.array_join("kept", "\n"), lambda c: c)).otherwise(F.col("whole")))
     text = F.col("content")
     heading_text = X.strip(F.regexp_replace(text, r"^#{1,6}\s+", ""))
-    rows = rows.withColumn("words", F.regexp_extract_all(text, F.lit(X.WORDS), F.lit(0))).withColumn("title", X.single_title(heading_text, lambda c: c)).withColumn("purpose", X.purpose_problem(text))
     n = F.size("words")
+    marked = text.rlike(r"^#{1,6}\s+")
+    # only what is marked as a heading or short can be one, and only then its title is asked for
+    title = F.when(marked | (n <= 10), X.single_title(heading_text, lambda c: c))
+    rows = rows.withColumn("words", F.regexp_extract_all(text, F.lit(X.WORDS), F.lit(0))).withColumn("title", title).withColumn("flat", X.flattened(text)).withColumn("purpose", X.purpose_problem(text, F.col("flat")))
     as_title = ~text.rlike(r"(?:^|[^\p{L}])\p{Ll}") & ~text.rlike(r"\p{L}\p{Lu}")
-    heading = text.rlike(r"^#{1,6}\s+") | (F.col("title").isNotNull() & (n <= 10) & as_title)
+    heading = marked | (F.col("title").isNotNull() & (n <= 10) & as_title)
     rows = rows.withColumn("heading", heading)
     titled = F.col("heading") & F.col("title").isNotNull()
     rows = rows.withColumn("meaningful", ((n >= 4) | titled) & ~text.rlike(r"^[^\p{L}]+$") & (text != ""))
@@ -81,17 +86,16 @@ def gate(units: DataFrame, repeated: DataFrame, unicode: Callable[[Column], Colu
     )
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """`df` behind an Arrow pass that Spark pushes no filter through: a filter on the gate's columns would have the gate's
-    expressions spelled out in it, each many times. Only for few, narrow columns."""
-    return df.mapInArrow(lambda batches: batches, df.schema)
-
-
 def current(units: DataFrame) -> DataFrame:
-    """Units that no later extraction has superseded; all where there are no problems to tell."""
+    """Units that no later extraction has superseded; all where there are no problems to tell.
+
+    Spark would push the filter below the gate, whose expressions would be spelled out in it many times. It pushes none
+    below a column that is not the same each time, so the filter asks for such a column as well.
+    """
     if "problems" not in units.columns:
         return units
-    return settled(units).where(~F.array_contains(F.coalesce("problems", F.array().cast("array<string>")), SUPERSEDED))
+    superseded = F.array_contains(F.coalesce("problems", F.array().cast("array<string>")), SUPERSEDED)
+    return units.withColumn("__row", F.monotonically_increasing_id()).where(~superseded & (F.col("__row") >= 0)).drop("__row")
 
 
 def merge_proposals(units: DataFrame, proposals: DataFrame) -> DataFrame:
