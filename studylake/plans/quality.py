@@ -34,7 +34,11 @@ def _paths(s, d, step):
 
 
 def _reviews(s, d):
-    return table(s, d, "labels").select(F.col("doc_id").alias("unit_id"), F.col("doc_id").alias("event_id"), F.when(F.col("quality") == 1, "accepted").otherwise("rejected").alias("decision"), F.when(F.col("toxic") == 1, "removed").when(F.col("doc_id") % 5 == 0, " ").alias("text"))
+    return table(s, d, "labels").select(F.col("doc_id").alias("unit_id"), F.col("doc_id").alias("event_id"), F.when(F.col("quality") == 1, "accepted").otherwise("rejected").alias("decision"), F.when(F.col("toxic") == 1, "removed").alias("text"))
+
+
+def _with_empty_texts(s, d):
+    return _reviews(s, d).withColumn("text", F.when(F.col("text").isNull() & (F.col("unit_id") % 5 == 0), " ").otherwise(F.col("text")))
 
 
 def _merge(s, d):
@@ -129,7 +133,7 @@ QUERIES = {
     "c15_review_queue": lambda s, d: Q.review_queue(_queued(s, d), most_confidence=0.96, issue="fragment").withColumn("problems", F.array_join("problems", ",")),
     "c15_suspicious": lambda s, d: Q.review_queue(_queued(s, d), suspicious_only=True).withColumn("problems", F.array_join("problems", ",")),
     "c17_batch_acceptance": lambda s, d: Q.batch_acceptance(gated(s, d)),
-    "c18_fold_reviews": lambda s, d: Q.fold_reviews(units(s, d).withColumn("problems", F.when(F.col("id") % 12 == 0, F.array(*map(F.lit, Q.RETIRED))).otherwise(F.array().cast("array<string>"))), _reviews(s, d)),
+    "c18_fold_reviews": lambda s, d: Q.fold_reviews(units(s, d).withColumn("problems", F.when(F.col("id") % 12 == 0, F.array(*map(F.lit, Q.RETIRED))).otherwise(F.array().cast("array<string>"))), _with_empty_texts(s, d)),
     "c19_revision_log": lambda s, d: _plain_times(Q.revision_log(_uploads(s, d)), "valid_from", "valid_to"),
     "c19_units_as_of": lambda s, d: Q.units_as_of(_extracted(s, d), Q.revision_log(_uploads(s, d)), 2).withColumn("problems", F.array_join("problems", ",")),
     "c19_current_units": lambda s, d: Q.units_as_of(_extracted(s, d), Q.revision_log(_uploads(s, d))).withColumn("problems", F.array_join("problems", ",")),
