@@ -25,6 +25,8 @@ COMPARISONS = (
     r"difference between (.+?) and (.+?)\?", r"how (?:does|do) (.+?) differ from (.+?)\?", r"how (?:does|do) (.+?) and (.+?) differ\b",
     r"unterschied(?:e)? zwischen (.+?) und (.+?)\?", r"wie unterscheidet sich (.+?) von (.+?)\?",
 )
+# Words that the sides of a comparison don't differ by.
+SIDE_STOP = ("the", "a", "an", "level", "in", "for", "of", "der", "die", "das", "im", "für", "von")
 # Categories of claims that keep only citations of their answer's evidence.
 SURE_CLAIMS = ("correct", "missing", "incorrect")
 NUMBERS = r"\b\d+(?:[.,]\d+)?\b"
@@ -125,7 +127,7 @@ def comparison_problems(questions: DataFrame) -> DataFrame:
     rows = rows.select("id", "rubric", F.col("sides.left").alias("left"), parts[0].alias("right"), F.coalesce(F.get(parts, F.lit(1)), F.regexp_extract("question_text", r"(?i)\bdiffer in (.+?)\?$", 1)).alias("context"))
     for side in ("left", "right", "context"):
         rows = support(rows, side, "rubric", f"{side}_support")
-    terms = lambda c: F.array_except(F.array_distinct(F.transform(F.regexp_extract_all(X.casefold(c), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda t: F.regexp_replace(t, "s$", ""))), F.array(*map(F.lit, ("the", "a", "an", "level", "in", "for", "of", "der", "die", "das", "im", "für", "von"))))
+    terms = lambda c: F.array_except(F.array_distinct(F.transform(F.regexp_extract_all(X.casefold(c), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda t: F.regexp_replace(t, "s$", ""))), F.array(*map(F.lit, SIDE_STOP)))
     a, b = terms(F.col("left")), terms(F.col("right"))
     same = (F.size(a) > 0) & (F.size(b) > 0) & (F.size(F.array_intersect(a, b)) / F.greatest(F.lit(1), F.least(F.size(a), F.size(b))) >= SAME_SIDE)
     return rows.select("id", "left", "right", _problems(
