@@ -299,7 +299,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
 
 def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
     """Replace `ids_col` (as `encode` returns it) by decoded (binary); other columns stay, rows stay one to one. Null ids
-    decode to null, empty ones to no bytes. Long lists are bounded only by what a row may hold.
+    decode to null, empty ones to no bytes. Long lists are bounded only by what a row may hold. An empty table stays empty.
 
     An id outside the vocabulary fails the job, as it can't have come from `encode`. A column of the name decoded is refused.
     """
@@ -399,7 +399,8 @@ def count_tokens(df: DataFrame, tokenizer_path: str, pattern: str, id_col: str =
     """Token counts of whole texts. Returns `id_col`, n_bytes (UTF-8), n_tokens.
 
     A null text counts as empty: 0 bytes, 0 tokens. Rows are kept one to one, repeated rows and null ids included; other
-    columns are left out, whatever their names. Of very long texts a worker holds one batch and the merges of one piece.
+    columns are left out, whatever their names. Of very long texts a worker holds one batch and the merges of one piece. An
+    empty table stays empty.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -361,7 +361,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     of one component. So every pair that shares a band is compared or already in one class. A link is an exact
     comparison of shingle sets. Texts that are null or have no words are alone, as are rows with a null id (their
     results are null). Rows that repeat an id are one document, which is near to whatever any of its texts is near to.
-    Very long texts cost time and memory in proportion to their words; further columns do no harm.
+    Very long texts cost time and memory in proportion to their words; further columns do no harm. An empty table gives no
+    rows.
     """
     found = written(sketches(df, id_col, text_col, weighted), "dart-sketches")
     known = found.where("id is not null and set is not null")

@@ -119,7 +119,8 @@ def identify(
 
     score is margin / sure_margin, 1 at most. accepted is false below min_margin and for unknown texts. A text that is
     null, empty or without a letter is `und` with score 0, as is every text if nothing was learned. Rows stay one to
-    one and are judged by their text alone; clashing columns in `keep` are refused.
+    one and are judged by their text alone; clashing columns in `keep` are refused. Very long texts are judged whole, block
+    by block; an empty table stays empty. A language with less than 8 bytes of sample has no dictionary and is never told.
     """
     keep = list(keep)
     made = {"lang_pred", "score", "margin", "accepted"}

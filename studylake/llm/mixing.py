@@ -117,7 +117,8 @@ def mix(df: DataFrame, plan: Plan, domain: Column, id_col: str = "doc_id", text_
     mix_copies says how often the whole document is taken, mix_part how many of its first tokens once more (the
     document where a leaf's prefix ends). Rows that give nothing are left out. Null texts have no tokens; documents
     without tokens go with the prefix that their order key falls into, and a leaf without any token gives nothing. Rows with equal ids share an order key and go
-    the same way. An empty table gives no rows. Columns of `df` that have these four names are replaced.
+    the same way. An empty table gives no rows. Columns of `df` that have these four names are replaced. Of a very long text only words
+    are counted; it goes in whole or with its first words.
     """
     tokens = words(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) if tokens is None else tokens
     id_text = F.coalesce(F.col(id_col).cast("string"), F.lit(""))

@@ -145,7 +145,7 @@ def score(
     Returns `id_col`, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, rejected_by (the
     first rule in `order` that rejects, `base` before all, null for kept texts). A null text counts as empty, and
     texts without words fail the base. Rows stay one to one, repeated ones and null ids included; very long texts are
-    measured whole; other columns are left out, whatever their names.
+    measured whole; other columns are left out, whatever their names. An empty table stays empty.
     """
     rules = RULES if rules is None else rules
     if sorted(order) != sorted(rules):

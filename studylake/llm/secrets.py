@@ -189,7 +189,11 @@ def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules:
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """One row for each row of `df`: `id_col`, spans (array of struct start, rank, end, kind, sorted; empty if none)."""
+    """One row for each row of `df`: `id_col`, spans (array of struct start, rank, end, kind, sorted; empty if none).
+
+    Null and empty texts have no spans; rows that repeat have the same; very long texts are scanned whole; an empty table
+    gives no rows, and other columns are left out, whatever their names.
+    """
     texts = _keyed(df, id_col, text_col).select("id", "hash")
     per_text = spans(df, id_col, text_col, rules).groupBy("id", "hash").agg(F.sort_array(F.collect_list(F.struct("start", "rank", "end", "kind"))).alias("spans"))
     empty = F.array().cast("array<struct<start:bigint,rank:int,end:bigint,kind:string>>")

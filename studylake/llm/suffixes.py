@@ -350,7 +350,8 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     Returns `id_col`, n_bytes, spans (array of struct start, end: the maximal removed runs, in order) and kept (binary,
     the other bytes). Strings are judged on the input, not on what is left, and never cross documents. Ids have to be
-    whole numbers; they give the order. A null text counts as empty; a text with a null id has no place in the order and
+    whole numbers; they give the order. A null text counts as empty, an empty table gives no rows, very long
+    texts are cut whole, and other columns are left out. A text with a null id has no place in the order and
     stays whole; rows that repeat an id and a text are one document, of which each row shows the result.
     """
     stretches = written(repeated_stretches(df, id_col, text_col), "suffix-stretches", tidy=True)
