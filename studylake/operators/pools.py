@@ -232,23 +232,30 @@ def next_question(candidates: DataFrame) -> DataFrame:
     return candidates.where(~F.col("used")).groupBy("session_id").agg(F.min_by("question_id", F.struct(~F.coalesce(fits, F.lit(False)), F.col("place"))).alias("next_question_id"))
 
 
+def _first_gap(rows: DataFrame, keys: list[str], number: str) -> DataFrame:
+    """The least number from 1 on that no row of `keys` has; numbers are distinct within them."""
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy(number)))
+    return rows.groupBy(*keys).agg(F.coalesce(F.min(F.when(F.col(number) != F.col("nth"), F.col("nth"))), F.max("nth") + 1).alias("gap"))
+
+
 def next_questions(sessions: DataFrame, questions: DataFrame, used: DataFrame) -> DataFrame:
     """G12 for all sessions at once: sessions (session_id, subject_id, missing_ids), questions (question_id, subject_id,
     place, evidence_ids), used (session_id, question_id), each pair once. Sessions with nothing left have no row.
 
-    Questions that share missing evidence meet by it. The first unused one is at the first gap among the numbers of the
-    used ones, so that no session meets all questions of its subject. Numbering is one window for each subject.
+    The first unused one is at the first gap among the numbers of the used ones, so that no session meets all questions
+    of its subject. Those that share one piece of missing evidence are numbered as well, and their first unused one is at
+    such a gap too, so that no session meets all of them either. Numbering is one window for each subject.
     """
     numbered = questions.withColumn("k", F.row_number().over(Window.partitionBy("subject_id").orderBy("place", "question_id")))
     asked = sessions.select("session_id", "subject_id", F.explode(F.array_distinct("missing_ids")).alias("evidence_id"))
     offers = numbered.select("subject_id", "question_id", "k", F.explode(F.array_distinct("evidence_ids")).alias("evidence_id"))
-    fitting = (
-        asked.join(offers, ["subject_id", "evidence_id"]).join(used, ["session_id", "question_id"], "left_anti")
-        .groupBy("session_id").agg(F.min("k").alias("fitting"))
-    )
+    offers = offers.withColumn("offer", F.row_number().over(Window.partitionBy("subject_id", "evidence_id").orderBy("k")))
+    gone = used.join(asked, "session_id").join(offers.select("subject_id", "evidence_id", "question_id", "offer"), ["subject_id", "evidence_id", "question_id"])
+    gone = _first_gap(gone, ["session_id", "evidence_id"], "offer")
+    open_ = asked.join(gone, ["session_id", "evidence_id"], "left").withColumn("offer", F.coalesce("gap", F.lit(1)))
+    fitting = open_.join(offers.select("subject_id", "evidence_id", "offer", "k"), ["subject_id", "evidence_id", "offer"]).groupBy("session_id").agg(F.min("k").alias("fitting"))
     taken = used.join(sessions.select("session_id", "subject_id"), "session_id").join(numbered.select("subject_id", "question_id", "k"), ["subject_id", "question_id"])
-    taken = taken.withColumn("nth", F.row_number().over(Window.partitionBy("session_id").orderBy("k")))
-    gaps = taken.groupBy("session_id").agg(F.coalesce(F.min(F.when(F.col("k") != F.col("nth"), F.col("nth"))), F.max("nth") + 1).alias("gap"))
+    gaps = _first_gap(taken, ["session_id"], "k")
     chosen = sessions.select("session_id", "subject_id").join(fitting, "session_id", "left").join(gaps, "session_id", "left").withColumn("k", F.coalesce("fitting", "gap", F.lit(1)))
     return chosen.join(numbered.select("subject_id", "k", "question_id"), ["subject_id", "k"]).select("session_id", F.col("question_id").alias("next_question_id"))
 
