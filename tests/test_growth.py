@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from studylake.operators import pools
+from studylake.operators import gates, pools
 
 
 def largest(df):
@@ -30,3 +30,13 @@ def test_next_questions_meet_no_whole_group(spark):
     rows, most = largest(pools.next_questions(sessions, questions, used))
     assert {(r["session_id"], r["next_question_id"]) for r in rows} == {(k, 5 if k == 3 else 7) for k in range(400)}
     assert most <= 5_000
+
+
+def test_questions_of_equal_texts_are_compared_once(spark):
+    """Two texts, one letter apart, of 60 questions each: only the result holds their pairs, and no join does before."""
+    text = F.when(F.col("id") % 2 == 0, "What is a warm plate?").otherwise("What is a warm plates?")
+    rows = spark.range(120).select("id", F.lit(1).alias("subject_id"), text.alias("question_text"))
+    pairs, _ = largest(gates.repeated_questions(rows, rows))
+    assert {(r["id"], r["other_id"]) for r in pairs} == {(a, b) for a in range(120) for b in range(120) if a != b}
+    texts, most = largest(gates._near_texts(rows, rows, True))
+    assert most <= 600 and len({(r["question_a"], r["question_b"]) for r in texts}) == len(texts) == 4
