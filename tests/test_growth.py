@@ -1,8 +1,9 @@
 """Steps whose work has to grow with their input: rows that joins give, on small tables with large groups."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from studylake.operators import gates, pools
+from studylake.operators import gates, pools, retrieval, similar
 
 
 def largest(df):
@@ -40,3 +41,35 @@ def test_questions_of_equal_texts_are_compared_once(spark):
     assert {(r["id"], r["other_id"]) for r in pairs} == {(a, b) for a in range(120) for b in range(120) if a != b}
     texts, most = largest(gates._near_texts(rows, rows, True))
     assert most <= 600 and len({(r["question_a"], r["question_b"]) for r in texts}) == len(texts) == 4
+
+
+def test_shared_counts_equal_plain_ones():
+    """Numbers that most lists hold, rare ones, none at all, and lists without any."""
+    make = np.random.default_rng(1)
+    left, right = ([np.unique(np.concatenate([make.integers(0, 3, 2), make.integers(-(2**62), 2**62, 2), make.integers(10, 2000, k % 40)])) if k % 7 else np.array([], np.int64) for k in range(n)] for n in (70, 90))
+    got = similar.shared_counts(left, right)
+    assert got.tolist() == [[len(set(a.tolist()) & set(b.tolist())) for b in right] for a in left]
+    assert similar.shared_counts([], right).shape == (0, 90) and not similar.shared_counts([left[0]], right).any()
+
+
+def test_search_hands_on_only_what_can_be_chosen(spark):
+    """Ten queries share two words with each of 300 units: all are rescued, but a search of four needs no more than five of a block."""
+    units = spark.range(300).select("id", F.lit(1).alias("subject_id"), F.when(F.col("id") < 200, 5).otherwise(6).alias("document_id"), F.lit(2).alias("topic_id"), F.concat(F.lit("memory attention "), F.col("id") + 1000).alias("content"), F.array(F.lit(1.0), F.lit(0.0)).alias("vector"))
+    queries = spark.range(10).select(F.col("id").alias("query_id"), F.lit(1).alias("subject_id"), F.lit(None).cast("int").alias("topic_id"), F.lit("memory attention span").alias("text"), F.lit(None).cast("array<double>").alias("vector"))
+    none = spark.createDataFrame([], "query_id long, unit_id long")
+    assert retrieval.rescue(queries, units, none).count() == 3000
+    rows, most = largest(retrieval.rescue(queries, units, none, 4))
+    assert {(r["query_id"], r["unit_id"]) for r in rows} == {(q, u) for q in range(10) for u in (0, 1, 2, 3, 200)}
+    assert most <= 400
+    chosen = retrieval.search(queries, units, 4).where("query_id = 3").orderBy("place").collect()
+    assert [r["unit_id"] for r in chosen] == [0, 200, 1, 2]
+
+
+def test_evidence_of_a_source_is_ranked_within_blocks(spark):
+    """Forty questions name a source of 200 units: no join gives all 8,000 pairs, and each keeps the five best of a role."""
+    units = spark.range(200).select("id", F.lit(1).alias("subject_id"), F.lit(5).alias("document_id"), F.lit(2).alias("topic_id"), F.lit("doc5").alias("stem"), F.lit(3).alias("page"), F.concat(F.lit("memory "), F.when(F.col("id") % 50 == 7, "attention span")).alias("content"), F.array(F.lit(1.0)).alias("vector"))
+    units = units.withColumn("content", F.coalesce("content", F.lit("nothing here")))
+    q = spark.range(40).select("id", F.lit(1).alias("subject_id"), F.lit(None).cast("int").alias("topic_id"), F.lit("doc5").alias("stem"), F.array().cast("array<int>").alias("pages"), F.lit("attention span").alias("question_text"), F.lit("tag").alias("tags"), F.lit("memory").alias("points"), F.lit(True).alias("canonical"), F.array(F.lit(1.0)).alias("vector"))
+    rows, most = largest(retrieval._from_source(q, units, 5))
+    assert {(r["unit_id"], r["role"], r["place"]) for r in rows if r["id"] == 9} == {(7, "evidence", 1), (57, "evidence", 2), (107, "evidence", 3), (157, "evidence", 4), *((k, "rejected", k + 1) for k in range(5))}
+    assert len(rows) == 360 and most <= 1000
