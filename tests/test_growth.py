@@ -73,3 +73,13 @@ def test_evidence_of_a_source_is_ranked_within_blocks(spark):
     rows, most = largest(retrieval._from_source(q, units, 5))
     assert {(r["unit_id"], r["role"], r["place"]) for r in rows if r["id"] == 9} == {(7, "evidence", 1), (57, "evidence", 2), (107, "evidence", 3), (157, "evidence", 4), *((k, "rejected", k + 1) for k in range(5))}
     assert len(rows) == 360 and most <= 1000
+
+
+def test_sources_give_what_joined_texts_give(spark):
+    """Sixty questions on three sources, one of them null: the same problems, but no row holds a source's text."""
+    q = spark.range(60).select("id", F.concat(F.lit("What is memory "), F.col("id") % 4 + 1000).alias("question_text"), F.lit("memory").alias("point_text"), (F.col("id") % 4).alias("source_id"))
+    sources = spark.createDataFrame([(0, "Memori 1000 and attention"), (1, None), (2, "nothing")], "source_id long, content string")
+    joined = q.join(sources, "source_id").withColumn("source_text", F.concat_ws(" ", "content", F.lit("memory")))
+    want = {(r["id"], tuple(r["problems"])) for r in gates.concept_problems(joined).collect()}
+    got = gates.concept_problems(q.withColumn("source_text", F.lit("memory")), sources)
+    assert "content" not in got.columns and {(r["id"], tuple(r["problems"])) for r in got.collect()} == want and len(want) == 45
