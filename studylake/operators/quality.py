@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..shared import checkpointed
 
 # Thresholds of the gate, what quarantines a unit, and what bars it from acceptance in a batch.
 QUARANTINE_BELOW, ACCEPT_FROM, BATCH_ACCEPT_FROM = 0.45, 0.9, 0.90
@@ -189,7 +190,8 @@ def review_queue(
     status: str | None = None, issue: str | None = None, suspicious_only: bool = False,
 ) -> DataFrame:
     """Current units by the filters given, the least confident first: units of any status unless only suspicious
-    ones are asked for; `issue` is a part of a problem's name."""
+    ones are asked for; `issue` is a part of a problem's name. What is chosen is kept in the shared folder before it is put
+    in order: Spark would otherwise make the units twice, first to find the bounds of its sorted parts."""
     rows = current(units)
     if suspicious_only:
         rows = rows.where(F.col("review_status") != "accepted")
@@ -200,7 +202,7 @@ def review_queue(
         rows = rows.where(F.col("confidence") <= most_confidence)
     if issue:
         rows = rows.where(F.exists("problems", lambda p: F.contains(p, F.lit(issue))))
-    return rows.orderBy("confidence", "document_id", "source_start")
+    return checkpointed(rows).orderBy("confidence", "document_id", "source_start")
 
 
 def batch_acceptance(gated: DataFrame) -> DataFrame:
