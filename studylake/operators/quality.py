@@ -48,19 +48,19 @@ def gate(units: DataFrame, repeated: DataFrame, unicode: Callable[[Column], Colu
     marked = text.rlike(r"^#{1,6}\s+")
     # only what is marked as a heading or short can be one, and only then its title is asked for
     title = F.when(marked | (n <= 10), X.single_title(heading_text, lambda c: c))
-    rows = rows.withColumn("words", F.regexp_extract_all(text, F.lit(X.WORDS), F.lit(0))).withColumn("title", title).withColumn("flat", X.flattened(text)).withColumn("purpose", X.purpose_problem(text, F.col("flat")))
+    rows = rows.withColumn("words", F.regexp_extract_all(text, F.lit(X.WORDS), F.lit(0))).withColumn("title", title).withColumn("purpose", X.purpose_problem(text))
     as_title = ~text.rlike(r"(?:^|[^\p{L}])\p{Ll}") & ~text.rlike(r"\p{L}\p{Lu}")
     heading = marked | (F.col("title").isNotNull() & (n <= 10) & as_title)
     rows = rows.withColumn("heading", heading)
     titled = F.col("heading") & F.col("title").isNotNull()
     rows = rows.withColumn("meaningful", ((n >= 4) | titled) & ~text.rlike(r"^[^\p{L}]+$") & (text != ""))
     rows = rows.withColumn("academic", F.col("meaningful") & ((F.size(F.array_distinct(F.transform("words", F.lower))) >= 4) | titled))
-    rows = rows.withColumn("complete", F.col("heading") | text.rlike(r"[.!?:;)]\s*$") | (n >= 12))
+    rows = rows.withColumn("complete", F.col("heading") | (n >= 12) | text.rlike(r"[.!?:;)]\s*$"))
     short = F.filter(F.split(text, "\n"), lambda line: F.trim(line) != "")
     few = F.filter(short, lambda line: F.size(F.split(X.strip(line), r"(?U)\s+")) <= 2)
     costly = F.array_compact(F.array(
-        F.col("purpose"), F.when(text.rlike(f"(?i){X.NAVIGATION}"), "navigation_boilerplate"), F.when(text.rlike(f"(?iu){X.ATTRIBUTION}"), "copyright_or_attribution"),
-        F.when(text.rlike(X.JOINED), "suspicious_joined_words"), F.when(X.table_corrupt(text), "corrupted_table"), F.when(X.formula_broken(text), "broken_formula"),
+        F.col("purpose"), F.when(text.rlike(f"(?i){X.NAVIGATION}"), "navigation_boilerplate"), F.when(X.attribution(text), "copyright_or_attribution"),
+        F.when(X.joined_words(text), "suspicious_joined_words"), F.when(X.table_corrupt(text), "corrupted_table"), F.when(X.formula_broken(text), "broken_formula"),
     ))
     signs = F.array_compact(F.array(
         F.when(~F.col("complete"), "incomplete_fragment"), F.when(F.col("heading"), "heading_without_explanation"),

@@ -3,8 +3,33 @@
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from studylake.functions import text as X
 from studylake.operators import quality
 
+ODD = [
+    "", " ", "\n", "a", "Plain text.", "Tabs\t\tand  blanks", "a\r\nb\rc", "line-\nend", "LINE-\nEND", "a\n\n\n\nb", " wide　", "\x85\x1c x \x0b", "a\xa0\xa0b", "bullet", "ends \n", "x ", "᠎a",
+    "The exam needs registration", "Klauſur and Anmeldung, Klausur", "EXAM\n\nADMIſſION", "office   hours", "office\nhours", "Offıce hours", "OFFİCE HOURS", "submission\tdeadline", "Moodle has slides", "Übungspunkte zur Prüfung",
+    "table\nof contents", "Table of  Contents", "Outline of the Course", "KURSZıELE", "Lernziele:\nx", "a . . . . 1 b . . . . 2", "a .... 1 b .... 2", "a .  .  .  . 1 b.\t.\t.\t.2", "Contents\n1 Title 2\n2 Other 3\n",
+    "© me", "COPYRIGHT", "copyrıght", "All Rights Reſerved", "image\n source", "ımage source", "Photo   credit", "photo", "wordJoined here", "wortJoined.", "langesÜber alles", "a|b\nc", "a|b\nc|d", "x = (1", "sin (x", "√", "log x", "f(x)=",
+]
+
+
+def test_texts_left_alone_are_those_that_no_pattern_changes(spark):
+    """Each text as the patterns alone, without the look at pieces before, would have it."""
+    t = F.col("t")
+    plain = t
+    for pattern, to in ((r"\r\n?", "\n"), (X.PRIVATE_USE, "• "), (r"(?<=[a-zäöüß])-\n(?=[a-zäöüß])", ""), ("[\t ]+", " "), (r"\n{3,}", "\n\n"), (r"(?U)^\s+|\s+$", "")):
+        plain = F.regexp_replace(plain, pattern, to)
+    flat = F.regexp_replace(F.regexp_replace(t, r"(?U)\s+", " "), r"(?U)^\s+|\s+$", "")
+    outline = F.substring(flat, 1, 220).rlike(f"(?iU){X.OVERVIEW}") | F.regexp_replace(t, r"(?U)^\s+|\s+$", "").rlike(f"(?i){X.OBJECTIVES}") | (F.regexp_count(t, F.lit(X.LEADERS)) >= 2)
+    outline = outline | (t.rlike(f"(?i){X.CONTENTS}") & (F.regexp_count(t, F.lit(X.CONTENTS_ENTRY)) >= 2))
+    admin = F.exists(F.array(*(flat.rlike(f"(?iU){p}") for p in X.ADMINISTRATION)), lambda x: x)
+    want = [plain, F.regexp_replace(t, r"(?U)^\s+|\s+$", ""), F.when(admin, "course_administration").when(outline, "outline_without_explanation"), t.rlike(f"(?iu){X.ATTRIBUTION}"), t.rlike(X.JOINED), t.rlike(f"(?i){X.FORMULA}")]
+    got = [X.normalize(t, lambda c: c), X.strip(t), X.purpose_problem(t), X.attribution(t), X.joined_words(t), X.has_formula(t)]
+    df = spark.createDataFrame([(x,) for x in [*ODD, None]], "t string")
+    for row in df.select("t", F.array(*(c.cast("string") for c in want)).alias("want"), F.array(*(c.cast("string") for c in got)).alias("got")).collect():
+        assert row["got"] == row["want"], row["t"]
+
 
 def test_a_queue_in_order_makes_its_units_once(spark):
     """Confidence is made by Python here, which counts: Spark's sort asks for it once for a row, not again for its bounds."""
