@@ -1,10 +1,13 @@
 """Work that is done once, or only where it can change something; with the same results as plain patterns give."""
 
+import random
+from difflib import SequenceMatcher
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from studylake.functions import text as X
-from studylake.operators import quality
+from studylake.operators import gates, quality
 
 ODD = [
     "", " ", "\n", "a", "Plain text.", "Tabs\t\tand  blanks", "a\r\nb\rc", "line-\nend", "LINE-\nEND", "a\n\n\n\nb", " wide　", "\x85\x1c x \x0b", "a\xa0\xa0b", "bullet", "ends \n", "x ", "᠎a",
@@ -43,3 +46,22 @@ def test_a_queue_in_order_makes_its_units_once(spark):
     rows = quality.review_queue(units, suspicious_only=True).collect()
     assert [(r["confidence"], r["document_id"]) for r in rows] == sorted((k % 7 / 10, k) for k in range(200))
     assert calls.value == 200
+
+
+def test_close_words_are_those_of_the_ratio():
+    """Random words of few letters, some of which share a bit; lists that come again, and empty ones."""
+    draw = random.Random(1)
+    words = ["".join(draw.choice("abcdä!€1") for _ in range(draw.randint(1, 9))) for _ in range(200)]
+    left, right = [draw.sample(words, 6) for _ in range(60)], [draw.sample(words, draw.randint(0, 40)) for _ in range(30)] * 2
+    for least in (gates.FUZZY_TERM, gates.FUZZY_CONCEPT):
+        want = [sum(any(SequenceMatcher(None, word, other).ratio() >= least for other in b) for word in a) for a, b in zip(left, right)]
+        assert gates.close_counts([*left, None], [*right, ["a"]], least) == [*want, 0] and sum(want) > 0
+
+
+def test_claims_are_pruned_alike_by_named_units(spark):
+    """Units named by id give what their contents in each row give; a unit that is not there is no evidence."""
+    claims = spark.range(24).select((F.col("id") % 6).alias("answer_id"), (F.col("id") / 6).cast("int").alias("k"), F.element_at(F.array(*map(F.lit, ("correct", "partial", "incorrect"))), (F.col("id") % 3 + 1).cast("int")).alias("category"), F.concat(F.lit("memori span "), F.col("id") % 4 + 1000).alias("text"), F.when(F.col("id") % 5 == 0, F.array(F.lit(9).cast("long"))).alias("cited"), (F.col("id") % 2 == 0).alias("contradicted"))
+    ids = spark.createDataFrame([(a, u) for a in range(6) for u in (a % 3, 2, 9)], "answer_id long, unit_id long").distinct()
+    units = spark.createDataFrame([(0, "memory 1000"), (1, "memory span 1001"), (2, "the span")], "unit_id long, content string")
+    want = {tuple(map(str, r)) for r in gates.prune_claims(claims, ids.join(units, "unit_id")).collect()}
+    assert {tuple(map(str, r)) for r in gates.prune_claims(claims, ids, units).collect()} == want and len(want) > 5
