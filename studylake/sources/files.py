@@ -43,9 +43,10 @@ def pages(df: DataFrame, first: int | None = None, last: int | None = None) -> D
     return df.where(F.col("page_number") <= last) if last is not None else df
 
 
-def json_bank(spark: SparkSession, path: str) -> DataFrame:
-    """A4: questions of JSON files, each a list or an object with a list named questions; one form."""
-    raw = spark.read.json(path, multiLine=True)
+def json_bank(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """A4: questions of JSON files, each a list or an object with a list named questions; one form (B16). With a schema the
+    files are read once; without one Spark reads all of them in a few tasks first, to find it."""
+    raw = (spark.read.schema(schema) if schema else spark.read).json(path, multiLine=True)
     if "questions" in raw.columns:
         # files of both forms may lie in one folder: what has no list is a question itself
         listed = raw.where("questions IS NOT NULL").select(F.explode("questions").alias("q")).select("q.*")

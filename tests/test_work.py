@@ -8,6 +8,8 @@ from pyspark.sql import types as T
 
 from studylake.functions import text as X
 from studylake.operators import gates, quality
+from studylake.plans import files as plan_files
+from studylake.sources import files
 
 ODD = [
     "", " ", "\n", "a", "Plain text.", "Tabs\t\tand  blanks", "a\r\nb\rc", "line-\nend", "LINE-\nEND", "a\n\n\n\nb", " wide　", "\x85\x1c x \x0b", "a\xa0\xa0b", "bullet", "ends \n", "x ", "᠎a",
@@ -65,3 +67,13 @@ def test_claims_are_pruned_alike_by_named_units(spark):
     units = spark.createDataFrame([(0, "memory 1000"), (1, "memory span 1001"), (2, "the span")], "unit_id long, content string")
     want = {tuple(map(str, r)) for r in gates.prune_claims(claims, ids.join(units, "unit_id")).collect()}
     assert {tuple(map(str, r)) for r in gates.prune_claims(claims, ids, units).collect()} == want and len(want) > 5
+
+
+def test_bank_files_are_written_by_all_tasks(spark):
+    """Small rows of 40 banks: no few tasks write all their files; a named schema gives what the inferred one does."""
+    rows = spark.range(40).select(F.col("id").alias("bank"), F.concat(F.lit('{"questions": [{"id": "'), F.col("id"), F.lit('", "text": "What?"}]}')).alias("value"))
+    path = plan_files._put(rows, "banks", ["bank"], [])
+    with_tasks = spark.read.text(path).select(F.regexp_extract(F.input_file_name(), r"part-(\d+)-", 1).alias("task")).distinct().count()
+    assert with_tasks > 1
+    named, found = files.json_bank(spark, path, "questions array<struct<id:string, text:string>>"), files.json_bank(spark, path)
+    assert sorted(map(str, named.collect())) == sorted(map(str, found.collect())) and named.count() == 40
