@@ -32,17 +32,33 @@ def repeated_lines(lines: DataFrame, most: int = 120, times: int = 3) -> DataFra
     return lines.select("doc_id", text.alias("line")).where((F.col("line") != "") & (F.length("line") <= most)).groupBy("doc_id", "line").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") >= times)
 
 
+def _dealt(lines: DataFrame, unicode: Callable[[Column], Column] = X.nfkc) -> DataFrame:
+    """Lines, a document's all in one task, with their Unicode form where it is another. It is made before, as Spark would
+    deal the rows again after Python; windows, joins and groups of documents stay where the lines are."""
+    return lines.withColumn("form", F.nullif(unicode(F.trim("line")), F.trim("line"))).repartition("doc_id")
+
+
+def _characters() -> Column:
+    """The Unicode form of a line of `_dealt`, without spaces at its ends."""
+    return F.coalesce("form", F.trim("line"))
+
+
 def page_furniture(lines: DataFrame, unicode: Callable[[Column], Column] = X.nfkc) -> DataFrame:
     """Keys of the first and last three non-blank lines of pages that occur on at least 35 % of a document's pages,
-    and on two (three in a document of one page)."""
-    rows = lines.where(F.trim("line") != "")
-    down = F.row_number().over(Window.partitionBy("doc_id", "page_number").orderBy("line_no"))
-    up = F.row_number().over(Window.partitionBy("doc_id", "page_number").orderBy(F.desc("line_no")))
-    edges = rows.withColumn("down", down).withColumn("up", up).where("down <= 3 OR up <= 3").select("doc_id", "page_number", X.line_key(F.col("line"), unicode).alias("key"))
-    pages = lines.groupBy("doc_id").agg(F.count_distinct("page_number").alias("pages"))
-    counted = edges.groupBy("doc_id", "key").agg(F.count_distinct("page_number").alias("on_pages")).join(pages, "doc_id")
-    least = F.greatest(F.when(F.col("pages") == 1, 3).otherwise(2), F.ceil(F.col("pages") * 0.35))
-    return counted.where(F.col("on_pages") >= least).select("doc_id", "key", "on_pages")
+    and on two (three in a document of one page).
+
+    Lines are dealt once, by document; places on pages, pages and keys are all counted where a document's lines then are.
+    """
+    filled = F.trim("line") != ""
+    page = Window.partitionBy("doc_id", "page_number")
+    down = F.count_if(filled).over(page.orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    opens = (F.row_number().over(page.orderBy("line_no")) == 1).cast("int")
+    rows = _dealt(lines.select("doc_id", "page_number", "line_no", "line"), unicode).withColumns({"down": down, "opens": opens, "filled": F.count_if(filled).over(page)})
+    rows = rows.withColumn("pages", F.sum("opens").over(Window.partitionBy("doc_id"))).where(filled & ((F.col("down") <= 3) | (F.col("filled") - F.col("down") < 3)))
+    # no line is on three pages of one, so the keys of such documents are not made
+    edges = rows.where("pages > 1").select("doc_id", "page_number", "pages", X.line_key(_characters(), lambda text: text).alias("key"))
+    counted = edges.groupBy("doc_id", "key").agg(F.count_distinct("page_number").alias("on_pages"), F.first("pages").alias("pages"))
+    return counted.where(F.col("on_pages") >= F.greatest(F.lit(2), F.ceil(F.col("pages") * 0.35))).select("doc_id", "key", "on_pages")
 
 
 def without_counters(lines: DataFrame) -> DataFrame:
@@ -84,27 +100,33 @@ def merge_short(units: DataFrame) -> DataFrame:
     return ordered.mapInPandas(run, schema)
 
 
-def titled(line: Column) -> Column:
-    """The clean title that a line is, if it has two to ten words and no sign of a sentence or formula; else null."""
+def titled(line: Column, characters: Column) -> Column:
+    """The clean title that a line is, if it has two to ten words and no sign of a sentence or formula; else null. Its
+    `characters` are those of its Unicode form."""
     words = F.size(F.split(F.trim(line), r"\s+"))
-    return F.when(words.between(2, 10) & ~line.rlike(r"[.!?=∑√+]"), X.single_title(F.trim(line)))
+    return F.when(words.between(2, 10) & ~line.rlike(r"[.!?=∑√+]"), X.single_title(characters, lambda text: text))
 
 
 def section_titles(lines: DataFrame, furniture: DataFrame) -> DataFrame:
     """The title of the Markdown heading above each line, carried down; and the page's topic, the first of its lines that
     are no page furniture (doc_id, key) if it reads like a title.
 
-    Headings are cleaned like topics. One that has not just one title ends the section before it and names none.
+    Headings are cleaned like topics. One that has not just one title ends the section before it and names none. Lines are
+    dealt once, by document, and meet its furniture there as one list; only documents that have any get keys, and only the
+    first line of a page is read as a title.
     """
     mark = r"^#{1,6}\s+"
-    heading = F.when(F.col("line").rlike(mark), F.struct(X.single_title(F.regexp_replace("line", mark, "")).alias("title")))
+    marked = F.when(F.col("line").rlike(mark), F.col("line"))
+    heading = F.when(marked.isNotNull(), F.struct(X.single_title(F.regexp_replace(marked, mark, "")).alias("title")))
     down = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = lines.where(F.trim("line") != "").withColumn("section_title", F.last(heading, ignorenulls=True).over(down)["title"])
-    own = furniture.select("doc_id", "key").distinct().withColumn("furniture", F.lit(True))
-    rows = rows.withColumn("key", X.line_key(F.col("line"))).join(own, ["doc_id", "key"], "left")
-    page = Window.partitionBy("doc_id", "page_number").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    first = F.first(F.when(F.col("furniture").isNull(), F.col("line")), ignorenulls=True).over(page)
-    return rows.withColumn("first", first).withColumn("page_topic", titled(F.col("first"))).drop("first", "key", "furniture")
+    rows = _dealt(lines.where(F.trim("line") != "").withColumn("heading", heading)).withColumn("section_title", F.last("heading", ignorenulls=True).over(down)["title"])
+    rows = rows.join(furniture.groupBy("doc_id").agg(F.collect_set("key").alias("own")), "doc_id", "left")
+    furnished = F.array_contains("own", X.line_key(F.when(F.col("own").isNotNull(), _characters()), lambda text: text))
+    rows = rows.withColumn("opening", ~F.coalesce(furnished, F.lit(False))).drop("own")
+    page = Window.partitionBy("doc_id", "page_number")
+    first = F.when(F.col("line_no") == F.min(F.when(F.col("opening"), F.col("line_no"))).over(page), F.struct("line", _characters().alias("characters")))
+    rows = rows.withColumn("first", first).withColumn("title", titled(F.col("first.line"), F.col("first.characters")))
+    return rows.withColumn("page_topic", F.max("title").over(page)).drop("first", "title", "opening", "heading", "form")
 
 
 def unit_titles(units: DataFrame) -> DataFrame:

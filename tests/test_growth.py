@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from studylake.operators import gates, pools, retrieval, similar
+from studylake.operators import gates, pools, retrieval, segment, similar
 
 
 def largest(df):
@@ -83,3 +83,21 @@ def test_sources_give_what_joined_texts_give(spark):
     want = {(r["id"], tuple(r["problems"])) for r in gates.concept_problems(joined).collect()}
     got = gates.concept_problems(q.withColumn("source_text", F.lit("memory")), sources)
     assert "content" not in got.columns and {(r["id"], tuple(r["problems"])) for r in got.collect()} == want and len(want) == 45
+
+
+def test_lines_are_dealt_once_for_furniture_and_once_for_titles(spark):
+    """Twelve pages, in order or not, under one running head that is not written in one Unicode form."""
+    head = F.when(F.col("page_number") % 2 == 0, "Ｒunning\u00a0head").otherwise("running  head ")
+    line = F.when(F.col("k") == 0, head).when(F.col("k") == 1, F.concat(F.lit("  Chapter of "), F.element_at(F.array(*map(F.lit, "abcdefghijkl")), F.col("page_number")))).when(F.col("k") == 2, "").when(F.col("k") == 5, F.when(F.col("page_number") == 5, "## 1. Memory").otherwise("## A|B")).otherwise(F.concat(F.lit("Line "), F.col("line_no").cast("string"), F.lit(".")))
+    lines = spark.range(120).select(F.lit(1).alias("doc_id"), (F.col("id") + 1).alias("line_no"), (F.floor(F.col("id") / 10).cast("int") + 1).alias("page_number"), (F.col("id") % 10).alias("k")).withColumn("line", line).drop("k")
+    lines = lines.unionByName(lines.where("page_number = 1").withColumn("doc_id", F.lit(2)))
+    furniture = segment.page_furniture(lines)
+    assert {tuple(r) for r in furniture.collect()} == {(1, "running head", 12)}
+    titles = segment.section_titles(lines, furniture)
+    rows = {(r["doc_id"], r["line_no"]): (r["section_title"], r["page_topic"]) for r in titles.collect()}
+    assert len(rows) == 12 * 9 + 9
+    assert all(rows[1, n][1] == f"Chapter of {'abcdefghijkl'[(n - 1) // 10]}" for d, n in rows if d == 1)
+    assert {n: t for (d, n), (t, _) in rows.items() if d == 1 and t} == {n: "Memory" for n in range(46, 56) if n != 53}
+    assert {topic for (d, _), (_, topic) in rows.items() if d == 2} == {"running head"}
+    for df, most in ((furniture, 1), (titles, 2)):
+        assert df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") <= most
