@@ -184,22 +184,31 @@ def balanced_sample(questions: DataFrame, recently: DataFrame, count: int, seed:
     Topics take turns in one order for all learners, so only the first `count` of a subject are drawn from. Of such a topic
     a learner gets `count` questions at most, the first ones by chance that are not among their recent ones, and recent
     ones behind them. So the first `count` and as many more as any learner has recent ones, cut once for each topic, are
-    all that a learner meets, with their own recent ones: what is joined grows with learners, not with questions.
+    all that a learner meets. A subject's come as one list and a learner's recent ones as another, and the lists are told
+    apart in place: what is shuffled is a row for each recent question, none for what a learner could get.
     """
     chance = lambda c: F.md5(F.concat_ws(":", F.lit(seed), c.cast("string")))
     one = questions.groupBy("subject_id", "concept").agg(F.min("id").alias("id"), F.min_by("topic_name", "id").alias("topic_name")).withColumn("chance", chance(F.col("id")))
     turns = one.select("subject_id", "topic_name").distinct()
-    turns = turns.withColumn("k", F.row_number().over(Window.partitionBy("subject_id").orderBy(chance(F.col("topic_name")), "topic_name"))).where(F.col("k") <= count).drop("k")
-    drawn = one.join(turns, ["subject_id", "topic_name"], "left_semi").select("subject_id", "topic_name", "id", "chance")
-    most = recently.groupBy("user_id", "subject_id").count().agg(F.max("count")).first()[0] or 0
-    first = drawn.withColumn("k", F.row_number().over(Window.partitionBy("subject_id", "topic_name").orderBy("chance", "id"))).where(F.col("k") <= count + most).drop("k")
-    learners = recently.select("user_id", "subject_id").distinct()
-    marked = recently.select("user_id", "subject_id", F.col("question_id").alias("id")).distinct()
-    fresh = learners.join(first, "subject_id").join(marked, ["user_id", "subject_id", "id"], "left_anti").withColumn("recent", F.lit(0))
-    rows = fresh.unionByName(marked.join(drawn, ["subject_id", "id"]).withColumn("recent", F.lit(1)))
-    turn = F.row_number().over(Window.partitionBy("user_id", "subject_id", "topic_name").orderBy("recent", "chance", "id"))
-    place = F.row_number().over(Window.partitionBy("user_id", "subject_id").orderBy("turn", chance(F.col("topic_name")), "id"))
-    return rows.withColumn("turn", turn).withColumn("place", place).where(F.col("place") <= count).select("user_id", "subject_id", "id", "topic_name", "recent", "place")
+    turns = turns.withColumn("rank", F.row_number().over(Window.partitionBy("subject_id").orderBy(chance(F.col("topic_name")), "topic_name"))).where(F.col("rank") <= count)
+    drawn = one.join(turns, ["subject_id", "topic_name"]).select("subject_id", "topic_name", "rank", "id", "chance")
+    marked = recently.select("user_id", "subject_id", F.col("question_id").alias("id")).distinct().join(drawn.select("subject_id", "id", "rank", "chance"), ["subject_id", "id"], "left")
+    learners = marked.groupBy("user_id", "subject_id").agg(F.collect_list(F.when(F.col("rank").isNotNull(), F.struct("rank", "chance", "id"))).alias("recents"))
+    most = learners.agg(F.max(F.size("recents"))).first()[0] or 0
+    first = drawn.withColumn("k", F.row_number().over(Window.partitionBy("subject_id", "topic_name").orderBy("chance", "id"))).where(F.col("k") <= count + most)
+    lists = first.groupBy("subject_id", "rank", "topic_name").agg(F.array_sort(F.collect_list(F.struct("chance", "id"))).alias("offers"))
+    lists = lists.groupBy("subject_id").agg(F.array_sort(F.collect_list(F.struct("rank", "topic_name", "offers"))).alias("topics"))
+
+    def picked(topic: Column) -> Column:
+        fresh = F.filter(topic["offers"], lambda x: ~F.array_contains("recents.id", x["id"]))
+        again = F.array_sort(F.transform(F.filter("recents", lambda x: x["rank"] == topic["rank"]), lambda x: F.struct(x["chance"].alias("chance"), x["id"].alias("id"))))
+        marked_as = lambda xs, recent: F.transform(xs, lambda x: F.struct(x["id"].alias("id"), F.lit(recent).alias("recent")))
+        both = F.slice(F.concat(marked_as(F.slice(fresh, 1, count), 0), marked_as(again, 1)), 1, count)
+        return F.transform(both, lambda x, turn: F.struct(turn.alias("turn"), topic["rank"].alias("rank"), x["id"].alias("id"), topic["topic_name"].alias("topic_name"), x["recent"].alias("recent")))
+
+    picks = F.slice(F.array_sort(F.flatten(F.transform("topics", picked))), 1, count)
+    rows = learners.join(lists, "subject_id").select("user_id", "subject_id", F.posexplode(picks).alias("pos", "pick"))
+    return rows.select("user_id", "subject_id", "pick.id", "pick.topic_name", "pick.recent", (F.col("pos") + 1).alias("place"))
 
 
 def mock_pool(questions: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """Steps whose work has to grow with their input: rows that joins give, on small tables with large groups."""
 
+import hashlib
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -101,3 +103,28 @@ def test_lines_are_dealt_once_for_furniture_and_once_for_titles(spark):
     assert {topic for (d, _), (_, topic) in rows.items() if d == 2} == {"running head"}
     for df, most in ((furniture, 1), (titles, 2)):
         assert df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") <= most
+
+
+def test_samples_meet_no_row_for_each_offer(spark):
+    """300 learners draw from twelve topics, two of which have one question; recent ones fill what is left."""
+    topic = F.when(F.col("id") < 2, F.concat(F.lit("small"), F.col("id").cast("string"))).otherwise(F.concat(F.lit("t"), (F.col("id") % 10).cast("string")))
+    questions = spark.range(242).select("id", F.lit(1).cast("long").alias("subject_id"), topic.alias("topic_name"), F.col("id").cast("string").alias("concept"))
+    learners = spark.range(300).withColumnRenamed("id", "user_id")
+    recently = learners.select("user_id", F.lit(1).cast("long").alias("subject_id"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: (F.col("user_id") * k * 7) % 242)).alias("question_id")).distinct()
+    seen = {}
+    for r in recently.collect():
+        seen.setdefault(r["user_id"], set()).add(r["question_id"])
+    for subject in (questions, questions.where("topic_name IN ('small0', 'small1', 't3') AND id < 14")):
+        rows, most = largest(pools.balanced_sample(subject, recently, 8, 7))
+        assert most <= 3_000
+        chance = lambda x: hashlib.md5(f"7:{x}".encode()).hexdigest()
+        held = [(r["id"], r["topic_name"]) for r in subject.collect()]
+        topics = sorted({t for _, t in held}, key=lambda t: (chance(t), t))[:8]
+        want = set()
+        for user, had in seen.items():
+            turns = []
+            for place, t in enumerate(topics):
+                own = sorted((x in had, chance(x), x) for x, of in held if of == t)
+                turns += [(turn, place, x, t, int(recent)) for turn, (recent, _, x) in enumerate(own)]
+            want |= {(user, 1, x, t, recent, k + 1) for k, (_, _, x, t, recent) in enumerate(sorted(turns)[:8])}
+        assert {tuple(r) for r in rows} == want
