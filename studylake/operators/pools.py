@@ -318,7 +318,11 @@ def training_cards(reported: DataFrame, units: DataFrame, stored: DataFrame, lim
     topic_id, content, vector): the first three of eight hits that are substantive, whose whole texts are the points, the
     first two as must-know. Outcomes: existing (a stored question stems from the report: origin_id), unmatched (no
     evidence), skipped (the wording is stored, or an earlier card has it), created.
+
+    The search goes through the units' texts several times, so units are cut off by a checkpoint: what they are joined
+    from is shuffled once.
     """
+    units = checkpointed(units.select("id", "subject_id", "document_id", "topic_id", "content", "vector"))
     rows = reported if followups else reported.where("provenance != 'reported_followup'")
     order = [(F.col("reliability") != "current").cast("int"), (F.col("provenance") != "exact_reported").cast("int"), F.coalesce("chain_id", "stable_id"), F.col("stable_id")]
     rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("subject_id").orderBy(*order))).where(F.col("rank") <= max(1, min(50, limit)))

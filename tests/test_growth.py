@@ -128,3 +128,17 @@ def test_samples_meet_no_row_for_each_offer(spark):
                 turns += [(turn, place, x, t, int(recent)) for turn, (recent, _, x) in enumerate(own)]
             want |= {(user, 1, x, t, recent, k + 1) for k, (_, _, x, t, recent) in enumerate(sorted(turns)[:8])}
         assert {tuple(r) for r in rows} == want
+
+
+def test_card_units_are_put_together_once(spark):
+    """Units come from a join, as in the adapter; the search that goes through them again and again does not make it anew."""
+    text = F.concat(F.lit("Unit on retrieval practice with many more words than ten, so that it is evidence for cards number "), F.col("id").cast("string"))
+    vectors = spark.range(77).select("id", F.array(F.lit(1.0), F.col("id") / 100).alias("vector"))
+    units = spark.range(77).join(vectors, "id").select("id", F.lit(0).cast("long").alias("subject_id"), (F.col("id") % 5).alias("document_id"), F.lit(1).alias("topic_id"), text.alias("content"), "vector")
+    reported = spark.range(20).select(F.concat(F.lit("r"), (F.col("id") + 10).cast("string")).alias("stable_id"), F.lit(0).cast("long").alias("subject_id"), F.concat(F.lit("Retrieval practice "), F.col("id").cast("string")).alias("wording"), F.lit("exact_reported").alias("provenance"), F.lit("current").alias("reliability"), F.lit(None).cast("string").alias("chain_id"), F.lit("open").alias("answerability"), F.array(F.lit("memory")).alias("topic_tags"), F.array(F.lit("act")).alias("required_actions"), F.array(F.lit(1.0), F.lit(0.0)).alias("vector"))
+    stored = reported.where("stable_id = 'r12'").select("subject_id", F.col("stable_id").alias("origin_id"), F.lit("other").alias("question_text"))
+    cards = pools.training_cards(reported, units, stored, 4)
+    assert "Range (0, 77," not in cards._jdf.queryExecution().optimizedPlan().toString()
+    rows = {r["stable_id"]: r for r in cards.collect()}
+    assert {k: r["outcome"] for k, r in rows.items()} == {"r10": "created", "r11": "created", "r12": "existing", "r13": "created"}
+    assert all(len(r["points"]) == 3 and r["points"][0]["text"].startswith("Unit on") for k, r in rows.items() if k != "r12")
