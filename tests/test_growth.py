@@ -142,3 +142,18 @@ def test_card_units_are_put_together_once(spark):
     rows = {r["stable_id"]: r for r in cards.collect()}
     assert {k: r["outcome"] for k, r in rows.items()} == {"r10": "created", "r11": "created", "r12": "existing", "r13": "created"}
     assert all(len(r["points"]) == 3 and r["points"][0]["text"].startswith("Unit on") for k, r in rows.items() if k != "r12")
+
+
+def test_equal_vectors_are_compared_once(spark, monkeypatch):
+    """4,000 questions in two subjects on six vectors each, one of them with a null and one far from all; ids come again in the other subject."""
+    vector = F.when(F.col("k") == 4, F.array(F.lit(1.0), F.lit(0.0), F.lit(None).cast("double"))).when(F.col("k") == 5, F.array(F.lit(-1.0), F.lit(0.0))).otherwise(F.array(F.lit(1.0), F.col("k") / 100))
+    rows = spark.range(2000).crossJoin(spark.range(2).withColumnRenamed("id", "subject_id")).withColumn("k", F.col("id") % 6).select("id", "subject_id", vector.alias("embedding"))
+    calls = []
+    blocks = similar.in_block_pairs
+    monkeypatch.setattr(similar, "in_block_pairs", lambda left, right, *rest: calls.append((left.count(), right.count())) or blocks(left, right, *rest))
+    got = similar.vector_pairs(rows.where("id % 100 = 0"), rows, 0.92)
+    near, n = [k for k in range(0, 2000, 100) if k % 6 < 4], sum(k % 6 < 4 for k in range(2000))
+    opposite = [k for k in range(0, 2000, 100) if k % 6 == 5]
+    assert got.count() == 2 * (len(near) * (n - 1) + len(opposite) * (sum(k % 6 == 5 for k in range(2000)) - 1))
+    assert got.where("id = 0 AND other_id % 6 = 0").distinct().count() == sum(k % 6 == 0 for k in range(1, 2000))
+    assert max(calls[0]) <= 40
