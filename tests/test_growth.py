@@ -169,3 +169,37 @@ def test_equal_vectors_are_compared_once(spark, monkeypatch):
     assert got.count() == 2 * (len(near) * (n - 1) + len(opposite) * (sum(k % 6 == 5 for k in range(2000)) - 1))
     assert got.where("id = 0 AND other_id % 6 = 0").distinct().count() == sum(k % 6 == 0 for k in range(1, 2000))
     assert max(calls[0]) <= 40
+
+
+def test_questions_that_differ_by_id_alone_are_resolved_once(spark, monkeypatch):
+    """600 questions of six kinds, told apart by nulls too: what is compared are the kinds, and each question has its kind's rows."""
+    units = spark.range(40).select("id", F.lit(1).alias("subject_id"), (F.col("id") % 3).alias("document_id"), F.lit(2).alias("topic_id"), F.when(F.col("id") < 20, "doc5").otherwise("doc6").alias("stem"), (F.col("id") % 9).cast("int").alias("page"), F.concat(F.lit("memory attention "), F.when(F.col("id") == 30, "SPAN encoder").otherwise("nothing")).alias("content"), F.array(F.lit(1.0), F.col("id") / 40).alias("vector"))
+    kind, none = F.col("id") % 6, F.lit(None)
+    q = spark.range(600).select(
+        "id", F.lit(1).alias("subject_id"), F.when(kind == 4, 3).otherwise(none).cast("int").alias("topic_id"), F.when(kind < 2, "doc5").alias("stem"), F.when(kind == 0, F.array(F.lit(4), none.cast("int"))).otherwise(F.array(none.cast("int"), F.lit(5))).alias("pages"),
+        F.lit("Which SPAN of encoder?").alias("question_text"), F.when(kind == 2, "tag").alias("tags"), F.when(kind == 5, "").alias("points"), (kind != 3).alias("canonical"), F.when(kind != 5, F.array(F.lit(1.0), F.lit(0.5))).alias("vector"),
+    )
+    calls = []
+    blocks = similar.in_block_pairs
+    monkeypatch.setattr(similar, "in_block_pairs", lambda left, right, *rest: calls.append(left.count()) or blocks(left, right, *rest))
+    got = {}
+    for r in retrieval.resolve_evidence(q, units).collect():
+        got.setdefault(r["id"], set()).add(tuple(r)[1:])
+    assert max(calls) <= 6 and len(got) == 600
+    assert all(got[k] == got[k % 6] for k in got)
+    alone = {}
+    for r in retrieval.resolve_evidence(q.where("id < 6"), units).collect():
+        alone.setdefault(r["id"], set()).add(tuple(r)[1:])
+    assert {k: got[k] for k in range(6)} == alone
+    assert [sorted(x[4] for x in got[k] if x[3] == "evidence") for k in (0, 1)] == [[3, 4, 5, 12, 13], [4, 5, 6, 13, 14]]
+    assert all(30 in {x[4] for x in got[k]} for k in (2, 3, 4, 5)) and {x[0] for x in got[4]} == {"topic_search"}
+
+
+def test_capitals_are_found_wherever_they_stand(spark):
+    """Tokens in capitals, also within longer words, by runs of capitals as by the whole text."""
+    texts = ["RESTARTED start art", "The GPU-based gpu", "ÀÉÎ àéî aéî", "Straße STRASSE", "ÿab ŸAB", "no capitals at all", "A1B2 a1b2 x1B2 1b2", "", None, "AB\nC abc", "ABCİ abc"]
+    text = F.col("text")
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").withColumn("tokens", retrieval.X.long_tokens(text))
+    plain = F.filter("tokens", lambda t: F.contains(text, F.upper(t)))
+    got = rows.select("text", F.coalesce(retrieval._capitals(F.col("tokens"), text), F.array().cast("array<string>")).alias("got"), F.coalesce(plain, F.array().cast("array<string>")).alias("want")).collect()
+    assert all(r["got"] == r["want"] for r in got) and sum(len(r["got"]) for r in got) >= 8
