@@ -203,3 +203,16 @@ def test_capitals_are_found_wherever_they_stand(spark):
     plain = F.filter("tokens", lambda t: F.contains(text, F.upper(t)))
     got = rows.select("text", F.coalesce(retrieval._capitals(F.col("tokens"), text), F.array().cast("array<string>")).alias("got"), F.coalesce(plain, F.array().cast("array<string>")).alias("want")).collect()
     assert all(r["got"] == r["want"] for r in got) and sum(len(r["got"]) for r in got) >= 8
+
+
+def test_pairs_of_questions_come_apart_row_by_row(spark, small):
+    """What a pair of texts holds is rounded once, and the rows of a block go one by one into their pairs."""
+    df = questions.QUERIES["f8_near_questions"](spark, small)
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    last = plan.split("Exchange")[0]
+    assert "round(" in plan and "round(" not in last
+    assert [word for word in last.replace("\n", " ").split() if word in ("Generate", "Coalesce")] == ["Generate", "Coalesce", "Generate"]
+    rows = spark.createDataFrame([(1, 1, "What do alpha beta gamma delta epsilon zeta mean?"), (2, 1, "What do alpha beta gamma delta epsilon zeta eta mean?"), (3, 1, "What do alpha beta gamma delta epsilon zeta mean?")], "id long, subject_id long, question_text string")
+    got = {tuple(r) for r in gates.near_questions(rows, rows, letters=False, digits=2).select("id", "other_id", "jaccard").collect()}
+    whole = {(a, b): j for a, b, j in (tuple(r) for r in gates.near_questions(rows, rows, letters=False).select("id", "other_id", "jaccard").collect())}
+    assert len(got) == 6 and got == {(a, b, round(j, 2)) for (a, b), j in whole.items()} and whole[1, 2] != round(whole[1, 2], 2)
